@@ -19,6 +19,8 @@ from attestor.llm.common import ascii_lower, stored, text_or_empty
 
 #: Rows sampled to find hot texts, the hits in the sample that make a text hot, and the runs that its rows are split into.
 HOT_SAMPLE, HOT_HITS, SALTS = 20_000, 40, 64
+#: Characters of a text that its splitters show.
+HEAD = 32
 
 
 def hot_hashes(norm: DataFrame) -> list[int]:
@@ -43,9 +45,12 @@ def _runs(docs: DataFrame, id_col: str, text_col: str, keep: str, carry: bool) -
     hot = hot_hashes(norm.select("norm"))
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
     norm = norm.withColumn("salt", F.when(F.xxhash64("norm").isin(hot), salt).otherwise(F.lit(-1)) if hot else F.lit(-1))
-    run = Window.partitionBy("norm", "salt")
-    # The windows need the rows of (norm, salt) together and sorted, which the range partitioning already grants.
-    ranged = norm.repartitionByRange("norm", "salt")
+    # Splitters are sampled rows that the driver sorts, so they are made of a prefix and a hash instead of whole texts.
+    # Equal texts have both in common. The windows need the rows of a run together, which the ranges already grant, and
+    # their sort by prefix, hash and text makes equal texts neighbours.
+    norm = norm.withColumns({"head": F.substring("norm", 1, HEAD), "hash": F.xxhash64("norm")})
+    ranged = norm.repartitionByRange("head", "hash", "salt")
+    run = Window.partitionBy("head", "hash", "norm", "salt")
     runs = ranged.withColumns({"rn": F.row_number().over(run.orderBy(order)), "run_id": best("id").over(run), "run_size": F.count(F.lit(1)).over(run)})
     return runs, order, best, hot
 
