@@ -4,8 +4,9 @@ Encoding. Let last(p) be the last token of the encoding of a prefix p. It is the
 neighbour last(p without t) forms a stable pair with it: merging the bytes of both gives just the two tokens back. So
 the encodings of all prefixes form a tree, and a byte adds one node. Of the tree only the part matters that later bytes
 can still reach: prefixes behind which a token may have begun. Where all their chains meet in one boundary, the tokens up
-to it are emitted; what remains (the token before the boundary and the bytes since) is the state. Token lengths bound
-the lookahead, so the states are finite; they and their transitions are made on demand and kept in a bounded table.
+to it are emitted. What remains, the bytes since and their last tokens, is the state; the token before the boundary
+stays in a register, as a transition asks of it only whether it forms a stable pair with the whole of the bytes. Token
+lengths bound the lookahead, so the states are finite; they are made on demand and kept in a bounded table.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from attestor.llm.common import text_or_empty
 
 #: Entries of the piece cache, the transition table and the pair table; a full table is emptied and filled anew.
-MAX_PIECES, MAX_STATES, MAX_PAIRS = 400_000, 300_000, 1_000_000
+MAX_PIECES, MAX_STATES, MAX_PAIRS = 400_000, 400_000, 1_000_000
 #: A vocabulary of more bytes than this isn't broadcast.
 MAX_VOCABULARY = 64 << 20
 
@@ -43,120 +44,142 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
 
 
+class State:
+    """Bytes pending, the last token of each of their prefixes (-2: none), and the live prefixes: those behind which a
+    token may have begun. moves: by byte, the token that asks for the register (or -1) and where each answer leads, with
+    the tokens emitted on the way."""
+
+    __slots__ = ("pending", "lasts", "live", "moves", "end")
+
+    def __init__(self, pending: bytes, lasts: tuple[int, ...], live: tuple[int, ...]):
+        self.pending, self.lasts, self.live, self.moves, self.end = pending, lasts, live, {}, None
+
+
 class Transducer:
-    """Encodes byte strings; states are (token before, bytes pending) with the last token of each pending prefix."""
+    """Encodes byte strings."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
+        self.size = {i: len(t) for t, i in ranks.items()}
         self.heads = {t[:n] for t in ranks for n in range(1, len(t))}
-        self.longest = max(map(len, ranks), default=0)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.halves: dict[int, tuple[int, int] | None] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.states: list[tuple[int, bytes, tuple[int, ...]]] = [(-1, b"", ())]
-        self.ids: dict[tuple[int, bytes], int] = {(-1, b""): 0}
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.ends: dict[int, tuple[int, ...]] = {}
+        self.start = State(b"", (), (0,))
+        self.states = {(b"", ()): self.start}
 
-    def merged(self, data: bytes) -> list[int]:
-        """Merges by definition: the pair of lowest rank first, the leftmost of equals."""
+    def merged(self, data: bytes) -> list[bytes]:
+        """Merges by definition, the pair of lowest rank first, the leftmost of equals, until at most two parts are left."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > 2:
             best = min(((self.ranks[ab], i) for i in range(len(parts) - 1) if (ab := parts[i] + parts[i + 1]) in self.ranks), default=None)
             if best is None:
                 break
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
-        return [self.ranks[p] for p in parts]
+        return parts
+
+    def _halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens of a token's last merge; none for a single byte, or a token that merges don't make."""
+        if token not in self.halves:
+            parts = self.merged(self.token[token])
+            self.halves[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
+        return self.halves[token]
+
+    def _alone(self, token: int) -> bool:
+        """Whether merging its bytes gives the token."""
+        return self.size[token] == 1 or self._halves(token) is not None
 
     def stable(self, left: int, right: int) -> bool:
-        """Left -1 stands for the start of a piece: then the token has to be what its own bytes merge to."""
-        key = (left, right)
-        if (known := self.pairs.get(key)) is None:
+        """Left -1 is the start of a piece, where the right token has to stand alone. Else: whether merging the bytes of both gives just the two back. Undoes their merges from the last, always the later
+        one first, and asks each time whether the tokens that meet would have merged sooner than what was undone."""
+        key = left << 32 | right
+        known = self.pairs.get(key)
+        if known is None:
             if len(self.pairs) >= MAX_PAIRS:
                 self.pairs.clear()
-            known = self.merged(self.token[right]) == [right] if left < 0 else self.stable(-1, right) and self.merged(self.token[left] + self.token[right]) == [left, right]
-            self.pairs[key] = known
+            known = self.pairs[key] = self._stable(left, right) if left >= 0 else self._alone(right)
         return known
 
-    def _chain(self, lasts: tuple[int, ...], n: int) -> list[int]:
-        """Boundaries from n down to 0."""
-        out = [n]
-        while n > 0:
-            n -= len(self.token[lasts[n - 1]])
-            out.append(n)
-        return out
+    def _stable(self, left: int, right: int) -> bool:
+        if not (self._alone(left) and self._alone(right)):
+            return False
+        ranks, token, limit = self.ranks, self.token, len(self.ranks) * 4 + 4
+        while True:
+            joined = ranks.get(token[left] + token[right])
+            if joined is not None and 2 * joined < limit:
+                return False
+            a, b = self._halves(left), self._halves(right)
+            if a is None and b is None:
+                return True
+            if b is None or (a is not None and left > right):
+                limit, left = 2 * left, a[1]  # of equal ranks the merge further left comes first
+            else:
+                limit, right = 2 * right + 1, b[0]
 
     def _tokens(self, lasts: tuple[int, ...], n: int) -> tuple[int, ...]:
         out = []
         while n > 0:
             out.append(lasts[n - 1])
-            n -= len(self.token[lasts[n - 1]])
+            n -= self.size[lasts[n - 1]]
         return tuple(reversed(out))
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        before, pending, lasts = self.states[state]
-        pending += bytes((byte,))
-        n = len(pending)
-        for size in range(min(n, self.longest), 0, -1):
-            t = self.ranks.get(pending[n - size :])
-            if t is None:
-                continue
-            left = lasts[n - size - 1] if size < n else before
-            if (left >= 0 or size == n) and self.stable(left, t):
-                lasts += (t,)
-                break
-        else:
-            lasts += (-2,)  # no encoding ends here; a longer token has to cover this prefix
-        # Boundaries that every live chain shares; a chain is live if a token may begin or go on behind it.
-        live = [i for i in range(max(0, n - self.longest + 1), n + 1) if (i == n or pending[i:] in self.heads) and (i == 0 or lasts[i - 1] >= 0)]
-        out: tuple[int, ...] = ()
-        if live and live[0] > 0 and lasts[n - 1] >= 0:
-            common = set(self._chain(lasts, live[0]))
-            for i in live[1:]:
-                common.intersection_update(self._chain(lasts, i))
-            if cut := max(common):
-                out = self._tokens(lasts, cut)
-                before, pending, lasts = out[-1], pending[cut:], self._rebased(out[-1], pending[cut:])
-        key = (before, pending)
-        if (target := self.ids.get(key)) is None:
-            target = self.ids[key] = len(self.states)
-            self.states.append((before, pending, lasts))
+    def _move(self, state: State, byte: int) -> tuple:
+        pending = state.pending + bytes((byte,))
+        asked = self.ranks.get(pending, -1) if state.live and state.live[0] == 0 else -1
+        last, still = -2, []
+        for i in state.live:
+            tail = pending[i:]
+            if i and last < 0 and (t := self.ranks.get(tail)) is not None and self.stable(state.lasts[i - 1], t):
+                last = t
+            if tail in self.heads:
+                still.append(i)
+        return asked, self._next(pending, state.lasts + (last,), still), self._next(pending, state.lasts + (asked,), still) if asked >= 0 else None
+
+    def _next(self, pending: bytes, lasts: tuple[int, ...], still: list[int]) -> tuple[State, tuple[int, ...]]:
+        live, out, size = tuple(still) + (len(pending),) * (lasts[-1] >= 0), (), self.size
+        # A boundary behind which no chain of a live prefix passes is dead; one that all of them share is final.
+        passed = [0] * (len(pending) + 1)
+        for i in live:
+            while i > 0:
+                passed[i] += 1
+                i -= size[lasts[i - 1]]
+        cut = next((i for i in range(live[0], 0, -1) if passed[i] == len(live)), 0) if live else 0
+        if cut:
+            out, pending, live = self._tokens(lasts, cut), pending[cut:], tuple([i - cut for i in live])
+        lasts = tuple([t if n else -2 for t, n in zip(lasts[cut:], passed[cut + 1 :])])
+        key = (pending, lasts)
+        if (target := self.states.get(key)) is None:
+            target = self.states[key] = State(pending, lasts, live)
         return target, out
 
-    def _rebased(self, before: int, pending: bytes) -> tuple[int, ...]:
-        lasts: list[int] = []
-        for n in range(1, len(pending) + 1):
-            for size in range(min(n, self.longest), 0, -1):
-                t = self.ranks.get(pending[n - size : n])
-                if t is not None and ((left := lasts[n - size - 1] if size < n else before) >= 0) and self.stable(left, t):
-                    lasts.append(t)
-                    break
-            else:
-                lasts.append(-2)  # its encoding crosses the boundary, so no live chain passes here
-        return tuple(lasts)
-
     def encode(self, piece: bytes) -> list[int]:
         """Token ids of one piece; a piece that is a token itself is that token."""
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
         if len(self.states) > MAX_STATES:
             self._reset()
-        state, out, moves = 0, [], self.moves
+        state, before, out, pairs = self.start, -1, [], self.pairs
         for byte in piece:
-            key = state << 8 | byte
-            move = moves.get(key)
+            move = state.moves.get(byte)
             if move is None:
-                move = moves[key] = self._move(state, byte)
-            state = move[0]
-            if move[1]:
-                out += move[1]
-        end = self.ends.get(state)
-        if end is None:
-            _, pending, lasts = self.states[state]
-            end = self.ends[state] = self._tokens(lasts, len(pending))
-        out += end
+                move = state.moves[byte] = self._move(state, byte)
+            asked, no, yes = move
+            if asked >= 0:
+                known = pairs.get(before << 32 | asked)
+                if known is None:
+                    known = self.stable(before, asked)
+                state, done = yes if known else no
+            else:
+                state, done = no
+            if done:
+                out += done
+                before = done[-1]
+        if state.end is None:
+            state.end = self._tokens(state.lasts, len(state.pending))
+        out += state.end
         return out
 
 
