@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
+import re
+import struct
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from attestor.llm.common import text_or_empty
 
 #: Entries of the piece cache, the transition table and the pair table; a full table is emptied and filled anew.
-MAX_PIECES, MAX_STATES, MAX_PAIRS = 400_000, 400_000, 1_000_000
+MAX_PIECES, MAX_STATES, MAX_PAIRS = 1_000_000, 400_000, 1_000_000
 #: A vocabulary of more bytes than this isn't broadcast.
 MAX_VOCABULARY = 64 << 20
 
@@ -183,16 +185,40 @@ class Transducer:
         return out
 
 
+def ascii_pattern(pattern: str) -> Callable[[str], list[str]]:
+    """findall of the pattern for ASCII texts: letters and digits spelled out, for the standard library's faster engine."""
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        two, four = pattern[i : i + 2], pattern[i : i + 5]
+        if four in (r"\p{L}", r"\p{N}"):
+            own = "A-Za-z" if "L" in four else "0-9"
+            out.append(own if inside else f"[{own}]")
+            i += 5
+            continue
+        if two[0] == "\\":
+            if two not in (r"\s", r"\S"):
+                return regex.compile(pattern).findall  # something else than the classes known here
+            out.append(two)
+            i += 2
+            continue
+        inside = True if two[0] == "[" else False if two[0] == "]" else inside
+        out.append(two[0])
+        i += 1
+    return re.compile("".join(out), re.ASCII).findall
+
+
 class Encoder:
     """Encodes texts as the matches of a pattern, each by itself. Ids are little-endian unsigned 32-bit integers."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
         self.find = regex.compile(pattern).findall
+        self.find_ascii = ascii_pattern(pattern)
         self.pieces: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
-        got = np.array(self.transducer.encode(piece.encode()), "<u4").tobytes()
+        ids = self.transducer.encode(piece.encode())
+        got = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:  # the table stays small in bytes too
             if len(self.pieces) >= MAX_PIECES:
                 self.pieces.clear()
@@ -201,7 +227,8 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         known, make = self.pieces.get, self._piece
-        return b"".join([known(p) or make(p) for p in self.find(text)])
+        find = self.find_ascii if text.isascii() else self.find
+        return b"".join([known(p) or make(p) for p in find(text)])
 
 
 #: Next state of the UTF-8 machine for lead bytes, and for each state the bytes that go on and where to. 0: between characters.
@@ -221,42 +248,40 @@ class StreamDecoder:
     """Turns ids into UTF-8; feed() gives back whole characters only and holds the bytes of an open one."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.token = {i: t for t, i in ranks.items()}
-        self.moves: dict[tuple[int, int], tuple[int, int]] = {}
+        tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        for t, i in ranks.items():
+            tokens[i] = t
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.sizes = np.array([len(t) for t in tokens], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.reset()
 
     def reset(self) -> None:
         self.state, self.held = 0, b""
 
-    def _move(self, state: int, token: int) -> tuple[int, int]:
-        """The state after the token, and how many of its last bytes belong to an open character (all: 255)."""
-        key = (state, token)
-        if (got := self.moves.get(key)) is None:
-            data, tail = self.token[token], 255 if state else 0
-            for i, byte in enumerate(data):
-                state = utf8_step(state, byte)
-                if state == BAD:
-                    raise ValueError(f"token {token} breaks UTF-8")
-                if state == 0:
-                    tail = 0
-                elif tail == 0:
-                    tail = len(data) - i
-            got = self.moves[key] = (state, tail)
-        return got
-
-    def feed(self, ids: Iterable[int]) -> bytes:
-        ids = list(ids)
-        token = self.token
-        data = self.held + b"".join([token[i] for i in ids])
-        state = self.state
-        if state or not data.isascii():
-            open_bytes = len(self.held)
-            for i in ids:
-                state, tail = self._move(state, i)
-                open_bytes = open_bytes + len(token[i]) if tail == 255 else tail
-            self.state, self.held = state, data[len(data) - open_bytes :] if open_bytes else b""
-            data = data[: len(data) - open_bytes] if open_bytes else data
-        return data
+    def _bytes(self, ids: np.ndarray) -> bytes:
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        return self.bytes[np.repeat(self.starts[ids] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+
+    def feed(self, ids: Iterable[int] | np.ndarray) -> bytes:
+        """Raises on bytes that aren't UTF-8. The machine runs over the last character only; what lies before it begins
+        and ends between characters, and is checked as a whole."""
+        data = self.held + self._bytes(np.asarray(ids, np.int64))
+        cut = len(data)
+        while cut and len(data) - cut < 4 and data[cut - 1] >= 0x80:
+            cut -= 1
+            if data[cut] >= 0xC0:
+                break
+        state = 0
+        for byte in data[cut:]:
+            state = utf8_step(state, byte)
+            if state == BAD:
+                raise ValueError("the ids aren't UTF-8")
+        self.state, self.held, whole = (state, data[cut:], data[:cut]) if state else (0, b"", data)
+        if not whole.isascii():
+            whole.decode()
+        return whole
 
     def close(self) -> None:
         """Raises if a character is left open."""
@@ -287,7 +312,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
                 decoder.reset()
                 said = hashlib.sha256()
                 for at in range(0, len(ids), 4 * chunk):
-                    said.update(decoder.feed(np.frombuffer(ids[at : at + 4 * chunk], "<u4").tolist()))
+                    said.update(decoder.feed(np.frombuffer(ids[at : at + 4 * chunk], "<u4")))
                 decoder.close()
                 for into, x in zip(rows, (len(ids) // 4, hashlib.sha256(ids).hexdigest(), said.hexdigest()), strict=True):
                     into.append(x)

@@ -11,6 +11,7 @@ scoring model hasn't seen, turns it into a probability.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 from attestor.llm.common import text_or_empty
 
 #: The model is fitted on at most so many labelled texts of each class, those with the smallest hashes of their ids.
-SAMPLE_PER_CLASS = 4_000
+SAMPLE_PER_CLASS = 1_500
 #: Letters of a gram, its discount, and the part of a long word that is looked at (the rest follows as a word of its own).
-ORDER, DISCOUNT, WORD = 9, 0.95, 40
+ORDER, DISCOUNT, WORD = 7, 0.95, 40
 #: Nats above the median at which a word begins to count.
 MARGIN = 3.0
 #: Words whose ratio a worker remembers before it starts anew.
@@ -151,7 +152,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[floa
 
 @dataclass
 class Toxicity:
-    ratios: Ratios
+    ratios: bytes  # pickled Ratios, which only workers unpack
     slope: float
     intercept: float
 
@@ -186,14 +187,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             keys = list(counts)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], ["y", "fold", "word", "n"])
 
-    cell = lambda y, f: F.sum(F.when((F.col("y") == y) & (F.col("fold") == f), F.col("n")).otherwise(0)).alias(f"n{y}{f}")
-    table = texts.mapInArrow(tally, "y int, fold int, word string, n bigint").groupBy("word").agg(*(cell(y, f) for y in (0, 1) for f in (0, 1))).toArrow()  # distinct words of the sample
-    words, n = table.column("word").to_pylist(), {k: table.column(k).to_numpy() for k in ("n00", "n01", "n10", "n11")}
-    folds = [fit_ratios((w, int(a), int(b)) for w, a, b in zip(words, n[f"n0{f}"], n[f"n1{f}"], strict=True) if a or b) for f in (0, 1)]
+    cell = lambda y, f: F.sum(F.when((F.col("y") == y) & (F.col("fold") == f), F.col("n")).otherwise(0))
+    # Three models: of each fold for the other's figures, and of both. Each is fitted in one task from the sample's words.
+    parts = ((0, cell(0, 0), cell(1, 0)), (1, cell(0, 1), cell(1, 1)), (2, cell(0, 0) + cell(0, 1), cell(1, 0) + cell(1, 1)))
+    counts = texts.mapInArrow(tally, "y int, fold int, word string, n bigint").groupBy("word").agg(F.array(*(F.struct(F.lit(k).alias("which"), a.alias("n0"), b.alias("n1")) for k, a, b in parts)).alias("c"))
+    counts = counts.select("word", F.explode("c").alias("c")).select("word", "c.*").filter("n0 + n1 > 0")
+
+    def train(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        found = fit_ratios(zip(frame["word"], frame["n0"].tolist(), frame["n1"].tolist(), strict=True))
+        return pd.DataFrame({"which": [key[0]], "model": [pickle.dumps(found)]})
+
+    models = {r.which: bytes(r.model) for r in counts.groupBy("which").applyInPandas(train, "which int, model binary").collect()}
+    empty = pickle.dumps(Ratios())
+    folds = [models.get(k, empty) for k in (0, 1)]
     shared = docs.sparkSession.sparkContext.broadcast(folds)
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = [Scorer(r) for r in shared.value]
+        score = [Scorer(pickle.loads(r)) for r in shared.value]
         for batch in batches:
             ys, fs, xs = (c.to_pylist() for c in batch.columns)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([score[1 - f](x) for f, x in zip(fs, xs, strict=True)], pa.float64())], ["y", "x"])
@@ -201,12 +211,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     seen = texts.mapInArrow(cross, "y int, x double").toPandas()
     shared.unpersist()
     own.unpersist()
-    both = fit_ratios((w, int(a), int(b)) for w, a, b in zip(words, n["n00"] + n["n01"], n["n10"] + n["n11"], strict=True))
     y = seen["y"].to_numpy(np.float64)
     taken = [max(1, int((y == k).sum())) for k in (0, 1)]
     weight = np.where(y == 1, shares.get(1, 0) / taken[1], shares.get(0, 0) / taken[0]) if len(y) else np.zeros(0)
     weight = weight * len(y) / weight.sum() if len(y) else weight
-    return Toxicity(both, *fit_logistic(seen["x"].to_numpy(np.float64), y, weight))
+    return Toxicity(models.get(2, empty), *fit_logistic(seen["x"].to_numpy(np.float64), y, weight))
 
 
 def score_column(docs: DataFrame, model: Toxicity, text_col: str = "text") -> Column:
@@ -215,7 +224,7 @@ def score_column(docs: DataFrame, model: Toxicity, text_col: str = "text") -> Co
 
     @F.pandas_udf("double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        of = Scorer(shared.value.ratios)
+        of = Scorer(pickle.loads(shared.value.ratios))
         for texts in batches:
             yield pd.Series(shared.value.probability(np.fromiter(map(of, texts), np.float64, len(texts))), index=texts.index)
 
