@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import bpe, decontaminate, exact_dedup, secrets, token_counts, toxicity, url_filter
+from attestor.llm import bpe, decontaminate, exact_dedup, near_dedup, secrets, token_counts, toxicity, url_filter
 from attestor.llm.common import scratch, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -49,6 +49,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("section_tokens", F.array_join("section_tokens", ","))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), shingle=3, threshold=(85, 100))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -66,7 +70,9 @@ QUERIES = {
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_url_filter": op5_url_filter,
     "op6_token_counts": op6_token_counts,
+    "op8_near_dedup": op8_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "pipeline": _pipeline,
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
