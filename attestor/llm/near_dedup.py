@@ -2,8 +2,9 @@
 
 Texts with the same set of shingles form one class, of which the smallest id stands for all. Bands of the classes'
 signatures give buckets. A bucket isn't expanded into pairs: first all its members are compared with its smallest one,
-and the components that this gives are set apart; then only members of different components are compared, those outside
-a bucket's largest component with the others. So each pair of a bucket is either compared or already linked by a chain.
+in large buckets with a few more, and the components that this gives are set apart. What may still be linked then are
+members of one bucket in different components. They are compared block against block, those outside a bucket's largest
+component with all others. So each pair of a bucket is either compared or already linked by a chain.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -23,8 +25,14 @@ from attestor.llm.graph import components
 
 #: Rows of a band; the chance that a pair at the threshold shares no band, and that a batch's posterior drops one.
 ROWS, MISS, PRUNE = 6, 1e-6, 1e-6
-#: Values compared between two looks at the posterior.
-BATCH = 32
+#: Values of a signature that are compared, and those between two looks at the posterior.
+COMPARED, BATCH = 96, 32
+#: Buckets of more members get so many further centres if one star leaves them in several components.
+LARGE, CENTRES = 16, 8
+#: Members of a block, and shingles of all of them.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
+#: Bits of the map of wanted ids by which texts are passed over before they are shuffled; its size never changes.
+MAP_BITS = 1 << 22
 MAX_WORDS = 500_000
 
 
@@ -112,7 +120,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: in
                 n.append(len(own))
                 s = sign(own) if len(own) else None
                 fp.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
-                sig.append(None if s is None else s.tobytes())
+                sig.append(None if s is None else s[:COMPARED].tobytes())
                 keys.append(None if s is None else band_keys(s, rows))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "fp", "sig", "keys"])
 
@@ -120,9 +128,9 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: in
     return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, f"id {kind}, n bigint, fp binary, sig binary, keys array<bigint>")
 
 
-def _likely(pairs: DataFrame, signed: DataFrame, values: int, threshold: tuple[int, int]) -> DataFrame:
+def _likely(pairs: DataFrame, signed: DataFrame, threshold: tuple[int, int], values: int) -> DataFrame:
     """The pairs (a, b) that no look at their signatures drops."""
-    looks = least_matches(values, threshold[0] / threshold[1])
+    looks = least_matches(min(values, COMPARED), threshold[0] / threshold[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,28 +151,104 @@ def _likely(pairs: DataFrame, signed: DataFrame, values: int, threshold: tuple[i
     return both.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs whose full sets are as similar as the threshold asks, by integers."""
-    kind = pairs.schema["a"].dataType.simpleString()
-    wanted = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
+def _noted(rows: DataFrame, col: str, ids: DataFrame) -> DataFrame:
+    """Rows whose value is among ids, and a few others: those whose hash has a bit that an id has set too."""
+    bits = np.zeros(MAP_BITS, bool)
+    bits[ids.select(F.pmod(F.xxhash64(ids.columns[0]), F.lit(MAP_BITS)).cast("int").alias("bit")).distinct().toArrow().column(0).to_numpy()] = True
+    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    @F.pandas_udf("boolean")
+    def noted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = np.unpackbits(shared.value).astype(bool)
+        for bit in batches:
+            yield pd.Series(known[bit.to_numpy()], index=bit.index)
+
+    return rows.filter(noted(F.pmod(F.xxhash64(col), F.lit(MAP_BITS)).cast("int")))
+
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """rid and the sorted shingles of its text as bytes, for the ids wanted (one column, distinct)."""
+    kind = ids.schema["rid"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(shingle)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["rid", "own"])
 
+    texts = _noted(docs.select(F.col(id_col).alias("rid"), text_or_empty(text_col).alias("text")), "rid", ids).join(ids, "rid", "left_semi")
+    return texts.mapInArrow(run, f"rid {kind}, own binary")
+
+
+def _similar(x: bytes, y: bytes, threshold: tuple[int, int]) -> bool:
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    same = len(np.intersect1d(x, y, assume_unique=True))
+    return threshold[1] * same >= threshold[0] * (len(x) + len(y) - same)
+
+
+def _across(members: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: tuple[int, int], values: int) -> DataFrame:
+    """Links between different roots among members (g, rid, n, root): of each g those with another root than g meet all
+    others. Blocks are made by hashes and bounded, and each pair of blocks is a row of its own."""
+    minor = F.col("root") != F.col("g")
+    sized = members.groupBy("g", minor.alias("minor")).agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    sized = stored(sized, "blocks")
+    ids = stored(members.select("rid").distinct(), "wanted")
+    full = members.join(reps.select("rid", "sig", "keys"), "rid").join(_sets(ids, docs, id_col, text_col, shingle), "rid")
+    placed = full.withColumn("minor", minor).join(sized, ["g", "minor"]).withColumn("block", F.pmod(F.xxhash64("rid", F.lit(9)), "blocks").cast("int"))
+    packed = stored(placed.groupBy("g", "minor", "block").agg(F.collect_list(F.struct("rid", "root", "n", "keys", "sig", "own")).alias("all")), "packed")
+    own = sized.filter("minor").select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
+    other = sized.select("g", F.col("minor").alias("m"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"))
+    meets = own.join(other, "g").filter("not m or x <= y")
+    left = packed.filter("minor").select("g", F.col("block").alias("x"), F.col("all").alias("one"))
+    right = packed.select("g", F.col("minor").alias("m"), F.col("block").alias("y"), F.col("all").alias("two"))
+    looks = least_matches(min(values, COMPARED), threshold[0] / threshold[1])
+    kind = members.schema["rid"].dataType.simpleString()
+    arrow = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+
+    def load(rows: list[dict]) -> tuple:
+        return np.array([r["root"] for r in rows]), np.array([r["n"] for r in rows]), np.array([r["keys"] for r in rows], np.int64), np.stack([np.frombuffer(r["sig"], "<u4") for r in rows])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for one, two in zip(batch.column(0), batch.column(1), strict=True):
+                one, two = one.as_py(), two.as_py()
+                (ra, na, ka, sa), (rb, nb, kb, sb) = load(one), load(two)
+                shared = np.zeros((len(one), len(two)), bool)
+                for k in range(ka.shape[1]):
+                    shared |= ka[:, None, k] == kb[None, :, k]
+                shared &= (ra[:, None] != rb[None, :]) & (np.minimum(na[:, None], nb) * threshold[1] >= np.maximum(na[:, None], nb) * threshold[0])
+                i, j = np.nonzero(shared)
+                found, seen = np.zeros(len(i), np.int64), 0
+                for n, least in looks:
+                    found += (sa[i, seen:n] == sb[j, seen:n]).sum(1)
+                    good, seen = found >= least, n
+                    i, j, found = i[good], j[good], found[good]
+                done: set = set()  # roots that a link of this pair of blocks has joined already
+                for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                    if (ra[x], rb[y]) not in done and _similar(one[x]["own"], two[y]["own"], threshold):
+                        done |= {(ra[x], rb[y]), (rb[y], ra[x])}
+                        a.append(one[x]["rid"])
+                        b.append(two[y]["rid"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, arrow), pa.array(b, arrow)], ["a", "b"])
+
+    met = meets.join(left, ["g", "x"]).join(right, ["g", "m", "y"])
+    return met.select("one", "two").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs whose full sets are as similar as the threshold asks, by integers."""
+    kind = pairs.schema["a"].dataType.simpleString()
+    wanted = stored(pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct(), "wanted")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             take = []
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                if threshold[1] * same >= threshold[0] * (len(x) + len(y) - same):
+                if _similar(x.as_py(), y.as_py(), threshold):
                     take.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(take, pa.int64())) for k in (0, 1)], ["a", "b"])
 
-    texts = docs.select(F.col(id_col).alias("rid"), text_or_empty(text_col).alias("text")).join(wanted, "rid", "left_semi")
-    own = texts.mapInArrow(sets, f"rid {kind}, own binary")
+    own = _sets(wanted, docs, id_col, text_col, shingle)
     both = pairs.join(own.select(F.col("rid").alias("a"), F.col("own").alias("oa")), "a").join(own.select(F.col("rid").alias("b"), F.col("own").alias("ob")), "b")
     return both.select("a", "b", "oa", "ob").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
@@ -189,19 +273,36 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     close = lambda x, y: (F.least(x, y) * threshold[1] >= F.greatest(x, y) * threshold[0])  # noqa: E731  sizes alone can rule a pair out
     first = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("rid", "n")).alias("c")).filter("size > 1")
     stars = banded.join(first, "key").filter((F.col("rid") != F.col("c.rid")) & close(F.col("n"), F.col("c.n"))).select(F.col("c.rid").alias("a"), F.col("rid").alias("b")).distinct()
-    links = stored(_linked(stored(_likely(stars, reps, bands * rows, threshold), "likely"), docs, id_col, text_col, shingle, threshold), "links")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        likely = stored(_likely(pairs, reps, threshold, bands * rows), "likely")
+        return stored(_linked(likely, docs, id_col, text_col, shingle, threshold), "links")
+
+    links = verified(stars)
     comp = components(links)
 
+    def mixed(comp: DataFrame, of: DataFrame) -> DataFrame:
+        """Members of the buckets that hold several components, with these."""
+        known = of.join(comp.withColumnRenamed("node", "rid"), "rid", "left").select("rid", "n", "key", F.coalesce("root", "rid").alias("root"))
+        several = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).filter("low != high").select("key", "size")
+        return stored(known.join(several, "key"), "mixed")
+
+    # Large buckets: more centres, taken by hashes, so that what is linked by chains need not be compared in pairs.
+    known = mixed(comp, banded)
+    large = known.filter(F.col("size") > LARGE)
+    centres = large.groupBy("key").agg(F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64("rid", F.lit(i)).alias("h"), "rid", "n", "root"))["rid"] for i in range(CENTRES)))).alias("c"))
+    centres = centres.select("key", F.explode("c").alias("x")).join(large.select("key", F.col("rid").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx")), ["key", "x"])
+    spokes = large.join(centres, "key").filter((F.col("root") != F.col("rx")) & close(F.col("n"), F.col("nx"))).select(F.least("rid", "x").alias("a"), F.greatest("rid", "x").alias("b")).distinct()
+    more = verified(spokes)
+    if not more.isEmpty():
+        links = links.union(more)
+        comp = components(links)
+        known = mixed(comp, known.select("rid", "n", "key"))
+
     # What is left: members of one bucket in different components.
-    known = banded.join(comp.withColumnRenamed("node", "rid"), "rid", "left").select("rid", "n", "key", F.coalesce("root", "rid").alias("root"))
-    mixed = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
-    known = stored(known.join(mixed, "key", "left_semi"), "mixed")
     largest = known.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
-    minor = known.join(largest, "key").filter("root != most").select("key", F.col("rid").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-    # Of two minor members the one with the larger id meets the other; all meet the largest component.
-    rest = known.join(largest, "key").join(minor, "key").filter((F.col("root") != F.col("rx")) & ((F.col("root") == F.col("most")) | (F.col("rid") < F.col("x"))) & close(F.col("n"), F.col("nx")))
-    rest = rest.select(F.least("rid", "x").alias("a"), F.greatest("rid", "x").alias("b")).distinct()
-    more = stored(_linked(stored(_likely(rest, reps, bands * rows, threshold), "likely"), docs, id_col, text_col, shingle, threshold), "links")
+    around = stored(known.join(largest, "key").select(F.col("most").alias("g"), "rid", "n", "root").distinct(), "members")
+    more = stored(_across(around, reps, docs, id_col, text_col, shingle, threshold, bands * rows), "links")
     if not more.isEmpty():
         comp = components(links.union(more))
 
