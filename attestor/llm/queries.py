@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import bpe, decontaminate, exact_dedup, near_dedup, secrets, token_counts, toxicity, url_filter
+from attestor.llm import bpe, decontaminate, exact_dedup, near_dedup, secrets, token_counts, toxicity, url_filter, warc
 from attestor.llm.common import scratch, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -49,6 +49,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("section_tokens", F.array_join("section_tokens", ","))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(spark, table(spark, sf_dir, "pages"), scratch(spark, "warc"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), shingle=3, threshold=(85, 100))
 
@@ -70,6 +74,7 @@ QUERIES = {
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_url_filter": op5_url_filter,
     "op6_token_counts": op6_token_counts,
+    "op7_warc": op7_warc,
     "op8_near_dedup": op8_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
     "pipeline": _pipeline,
@@ -129,4 +134,16 @@ def _url_sql() -> str:
     """
 
 
-ORACLES = {"op2_secret_scan": _SQL_2, "op5_url_filter": _url_sql(), "op10_exact_dedup": _SQL_10}
+_SQL_7 = """
+WITH b32 AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567' AS a),
+p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT page_id, h, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr(a, 1 + (
+    (('0x' || substr(x, 1 + 10 * (i // 8)::BIGINT, 10))::BIGINT >> (35 - 5 * (i % 8))::BIGINT) & 31)::BIGINT, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM g, b32
+"""
+
+ORACLES = {"op7_warc": _SQL_7, "op2_secret_scan": _SQL_2, "op5_url_filter": _url_sql(), "op10_exact_dedup": _SQL_10}
