@@ -1,2 +1,360 @@
+"""Queries over the given tables, each with the SQL that says the same.
+
+Datasheets are made of part, records of lineitem; both rules are plain expressions that either engine can run.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from attestor.functions import measure, rx
+from attestor.operators import chunking, evaluate, retrieve
+from attestor.plans import audit as plan
+from attestor.sources import store
+
+# --- derived inputs, in SQL that both engines read ---
+_PART = """
+SELECT p_partkey AS k, 'P-' || p_partkey AS component, chr(CAST(65 + p_partkey % 3 AS INT)) AS revision, p_size || '.5' AS v1, p_size || '.7' AS v2,
+  CASE WHEN p_partkey % 17 = 0 THEN 'in' WHEN p_partkey % 3 = 0 THEN 'cm' ELSE 'mm' END AS unit,
+  p_partkey % 11 <> 0 AS stated, p_partkey % 13 = 0 AND p_partkey % 11 <> 0 AS twice, p_partkey % 7 = 0 AS tupled, p_name AS name FROM part
+"""
+_TEXT = (
+    "'Supplier datasheet' || chr(10) || 'Component ID: ' || component || chr(10) || 'Revision: ' || revision || chr(10) || 'Document ID: DOC-' || k || chr(10) "
+    "|| '1. Product Overview' || chr(10) || 'This part is ' || name || '.' || chr(10) || '2. Physical Dimensions' || chr(10) "
+    "|| CASE WHEN NOT stated THEN '' WHEN tupled THEN 'Package dimensions (length, width, thickness): 60.0 ' || unit || ' x 40.0 ' || unit || ' x ' || v1 || ' ' || unit || '.' || chr(10) "
+    "ELSE 'Component thickness: ' || v1 || ' ' || unit || '.' || chr(10) END "
+    "|| CASE WHEN twice THEN 'Component thickness: ' || v2 || ' ' || unit || '.' || chr(10) ELSE '' END || '3. Notice' || chr(10) || 'End of DOC-' || k || '.'"
+)
+_SHEETS = f"SELECT 'sheet-' || k || '.pdf' AS source_file, 1 AS page_number, {_TEXT} AS text FROM ({_PART}) p"
+_RECORDS = """
+SELECT l_orderkey || '-' || l_linenumber AS record_id, CASE WHEN l_orderkey % 50 = 0 THEN 'X-' ELSE 'P-' END || l_partkey AS component_id,
+  CASE WHEN l_linenumber = 7 THEN 'Z' ELSE chr(CAST(65 + l_partkey % 3 AS INT)) END AS revision, 'thickness' AS attribute_name,
+  CASE WHEN l_suppkey % 97 = 0 THEN 'n/a' ELSE CAST(l_quantity AS INT) || '.5' END AS recorded_value,
+  CASE WHEN l_suppkey % 89 = 0 THEN 'kg' WHEN l_orderkey % 2 = 0 THEN 'cm' ELSE 'mm' END AS recorded_unit, l_partkey AS k FROM lineitem
+"""
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _sql(spark: SparkSession, sf_dir: str, sql: str, **tables: str) -> DataFrame:
+    return spark.sql(sql, **{k: _table(spark, sf_dir, v) for k, v in tables.items()})
+
+
+def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, _SHEETS.replace("FROM part", "FROM {part}"), part="part")
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, _RECORDS.replace("FROM lineitem", "FROM {lineitem}"), lineitem="lineitem")
+
+
+#: The outcome by rule, for DuckDB: the facts of a sheet decide, and then the conversion.
+_AUDIT_SQL = f"""
+WITH p AS ({_PART}), r AS ({_RECORDS}),
+f AS (SELECT p.*, stated AND NOT tupled AS line1, CASE WHEN twice AND tupled THEN v2 ELSE v1 END AS v,
+  CASE WHEN NOT stated THEN 'none' WHEN twice AND NOT tupled THEN 'several' ELSE 'found' END AS s FROM p),
+j AS (SELECT r.*, f.component, f.revision AS own, f.s, f.v, f.unit, try_cast(r.recorded_value AS DECIMAL(28,4)) AS rv, try_cast(f.v AS DECIMAL(28,4)) AS ev
+  FROM r LEFT JOIN f ON r.component_id = f.component),
+c AS (SELECT *, CASE WHEN unit = recorded_unit THEN ev WHEN unit = 'cm' THEN ev * 10 ELSE ev / 10 END::DECIMAL(28,4) AS cv,
+  CASE WHEN rv IS NULL THEN 'value_not_numeric' WHEN recorded_unit NOT IN ('mm', 'cm') THEN 'unit_unsupported'
+    WHEN component IS NULL OR own <> revision OR s = 'none' THEN 'insufficient' WHEN s = 'several' THEN 'ambiguous' WHEN unit = 'in' THEN 'evidence_unit_unsupported' END AS early FROM j),
+a AS (SELECT record_id, coalesce(early, CASE WHEN rv = cv THEN 'equal' ELSE 'differs' END) AS exit_code, cv, recorded_unit, s, component_id, revision, k FROM c)
+"""
+_OUTCOME = "CASE exit_code WHEN 'insufficient' THEN 'insufficient_evidence' WHEN 'ambiguous' THEN 'ambiguous_evidence' WHEN 'equal' THEN 'no_change' WHEN 'differs' THEN 'correction_proposed' ELSE 'needs_review' END"
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(f"{_AUDIT_SQL} SELECT record_id, exit_code, {_OUTCOME} AS outcome, CASE WHEN exit_code = 'differs' THEN cv::DOUBLE END AS proposed_value, CASE WHEN exit_code = 'differs' THEN recorded_unit END AS proposed_unit FROM a")
+def audit_flagship(spark, sf_dir):
+    """The whole audit of all records against all datasheets."""
+    return plan.audit(records(spark, sf_dir), sheets(spark, sf_dir)).select("record_id", "exit_code", "outcome", "proposed_value", "proposed_unit")
+
+
+@query(f"{_AUDIT_SQL} SELECT {_OUTCOME} AS outcome, count(*) AS n FROM a GROUP BY 1")
+def outcome_histogram(spark, sf_dir):
+    return plan.audit(records(spark, sf_dir), sheets(spark, sf_dir)).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{_AUDIT_SQL} SELECT CASE WHEN exit_code IN ('value_not_numeric', 'unit_unsupported') THEN 1 WHEN exit_code IN ('insufficient', 'ambiguous') THEN 2 WHEN exit_code = 'evidence_unit_unsupported' THEN 4 ELSE 5 END AS n_nodes, count(*) AS n FROM a GROUP BY 1")
+def graph_transitions(spark, sf_dir):
+    """How many records pass how many nodes before they are finished."""
+    done = plan.audit(records(spark, sf_dir), sheets(spark, sf_dir))
+    return done.groupBy((F.size("node_transitions") - 1).alias("n_nodes")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{_AUDIT_SQL} SELECT {_OUTCOME} AS outcome, count(*) AS n, count(*) FILTER (exit_code IN ('evidence_unit_unsupported', 'equal', 'differs')) AS n_extracted FROM a GROUP BY 1")
+def chain_stages(spark, sf_dir):
+    """The seven-stage chain: the same outcomes, and the extractor is asked for open records only."""
+    return plan.chained(records(spark, sf_dir), sheets(spark, sf_dir)).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.count_if("extractor_invoked").alias("n_extracted"))
+
+
+@query(f"WITH r AS ({_RECORDS}) SELECT record_id, CASE WHEN try_cast(recorded_value AS DOUBLE) IS NULL THEN 'value_not_numeric' WHEN recorded_unit NOT IN ('mm', 'cm') THEN 'unit_unsupported' END AS exit_code FROM r")
+def record_validation(spark, sf_dir):
+    return plan.validate(plan.normalize(records(spark, sf_dir))).select("record_id", "exit_code")
+
+
+@query("SELECT coalesce(nullif(l_returnflag, ''), 'UNKNOWN-CASE') || '' AS case_id, l_orderkey || '' AS record_id, count(*) AS n FROM lineitem GROUP BY ALL")
+def record_defaults(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("case_id"), F.col("l_orderkey").cast("string").alias("record_id"))
+    return plan.normalize(rows).groupBy("case_id", "record_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH r AS ({_RECORDS}), u AS (SELECT record_id, try_cast(recorded_value AS DECIMAL(28,4)) AS v, recorded_unit AS f FROM r) SELECT record_id, (CASE f WHEN 'mm' THEN v / 10 WHEN 'cm' THEN v END)::DOUBLE AS in_cm, (CASE f WHEN 'cm' THEN v * 10 WHEN 'mm' THEN v END)::DOUBLE AS in_mm FROM u")
+def unit_conversion(spark, sf_dir):
+    r = records(spark, sf_dir).withColumn("v", measure.decimal(F.col("recorded_value")))
+    to = lambda u: measure.converted(F.col("v"), F.col("recorded_unit"), F.lit(u)).cast("double").alias(f"in_{u}")
+    return r.select("record_id", to("cm"), to("mm"))
+
+
+_QUESTIONS = "SELECT DISTINCT component_id, revision FROM r"
+
+
+def _questions(spark, sf_dir):
+    q = records(spark, sf_dir).select(F.col("component_id").alias("component"), "revision", F.col("attribute_name").alias("attribute"), F.lit(None).cast("string").alias("stem")).distinct()
+    return q.withColumn("qid", F.concat_ws("/", "component", "revision"))
+
+
+@query(f"WITH p AS ({_PART}), r AS ({_RECORDS}), q AS ({_QUESTIONS}) SELECT component_id || '/' || q.revision AS qid, 'sheet-' || k || '.pdf' AS source_file, p.revision = q.revision AS has_revision FROM q JOIN p ON p.component = q.component_id")
+def component_token_join(spark, sf_dir):
+    """Texts that name a component, by an equi-join on runs of id characters."""
+    return retrieve.eligible(_questions(spark, sf_dir), sheets(spark, sf_dir))
+
+
+@query(f"WITH s AS ({_SHEETS}) SELECT source_file, regexp_matches(lower(text), '(^|[^a-z0-9_-])p-1([^a-z0-9_-]|$)') AS names_p1 FROM s")
+def component_match(spark, sf_dir):
+    return sheets(spark, sf_dir).select("source_file", rx.matches_component(F.col("text"), F.lit("P-1")).alias("names_p1"))
+
+
+@query(f"WITH s AS ({_SHEETS}) SELECT source_file, regexp_matches(text, 'Revision: B([^A-Za-z0-9_-]|$)') AS is_b, true AS any_revision FROM s")
+def revision_match(spark, sf_dir):
+    t = F.col("text")
+    return sheets(spark, sf_dir).select("source_file", rx.matches_revision(t, F.lit("Rev. B")).alias("is_b"), rx.matches_revision(t, F.lit("")).alias("any_revision"))
+
+
+@query(f"""WITH p AS ({_PART}), l AS (SELECT 'sheet-' || k || '.pdf' AS source_file, v1 AS v, unit FROM p WHERE stated AND NOT tupled UNION ALL SELECT 'sheet-' || k || '.pdf', v2, unit FROM p WHERE twice)
+SELECT source_file, v::DOUBLE AS value, unit FROM l""")
+def direct_spec_lines(spark, sf_dir):
+    found = sheets(spark, sf_dir).select("source_file", F.explode(measure.direct_lines(F.col("text"), F.lit("thickness"))).alias("f"))
+    return found.select("source_file", "f.value", "f.unit")
+
+
+@query(f"WITH p AS ({_PART}) SELECT 'sheet-' || k || '.pdf' AS source_file, (stated AND NOT tupled)::INT + twice::INT AS n_facts, twice AND NOT tupled AS conflict FROM p")
+def conflict_detection(spark, sf_dir):
+    f = F.array_distinct(F.transform(measure.direct_lines(F.col("text"), F.lit("thickness")), lambda x: F.struct(x["value"].alias("v"), x["unit"].alias("u"))))
+    return sheets(spark, sf_dir).select("source_file", F.size(f).alias("n_facts"), (F.size(f) > 1).alias("conflict"))
+
+
+@query(f"WITH s AS (SELECT {_TEXT} AS text, k, stated FROM ({_PART}) p) SELECT 'sheet-' || k || '.pdf' AS source_file, CASE WHEN stated THEN 'section' ELSE 'page' END AS context_type, CASE WHEN stated THEN trim(substr(text, strpos(text, '2. Physical'), strpos(text, '3. Notice') - strpos(text, '2. Physical')), chr(10)) ELSE text END AS passage FROM s")
+def section_extract(spark, sf_dir):
+    s = rx.section_or_page(F.col("text"), F.lit("thickness"))
+    return sheets(spark, sf_dir).select("source_file", s["context_type"].alias("context_type"), s["passage"].alias("passage"))
+
+
+@query(f"""{_AUDIT_SQL}, q AS (SELECT DISTINCT component_id, revision FROM a), f2 AS (SELECT component, revision AS own, CASE WHEN NOT stated THEN 'none' WHEN twice AND NOT tupled THEN 'several' ELSE 'found' END AS s FROM p)
+SELECT component_id || '/' || q.revision AS qid, CASE WHEN component IS NULL OR own <> q.revision OR s = 'none' THEN 'insufficient_evidence' WHEN s = 'several' THEN 'ambiguous_evidence' ELSE 'evidence_found' END AS retrieval_status,
+CASE WHEN component IS NULL THEN 'component' WHEN own <> q.revision THEN 'revision' END AS lacks FROM q LEFT JOIN f2 ON component = component_id""")
+def retrieval_diagnosis(spark, sf_dir):
+    """Missing components and wrong revisions told apart."""
+    found = retrieve.baseline(_questions(spark, sf_dir), sheets(spark, sf_dir))
+    return found.select("qid", "retrieval_status", F.when(F.startswith("reason", F.lit("no evidence for c")), "component").when(F.startswith("reason", F.lit("no evidence for r")), "revision").alias("lacks"))
+
+
+@query(f"WITH p AS ({_PART}), r AS ({_RECORDS}) SELECT component_id, count(*) AS n FROM r WHERE component_id NOT IN (SELECT component FROM p) GROUP BY 1")
+def missing_component_anti(spark, sf_dir):
+    ids = chunking.identities(sheets(spark, sf_dir)).select("component_id")
+    return records(spark, sf_dir).join(ids, "component_id", "left_anti").groupBy("component_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH p AS ({_PART}) SELECT component || '/' || kind AS qid, CASE WHEN kind = 'known' THEN 'sheet-' || k || '.pdf' WHEN kind = 'other' THEN NULL ELSE 'sheet-' || k || '.pdf' END AS source_file FROM p, (VALUES ('known'), ('unknown'), ('other')) t(kind) WHERE kind <> 'other'")
+def doc_ref_prune_fallback(spark, sf_dir):
+    """A reference to a document that exists leaves only that; one that doesn't leaves all."""
+    ids = chunking.identities(sheets(spark, sf_dir)).select(F.col("component_id").alias("component"), retrieve.stem(F.col("source_file")).alias("own"))
+    refs = F.array(F.struct(F.lit("known").alias("kind"), F.col("own").alias("stem")), F.struct(F.lit("unknown").alias("kind"), F.lit("nowhere").alias("stem")), F.struct(F.lit("other").alias("kind"), F.when(F.col("own") == "sheet-0", "sheet-1").otherwise("sheet-0").alias("stem")))
+    q = ids.select("component", F.explode(refs).alias("r")).select("component", "r.kind", "r.stem", F.lit(None).cast("string").alias("revision"), F.lit("thickness").alias("attribute"))
+    q = q.filter("kind <> 'other'").withColumn("qid", F.concat_ws("/", "component", "kind"))
+    return retrieve.eligible(q, sheets(spark, sf_dir)).select("qid", "source_file")
+
+
+@query(f"WITH p AS ({_PART}) SELECT 'sheet-' || k || '.pdf' AS source_file, component AS component_id, revision, 'DOC-' || k AS document_id, NULL::VARCHAR AS reject_reason FROM p")
+def identity_extract(spark, sf_dir):
+    return chunking.identities(sheets(spark, sf_dir))
+
+
+@query(f"WITH p AS ({_PART}) SELECT CASE WHEN k % 4 = 0 THEN 'missing component' WHEN k % 4 = 1 THEN 'missing revision' WHEN k % 4 = 2 THEN 'ambiguous revision' END AS reject_reason, count(*) AS n FROM p GROUP BY 1")
+def identity_rejects(spark, sf_dir):
+    k = F.regexp_extract("source_file", r"(\d+)", 1).cast("bigint") % 4
+    t = F.when(k == 0, F.regexp_replace("text", "Component ID", "Item")).when(k == 1, F.regexp_replace("text", "Revision", "Edition")).when(k == 2, F.concat(F.lit("Superseded Revision: Q\n"), "text")).otherwise(F.col("text"))
+    found = chunking.identities(sheets(spark, sf_dir).withColumn("text", t))
+    return found.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+_CHUNKS_SQL = f"""
+WITH s AS (SELECT k, component, revision, {_TEXT} AS text FROM ({_PART}) p),
+b AS (SELECT *, unnest([1, strpos(text, chr(10) || '1. Product') + 1, strpos(text, chr(10) || '2. Physical') + 1, strpos(text, chr(10) || '3. Notice') + 1]) AS a, unnest([1, 2, 3, 4]) AS n FROM s),
+e AS (SELECT *, coalesce(lead(a) OVER (PARTITION BY k ORDER BY n), length(text) + 1) AS z FROM b),
+c AS (SELECT k, component, revision, n, a - 1 AS start_char, rtrim(substr(text, a, z - a), chr(10)) AS t FROM e)
+"""
+
+
+@query(f"{_CHUNKS_SQL} SELECT 'sheet-' || k || '_p1_c00' || n AS chunk_id, component AS component_id, revision, start_char::INT AS start_char, (start_char + length(t))::INT AS end_char, (floor(len(string_split_regex(t, '\\s+')) * 1.4::DOUBLE) + 2)::INT AS token_count, sha256(t) AS content_sha256 FROM c")
+def chunk_offsets(spark, sf_dir):
+    return chunking.chunks(sheets(spark, sf_dir)).select("chunk_id", "component_id", "revision", "start_char", "end_char", "token_count", "content_sha256")
+
+
+@query(f"{_CHUNKS_SQL} SELECT true AS verbatim, count(*) AS n FROM c")
+def chunk_roundtrip(spark, sf_dir):
+    pages = sheets(spark, sf_dir)
+    return chunking.round_trip(chunking.chunks(pages), pages).groupBy("verbatim").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, (floor(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) * 1.4::DOUBLE) + 2)::INT AS tokens, sha256(text) AS sha FROM documents")
+def token_estimate_and_hash(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", measure.token_estimate(F.col("text")).alias("tokens"), F.sha2("text", 256).alias("sha"))
+
+
+@query(f"WITH p AS ({_PART}) SELECT 'sheet-' || k || '.pdf' AS source_file, 'ambiguous' AS repeated, 'literal' AS once, 'missing' AS absent, 'whitespace_aligned' AS wrapped, 'Product' || chr(10) || 'Overview' AS span FROM p")
+def quote_alignment(spark, sf_dir):
+    """A quote that occurs once, twice, never, and once with other white space."""
+    t = F.regexp_replace("text", "Product Overview", "Product\nOverview")
+    a = lambda q: measure.alignment(F.lit(q), t)
+    return sheets(spark, sf_dir).select("source_file", a("DOC-")["kind"].alias("repeated"), a("Supplier datasheet")["kind"].alias("once"), a("no such words")["kind"].alias("absent"), a("Product  Overview")["kind"].alias("wrapped"), a("Product  Overview")["span"].alias("span"))
+
+
+@query(f"WITH p AS ({_PART}) SELECT 'sheet-' || k || '.pdf' AS source_file, CASE WHEN stated AND tupled THEN v1 END AS thickness, CASE WHEN stated AND tupled THEN '40.0' END AS width, CASE WHEN stated AND tupled THEN unit END AS unit FROM p")
+def labelled_tuple(spark, sf_dir):
+    t = lambda a: measure.labelled_tuple(F.col("text"), F.lit(a))
+    return sheets(spark, sf_dir).select("source_file", t("thickness")["value_text"].alias("thickness"), t("width")["value_text"].alias("width"), t("thickness")["unit"].alias("unit"))
+
+
+@query(f"WITH p AS ({_PART}) SELECT 'sheet-' || k || '.pdf' AS source_file, CASE WHEN stated THEN 'found' ELSE 'insufficient' END AS status, CASE WHEN stated THEN v1 END AS value_text, CASE WHEN stated THEN unit END AS unit FROM p")
+def measurement_extraction(spark, sf_dir):
+    x = measure.extraction(F.regexp_extract("text", r"(?s)(2\. Physical.*)3\. Notice", 1), F.lit("thickness"))
+    # "2. Physical" itself is no measurement of an attribute that isn't stated: its first line has no unit after the number
+    return sheets(spark, sf_dir).select("source_file", x["status"].alias("status"), x["value_text"].alias("value_text"), x["unit"].alias("unit"))
+
+
+def _vectors(spark, sf_dir):
+    v = _table(spark, sf_dir, "embeddings")
+    chunk = v.select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("label").cast("string").alias("component_id"), F.lit("A").alias("revision"), F.lit(1).alias("page_number"), F.col("vec_id").cast("int").alias("start_char"), "embedding")
+    asked = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").cast("string").alias("component_id"), F.lit("A").alias("revision"), F.col("embedding").alias("query_vector"))
+    return chunk, asked
+
+
+_RANK_SQL = """
+WITH q AS (SELECT vec_id AS query_id, label, embedding AS e FROM embeddings WHERE vec_id % 20 = 0),
+d AS (SELECT query_id, c.vec_id, c.label, q.label AS own, round(1 - list_inner_product(c.embedding::DOUBLE[], q.e::DOUBLE[]) / (sqrt(list_inner_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[])) * sqrt(list_inner_product(q.e::DOUBLE[], q.e::DOUBLE[]))), 6) AS distance FROM q JOIN embeddings c ON {on}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d)
+"""
+
+
+@query(_RANK_SQL.format(on="c.label = q.label") + "SELECT query_id, vec_id || '' AS chunk_id, rank FROM r WHERE rank <= 5")
+def vector_topk_filtered(spark, sf_dir):
+    """Exact cosine search among the chunks of the same keys; every 20th vector asks."""
+    chunk, asked = _vectors(spark, sf_dir)
+    return retrieve.ranked(chunk, asked, 5).select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(_RANK_SQL.format(on="c.label = q.label AND c.vec_id <> q.query_id") + "SELECT query_id, vec_id || '' AS chunk_id FROM r WHERE rank = 1")
+def vector_nearest1(spark, sf_dir):
+    chunk, asked = _vectors(spark, sf_dir)
+    met = retrieve.ranked(chunk, asked).filter(F.col("chunk_id") != F.col("query_id").cast("string"))
+    best = met.groupBy("query_id").agg(F.min_by("chunk_id", "rank").alias("chunk_id"))
+    return best
+
+
+@query("SELECT count(*) AS n_rows, 0::BIGINT AS n_dimension, count(*) FILTER (abs(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) > 0.001) AS n_norm, 0::BIGINT AS n_not_finite FROM embeddings")
+def vector_validation(spark, sf_dir):
+    v = _table(spark, sf_dir, "embeddings").select("embedding", *(F.lit("x").alias(c) for c in store.REQUIRED))
+    return store.violations(v, 64).select("n_rows", "n_dimension", "n_norm", "n_not_finite")
+
+
+@query(f"{_AUDIT_SQL}, q AS (SELECT DISTINCT component_id, revision FROM a WHERE component_id LIKE 'P-%'), f2 AS (SELECT component, revision AS own, CASE WHEN NOT stated THEN 'none' WHEN twice AND NOT tupled THEN 'several' ELSE 'found' END AS s FROM p) SELECT component_id || '/' || q.revision AS qid, CASE WHEN own <> q.revision OR s = 'none' THEN 'insufficient_evidence' WHEN s = 'several' THEN 'ambiguous_evidence' ELSE 'evidence_found' END AS retrieval_status FROM q JOIN f2 ON component = component_id")
+def conflict_before_topk(spark, sf_dir):
+    """The vector strategy over chunks of the datasheets: conflicts count before ranks."""
+    chunks = chunking.embed(chunking.chunks(sheets(spark, sf_dir))).withColumns({"model_name": F.lit("m"), "model_revision": F.lit("1")})
+    asked = _questions(spark, sf_dir).filter(F.startswith("component", F.lit("P-"))).withColumn("ask", F.concat_ws(" ", F.lit("What is the"), "attribute", F.lit("of"), "component"))
+    return retrieve.vector(chunking.embed(asked, text_col="ask", out_col="query_vector"), chunks=chunks, dimension=64).select("qid", "retrieval_status")
+
+
+@query(_RANK_SQL.format(on="c.vec_id <> q.query_id AND (c.label = q.label OR c.label = (q.label + 1) % 4)") + ", f AS (SELECT query_id, min(rank) FILTER (label = own) AS x FROM r WHERE rank <= 5 GROUP BY 1) SELECT count(*) AS n, round(avg((coalesce(x, 99) <= 1)::INT), 4) AS recall_1, round(avg((coalesce(x, 99) <= 2)::INT), 4) AS recall_2, round(avg((coalesce(x, 99) <= 3)::INT), 4) AS recall_3, round(avg(coalesce(1.0 / x, 0)), 4) AS mrr FROM f")
+def ir_recall_mrr(spark, sf_dir):
+    chunk, asked = _vectors(spark, sf_dir)
+    asked = asked.withColumn("own", F.col("component_id")).withColumn("component_id", F.explode(F.array("component_id", ((F.col("component_id").cast("int") + 1) % 4).cast("string")))).distinct()
+    met = retrieve.ranked(chunk.filter("true"), asked).filter(F.col("chunk_id") != F.col("query_id").cast("string"))
+    met = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "start_char")))
+    return evaluate.ir_metrics(evaluate.first_relevant(met, F.col("component_id") == F.col("own")))
+
+
+@query("""WITH o AS (SELECT o_orderkey || '' AS chunk_id, 'c' || o_custkey % 5 AS corpus_id, o_orderstatus AS h, 0 AS n FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey || '', 'c' || o_custkey % 5, o_orderpriority, 1 FROM orders WHERE o_orderkey % 2 = 0)
+SELECT corpus_id, chunk_id, content_sha256 FROM (SELECT corpus_id, chunk_id, h AS content_sha256, row_number() OVER (PARTITION BY corpus_id, chunk_id ORDER BY n DESC, h DESC) AS rn FROM o) WHERE rn = 1""")
+def upsert_merge(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("chunk_id"), F.concat(F.lit("c"), (F.col("o_custkey") % 5).cast("string")).alias("corpus_id"), "o_orderstatus", "o_orderpriority", F.col("o_orderdate").alias("created_at"), "o_orderkey")
+    old = o.filter("o_orderkey % 3 <> 0").select("chunk_id", "corpus_id", F.col("o_orderstatus").alias("content_sha256"), "created_at")
+    new = o.filter("o_orderkey % 2 = 0").select("chunk_id", "corpus_id", F.col("o_orderpriority").alias("content_sha256"), "created_at")
+    return store.upserted(old, new).select("corpus_id", "chunk_id", "content_sha256")
+
+
+@query(f"{_AUDIT_SQL} SELECT count(DISTINCT record_id) AS n, count(DISTINCT record_id) AS n_passed, 100.0::DOUBLE AS pass_rate, 100.0::DOUBLE AS correction_rate, 100.0::DOUBLE AS agreement_rate, 100.0::DOUBLE AS abstention_rate FROM a")
+def eval_rates(spark, sf_dir):
+    """Results against expected answers that the results themselves give: every rate is whole."""
+    own = records(spark, sf_dir)
+    own = own.groupBy(F.col("record_id").alias("case_id")).agg(*(F.min(c).alias(c) for c in own.columns if c != "k"))
+    done = plan.audit(own, sheets(spark, sf_dir))
+    want = done.select("case_id", F.col("outcome").alias("expected_outcome"), F.col("proposed_value").alias("expected_value"), F.col("proposed_unit").alias("expected_unit"), F.col("document_filename").alias("expected_file"), F.col("page_number").alias("expected_page"), F.col("supporting_passage").alias("expected_passage"))
+    return evaluate.summary(evaluate.cases(done, want)).drop("citation_rate")
+
+
+@query("SELECT round(median(value), 4) AS median_all, round(avg(value), 4) AS mean_all, min(value) AS min_all, max(value) AS max_all, round(median(value) FILTER (event_type = 'click'), 4) AS median_called, round(avg(value) FILTER (event_type = 'click'), 4) AS mean_called, min(value) FILTER (event_type = 'click') AS min_called, max(value) FILTER (event_type = 'click') AS max_called, round(median(value) FILTER (event_type <> 'click'), 4) AS median_not_called, round(avg(value) FILTER (event_type <> 'click'), 4) AS mean_not_called, min(value) FILTER (event_type <> 'click') AS min_not_called, max(value) FILTER (event_type <> 'click') AS max_not_called FROM (SELECT round(value, 4) AS value, event_type FROM events)")
+def eval_latency_stats(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select(F.round("value", 4).alias("latency_ms"), (F.col("event_type") == "click").alias("model_called"))
+    return evaluate.latency(rows)
+
+
+@query("WITH a AS (SELECT event_id, event_type AS x, CASE WHEN event_id % 10 = 0 THEN 'other' ELSE event_type END AS y FROM events) SELECT count(*) AS n, count(*) FILTER (x = y) AS n_same, round(100.0 * count(*) FILTER (x = y) / count(*), 1)::DOUBLE AS concordance FROM a")
+def concordance(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    a = e.select(F.col("event_id").alias("case_id"), F.col("event_type").alias("outcome"))
+    return evaluate.concordance(a, a.withColumn("outcome", F.when(F.col("case_id") % 10 == 0, "other").otherwise(F.col("outcome"))))
+
+
+@query("SELECT event_id, coalesce(max(value > 99) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS unrun FROM events")
+def abort_after_error(spark, sf_dir):
+    return evaluate.abort_after_error(_table(spark, sf_dir, "events"), F.col("value") > 99, ("ts", "event_id"), ("user_id",)).select("event_id", "unrun")
+
+
+@query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat FROM documents")
+def whitespace_norm(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", rx.squeeze(F.col("text")).alias("flat"))
+
+
+@query("SELECT page_id, 'failed: password=*** at [path] for ' || page_id AS message FROM pages")
+def sanitize_error(spark, sf_dir):
+    raw = F.concat(F.lit("failed: password = s3cret"), F.col("page_id").cast("string"), F.lit(" at /srv/data/x.json for "), F.col("page_id").cast("string"))
+    return _table(spark, sf_dir, "pages").select("page_id", measure.sanitize(raw).alias("message"))
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 503 WHEN 1 THEN 502 WHEN 2 THEN 502 WHEN 3 THEN 422 ELSE 200 END AS status_code, CASE event_id % 5 WHEN 0 THEN 'RETRIEVER_NOT_CONFIGURED' WHEN 1 THEN 'DATABASE_ERROR' WHEN 2 THEN 'PROVIDER_ERROR' WHEN 3 THEN 'INVALID_REQUEST' END AS error_code FROM events")
+def http_status_map(spark, sf_dir):
+    kind = F.get(F.array(*map(F.lit, ("retriever_config", "database", "provider", "invalid", "none"))), (F.col("event_id") % 5).cast("int"))
+    return _table(spark, sf_dir, "events").select("event_id", plan.http_status(kind).alias("s")).select("event_id", "s.*")
+
+
+@query(f"WITH r AS ({_RECORDS}) SELECT record_id, CASE WHEN try_cast(recorded_value AS DOUBLE) IS NULL THEN 'value' ELSE '' END AS broken FROM r")
+def request_validation(spark, sf_dir):
+    r = records(spark, sf_dir).withColumns({c: F.lit(None).cast("string") for c in ("part_number", "extractor", "retriever")})
+    return plan.violations(r).select("record_id", F.array_join("violations", ",").alias("broken"))
