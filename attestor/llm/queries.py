@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm import bpe, decontaminate, exact_dedup, near_dedup, secrets, token_counts, toxicity, url_filter, warc
+from attestor.llm import bpe, decontaminate, exact_dedup, near_dedup, secrets, substring_dedup, token_counts, toxicity, url_filter, warc
 from attestor.llm.common import scratch, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -57,6 +57,10 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), shingle=3, threshold=(85, 100))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -76,6 +80,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_warc": op7_warc,
     "op8_near_dedup": op8_near_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
     "pipeline": _pipeline,
 }
