@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ from attestor.llm.common import text_or_empty
 
 #: Entries of the piece cache, the transition table and the pair table; a full table is emptied and filled anew.
 MAX_PIECES, MAX_STATES, MAX_PAIRS = 1_000_000, 400_000, 1_000_000
+#: Texts whose results a worker remembers, by 128-bit hashes.
+MAX_TEXTS = 100_000
 #: A vocabulary of more bytes than this isn't broadcast.
 MAX_VOCABULARY = 64 << 20
 
@@ -305,16 +308,26 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = parse_ranks(shared.value)
         encoder, decoder = Encoder(ranks, pattern), StreamDecoder(ranks)
+        known: dict[bytes, tuple[int, str, str]] = {}
         for batch in batches:
             rows: tuple[list, list, list] = ([], [], [])
             for text in batch.column(1):
-                ids = encoder.encode(text.as_py())
+                text = text.as_py()
+                key = xxhash.xxh3_128_digest(text)
+                if key in known:  # a copy of a text that this worker has had
+                    for into, x in zip(rows, known[key], strict=True):
+                        into.append(x)
+                    continue
+                ids = encoder.encode(text)
                 decoder.reset()
                 said = hashlib.sha256()
                 for at in range(0, len(ids), 4 * chunk):
                     said.update(decoder.feed(np.frombuffer(ids[at : at + 4 * chunk], "<u4")))
                 decoder.close()
-                for into, x in zip(rows, (len(ids) // 4, hashlib.sha256(ids).hexdigest(), said.hexdigest()), strict=True):
+                if len(known) >= MAX_TEXTS:
+                    known.clear()
+                known[key] = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), said.hexdigest())
+                for into, x in zip(rows, known[key], strict=True):
                     into.append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -7,9 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
-from attestor.llm.bpe import Encoder, parse_ranks, vocabulary
+from attestor.llm.bpe import MAX_TEXTS, Encoder, parse_ranks, vocabulary
 from attestor.llm.common import text_or_empty
 
 #: To which section a token over a boundary counts: that of its first or last byte, or the one with most of its bytes (the first of equals).
@@ -53,6 +54,7 @@ def token_counts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = parse_ranks(shared.value)
         encoder = Encoder(ranks, pattern)
+        known: dict[bytes, tuple[np.ndarray, int]] = {}
         length = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
         for t, i in ranks.items():
             length[i] = len(t)
@@ -60,9 +62,21 @@ def token_counts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
             n_tokens, n_sections, n_crossing, counts, offsets = [], [], [], [], [0]
             for text in batch.column(1):
                 text = text.as_py()
+                key = xxhash.xxh3_128_digest(text)
+                if key in known:  # a copy of a text that this worker has had
+                    own, crossing = known[key]
+                    n_tokens.append(int(own.sum()))
+                    n_sections.append(len(own))
+                    n_crossing.append(crossing)
+                    counts.append(own)
+                    offsets.append(offsets[-1] + len(own))
+                    continue
                 ends = np.cumsum(length[np.frombuffer(encoder.encode(text), "<u4")])
                 sections = section_starts(text, separator)
                 own, crossing = attribute(np.append(0, ends[:-1])[: len(ends)], ends, sections, rule)
+                if len(known) >= MAX_TEXTS:
+                    known.clear()
+                known[key] = (own, crossing)
                 n_tokens.append(len(ends))
                 n_sections.append(len(sections))
                 n_crossing.append(crossing)
