@@ -12,6 +12,7 @@ lengths bound the lookahead, so the states are finite; they are made on demand a
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 import struct
@@ -306,6 +307,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.set_threshold(1_000_000, 50, 50)  # the tables are large and have few cycles
         ranks = parse_ranks(shared.value)
         encoder, decoder = Encoder(ranks, pattern), StreamDecoder(ranks)
         known: dict[bytes, tuple[int, str, str]] = {}

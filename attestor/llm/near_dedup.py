@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import stored, text_or_empty
+from attestor.llm.common import give_back, stored, text_or_empty
 from attestor.llm.graph import components
 
 #: Rows of a band; the chance that a pair at the threshold shares no band, and that a batch's posterior drops one.
@@ -33,7 +33,7 @@ LARGE, CENTRES = 16, 8
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 #: Bits of the map of wanted ids by which texts are passed over before they are shuffled; its size never changes.
 MAP_BITS = 1 << 22
-MAX_WORDS = 500_000
+MAX_WORDS = 150_000
 
 
 def bands_for(threshold: tuple[int, int], rows: int = ROWS, miss: float = MISS) -> int:
@@ -123,6 +123,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: in
                 sig.append(None if s is None else s[:COMPARED].tobytes())
                 keys.append(None if s is None else band_keys(s, rows))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "fp", "sig", "keys"])
+        give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, f"id {kind}, n bigint, fp binary, sig binary, keys array<bigint>")
@@ -174,6 +175,7 @@ def _sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle:
         shingles = Shingler(shingle)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["rid", "own"])
+        give_back()
 
     texts = _noted(docs.select(F.col(id_col).alias("rid"), text_or_empty(text_col).alias("text")), "rid", ids).join(ids, "rid", "left_semi")
     return texts.mapInArrow(run, f"rid {kind}, own binary")

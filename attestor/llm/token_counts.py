@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 
@@ -52,6 +53,7 @@ def token_counts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     names = [id_col, "n_tokens", "n_sections", "n_crossing", "section_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.set_threshold(1_000_000, 50, 50)  # the tables are large and have few cycles
         ranks = parse_ranks(shared.value)
         encoder = Encoder(ranks, pattern)
         known: dict[bytes, tuple[np.ndarray, int]] = {}

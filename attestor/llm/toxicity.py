@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import text_or_empty
+from attestor.llm.common import give_back, text_or_empty
 
 #: The model is fitted on at most so many labelled texts of each class, those with the smallest hashes of their ids.
 SAMPLE_PER_CLASS = 1_500
@@ -32,7 +32,7 @@ ORDER, DISCOUNT, WORD = 7, 0.95, 40
 #: Nats above the median at which a word begins to count.
 MARGIN = 3.0
 #: Words whose ratio a worker remembers before it starts anew.
-MAX_WORDS = 500_000
+MAX_WORDS = 150_000
 THRESHOLD = 0.7
 
 _FIND = re.compile(rf"[^\W\d_]{{1,{WORD}}}").findall
@@ -227,6 +227,8 @@ def score_column(docs: DataFrame, model: Toxicity, text_col: str = "text") -> Co
         of = Scorer(pickle.loads(shared.value.ratios))
         for texts in batches:
             yield pd.Series(shared.value.probability(np.fromiter(map(of, texts), np.float64, len(texts))), index=texts.index)
+        del of
+        give_back()
 
     return judge(text_or_empty(text_col))
 
