@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from attestor.llm.common import text_or_empty
 
 #: Entries of the piece cache, the transition table and the pair table; a full table is emptied and filled anew.
-MAX_PIECES, MAX_STATES, MAX_PAIRS = 1_000_000, 400_000, 1_000_000
+MAX_PIECES, MAX_STATES, MAX_PAIRS = 400_000, 250_000, 400_000
 #: Texts whose results a worker remembers, by 128-bit hashes.
-MAX_TEXTS = 100_000
+MAX_TEXTS = 50_000
 #: A vocabulary of more bytes than this isn't broadcast.
 MAX_VOCABULARY = 64 << 20
 

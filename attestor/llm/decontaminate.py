@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import text_or_empty
+from attestor.llm.common import give_back, text_or_empty
 
 #: Items and bytes of one index; a larger benchmark is split, and the texts are searched with one index after another.
 SHARD_ITEMS, SHARD_BYTES = 5_000, 2 << 20
@@ -239,6 +239,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
             find = Finder(shared.value)
             for texts in batches:
                 yield pd.Series([not find(t) for t in texts], index=texts.index, dtype=bool)
+            give_back()
 
         keep = keep & clean(text_or_empty(text_col))
     marked = docs.withColumn("__keep", keep)
