@@ -27,10 +27,12 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import text_or_empty
+from attestor.llm.common import kept, text_or_empty
 
-#: Entries of the piece cache, the transition table and the pair table; a full table is emptied and filled anew.
-MAX_PIECES, MAX_STATES, MAX_PAIRS = 400_000, 250_000, 400_000
+#: Entries of the piece cache, the transition table, the pair table and the table of heads; a full table is emptied and filled anew.
+MAX_PIECES, MAX_STATES, MAX_PAIRS, MAX_HEADS = 400_000, 150_000, 300_000, 60_000
+#: Bytes of a head: where the first so many bytes of a piece lead is looked up at once.
+HEAD = 5
 #: Texts whose results a worker remembers, by 128-bit hashes.
 MAX_TEXTS = 50_000
 #: A vocabulary of more bytes than this isn't broadcast.
@@ -50,10 +52,13 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
 
 
+SINGLE = [bytes((b,)) for b in range(256)]
+
+
 class State:
     """Bytes pending, the last token of each of their prefixes (-2: none), and the live prefixes: those behind which a
-    token may have begun. moves: by byte, the token that asks for the register (or -1) and where each answer leads, with
-    the tokens emitted on the way."""
+    token may have begun. moves: by byte, the token that asks for the register (or -1) and where "no" and "yes" lead, with the
+    tokens emitted on the way; None where nothing has gone yet."""
 
     __slots__ = ("pending", "lasts", "live", "moves", "end")
 
@@ -76,6 +81,7 @@ class Transducer:
     def _reset(self) -> None:
         self.start = State(b"", (), (0,))
         self.states = {(b"", ()): self.start}
+        self.firsts: dict[bytes, tuple[State, list[int]]] = {}
 
     def merged(self, data: bytes) -> list[bytes]:
         """Merges by definition, the pair of lowest rank first, the leftmost of equals, until at most two parts are left."""
@@ -132,17 +138,21 @@ class Transducer:
             n -= self.size[lasts[n - 1]]
         return tuple(reversed(out))
 
-    def _move(self, state: State, byte: int) -> tuple:
-        pending = state.pending + bytes((byte,))
-        asked = self.ranks.get(pending, -1) if state.live and state.live[0] == 0 else -1
-        last, still = -2, []
+    def _move(self, state: State, byte: int) -> list:
+        asked = self.ranks.get(state.pending + SINGLE[byte], -1) if state.live and state.live[0] == 0 else -1
+        move = state.moves[byte] = [asked, None, None]
+        return move
+
+    def _way(self, state: State, byte: int, last: int) -> tuple[State, tuple[int, ...]]:
+        """Where a byte leads. last: the token from the boundary on, where it forms a stable pair with the register; else -2."""
+        pending, lasts, heads, ranks, still = state.pending + SINGLE[byte], state.lasts, self.heads, self.ranks, []
         for i in state.live:
             tail = pending[i:]
-            if i and last < 0 and (t := self.ranks.get(tail)) is not None and self.stable(state.lasts[i - 1], t):
+            if i and last < 0 and (t := ranks.get(tail)) is not None and self.stable(lasts[i - 1], t):
                 last = t
-            if tail in self.heads:
+            if tail in heads:
                 still.append(i)
-        return asked, self._next(pending, state.lasts + (last,), still), self._next(pending, state.lasts + (asked,), still) if asked >= 0 else None
+        return self._next(pending, lasts + (last,), still)
 
     def _next(self, pending: bytes, lasts: tuple[int, ...], still: list[int]) -> tuple[State, tuple[int, ...]]:
         live, out, size = tuple(still) + (len(pending),) * (lasts[-1] >= 0), (), self.size
@@ -161,41 +171,59 @@ class Transducer:
             target = self.states[key] = State(pending, lasts, live)
         return target, out
 
-    def encode(self, piece: bytes) -> list[int]:
-        """Token ids of one piece; a piece that is a token itself is that token."""
-        if (whole := self.ranks.get(piece)) is not None:
-            return [whole]
-        if len(self.states) > MAX_STATES:
-            self._reset()
-        state, before, out, pairs = self.start, -1, [], self.pairs
-        for byte in piece:
-            move = state.moves.get(byte)
-            if move is None:
-                move = state.moves[byte] = self._move(state, byte)
-            asked, no, yes = move
+    def _walk(self, state: State, data: bytes, out: list[int]) -> State:
+        """Where data leads, after the tokens in out; appends what is emitted on the way."""
+        before, pairs = out[-1] if out else -1, self.pairs
+        for byte in data:
+            move = state.moves.get(byte) or self._move(state, byte)
+            asked, way, known = move[0], move[1], False
             if asked >= 0:
                 known = pairs.get(before << 32 | asked)
                 if known is None:
                     known = self.stable(before, asked)
-                state, done = yes if known else no
-            else:
-                state, done = no
+                if known:
+                    way = move[2]
+            if way is None:
+                way = move[1 + known] = self._way(state, byte, asked if known else -2)
+            state, done = way
             if done:
                 out += done
                 before = done[-1]
+        return state
+
+    def encode(self, piece: bytes) -> list[int]:
+        """Token ids of one piece; a piece that is a token itself is that token."""
+        if (whole := self.ranks.get(piece)) is not None:
+            return [whole]
+        if len(self.states) > MAX_STATES:
+            self._reset()
+        head = piece[:HEAD]
+        if (known := self.firsts.get(head)) is None:
+            if len(self.firsts) >= MAX_HEADS:
+                self.firsts.clear()
+            out: list[int] = []
+            known = self.firsts[head] = (self._walk(self.start, head, out), out)
+        out = known[1].copy()
+        state = self._walk(known[0], piece[HEAD:], out)
         if state.end is None:
             state.end = self._tokens(state.lasts, len(state.pending))
         out += state.end
         return out
 
 
-def ascii_pattern(pattern: str) -> Callable[[str], list[str]]:
-    """findall of the pattern for ASCII texts: letters and digits spelled out, for the standard library's faster engine."""
+#: The letters of ASCII, and those from the Latin blocks that follow (U+00C0 to U+024F but for two signs).
+ASCII_LETTERS, LATIN_LETTERS = "A-Za-z", "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+#: Finds what is neither ASCII nor such a letter.
+beyond_latin = re.compile("[^\\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]").search
+
+
+def spelled_out(pattern: str, letters: str) -> Callable[[str], list[str]]:
+    """findall of the pattern for texts of ASCII and the given letters: these and digits spelled out, for the standard library's faster engine."""
     out, inside, i = [], False, 0
     while i < len(pattern):
         two, four = pattern[i : i + 2], pattern[i : i + 5]
         if four in (r"\p{L}", r"\p{N}"):
-            own = "A-Za-z" if "L" in four else "0-9"
+            own = letters if "L" in four else "0-9"
             out.append(own if inside else f"[{own}]")
             i += 5
             continue
@@ -217,7 +245,7 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
         self.find = regex.compile(pattern).findall
-        self.find_ascii = ascii_pattern(pattern)
+        self.find_ascii, self.find_latin = spelled_out(pattern, ASCII_LETTERS), spelled_out(pattern, LATIN_LETTERS)
         self.pieces: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
@@ -231,7 +259,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         known, make = self.pieces.get, self._piece
-        find = self.find_ascii if text.isascii() else self.find
+        find = self.find_ascii if text.isascii() else self.find if beyond_latin(text) else self.find_latin
         return b"".join([known(p) or make(p) for p in find(text)])
 
 
@@ -297,6 +325,12 @@ def vocabulary(spark: SparkSession, path: str) -> Broadcast:
     return spark.sparkContext.broadcast(read_ranks(path))
 
 
+def worker_encoder(data: bytes, pattern: str) -> Encoder:
+    """The encoder of a Python worker: its states are made once and serve all tasks that follow."""
+    gc.set_threshold(1_000_000, 50, 50)  # the tables are large and have few cycles
+    return kept(("bpe", xxhash.xxh3_128_digest(data), pattern), lambda: Encoder(parse_ranks(data), pattern))
+
+
 def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = 65_536) -> DataFrame:
     """One row per input row: id, n_tokens, ids_sha256, decoded_sha256, by the ranks in the file at path.
 
@@ -307,9 +341,8 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.set_threshold(1_000_000, 50, 50)  # the tables are large and have few cycles
-        ranks = parse_ranks(shared.value)
-        encoder, decoder = Encoder(ranks, pattern), StreamDecoder(ranks)
+        encoder = worker_encoder(shared.value, pattern)
+        decoder = StreamDecoder(encoder.transducer.ranks)
         known: dict[bytes, tuple[int, str, str]] = {}
         for batch in batches:
             rows: tuple[list, list, list] = ([], [], [])
@@ -342,7 +375,7 @@ def encode_table(docs: DataFrame, path: str, pattern: str, text_col: str = "text
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder(parse_ranks(shared.value), pattern)
+        encoder = worker_encoder(shared.value, pattern)
         for texts in batches:
             yield pd.Series([np.frombuffer(encoder.encode(t), "<u4").astype("int32") for t in texts], index=texts.index, dtype=object)
 

@@ -6,9 +6,10 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
 import pyarrow as pa
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +43,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_kept: dict[Hashable, Any] = {}
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """In a Python worker: what make() gives, kept for later tasks until another key is asked for or give_back() is called."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def give_back() -> None:
     """At the end of a task: hands a Python worker's free memory back, as the worker lives on and others need it."""
+    _kept.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

@@ -239,6 +239,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
             find = Finder(shared.value)
             for texts in batches:
                 yield pd.Series([not find(t) for t in texts], index=texts.index, dtype=bool)
+            find = texts = None
             give_back()
 
         keep = keep & clean(text_or_empty(text_col))

@@ -123,6 +123,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: in
                 sig.append(None if s is None else s[:COMPARED].tobytes())
                 keys.append(None if s is None else band_keys(s, rows))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "fp", "sig", "keys"])
+        shingles = sign = batch = own = None
         give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -175,6 +176,7 @@ def _sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle:
         shingles = Shingler(shingle)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["rid", "own"])
+        shingles = batch = None
         give_back()
 
     texts = _noted(docs.select(F.col(id_col).alias("rid"), text_or_empty(text_col).alias("text")), "rid", ids).join(ids, "rid", "left_semi")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 from collections.abc import Iterator
 
@@ -11,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from attestor.llm.bpe import MAX_TEXTS, Encoder, parse_ranks, vocabulary
+from attestor.llm.bpe import MAX_TEXTS, vocabulary, worker_encoder
 from attestor.llm.common import text_or_empty
 
 #: To which section a token over a boundary counts: that of its first or last byte, or the one with most of its bytes (the first of equals).
@@ -53,9 +52,8 @@ def token_counts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     names = [id_col, "n_tokens", "n_sections", "n_crossing", "section_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.set_threshold(1_000_000, 50, 50)  # the tables are large and have few cycles
-        ranks = parse_ranks(shared.value)
-        encoder = Encoder(ranks, pattern)
+        encoder = worker_encoder(shared.value, pattern)
+        ranks = encoder.transducer.ranks
         known: dict[bytes, tuple[np.ndarray, int]] = {}
         length = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
         for t, i in ranks.items():
