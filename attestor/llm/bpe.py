@@ -27,10 +27,10 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import kept, text_or_empty
+from attestor.llm.common import kept, text_or_empty, trim
 
 #: Entries of the piece cache, the transition table, the pair table and the table of heads; a full table is emptied and filled anew.
-MAX_PIECES, MAX_STATES, MAX_PAIRS, MAX_HEADS = 400_000, 150_000, 300_000, 60_000
+MAX_PIECES, MAX_STATES, MAX_PAIRS, MAX_HEADS = 250_000, 150_000, 200_000, 40_000
 #: Bytes of a head: where the first so many bytes of a piece lead is looked up at once.
 HEAD = 5
 #: Texts whose results a worker remembers, by 128-bit hashes.
@@ -76,9 +76,12 @@ class Transducer:
         self.heads = {t[:n] for t in ranks for n in range(1, len(t))}
         self.pairs: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
+        self.states: dict[tuple, State] = {}
         self._reset()
 
     def _reset(self) -> None:
+        for state in self.states.values():
+            state.moves.clear()  # states lead to each other in circles, which only a collection would free
         self.start = State(b"", (), (0,))
         self.states = {(b"", ()): self.start}
         self.firsts: dict[bytes, tuple[State, list[int]]] = {}
@@ -365,6 +368,8 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
                 for into, x in zip(rows, known[key], strict=True):
                     into.append(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            batch = text = ids = None
+            trim()
 
     return docs.select(id_col, text_or_empty(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 

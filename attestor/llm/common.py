@@ -55,9 +55,14 @@ def kept(key: Hashable, make: Callable[[], Any]) -> Any:
 
 
 def give_back() -> None:
-    """At the end of a task: hands a Python worker's free memory back, as the worker lives on and others need it."""
+    """At the end of a task: hands a Python worker's memory back, as the worker lives on and others need it; also what was kept."""
     _kept.clear()
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Hands back what is free already, and keeps what is kept."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from attestor.llm.bpe import MAX_TEXTS, vocabulary, worker_encoder
-from attestor.llm.common import text_or_empty
+from attestor.llm.common import text_or_empty, trim
 
 #: To which section a token over a boundary counts: that of its first or last byte, or the one with most of its bytes (the first of equals).
 START, END, MOST = "start", "end", "most"
@@ -84,5 +84,7 @@ def token_counts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
                 offsets.append(offsets[-1] + len(own))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64), pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(n_sections, pa.int64()), pa.array(n_crossing, pa.int64()), lists], names)
+            batch = text = ends = None
+            trim()
 
     return docs.select(id_col, text_or_empty(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, n_sections bigint, n_crossing bigint, section_tokens array<bigint>")
