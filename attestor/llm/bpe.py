@@ -27,7 +27,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import kept, text_or_empty, trim
+from attestor.llm.common import give_back, kept, release, text_or_empty, trim
 
 #: Entries of the piece cache, the transition table, the pair table and the table of heads; a full table is emptied and filled anew.
 MAX_PIECES, MAX_STATES, MAX_PAIRS, MAX_HEADS = 250_000, 150_000, 200_000, 40_000
@@ -77,9 +77,9 @@ class Transducer:
         self.pairs: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.states: dict[tuple, State] = {}
-        self._reset()
+        self.reset()
 
-    def _reset(self) -> None:
+    def reset(self) -> None:
         for state in self.states.values():
             state.moves.clear()  # states lead to each other in circles, which only a collection would free
         self.start = State(b"", (), (0,))
@@ -199,7 +199,7 @@ class Transducer:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
         if len(self.states) > MAX_STATES:
-            self._reset()
+            self.reset()
         head = piece[:HEAD]
         if (known := self.firsts.get(head)) is None:
             if len(self.firsts) >= MAX_HEADS:
@@ -328,15 +328,21 @@ def vocabulary(spark: SparkSession, path: str) -> Broadcast:
     return spark.sparkContext.broadcast(read_ranks(path))
 
 
-def worker_encoder(data: bytes, pattern: str) -> Encoder:
-    """The encoder of a Python worker: its states are made once and serve all tasks that follow."""
+def worker_encoder(data: bytes, pattern: str, keep: bool = True) -> Encoder:
+    """The encoder of a Python worker. If it's kept, its states are made once and serve all tasks that follow."""
     gc.set_threshold(1_000_000, 50, 50)  # the tables are large and have few cycles
+    if not keep:
+        release()
+        return Encoder(parse_ranks(data), pattern)
     return kept(("bpe", xxhash.xxh3_128_digest(data), pattern), lambda: Encoder(parse_ranks(data), pattern))
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = 65_536) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = 65_536, keep: bool = True) -> DataFrame:
     """One row per input row: id, n_tokens, ids_sha256, decoded_sha256, by the ranks in the file at path.
 
+    keep: workers hold the encoder's tables (about 200 MB) for later tasks. Spark deals tasks out over all idle workers, so after
+    operators that ran more workers than there are cores, not to keep them takes less memory and more time.
+
     Ids are decoded chunk by chunk. A null text is an empty one: no tokens, and the hashes of nothing. Ids may repeat
     or be null; other columns are ignored; an empty table gives an empty result. Nothing is shuffled.
     """
@@ -344,7 +350,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(shared.value, pattern)
+        encoder = worker_encoder(shared.value, pattern, keep)
         decoder = StreamDecoder(encoder.transducer.ranks)
         known: dict[bytes, tuple[int, str, str]] = {}
         for batch in batches:
@@ -370,6 +376,10 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
             batch = text = ids = None
             trim()
+        if not keep:
+            encoder.transducer.reset()
+            encoder = decoder = known = None
+            give_back()
 
     return docs.select(id_col, text_or_empty(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 

@@ -54,6 +54,12 @@ def kept(key: Hashable, make: Callable[[], Any]) -> Any:
     return _kept[key]
 
 
+def release() -> None:
+    """At the start of a task: lets go of what an operator before this one has kept in the worker."""
+    if _kept:
+        give_back()
+
+
 def give_back() -> None:
     """At the end of a task: hands a Python worker's memory back, as the worker lives on and others need it; also what was kept."""
     _kept.clear()

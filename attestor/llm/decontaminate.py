@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import give_back, text_or_empty
+from attestor.llm.common import give_back, release, text_or_empty
 
 #: Items and bytes of one index; a larger benchmark is split, and the texts are searched with one index after another.
 SHARD_ITEMS, SHARD_BYTES = 5_000, 2 << 20
@@ -212,6 +212,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            release()
             find = Finder(shared.value)
             for batch in batches:
                 take, rows = [], []
@@ -236,6 +237,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
         @F.pandas_udf("boolean")
         def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            release()
             find = Finder(shared.value)
             for texts in batches:
                 yield pd.Series([not find(t) for t in texts], index=texts.index, dtype=bool)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import give_back, stored, text_or_empty
+from attestor.llm.common import give_back, release, stored, text_or_empty
 from attestor.llm.graph import components
 
 #: Rows of a band; the chance that a pair at the threshold shares no band, and that a batch's posterior drops one.
@@ -112,6 +112,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: in
     """id, n, fp (of the set), sig, keys; the last three are null for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         shingles, sign = Shingler(shingle), Signer(bands * rows)
         for batch in batches:
             n, fp, sig, keys = [], [], [], []
@@ -135,6 +136,7 @@ def _likely(pairs: DataFrame, signed: DataFrame, threshold: tuple[int, int], val
     looks = least_matches(min(values, COMPARED), threshold[0] / threshold[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -161,6 +163,7 @@ def _noted(rows: DataFrame, col: str, ids: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def noted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release()
         known = np.unpackbits(shared.value).astype(bool)
         for bit in batches:
             yield pd.Series(known[bit.to_numpy()], index=bit.index)
@@ -173,6 +176,7 @@ def _sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle:
     kind = ids.schema["rid"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         shingles = Shingler(shingle)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["rid", "own"])
@@ -212,6 +216,7 @@ def _across(members: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, t
         return np.array([r["root"] for r in rows]), np.array([r["n"] for r in rows]), np.array([r["keys"] for r in rows], np.int64), np.stack([np.frombuffer(r["sig"], "<u4") for r in rows])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             a, b = [], []
             for one, two in zip(batch.column(0), batch.column(1), strict=True):
@@ -245,6 +250,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shing
     wanted = stored(pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct(), "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             take = []
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestor.llm.common import stored, text_or_empty
+from attestor.llm.common import release, stored, text_or_empty
 from attestor.llm.near_dedup import _Hashes, _noted
 
 WINDOW, ANCHOR = 20, 5
@@ -154,6 +154,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = rows.withColumn("h", F.xxhash64("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         words = Words()
         for batch in batches:
             take, out = [], ([], [], [], [])
@@ -179,6 +180,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     per_doc = wanted.groupBy("id", "h").agg(F.collect_list(F.struct("a", "at", "n")).alias("want"))
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         words = Words()
         for batch in batches:
             take, a, at, own = [], [], [], []
@@ -198,6 +200,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shards = cuts.repartition("a").sortWithinPartitions("a", "id", "h", "at")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: list[tuple] = []
         size = 0
 
@@ -229,6 +232,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone = gone.groupBy("id", "h").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             total, removed, sha, texts = [], [], [], []
             for text, at, n in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):

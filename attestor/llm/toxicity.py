@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import give_back, text_or_empty
+from attestor.llm.common import give_back, release, text_or_empty
 
 #: The model is fitted on at most so many labelled texts of each class, those with the smallest hashes of their ids.
 SAMPLE_PER_CLASS = 1_500
@@ -180,6 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = texts.select("y", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).alias("fold"), "text")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             counts: Counter = Counter()
             for y, fold, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -203,10 +204,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(folds)
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         score = [Scorer(pickle.loads(r)) for r in shared.value]
         for batch in batches:
             ys, fs, xs = (c.to_pylist() for c in batch.columns)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([score[1 - f](x) for f, x in zip(fs, xs, strict=True)], pa.float64())], ["y", "x"])
+        score = batch = None
+        give_back()
 
     seen = texts.mapInArrow(cross, "y int, x double").toPandas()
     shared.unpersist()
@@ -224,6 +228,7 @@ def score_column(docs: DataFrame, model: Toxicity, text_col: str = "text") -> Co
 
     @F.pandas_udf("double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release()
         of = Scorer(pickle.loads(shared.value.ratios))
         for texts in batches:
             yield pd.Series(shared.value.probability(np.fromiter(map(of, texts), np.float64, len(texts))), index=texts.index)

@@ -31,7 +31,7 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document: n_tokens and the digests of the ids and of what they decode to."""
-    return bpe.encode_decode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return bpe.encode_decode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, keep=False)
 
 
 STAGES = [
