@@ -69,7 +69,9 @@ class State:
 class Transducer:
     """Encodes byte strings."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], tables: float = 1.0):
+        """tables: the share of the tables' entries."""
+        self.max_states, self.max_pairs, self.max_heads = (int(n * tables) for n in (MAX_STATES, MAX_PAIRS, MAX_HEADS))
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
         self.size = {i: len(t) for t, i in ranks.items()}
@@ -113,7 +115,7 @@ class Transducer:
         key = left << 32 | right
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= MAX_PAIRS:
+            if len(self.pairs) >= self.max_pairs:
                 self.pairs.clear()
             known = self.pairs[key] = self._stable(left, right) if left >= 0 else self._alone(right)
         return known
@@ -198,11 +200,11 @@ class Transducer:
         """Token ids of one piece; a piece that is a token itself is that token."""
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        if len(self.states) > MAX_STATES:
+        if len(self.states) > self.max_states:
             self.reset()
         head = piece[:HEAD]
         if (known := self.firsts.get(head)) is None:
-            if len(self.firsts) >= MAX_HEADS:
+            if len(self.firsts) >= self.max_heads:
                 self.firsts.clear()
             out: list[int] = []
             known = self.firsts[head] = (self._walk(self.start, head, out), out)
@@ -245,8 +247,8 @@ def spelled_out(pattern: str, letters: str) -> Callable[[str], list[str]]:
 class Encoder:
     """Encodes texts as the matches of a pattern, each by itself. Ids are little-endian unsigned 32-bit integers."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.transducer = Transducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, tables: float = 1.0):
+        self.transducer, self.max_pieces = Transducer(ranks, tables), int(MAX_PIECES * tables)
         self.find = regex.compile(pattern).findall
         self.find_ascii, self.find_latin = spelled_out(pattern, ASCII_LETTERS), spelled_out(pattern, LATIN_LETTERS)
         self.pieces: dict[str, bytes] = {}
@@ -255,7 +257,7 @@ class Encoder:
         ids = self.transducer.encode(piece.encode())
         got = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:  # the table stays small in bytes too
-            if len(self.pieces) >= MAX_PIECES:
+            if len(self.pieces) >= self.max_pieces:
                 self.pieces.clear()
             self.pieces[piece] = got
         return got
@@ -329,11 +331,12 @@ def vocabulary(spark: SparkSession, path: str) -> Broadcast:
 
 
 def worker_encoder(data: bytes, pattern: str, keep: bool = True) -> Encoder:
-    """The encoder of a Python worker. If it's kept, its states are made once and serve all tasks that follow."""
+    """The encoder of a Python worker. If it's kept, its states are made once and serve all tasks
+    that follow; else its tables are half the size."""
     gc.set_threshold(1_000_000, 50, 50)  # the tables are large and have few cycles
     if not keep:
         release()
-        return Encoder(parse_ranks(data), pattern)
+        return Encoder(parse_ranks(data), pattern, 0.5)
     return kept(("bpe", xxhash.xxh3_128_digest(data), pattern), lambda: Encoder(parse_ranks(data), pattern))
 
 
