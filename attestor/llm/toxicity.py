@@ -2,10 +2,10 @@
 
 Two models of the letters within words, one of toxic and one of ordinary texts, differ in their highest order only. Below
 it both back off to one distribution made of the pooled continuation counts, so an expression that neither class has
-shown counts for neither, and a rare one leans on its parts. A text's figure is what its words' log-likelihood ratios
-exceed its own median word by, beyond a margin, divided by its length in words: the median takes out what sets whole
-texts apart (language, subject), the margin the noise of ordinary words. A logistic curve, fitted on texts that the
-scoring model hasn't seen, turns it into a probability.
+shown counts for neither, and a rare one leans on its parts. A text's log-odds are its log-likelihood ratio divided by its
+length in words, plus a logistic curve over what its words' ratios exceed a baseline of the corpus by, beyond a margin,
+also by length. The baseline and the margin are the same for all texts, so a text that is toxic throughout shows it. The
+curve is fitted on texts that the scoring model hasn't seen.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from attestor.llm.common import give_back, release, text_or_empty
 SAMPLE_PER_CLASS = 1_500
 #: Letters of a gram, its discount, and the part of a long word that is looked at (the rest follows as a word of its own).
 ORDER, DISCOUNT, WORD = 7, 0.95, 40
-#: Nats above the median at which a word begins to count.
-MARGIN = 3.0
+#: Nats above the baseline at which a word begins to count in the excess, and the share of ordinary words below the baseline.
+MARGIN, BASELINE = 3.0, 0.95
 #: Words whose ratio a worker remembers before it starts anew.
 MAX_WORDS = 150_000
 THRESHOLD = 0.7
@@ -49,6 +49,7 @@ class Ratios:
     grams: dict[str, float] = field(default_factory=dict)
     contexts: dict[str, float] = field(default_factory=dict)
     order: int = ORDER
+    baseline: float = 0.0  # of the ordinary texts' words, a share of BASELINE has at most this ratio
 
     def word(self, word: str) -> float:
         text, total, span = "^" + word + "$", 0.0, self.order
@@ -61,6 +62,7 @@ class Ratios:
 
 def fit_ratios(counts: Iterable[tuple[str, int, int]], order: int = ORDER, discount: float = DISCOUNT) -> Ratios:
     """From (word, times in ordinary texts, times in toxic texts)."""
+    counts = list(counts)
     by_class: tuple[Counter, Counter] = (Counter(), Counter())
     for word, *times in counts:
         text = "^" + word + "$"
@@ -114,33 +116,37 @@ def fit_ratios(counts: Iterable[tuple[str, int, int]], order: int = ORDER, disco
     out = Ratios(order=order)
     out.grams = {g: log_p(1, g) - log_p(0, g) for g in seen}
     out.contexts = {h: weight(1, h) - weight(0, h) for h in set(sums[0]) | set(sums[1])}
+    usual = sorted((out.word(w), n) for w, n, _ in counts if n)
+    if usual:
+        upto = np.cumsum([n for _, n in usual])
+        out.baseline = usual[int(np.searchsorted(upto, BASELINE * upto[-1]))][0]
     return out
 
 
 class Scorer:
-    """The figure of a text, on a log scale; a text without words has the figure of one without toxic words."""
+    """The figures of a text: its ratio by length, and its words' excess by length on a log scale. Without words there is neither."""
 
     def __init__(self, ratios: Ratios):
         self.ratios, self.known = ratios, {}
 
-    def __call__(self, text: str) -> float:
+    def __call__(self, text: str) -> tuple[float, float]:
         words = words_of(text)
         if len(self.known) > MAX_WORDS:
             self.known.clear()
         known, of = self.known, self.ratios.word
         got = [known[w] if w in known else known.setdefault(w, of(w)) for w in words]
         if not got:
-            return math.log(1e-3)
+            return 0.0, math.log(1e-3)
         x = np.array(got)
-        return math.log(1e-3 + float(np.maximum(x - np.median(x) - MARGIN, 0.0).mean()))
+        return float(x.mean()), math.log(1e-3 + float(np.maximum(x - self.ratios.baseline - MARGIN, 0.0).mean()))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept by Newton's method with a slight pull to 0; classes weigh as in the whole labelled table."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, offset: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept beside a given offset, by Newton's method with a slight pull to 0; classes weigh as in the whole labelled table."""
     a, scale = np.zeros(2), max(1e-9, float(np.std(x)) if len(x) else 1.0)
     design = np.stack([x / scale, np.ones_like(x)], 1)
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ a, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(design @ a + offset, -30, 30)))
         grad = design.T @ (weight * (p - y)) + 1e-3 * a
         hess = (design * (weight * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
         step = np.linalg.solve(hess, grad)
@@ -156,8 +162,8 @@ class Toxicity:
     slope: float
     intercept: float
 
-    def probability(self, figure: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * figure + self.intercept, -30, 30)))
+    def probability(self, ratio: np.ndarray, excess: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(ratio + self.slope * excess + self.intercept, -30, 30)))
 
 
 def held_out(id_col: str):
@@ -208,18 +214,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         score = [Scorer(pickle.loads(r)) for r in shared.value]
         for batch in batches:
             ys, fs, xs = (c.to_pylist() for c in batch.columns)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([score[1 - f](x) for f, x in zip(fs, xs, strict=True)], pa.float64())], ["y", "x"])
+            got = np.array([score[1 - f](x) for f, x in zip(fs, xs, strict=True)], np.float64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got[:, 0]), pa.array(got[:, 1])], ["y", "ratio", "excess"])
         score = batch = None
         give_back()
 
-    seen = texts.mapInArrow(cross, "y int, x double").toPandas()
+    seen = texts.mapInArrow(cross, "y int, ratio double, excess double").toPandas()
     shared.unpersist()
     own.unpersist()
     y = seen["y"].to_numpy(np.float64)
     taken = [max(1, int((y == k).sum())) for k in (0, 1)]
     weight = np.where(y == 1, shares.get(1, 0) / taken[1], shares.get(0, 0) / taken[0]) if len(y) else np.zeros(0)
     weight = weight * len(y) / weight.sum() if len(y) else weight
-    return Toxicity(models.get(2, empty), *fit_logistic(seen["x"].to_numpy(np.float64), y, weight))
+    return Toxicity(models.get(2, empty), *fit_logistic(seen["excess"].to_numpy(np.float64), y, weight, seen["ratio"].to_numpy(np.float64)))
 
 
 def score_column(docs: DataFrame, model: Toxicity, text_col: str = "text") -> Column:
@@ -231,7 +238,8 @@ def score_column(docs: DataFrame, model: Toxicity, text_col: str = "text") -> Co
         release()
         of = Scorer(pickle.loads(shared.value.ratios))
         for texts in batches:
-            yield pd.Series(shared.value.probability(np.fromiter(map(of, texts), np.float64, len(texts))), index=texts.index)
+            got = np.array([of(t) for t in texts], np.float64).reshape(-1, 2)
+            yield pd.Series(shared.value.probability(got[:, 0], got[:, 1]), index=texts.index)
         del of
         give_back()
 

@@ -108,6 +108,21 @@ def test_toxicity(spark, none):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))).count() == 0
 
 
+def test_toxicity_of_wholly_toxic_texts(spark):
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
+    bad = ["zorkan", "zorkel", "zorkix"]
+    data = [(i, " ".join(r.choice(bad) if i % 4 == 0 and r.random() < 0.1 else r.choice(words) for _ in range(80)), int(i % 4 == 0)) for i in range(400)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.drop("toxic"), docs.drop("text"))
+    toxic = ["zorkan", "zorkel zorkix", "zorkan " * 40, " ".join(bad * 20), f"{words[0]} zorkan zorkel"]
+    clean = ["", words[0], f"{words[1]} {words[2]}", " ".join(words)]
+    odd = spark.createDataFrame(list(enumerate(toxic + clean)), "doc_id long, text string")
+    got = [x.predicted for x in toxicity.score(odd, model).orderBy("doc_id").collect()]
+    assert got == [1] * len(toxic) + [0] * len(clean)
+    assert [x.doc_id for x in toxicity.drop_toxic(odd, model).orderBy("doc_id").collect()] == list(range(len(toxic), len(toxic + clean)))
+
+
 def test_bpe(docs, none, rows):
     ranks = bpe.parse_ranks(bpe.read_ranks(PATH))
     reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
