@@ -6,14 +6,19 @@ page_number, passage, context_type, similarity and retriever.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.functions import measure, rx
 
 FOUND, NONE, SEVERAL = "evidence_found", "insufficient_evidence", "ambiguous_evidence"
+#: Rows of a block of chunks and of a block of queries that meet in one task, and queries of one product of matrices.
+CHUNK_BLOCK, QUERY_BLOCK, QUERY_SLICE = 8_000, 2_000, 256
 #: Names of the strategies and their other names.
 ALIASES = {"baseline": "baseline", "deterministic": "baseline", "regex": "baseline", "pgvector": "vector", "vector": "vector", "postgres": "vector"}
 
@@ -115,6 +120,46 @@ def ranked(chunks: DataFrame, queries: DataFrame, k: int | None = None, keys: tu
     return met if k is None else met.filter(F.col("rank") <= k)
 
 
+def nearest(chunks: DataFrame, queries: DataFrame, k: int, chunk_block: int = CHUNK_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """The k nearest of all chunks, whatever their keys: query_id, chunk_id, distance, rank, ordered as in ranked.
+
+    Each block of queries meets each block of chunks in one task. A block hands on what can be among the first k once
+    distances are rounded, ties included. Rows without a vector are left out.
+    """
+    q = queries.filter("query_vector is not null").select("query_id", "query_vector")
+    c = chunks.filter("embedding is not null").select("chunk_id", "page_number", "start_char", "embedding")
+    n_q, n_c = max(1, math.ceil(q.count() / query_block)), max(1, math.ceil(c.count() / chunk_block))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int")).withColumn("cb", every(n_c))
+    c = c.withColumn("cb", F.pmod(F.xxhash64("chunk_id"), F.lit(n_c)).cast("int")).withColumn("qb", every(n_q))
+    of = lambda df, col: df.schema[col].dataType.simpleString()
+    schema = f"query_id {of(q, 'query_id')}, chunk_id {of(c, 'chunk_id')}, page_number {of(c, 'page_number')}, start_char {of(c, 'start_char')}, distance double"
+
+    def block(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(asked) and len(held):
+            # Sums in the order of the vectors' elements, so that distances are those of measure.cosine_distance.
+            dot = lambda x, y: np.cumsum(x * y, axis=1)[:, -1]
+            a, b = (np.stack(x).astype(np.float64) for x in (asked["query_vector"], held["embedding"]))
+            size_a, size_b = np.sqrt(dot(a, a)), np.sqrt(dot(b, b))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                for at in range(0, len(a), QUERY_SLICE):
+                    own = slice(at, at + QUERY_SLICE)
+                    d = 1.0 - (a[own] @ b.T) / (size_a[own, None] * size_b)
+                    d[np.isnan(d)] = np.inf
+                    last = np.partition(d, k - 1, axis=1)[:, k - 1] if k < len(b) else np.full(len(d), np.inf)
+                    i, j = np.nonzero(d <= last[:, None] + 2e-6)
+                    i += at
+                    exact = 1.0 - dot(a[i], b[j]) / (size_a[i] * size_b[j])
+                    out.append(held[["chunk_id", "page_number", "start_char"]].iloc[j].assign(query_id=asked["query_id"].to_numpy()[i], distance=exact))
+        names = ["query_id", "chunk_id", "page_number", "start_char", "distance"]
+        return pd.concat(out)[names] if out else pd.DataFrame(columns=names)
+
+    met = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(block, schema).withColumn("distance", F.round("distance", 6))
+    met = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "page_number", "start_char", "chunk_id")))
+    return met.filter(F.col("rank") <= k).select("query_id", "chunk_id", "distance", "rank")
+
+
 STRATEGIES: dict[str, Callable[..., DataFrame]] = {"baseline": baseline, "vector": vector}
 
 

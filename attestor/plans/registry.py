@@ -269,6 +269,25 @@ def vector_topk_filtered(spark, sf_dir):
     return retrieve.ranked(chunk, asked, 5).select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query(_RANK_SQL.format(on="true") + "SELECT query_id, vec_id || '' AS chunk_id, rank FROM r WHERE rank <= 5")
+def vector_topk(spark, sf_dir):
+    """Exact cosine search among all chunks; every 20th vector asks."""
+    chunk, asked = _vectors(spark, sf_dir)
+    return retrieve.nearest(chunk, asked, 5).select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+def _others(chunk: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The k nearest of all chunks but the query's own."""
+    met = retrieve.nearest(chunk, asked, k + 1).filter(F.col("chunk_id") != F.col("query_id").cast("string"))
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter(F.col("rank") <= k)
+
+
+@query(_RANK_SQL.format(on="c.vec_id <> q.query_id") + "SELECT query_id, vec_id || '' AS chunk_id FROM r WHERE rank = 1")
+def vector_nearest1_all(spark, sf_dir):
+    """As vector_nearest1, whatever the label."""
+    return _others(*_vectors(spark, sf_dir), 1).select("query_id", "chunk_id")
+
+
 @query(_RANK_SQL.format(on="c.label = q.label AND c.vec_id <> q.query_id") + "SELECT query_id, vec_id || '' AS chunk_id FROM r WHERE rank = 1")
 def vector_nearest1(spark, sf_dir):
     chunk, asked = _vectors(spark, sf_dir)
@@ -300,6 +319,14 @@ def ir_recall_mrr(spark, sf_dir):
     return evaluate.ir_metrics(evaluate.first_relevant(met, F.col("component_id") == F.col("own")))
 
 
+@query(_RANK_SQL.format(on="c.vec_id <> q.query_id") + ", f AS (SELECT query_id, min(rank) FILTER (label = own) AS x FROM r WHERE rank <= 5 GROUP BY 1) SELECT count(*) AS n, round(avg((coalesce(x, 99) <= 1)::INT), 4) AS recall_1, round(avg((coalesce(x, 99) <= 2)::INT), 4) AS recall_2, round(avg((coalesce(x, 99) <= 3)::INT), 4) AS recall_3, round(avg(coalesce(1.0 / x, 0)), 4) AS mrr FROM f")
+def ir_recall_mrr_all(spark, sf_dir):
+    """As ir_recall_mrr, with every vector as a candidate."""
+    chunk, asked = _vectors(spark, sf_dir)
+    met = _others(chunk, asked, 5).join(chunk.select("chunk_id", "component_id"), "chunk_id").join(asked.select("query_id", F.col("component_id").alias("own")), "query_id")
+    return evaluate.ir_metrics(evaluate.first_relevant(met, F.col("component_id") == F.col("own")))
+
+
 @query("""WITH o AS (SELECT o_orderkey || '' AS chunk_id, 'c' || o_custkey % 5 AS corpus_id, o_orderstatus AS h, 0 AS n FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey || '', 'c' || o_custkey % 5, o_orderpriority, 1 FROM orders WHERE o_orderkey % 2 = 0)
 SELECT corpus_id, chunk_id, content_sha256 FROM (SELECT corpus_id, chunk_id, h AS content_sha256, row_number() OVER (PARTITION BY corpus_id, chunk_id ORDER BY n DESC, h DESC) AS rn FROM o) WHERE rn = 1""")
 def upsert_merge(spark, sf_dir):

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestor.functions import measure, rx
-from attestor.operators import chunking
-from attestor.plans import audit
+from attestor.operators import chunking, retrieve
+from attestor.plans import audit, registry
 from attestor.sources import readers, store
 
 HEAD = "Supplier datasheet\nComponent ID: {c}\nRevision: {r}\nDocument ID: DOC-{c}\n1. Overview\nAbout {c}.\n2. Physical Dimensions\n{body}\n3. Notice\nEnd."
@@ -108,3 +108,21 @@ def test_section_prefers_dimensions(spark):
     t = "1. Other\nthickness here\n2. Physical Dimensions\nthickness there"
     got = spark.createDataFrame([(t,)], "t string").select(rx.section_or_page(F.col("t"), F.lit("thickness")).alias("s")).first().s
     assert got.context_type == "section" and got.passage.startswith("2. Physical")
+
+
+def test_nearest_crosses_keys(spark):
+    rows = [(f"c{i:02}", str(i % 3), "A", 1, i, [float(i % 7), float(i % 5), 1.0 + i % 2]) for i in range(60)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, component_id string, revision string, page_number int, start_char int, embedding array<float>")
+    asked = chunks.filter("start_char % 4 = 0").select(F.col("start_char").alias("query_id"), "component_id", "revision", F.col("embedding").alias("query_vector"))
+    found = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, r.distance) for r in df.collect())
+    whole = retrieve.ranked(chunks.drop("component_id").withColumn("revision", F.lit("A")), asked.drop("component_id"), 6, ("revision",))
+    got = found(retrieve.nearest(chunks, asked, 6, chunk_block=7, query_block=4))
+    assert got == found(whole) and len(got) == 15 * 6
+    assert got != found(retrieve.ranked(chunks, asked, 6))
+    assert retrieve.nearest(chunks, asked.limit(0), 6).count() == 0
+    assert retrieve.nearest(chunks, asked, 100).count() == 15 * 60
+
+
+def test_unfiltered_queries_are_registered():
+    assert {"vector_topk", "vector_nearest1_all", "ir_recall_mrr_all"} <= registry.QUERIES.keys() & registry.ORACLES.keys()
+    assert all("c.label" not in registry.ORACLES[n].partition(" ON ")[2].partition(")")[0] for n in ("vector_topk", "vector_nearest1_all", "ir_recall_mrr_all"))
