@@ -182,11 +182,11 @@ def missing_component_anti(spark, sf_dir):
 
 @query(f"WITH p AS ({_PART}) SELECT component || '/' || kind AS qid, CASE WHEN kind = 'known' THEN 'sheet-' || k || '.pdf' WHEN kind = 'other' THEN NULL ELSE 'sheet-' || k || '.pdf' END AS source_file FROM p, (VALUES ('known'), ('unknown'), ('other')) t(kind) WHERE kind <> 'other'")
 def doc_ref_prune_fallback(spark, sf_dir):
-    """A reference to a document that exists leaves only that; one that doesn't leaves all."""
+    """A reference to a document that exists leaves only that, so nothing if it is another component's; one that doesn't leaves all."""
     ids = chunking.identities(sheets(spark, sf_dir)).select(F.col("component_id").alias("component"), retrieve.stem(F.col("source_file")).alias("own"))
     refs = F.array(F.struct(F.lit("known").alias("kind"), F.col("own").alias("stem")), F.struct(F.lit("unknown").alias("kind"), F.lit("nowhere").alias("stem")), F.struct(F.lit("other").alias("kind"), F.when(F.col("own") == "sheet-0", "sheet-1").otherwise("sheet-0").alias("stem")))
     q = ids.select("component", F.explode(refs).alias("r")).select("component", "r.kind", "r.stem", F.lit(None).cast("string").alias("revision"), F.lit("thickness").alias("attribute"))
-    q = q.filter("kind <> 'other'").withColumn("qid", F.concat_ws("/", "component", "kind"))
+    q = q.withColumn("qid", F.concat_ws("/", "component", "kind"))
     return retrieve.eligible(q, sheets(spark, sf_dir)).select("qid", "source_file")
 
 
@@ -304,10 +304,22 @@ def vector_validation(spark, sf_dir):
 
 @query(f"{_AUDIT_SQL}, q AS (SELECT DISTINCT component_id, revision FROM a WHERE component_id LIKE 'P-%'), f2 AS (SELECT component, revision AS own, CASE WHEN NOT stated THEN 'none' WHEN twice AND NOT tupled THEN 'several' ELSE 'found' END AS s FROM p) SELECT component_id || '/' || q.revision AS qid, CASE WHEN own <> q.revision OR s = 'none' THEN 'insufficient_evidence' WHEN s = 'several' THEN 'ambiguous_evidence' ELSE 'evidence_found' END AS retrieval_status FROM q JOIN f2 ON component = component_id")
 def conflict_before_topk(spark, sf_dir):
-    """The vector strategy over chunks of the datasheets: conflicts count before ranks."""
+    """conflict_before_topk_all for components that are named like parts."""
+    return _by_vector(spark, sf_dir, _questions(spark, sf_dir).filter(F.startswith("component", F.lit("P-")))).select("qid", "retrieval_status")
+
+
+def _by_vector(spark, sf_dir, asked: DataFrame) -> DataFrame:
     chunks = chunking.embed(chunking.chunks(sheets(spark, sf_dir))).withColumns({"model_name": F.lit("m"), "model_revision": F.lit("1")})
-    asked = _questions(spark, sf_dir).filter(F.startswith("component", F.lit("P-"))).withColumn("ask", F.concat_ws(" ", F.lit("What is the"), "attribute", F.lit("of"), "component"))
-    return retrieve.vector(chunking.embed(asked, text_col="ask", out_col="query_vector"), chunks=chunks, dimension=64).select("qid", "retrieval_status")
+    asked = asked.withColumn("ask", F.concat_ws(" ", F.lit("What is the"), "attribute", F.lit("of"), "component"))
+    return retrieve.vector(chunking.embed(asked, text_col="ask", out_col="query_vector"), chunks=chunks, dimension=64)
+
+
+@query(f"""{_AUDIT_SQL}, q AS (SELECT DISTINCT component_id, revision FROM a), f2 AS (SELECT component, revision AS own, CASE WHEN NOT stated THEN 'none' WHEN twice AND NOT tupled THEN 'several' ELSE 'found' END AS s FROM p)
+SELECT component_id || '/' || q.revision AS qid, CASE WHEN component IS NULL OR own <> q.revision OR s = 'none' THEN 'insufficient_evidence' WHEN s = 'several' THEN 'ambiguous_evidence' ELSE 'evidence_found' END AS retrieval_status, component IS NOT NULL AS has_component FROM q LEFT JOIN f2 ON component = component_id""")
+def conflict_before_topk_all(spark, sf_dir):
+    """The vector strategy over chunks of the datasheets, for all questions: conflicts count before ranks."""
+    unknown = F.startswith("reason", F.lit("no evidence for component "))
+    return _by_vector(spark, sf_dir, _questions(spark, sf_dir)).select("qid", "retrieval_status", (~F.coalesce(unknown, F.lit(False))).alias("has_component"))
 
 
 @query(_RANK_SQL.format(on="c.vec_id <> q.query_id AND (c.label = q.label OR c.label = (q.label + 1) % 4)") + ", f AS (SELECT query_id, min(rank) FILTER (label = own) AS x FROM r WHERE rank <= 5 GROUP BY 1) SELECT count(*) AS n, round(avg((coalesce(x, 99) <= 1)::INT), 4) AS recall_1, round(avg((coalesce(x, 99) <= 2)::INT), 4) AS recall_2, round(avg((coalesce(x, 99) <= 3)::INT), 4) AS recall_3, round(avg(coalesce(1.0 / x, 0)), 4) AS mrr FROM f")

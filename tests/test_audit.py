@@ -126,3 +126,21 @@ def test_nearest_crosses_keys(spark):
 def test_unfiltered_queries_are_registered():
     assert {"vector_topk", "vector_nearest1_all", "ir_recall_mrr_all"} <= registry.QUERIES.keys() & registry.ORACLES.keys()
     assert all("c.label" not in registry.ORACLES[n].partition(" ON ")[2].partition(")")[0] for n in ("vector_topk", "vector_nearest1_all", "ir_recall_mrr_all"))
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_vector_strategy_answers_unknown_components(spark):
+    got = {(r.qid[:2], r.retrieval_status, r.has_component) for r in registry.QUERIES["conflict_before_topk_all"](spark, SMALL).collect()}
+    assert {g for g in got if g[0] == "X-"} == {("X-", "insufficient_evidence", False)}
+    assert {g[1:] for g in got if g[0] == "P-"} == {("insufficient_evidence", True), ("ambiguous_evidence", True), ("evidence_found", True)}
+
+
+def test_references_to_other_documents_are_asked_and_pruned(spark, monkeypatch):
+    asked = []
+    whole = retrieve.eligible
+    monkeypatch.setattr(retrieve, "eligible", lambda q, pages: asked.append(q) or whole(q, pages))
+    got = {r.qid.split("/")[1] for r in registry.QUERIES["doc_ref_prune_fallback"](spark, SMALL).collect()}
+    assert {r.kind for r in asked[0].select("kind").distinct().collect()} == {"known", "unknown", "other"}
+    assert got == {"known", "unknown"}
