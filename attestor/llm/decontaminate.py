@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import give_back, release, text_or_empty
+from attestor.llm.common import give_back, release, stored, text_or_empty
 
 #: Items and bytes of one index; a larger benchmark is split, and the texts are searched with one index after another.
 SHARD_ITEMS, SHARD_BYTES = 5_000, 2 << 20
@@ -67,22 +67,31 @@ class Index:
     longest: int
 
 
-def build(rows: list[tuple]) -> Index:
-    """From (item id, text); items without words can't be found and are left out."""
+@dataclass
+class Corpus:
+    """What BM25 takes from all items with words: their number, mean length, and in how many of them each term occurs."""
+
+    n: int
+    mean: float
+    seen: dict[str, int]
+
+
+def corpus_of(lists: list[list[str]]) -> Corpus:
+    lists = [words for words in lists if words]
+    return Corpus(len(lists), sum(map(len, lists)) / max(1, len(lists)), Counter(w for words in lists for w in set(words)))
+
+
+def build(rows: list[tuple], corpus: Corpus | None = None) -> Index:
+    """From (item id, text); items without words can't be found and are left out. corpus is of all items if rows are a part."""
     rows = sorted(((i, words_of((t or "").lower())) for i, t in rows), key=lambda r: len(r[1]))
     rows = [r for r in rows if r[1]]
-    counts = [defaultdict(int) for _ in rows]
-    seen: dict[str, int] = defaultdict(int)
-    for own, (_, words) in zip(counts, rows, strict=True):
-        for w in words:
-            own[w] += 1
-        for w in own:
-            seen[w] += 1
-    mean = sum(len(w) for _, w in rows) / max(1, len(rows))
-    terms = {w: k for k, w in enumerate(seen)}
+    counts = [Counter(words) for _, words in rows]
+    corpus = corpus or corpus_of([words for _, words in rows])
+    seen, mean = corpus.seen, corpus.mean
+    terms = {w: k for k, w in enumerate(dict.fromkeys(w for own in counts for w in own))}
     posts: list[list[tuple[int, float]]] = [[] for _ in terms]
     for at, (own, (_, words)) in enumerate(zip(counts, rows, strict=True)):
-        weight = {w: math.log(1 + (len(rows) - seen[w] + 0.5) / (seen[w] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(words) / mean)) for w, n in own.items()}
+        weight = {w: math.log(1 + (corpus.n - seen[w] + 0.5) / (seen[w] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(words) / mean)) for w, n in own.items()}
         total = sum(weight.values())
         for w, x in weight.items():
             posts[terms[w]].append((at, x / total))
@@ -187,14 +196,33 @@ class Finder:
         return out
 
 
+def corpus_tables(items: DataFrame) -> tuple[int, float, DataFrame]:
+    """Number and mean length of all items (id, text) with words, and the table (word, n) of the items that a word occurs in."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [words_of(t.lower()) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(map(len, lists), pa.int64()), pa.array([list(dict.fromkeys(x)) for x in lists], pa.list_(pa.string()))], ["size", "words"])
+
+    lists = stored(items.select("text").mapInArrow(split, "size bigint, words array<string>").filter("size > 0"), "benchmark-words")
+    n, mean = lists.agg(F.count(F.lit(1)), F.coalesce(F.avg("size"), F.lit(0.0))).first()
+    return n, mean, stored(lists.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "benchmark-terms")
+
+
 def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
-    """One bounded index after another."""
+    """One bounded index after another; weights are those of one index of all items."""
     items = benchmark.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     shards = max(1, math.ceil(n / SHARD_ITEMS * 1.2) if n > SHARD_ITEMS else 1, math.ceil(size / SHARD_BYTES * 1.2) if size > SHARD_BYTES else 1)
+    if shards == 1:
+        yield build([(r.id, r.text) for r in items.collect()])
+        return
+    n_items, mean, table = corpus_tables(items)
     for k in range(shards):
-        own = items if shards == 1 else items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(shards)) == k)
-        yield build([(r.id, r.text) for r in own.collect()])
+        rows = [(r.id, r.text) for r in items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(shards)) == k).collect()]
+        # The counts of this part's terms only, so that the driver holds no more than the part asks for.
+        own = items.sparkSession.createDataFrame(pd.DataFrame({"word": sorted({w for _, t in rows for w in words_of(t.lower())})}, dtype=object), "word string")
+        yield build(rows, Corpus(n_items, mean, {r.word: r.n for r in table.join(own, "word").collect()}))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -108,6 +108,23 @@ def test_toxicity(spark, none):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))).count() == 0
 
 
+def test_split_benchmark_scores_as_whole(spark, monkeypatch):
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdef") for _ in range(r.randint(1, 3))) for _ in range(120)]
+    own = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = [(i, own(r.randint(8, 40))) for i in range(60)]
+    items += [(100 + i, items[i][1]) for i in range(20)] + [(200, ""), (201, None)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(i, own(30) + " " + items[i][1] + " " + own(30)) for i in range(40)], "doc_id long, text string")
+    found = lambda: sorted((x.doc_id, x.item_id, round(x.score, 9), x.question_overlap, x.answer_overlap) for x in decontaminate.contaminated(docs, benchmark).collect())
+    weights = lambda: {i: sorted((w, round(x, 9)) for w, k in index.terms.items() for at, x in index.posts[k] if at == n) for index in decontaminate.indexes(benchmark) for n, i in enumerate(index.items)}
+    whole, by_item = found(), weights()
+    monkeypatch.setattr(decontaminate, "SHARD_ITEMS", 25)
+    assert len(list(decontaminate.indexes(benchmark))) > 2
+    assert weights() == by_item and len(by_item) == 80
+    assert found() == whole and len(whole) >= 60
+
+
 def test_toxicity_of_wholly_toxic_texts(spark):
     r = random.Random(5)
     words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
