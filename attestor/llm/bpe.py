@@ -27,7 +27,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import give_back, kept, release, text_or_empty, trim
+from attestor.llm.common import give_back, kept, release, small_batches, text_or_empty, trim
 
 #: Entries of the piece cache, the transition table, the pair table and the table of heads; a full table is emptied and filled anew.
 MAX_PIECES, MAX_STATES, MAX_PAIRS, MAX_HEADS = 250_000, 150_000, 200_000, 40_000
@@ -349,6 +349,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     Ids are decoded chunk by chunk. A null text is an empty one: no tokens, and the hashes of nothing. Ids may repeat
     or be null; other columns are ignored; an empty table gives an empty result. Nothing is shuffled.
     """
+    small_batches(docs.sparkSession)
     shared = vocabulary(docs.sparkSession, path)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -389,6 +390,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
 
 def encode_table(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
     """docs with the ids of each text as array<int> in out_col, which replaces a column of that name; null texts give empty arrays."""
+    small_batches(docs.sparkSession)
     shared = vocabulary(docs.sparkSession, path)
 
     @F.pandas_udf("array<int>")

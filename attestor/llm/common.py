@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: One Python worker holds one Arrow batch at a time; rows can be long texts.
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Python workers and their JVM hold a batch or two at a time. Texts can be long, so batches end by bytes too.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of Arrow batches, unless the session's owner has."""
+    if BATCH_CONF not in spark.conf.getAll:
+        spark.conf.set(BATCH_CONF, BATCH_BYTES)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/attestor-{name}-{uuid.uuid4().hex}"
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import give_back, release, stored, text_or_empty
+from attestor.llm.common import give_back, release, small_batches, stored, text_or_empty
 
 #: Items and bytes of one index; a larger benchmark is split, and the texts are searched with one index after another.
 SHARD_ITEMS, SHARD_BYTES = 5_000, 2 << 20
@@ -232,6 +232,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     empty benchmark finds nothing. Ids may repeat or be null; a repeated row is searched by itself. Items with the same
     text are each reported. Nothing is shuffled; each index is broadcast, and bounded by SHARD_ITEMS and SHARD_BYTES.
     """
+    small_batches(docs.sparkSession)
     out = None
     kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     names = [id_col, item_col, "score", "question_overlap", "answer_overlap", "at_word"]
@@ -259,6 +260,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs in whose text no item is found, with their columns as they were; no join, so ids don't matter."""
+    small_batches(docs.sparkSession)
     keep = F.lit(True)
     for index in indexes(benchmark, item_col, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(index)

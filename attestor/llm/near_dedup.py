@@ -14,13 +14,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import give_back, release, stored, text_or_empty
+from attestor.llm.common import give_back, release, small_batches, stored, text_or_empty
 from attestor.llm.graph import components
 
 #: Rows of a band; the chance that a pair at the threshold shares no band, and that a batch's posterior drops one.
@@ -32,7 +31,7 @@ LARGE, CENTRES = 16, 8
 #: Members of a block, and shingles of all of them.
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 #: Bits of the map of wanted ids by which texts are passed over before they are shuffled; its size never changes.
-MAP_BITS = 1 << 22
+MAP_BITS = 1 << 20
 MAX_WORDS = 150_000
 
 
@@ -157,18 +156,9 @@ def _likely(pairs: DataFrame, signed: DataFrame, threshold: tuple[int, int], val
 
 def _noted(rows: DataFrame, col: str, ids: DataFrame) -> DataFrame:
     """Rows whose value is among ids, and a few others: those whose hash has a bit that an id has set too."""
-    bits = np.zeros(MAP_BITS, bool)
-    bits[ids.select(F.pmod(F.xxhash64(ids.columns[0]), F.lit(MAP_BITS)).cast("int").alias("bit")).distinct().toArrow().column(0).to_numpy()] = True
-    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(bits))
-
-    @F.pandas_udf("boolean")
-    def noted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        release()
-        known = np.unpackbits(shared.value).astype(bool)
-        for bit in batches:
-            yield pd.Series(known[bit.to_numpy()], index=bit.index)
-
-    return rows.filter(noted(F.pmod(F.xxhash64(col), F.lit(MAP_BITS)).cast("int")))
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS)).cast("int")
+    bits = ids.select(bit(ids.columns[0]).alias("set")).distinct()  # MAP_BITS small rows at most
+    return rows.withColumn("bit", bit(col)).join(F.broadcast(bits), F.col("bit") == F.col("set"), "left_semi").drop("bit")
 
 
 def _sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -258,7 +248,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shing
                     take.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(take, pa.int64())) for k in (0, 1)], ["a", "b"])
 
-    own = _sets(wanted, docs, id_col, text_col, shingle)
+    own = stored(_sets(wanted, docs, id_col, text_col, shingle), "sets")
     both = pairs.join(own.select(F.col("rid").alias("a"), F.col("own").alias("oa")), "a").join(own.select(F.col("rid").alias("b"), F.col("own").alias("ob")), "b")
     return both.select("a", "b", "oa", "ob").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
@@ -272,6 +262,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id stand alone, have a null component and are kept. Rows that repeat an id count as one text, linked through any of
     them. An empty table gives an empty result; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     bands = bands_for(threshold, rows)
     signed = stored(_signed(docs, id_col, text_col, shingle, bands, rows), "signed")
     members = signed.select("id", "n", "fp")

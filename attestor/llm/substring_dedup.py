@@ -1,11 +1,16 @@
-"""Repeated passages by compressed FM-indexes.
-
-A window of WINDOW words has an anchor: the run of ANCHOR words in it with the least hash. Equal windows have equal
-anchors, so texts are cut into segments, the windows in a row that share an anchor, and a shard gets all segments of an
-anchor. Of segments that are equal as a whole the first stands for all, and the others are repeats from end to end.
-Where an anchor has different segments, they are indexed: suffixes are sorted, the Burrows-Wheeler transform goes into a
-wavelet matrix of bit vectors, and the windows of the segments are streamed through it by backward search. The interval
-that a full match gives is the set of places where the window stands, of which all but the first are reported.
+"""Repeated passages by FM-indexes.
+
+A window of WINDOW words has an anchor: the least hash of the runs of ANCHOR words in it. Equal windows have equal anchors,
+so texts are cut into segments, the windows in a row that share an anchor, and a shard has all segments of its anchors.
+Segments of one anchor with the same words (by a keyed hash of 96 bits) are one entry; the first stands for all, and the
+others repeat it from end to end. Where an anchor has several entries, they are indexed in shards of bounded size: suffixes
+are sorted, and the Burrows-Wheeler transform goes into a wavelet matrix of bit vectors, which takes some 2.6 bytes a word
+with its counts. The entries are then streamed through the index. Backward search gives at each place how far the words
+before it match; it stops where only the place itself is left and passes over all windows that hold what stopped it. Runs
+of windows that an earlier place has too are reported as intervals.
+
+Anchors that much of the corpus shares, by a sample or because their entries overfill a shard, aren't indexed. Their
+entries fall apart into windows, and these are grouped by keyed hashes of 128 bits, with partial sums before the shuffle.
 """
 
 from __future__ import annotations
@@ -15,53 +20,94 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestor.llm.common import release, stored, text_or_empty
-from attestor.llm.near_dedup import _Hashes, _noted
+from attestor.llm.common import release, small_batches, stored, text_or_empty
+from attestor.llm.words import Words, mixed, new_keys
 
 WINDOW, ANCHOR = 20, 5
-#: Words of the segments that one index holds; an anchor's segments stay together.
-SHARD_WORDS = 400_000
-MAX_WORDS = 500_000
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-
-
-class Words:
-    """64-bit hashes of a text's words, which part at \\x20 and \\x09-\\x0D."""
-
-    def __init__(self):
-        self.known = _Hashes()
-
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.encode().split()
-        if len(self.known) > MAX_WORDS:
-            self.known.clear()
-        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
-
-
-def segments(h: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first window, windows) of each segment; empty for a text shorter than a window."""
-    n = len(h) - window + 1
-    if n < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    m = len(h) - anchor + 1
-    g = np.full(m, anchor, np.uint64)
-    for i in range(anchor):
-        g = (g ^ h[i : m + i]) * _M1
-        g ^= g >> np.uint64(31)
-    g *= _M2
-    # The least value of each window, the leftmost of equals; by doubling, then two overlapping halves.
-    width, best, size = window - anchor + 1, np.arange(m), 1
-    while size * 2 <= width:
-        a, b = best[:-size], best[size:]
-        best, size = np.where(g[b] < g[a], b, a), size * 2
-    a, b = best[:n], best[width - size : width - size + n]
-    at = np.where(g[b] < g[a], b, a)
-    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    return g[at[first]], first, np.diff(np.append(first, n))
+#: Words of the segments that one index holds, and windows of a segment at most.
+SHARD_WORDS, RUN = 400_000, 64
+#: Words that are cut at once.
+BLOCK = 1 << 18
+#: Texts sampled to find common anchors, the hits in the sample that make an anchor common, and how many of them are
+#: noted at most. The sample decides only how rows are spread and which way they take; results don't depend on it.
+SAMPLE, HITS, COMMON = 4_000, 40, 100_000
+#: Parts into which the segments of a common anchor with the same words are split.
+SALTS = 64
+
+
+class Cutter:
+    """Segments of texts whose words are given by their hashes."""
+
+    def __init__(self, keys: tuple[int, ...], window: int = WINDOW, anchor: int = ANCHOR):
+        self.window, self.anchor, self.grams, self.ends = window, anchor, keys[4 : 4 + anchor], keys[4 + anchor : 8 + anchor]
+        self.powers = []
+        for base in keys[8 + anchor : 10 + anchor]:
+            up, down = (np.full(BLOCK + window + 1, np.uint64(x)) for x in (base, pow(base, -1, 2**64)))
+            up[0] = down[0] = 1
+            self.powers.append((np.cumprod(up), np.cumprod(down)))
+
+    @staticmethod
+    def n_keys(anchor: int = ANCHOR) -> int:
+        return 10 + anchor
+
+    def _sums(self, h: np.ndarray, k: int) -> np.ndarray:
+        return np.append(np.uint64(0), np.cumsum(h * self.powers[k][0][: len(h)]))
+
+    def prints(self, h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit hashes of each run of words [start, stop), wherever it stands."""
+        out = []
+        for k, own in enumerate((h, mixed(h, self.ends[0], 29))):
+            sums = self._sums(own, k)
+            out.append(mixed((sums[stop] - sums[start]) * self.powers[k][1][start] + (stop - start).astype(np.uint64), self.ends[1]))
+        return out[0], out[1]
+
+    def _block(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+        n = len(h) - self.window + 1
+        edge = np.zeros(n + 1, np.int8)
+        has = np.diff(first) >= self.window
+        edge[first[:-1][has]] += 1
+        edge[first[1:][has] - self.window + 1] -= 1
+        live = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+        m = len(h) - self.anchor + 1
+        low = np.zeros(m, np.uint64)
+        for i, key in enumerate(self.grams):
+            low += h[i : m + i] * np.uint64(key)
+        low = mixed(mixed(low, self.ends[2]), self.ends[3])
+        width, size = self.window - self.anchor + 1, 1
+        while size * 2 <= width:  # the least value of each window, by doubling and then by two overlapping parts
+            low, size = np.minimum(low[:-size], low[size:]), size * 2
+        low = np.minimum(low[:n], low[width - size : width - size + n])
+        same = live[1:] & live[:-1] & (low[1:] == low[:-1])
+        opens, closes = live.copy(), live.copy()
+        opens[1:] &= ~same
+        closes[:-1] &= ~same
+        start = np.flatnonzero(opens)
+        count = np.flatnonzero(closes) + 1 - start
+        if len(count) and count.max() > RUN:
+            parts = -(-count // RUN)
+            of = np.repeat(np.arange(len(count)), parts)
+            off = (np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)) * RUN
+            start, count = start[of] + off, np.minimum(count[of] - off, RUN)
+        s1, s2 = self.prints(h, start, start + count + self.window - 1)
+        text = np.searchsorted(first, start, "right") - 1
+        return text, start - first[text], count, low[start].view(np.int64), s1.view(np.int64), (s2 >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+    def __call__(self, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(text, first window, windows, anchor, and the two hashes of the words) of each segment."""
+        if len(h) <= BLOCK + self.window:
+            if len(h) >= self.window:
+                yield self._block(h, first)
+            return
+        for i in range(len(first) - 1):  # texts by themselves, long ones in blocks
+            own = h[first[i] : first[i + 1]]
+            for at in range(0, len(own) - self.window + 1, BLOCK):
+                part = own[at : at + BLOCK + self.window - 1]
+                text, begin, *rest = self._block(part, np.array([0, len(part)]))
+                yield text + i, begin + at, *rest
 
 
 class BitRank:
@@ -70,7 +116,7 @@ class BitRank:
     def __init__(self, bits: np.ndarray):
         packed = np.packbits(bits, bitorder="little")
         self.words = np.append(np.frombuffer(packed.tobytes() + bytes(-len(packed) % 8), "<u8"), np.uint64(0))
-        self.before = np.append(0, np.cumsum(np.bitwise_count(self.words)))[:-1].astype(np.int64)
+        self.before = np.append(0, np.cumsum(np.bitwise_count(self.words)))[:-1].astype(np.int32)
 
     def rank(self, i: np.ndarray) -> np.ndarray:
         w = i >> 6
@@ -78,60 +124,103 @@ class BitRank:
 
 
 class FMIndex:
-    """Backward search over a text of small integers, for patterns of up to depth symbols."""
+    """Backward search over a text of small integers, for patterns of up to depth symbols; order is the suffix array."""
 
     def __init__(self, text: np.ndarray, depth: int = WINDOW):
-        n = len(text)
-        rank, size = text.astype(np.int64), 1
-        while size < depth:  # suffixes by their first depth symbols
-            after = np.append(rank[size:] + 1, np.zeros(min(size, n), np.int64))[:n]
-            _, rank = np.unique(rank * (int(rank.max(initial=0)) + 2) + after, return_inverse=True)
+        n, top = len(text), int(text.max(initial=0))
+        self.n, self.levels = n, max(1, top.bit_length())
+        # Suffixes by their first depth symbols, equal ones by their places: by as many symbols as fit a key, then by doubling.
+        size = max(1, 62 // self.levels)
+        rank = text.astype(np.int64)
+        for i in range(1, min(size, depth)):
+            rank = (rank << self.levels) | np.append(text[i:], np.zeros(min(i, n), text.dtype))[:n]
+        while True:
+            self.order = np.argsort(rank, kind="stable")
+            own = rank[self.order]
+            new = np.append(np.zeros(min(n, 1), np.int64), np.cumsum(own[1:] != own[:-1]))
+            if size >= depth or not n or new[-1] == n - 1:
+                break
+            rank[self.order] = new
+            rank = rank * (int(new[-1]) + 2) + np.append(rank[size:] + 1, np.zeros(min(size, n), np.int64))[:n]
             size *= 2
-        order = np.argsort(rank, kind="stable")
-        bwt = text[order - 1].astype(np.int64)
-        self.levels = max(1, int(text.max(initial=0)).bit_length())
-        self.starts = np.searchsorted(np.sort(text), np.arange(int(text.max(initial=0)) + 2))
+        bwt = text[self.order - 1].astype(np.int64)
+        self.starts = np.searchsorted(np.sort(text), np.arange(top + 2))
         self.bits, self.zeros = [], []
+        symbols = np.arange(top + 1)
+        self.begins = np.zeros(top + 1, np.int64)  # where a symbol's range begins below the last level
         for level in range(self.levels - 1, -1, -1):
-            ones = (bwt >> level) & 1
-            self.bits.append(BitRank(ones.astype(bool)))
-            self.zeros.append(int(n - ones.sum()))
-            bwt = np.concatenate([bwt[ones == 0], bwt[ones == 1]])
-        self.n = n
-
-    def _rank(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """How often each symbol stands in the transform before at: down the matrix with both ends of the symbol's range."""
-        low = np.zeros_like(at)
+            ones = ((bwt >> level) & 1).astype(bool)
+            bits, zeros = BitRank(ones), int(n - ones.sum())
+            self.bits.append(bits)
+            self.zeros.append(zeros)
+            bwt = np.concatenate([bwt[~ones], bwt[ones]])
+            self.begins = self._down(len(self.bits) - 1, ((symbols >> level) & 1).astype(bool), self.begins)
+
+    def _down(self, k: int, one: np.ndarray, at: np.ndarray) -> np.ndarray:
+        ones = self.bits[k].rank(at)
+        return np.where(one, self.zeros[k] + ones, at - ones)
+
+    def back(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """One step of backward search for each end of an interval: how many suffixes lie before those that the symbol goes before."""
+        begin = self.starts[symbols] - self.begins[symbols]
         for k, level in enumerate(range(self.levels - 1, -1, -1)):
-            one = ((symbols >> level) & 1).astype(bool)
-            a, b = self.bits[k].rank(low), self.bits[k].rank(at)
-            low, at = np.where(one, self.zeros[k] + a, low - a), np.where(one, self.zeros[k] + b, at - b)
-        return at - low
-
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix intervals [low, high) of the rows of patterns, all at once."""
-        low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
-        for k in range(patterns.shape[1] - 1, -1, -1):
-            c = patterns[:, k]
-            low, high = self.starts[c] + self._rank(c, low), self.starts[c] + self._rank(c, high)
-        return low, high
-
-
-def repeats(parts: list[np.ndarray], window: int = WINDOW) -> list[np.ndarray]:
-    """For segments in the order of their places: the windows of each that an earlier one, or an earlier place in it, has."""
-    _, flat = np.unique(np.concatenate(parts), return_inverse=True)
-    sizes = np.array([len(p) for p in parts])
-    ends = np.cumsum(sizes)
-    text = np.zeros(len(flat) + len(parts), np.int64)  # 0 ends a segment
-    text[np.arange(len(flat)) + np.repeat(np.arange(len(parts)), sizes)] = flat + 1
-    begins = ends - sizes + np.arange(len(parts))
-    counts = sizes - window + 1
-    at = np.repeat(begins, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    low, _ = FMIndex(text, window).search(text[at[:, None] + np.arange(window)])
-    _, first = np.unique(low, return_index=True)
-    again = np.ones(len(at), bool)
-    again[first] = False
-    return np.split(again, np.cumsum(counts)[:-1])
+            at = self._down(k, ((symbols >> level) & 1).astype(bool), at)
+        return begin + at
+
+    def match(self, text: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For the text's own runs of depth symbols at the given places, from their ends: (interval's ends, symbols before
+        those that single the place out, or -1 if all of them together don't)."""
+        low, high, left = np.zeros(len(at), np.int64), np.full(len(at), self.n, np.int64), np.full(len(at), -1)
+        live = np.arange(len(at))
+        for k in range(depth - 1, -1, -1):
+            c = text[at[live] + k]
+            ends = self.back(np.concatenate([c, c]), np.concatenate([low[live], high[live]]))
+            low[live], high[live] = ends[: len(live)], ends[len(live) :]
+            alone = high[live] - low[live] == 1
+            left[live[alone]] = k
+            live = live[~alone]
+            if not len(live):
+                break
+        return low, high, left
+
+
+def repeats(words: np.ndarray, bounds: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, first window, windows) of the runs of windows that an earlier segment, or an earlier place in it, has too.
+
+    Segments come in the order of their places; words are all their words, and bounds where each begins, with one more
+    for the end.
+    """
+    sizes = np.diff(bounds)
+    _, flat = np.unique(words, return_inverse=True)
+    text = np.zeros(len(flat) + len(sizes), np.int32)  # 0 ends a segment
+    text[np.arange(len(flat)) + np.repeat(np.arange(len(sizes)), sizes)] = flat + 1
+    index = FMIndex(text, window)
+    order = np.append(index.order, len(text))
+    begins = bounds[:-1] + np.arange(len(sizes))
+    live = np.flatnonzero(sizes >= window)
+    at, last = begins.copy(), begins + sizes - window
+    out = []
+    while len(live):
+        place = at[live]
+        low, high, left = index.match(text, place, window)
+        at[live] = place + left + 1  # windows that hold what singles a place out stand there only
+        full = left < 0
+        if full.any():
+            begin, one, which = np.unique(low[full], return_index=True, return_inverse=True)
+            earliest = np.minimum.reduceat(order, np.stack([begin, high[full][one]], 1).ravel())[::2][which]
+            own, seg = place[full], live[full]
+            again = earliest < own
+            # From a repeat on both places are read side by side; as long as they agree, the windows that end there are repeats too.
+            run = again.astype(np.int64)
+            go = np.flatnonzero(again)
+            while len(go):
+                next_own, next_first = own[go] + run[go] + window - 1, earliest[go] + run[go] + window - 1
+                go = go[(text[next_own] != 0) & (text[next_own] == text[next_first])]
+                run[go] += 1
+            at[seg] = own + np.maximum(run, 1)
+            out.append((seg[again], (own - begins[seg])[again], run[again]))
+        live = live[at[live] <= last[live]]
+    return tuple(np.concatenate(x) if out else np.zeros(0, np.int64) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
 
 def covered(n_words: int, starts: np.ndarray, windows: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -146,111 +235,195 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per input row: id, n_words, n_removed, kept_sha256 (of the kept words joined by blanks), and kept_text if asked.
 
     Places are ordered by id (null before all), then by a hash of the text where rows share an id, then by word. A null
-    text has no words. Rows that repeat id and text share one fate. Texts shorter than a window keep all words. An
-    empty table gives an empty result; other columns are ignored.
+    text has no words. Rows that repeat id and text share one fate. Texts shorter than a window keep all words; very long
+    ones are cut in blocks, as a whole. An empty table gives an empty result; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    keyed = rows.withColumn("h", F.xxhash64("text"))
+    keyed = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    keys = new_keys(Cutter.n_keys())
+    segments = _segments(keyed, kind, keys, window)
+    marked = stored(_marked(segments, window), "segments")
+    # Of a common anchor's segments with the same words each part had a first; the first of these stands for all.
+    salted = marked.filter("way = 'salted'").withColumn("place", F.rank().over(Window.partitionBy("s1", "s2").orderBy("id", "h", "at")))
+    salted = stored(salted, "salted")
+    whole = marked.filter("way = 'whole'").select("id", "h", "at", "n").union(salted.filter("place > 1").select("id", "h", "at", "n"))
+    apart = marked.filter("way = 'windows'").select("id", "h", "at", "n").union(salted.filter("place = 1").select("id", "h", "at", "n"))
+    found = [whole, _indexed(keyed, marked.filter("way = 'index'").select("id", "h", "k", "at", "n"), kind, keys, window)]
+    if not apart.isEmpty():
+        found.append(_apart(keyed, apart, kind, keys, window))
+    gone = found[0]
+    for more in found[1:]:
+        gone = gone.unionByName(more)
+    gone = stored(gone.groupBy("id", "h").agg(F.collect_set(F.struct("at", "n")).alias("gone")), "intervals")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        words = Words()
         for batch in batches:
-            take, out = [], ([], [], [], [])
-            for i, text in enumerate(batch.column(2)):
-                h = words(text.as_py())
-                a, at, n = segments(h, window)
-                take.append(np.full(len(a), i))
-                s = np.fromiter((xxhash.xxh3_64_intdigest(h[x : x + k + window - 1].tobytes()) for x, k in zip(at.tolist(), n.tolist(), strict=True)), np.uint64, len(a))
-                for into, x in zip(out, (a.view(np.int64), s.view(np.int64), at, n), strict=True):
-                    into.append(x)
-            take = pa.array(np.concatenate(take) if take else np.zeros(0, np.int64))
-            cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32))], ["id", "h", "a", "s", "at", "n"])
-
-    all_of = keyed.select("id", "h", "text").mapInArrow(cut, f"id {kind}, h bigint, a bigint, s bigint, at int, n int")
-    place = F.struct("id", "h", "at")
-    group = Window.partitionBy("a")
-    marked = all_of.withColumns({"first": F.min(place).over(Window.partitionBy("a", "s")), "low": F.min("s").over(group), "high": F.max("s").over(group), "size": F.count(F.lit(1)).over(group)}).filter("size > 1")
-    is_first = place.eqNullSafe(F.col("first"))
-    # Repeats from end to end, and the segments that have to be compared.
-    marked = stored(marked.filter(~is_first | (F.col("low") != F.col("high"))).select("id", "h", "a", "at", "n", (~is_first).alias("whole")), "segments")
-    wanted = marked.filter("not whole").distinct()
-    per_doc = wanted.groupBy("id", "h").agg(F.collect_list(F.struct("a", "at", "n")).alias("want"))
+            total, removed, sha, texts = [], [], [], []
+            for text, off in zip(batch.column(1), batch.column(2), strict=True):
+                words = kept = text.as_py().encode().split()
+                if off.is_valid:
+                    runs = off.values
+                    gone = covered(len(words), runs.field("at").to_numpy(), runs.field("n").to_numpy().astype(np.int64), window)
+                    kept = [words[i] for i in np.flatnonzero(~gone).tolist()]
+                total.append(len(words))
+                removed.append(len(words) - len(kept))
+                data = b" ".join(kept)
+                sha.append(hashlib.sha256(data).hexdigest())
+                if with_text:
+                    texts.append(data.decode())
+            cols = [batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())] + ([pa.array(texts, pa.string())] if with_text else [])
+            yield pa.RecordBatch.from_arrays(cols, [id_col, "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text)
+
+    both = keyed.join(gone, keyed["id"].eqNullSafe(gone["id"]) & (keyed["h"] == gone["h"]), "left").select(keyed["id"], "text", "gone")
+    return both.mapInArrow(finish, f"`{id_col}` {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text)
+
+
+def _segments(keyed: DataFrame, kind: str, keys: tuple[int, ...], window: int) -> DataFrame:
+    """id, h, a, s1, s2, at, n, common: the segments of all texts, and whether their anchor is common."""
+
+    def cut(common: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
+            words, cutter = Words(keys), Cutter(keys, window)
+            for batch in batches:
+                for begin, h, first in words(batch.column(2)):
+                    for text, at, n, a, s1, s2 in cutter(h, first):
+                        take = pa.array(text + begin)
+                        cols = [batch.column(0).take(take), batch.column(1).take(take), *map(pa.array, (a, s1, s2, at.astype(np.int32), n.astype(np.int32), np.isin(a, common)))]
+                        yield pa.RecordBatch.from_arrays(cols, ["id", "h", "a", "s1", "s2", "at", "n", "common"])
+
+        return run
+
+    schema = f"id {kind}, h bigint, a bigint, s1 bigint, s2 int, at int, n int, common boolean"
+    texts = keyed.select("id", "h", "text")
+    n = texts.count()
+    sample = texts if n <= SAMPLE else texts.sample(SAMPLE / n, seed=11)
+    hits = sample.mapInArrow(cut(np.zeros(0, np.int64)), schema).groupBy("a").agg(F.count(F.lit(1)).alias("hits")).filter(F.col("hits") >= HITS)
+    common = hits.orderBy(F.desc("hits"), "a").limit(COMMON).select("a").toArrow().column(0).to_numpy()
+    return texts.mapInArrow(cut(np.sort(common)), schema)
+
+
+def _marked(segments: DataFrame, window: int) -> DataFrame:
+    """id, h, k, at, n, way, s1, s2 of the segments that repeat others or may hold repeats.
+
+    Rows go by anchor; those of common anchors by their words and a salt instead, as many texts have the same.
+    """
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
+    spread = segments.withColumn("k", F.when(F.col("common"), F.xxhash64("a", "s1", "s2", salt)).otherwise(F.col("a"))).repartition("k")
+    entry = Window.partitionBy("k", "s1", "s2").orderBy("id", "h", "at")
+    ranked = spread.withColumns({"place": F.rank().over(entry), "row": F.row_number().over(entry)})
+    once: Column = F.col("row") == 1
+    anchor = Window.partitionBy("k")
+    ranked = ranked.withColumns({"entries": F.count(F.when(once, 1)).over(anchor), "words": F.sum(F.when(once, F.col("n") + (window - 1))).over(anchor)})
+    way = F.when(F.col("place") > 1, "whole").when(F.col("common"), "salted").when(F.col("entries") == 1, None).when(F.col("words") > SHARD_WORDS, "windows").otherwise("index")
+    return ranked.select("id", "h", "k", "at", "n", way.alias("way"), F.when(F.col("common"), F.col("s1")).alias("s1"), F.when(F.col("common"), F.col("s2")).alias("s2")).filter("way is not null")
+
+
+def _sought(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, h, text, want: the texts that have wanted segments, with these."""
+    wanted = wanted.distinct()
+    per_doc = wanted.groupBy("id", "h").agg(F.collect_list(F.struct(*(c for c in wanted.columns if c not in ("id", "h")))).alias("want"))
+    return keyed.join(per_doc, keyed["id"].eqNullSafe(per_doc["id"]) & (keyed["h"] == per_doc["h"])).select(keyed["id"], keyed["h"], "text", "want")
+
+
+def _places(batch: pa.RecordBatch, begin: int, first: np.ndarray) -> tuple[np.ndarray, pa.StructArray, np.ndarray]:
+    """Of the texts from begin on, whose words begin at first: row and wanted segment, and where it begins among the words."""
+    want = batch.column(3).slice(begin, len(first) - 1)
+    rows = np.repeat(np.arange(len(first) - 1), np.asarray(want.value_lengths()))
+    flat = want.flatten()
+    return rows, flat, first[rows] + flat.field("at").to_numpy()
+
+
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All numbers of the runs that begin at start."""
+    ends = np.cumsum(size)
+    return np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _indexed(keyed: DataFrame, wanted: DataFrame, kind: str, keys: tuple[int, ...], window: int) -> DataFrame:
+    """id, h, at, n: intervals of repeated windows in the segments of anchors that have several entries."""
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        words = Words()
+        words = Words(keys)
         for batch in batches:
-            take, a, at, own = [], [], [], []
-            for i, (text, want) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                h = words(text.as_py())
-                for w in want.as_py():
-                    take.append(i)
-                    a.append(w["a"])
-                    at.append(w["at"])
-                    own.append(h[w["at"] : w["at"] + w["n"] + window - 1].tobytes())
-            t = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(t), batch.column(1).take(t), pa.array(a, pa.int64()), pa.array(at, pa.int32()), pa.array(own, pa.binary())], ["id", "h", "a", "at", "own"])
-
-    near = _noted(keyed, "h", wanted.select("h"))
-    cuts = near.join(per_doc, near["id"].eqNullSafe(per_doc["id"]) & (near["h"] == per_doc["h"])).select(near["id"], near["h"], "text", "want")
-    cuts = cuts.mapInArrow(slices, f"id {kind}, h bigint, a bigint, at int, own binary")
-    shards = cuts.repartition("a").sortWithinPartitions("a", "id", "h", "at")
+            for begin, h, first in words(batch.column(2)):
+                rows, want, start = _places(batch, begin, first)
+                size = want.field("n").to_numpy().astype(np.int64) + window - 1
+                own = h[_spans(start, size)]
+                ends = np.append(0, np.cumsum(8 * size)).astype(np.int32)
+                take = pa.array(rows + begin)
+                held = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(own)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), want.field("k"), want.field("at"), held], ["id", "h", "k", "at", "own"])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        held: list[tuple] = []
-        size = 0
+        held: list[pa.RecordBatch] = []
+        size, last = 0, None
 
         def flush() -> pa.RecordBatch:
-            # Places in their order; anchors differ between groups, so windows of two groups never match.
-            held.sort(key=lambda r: (r[0] is not None, r[0], r[1], r[3]))
-            unique = [r for i, r in enumerate(held) if not i or r[:4] != held[i - 1][:4]]
-            out: list[tuple] = []
-            for r, again in zip(unique, repeats([np.frombuffer(r[4], np.uint64) for r in unique], window) if unique else [], strict=True):
-                out += [(r[0], r[1], r[3] + int(k)) for k in np.flatnonzero(again)]
-            held.clear()
-            cols = list(zip(*out, strict=True)) or [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], id_type), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], ["id", "h", "at"])
-
-        last = None
+            rows = pa.Table.from_batches(held).combine_chunks()
+            k, h, at = (rows.column(c).to_numpy() for c in ("k", "h", "at"))
+            once = np.append(True, (k[1:] != k[:-1]) | (h[1:] != h[:-1]) | (at[1:] != at[:-1]))
+            if not once.all():  # rows that repeat id and text
+                rows = rows.take(pa.array(np.flatnonzero(once))).combine_chunks()
+            _, ends, data = rows.column("own").chunk(0).buffers()
+            own = rows.column("own").chunk(0)
+            bounds = np.frombuffer(ends, np.int32, len(own) + 1, own.offset * 4).astype(np.int64) // 8
+            found, begin, n = repeats(np.frombuffer(data, np.uint64)[bounds[0] : bounds[-1]], bounds - bounds[0], window)
+            take = pa.array(found)
+            first = rows.column("at").take(take).to_numpy() + begin
+            cols = [rows.column("id").take(take).combine_chunks(), rows.column("h").take(take).combine_chunks(), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))]
+            return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols], ["id", "h", "at", "n"])
+
         for batch in batches:
-            id_type = batch.schema.field(0).type
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size > SHARD_WORDS and row[2] != last:
+            if not batch.num_rows:
+                continue
+            k = batch.column(2).to_numpy()
+            before = np.append(0, np.cumsum(np.asarray(pc.binary_length(batch.column(4))).astype(np.int64) // 8))
+            begin = 0
+            for b in np.flatnonzero(np.append(last is None or k[0] != last, k[1:] != k[:-1])).tolist():
+                if size + before[b] - before[begin] > SHARD_WORDS:
+                    held.append(batch.slice(begin, b - begin))
                     yield flush()
-                    size = 0
-                held.append(row)
-                last, size = row[2], size + len(row[4]) // 8
+                    held.clear()
+                    size, begin = 0, b
+            held.append(batch.slice(begin))
+            size, last = size + int(before[-1] - before[begin]), k[-1]
         if held:
             yield flush()
 
-    partial = shards.mapInArrow(index, f"id {kind}, h bigint, at int")
-    gone = marked.filter("whole").select("id", "h", "at", "n").unionByName(partial.withColumn("n", F.lit(1)))
-    gone = gone.groupBy("id", "h").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
+    cuts = _sought(keyed, wanted).mapInArrow(slices, f"id {kind}, h bigint, k bigint, at int, own binary")
+    # Windows of two anchors never match, so only the order within an anchor counts.
+    shards = cuts.repartition("k").sortWithinPartitions("k", "id", "h", "at")
+    return shards.mapInArrow(index, f"id {kind}, h bigint, at int, n int")
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _apart(keyed: DataFrame, wanted: DataFrame, kind: str, keys: tuple[int, ...], window: int) -> DataFrame:
+    """id, h, at, n (1): the windows of the wanted segments that an earlier place among them has too."""
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
+        words, cutter = Words(keys), Cutter(keys, window)
         for batch in batches:
-            total, removed, sha, texts = [], [], [], []
-            for text, at, n in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
-                words = text.as_py().encode().split()
-                if at.is_valid:
-                    off = covered(len(words), np.array(at.as_py()), np.array(n.as_py()), window)
-                    kept = [w for w, o in zip(words, off.tolist(), strict=True) if not o]
-                else:
-                    kept = words
-                total.append(len(words))
-                removed.append(len(words) - len(kept))
-                data = b" ".join(kept)
-                sha.append(hashlib.sha256(data).hexdigest())
-                if with_text:
-                    texts.append(data.decode())
-            cols = [batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())] + ([pa.array(texts, pa.string())] if with_text else [])
-            yield pa.RecordBatch.from_arrays(cols, [id_col, "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text)
-
-    gone = stored(gone, "intervals")
-    both = keyed.join(gone, keyed["id"].eqNullSafe(gone["id"]) & (keyed["h"] == gone["h"]), "left").select(keyed["id"], "text", "at", "n")
-    return both.mapInArrow(finish, f"`{id_col}` {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * with_text)
+            for begin, h, first in words(batch.column(2)):
+                rows, want, start = _places(batch, begin, first)
+                n = want.field("n").to_numpy().astype(np.int64)
+                of, offset = np.repeat(np.arange(len(n)), n), _spans(np.zeros(len(n), np.int64), n)
+                at = start[of] + offset
+                for lo in range(0, len(at), BLOCK // window):
+                    part = slice(lo, lo + BLOCK // window)
+                    own = h[(at[part, None] + np.arange(window)).ravel()]
+                    begins = np.arange(0, len(own), window)
+                    w1, w2 = cutter.prints(own, begins, begins + window)
+                    take = pa.array(rows[of[part]] + begin)
+                    place = want.field("at").to_numpy()[of[part]] + offset[part]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(place.astype(np.int32)), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64))], ["id", "h", "at", "w1", "w2"])
+
+    each = stored(_sought(keyed, wanted).mapInArrow(single, f"id {kind}, h bigint, at int, w1 bigint, w2 bigint"), "windows")
+    place = F.struct("id", "h", "at")
+    first = each.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).select("w1", "w2", "first")
+    both = each.join(stored(first, "first-windows"), ["w1", "w2"]).filter(~place.eqNullSafe(F.col("first")))
+    return both.select("id", "h", "at", F.lit(1).alias("n"))

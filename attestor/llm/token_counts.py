@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from attestor.llm.bpe import MAX_TEXTS, vocabulary, worker_encoder
-from attestor.llm.common import text_or_empty, trim
+from attestor.llm.common import small_batches, text_or_empty, trim
 
 #: To which section a token over a boundary counts: that of its first or last byte, or the one with most of its bytes (the first of equals).
 START, END, MOST = "start", "end", "most"
@@ -47,6 +47,7 @@ def token_counts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     """
     if rule not in (START, END, MOST):
         raise ValueError(f"unknown rule {rule!r}")
+    small_batches(docs.sparkSession)
     shared = vocabulary(docs.sparkSession, path)
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "n_tokens", "n_sections", "n_crossing", "section_tokens"]

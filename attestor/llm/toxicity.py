@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import give_back, release, text_or_empty
+from attestor.llm.common import give_back, release, small_batches, text_or_empty
 
 #: The model is fitted on at most so many labelled texts of each class, those with the smallest hashes of their ids.
 SAMPLE_PER_CLASS = 1_500
@@ -177,6 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Rows with null ids or labels, and ids that carry both labels, are left out; class shares come from all rows that
     remain. Without any, every score is the same 0.5.
     """
+    small_batches(docs.sparkSession)
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)").filter(~held_out("id"))
     own = own.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).filter("y = most").drop("most").cache()
     shares = {r.y: r.n for r in own.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -231,6 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score_column(docs: DataFrame, model: Toxicity, text_col: str = "text") -> Column:
     """The probability that a row's text is toxic, from the text alone."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     @F.pandas_udf("double")

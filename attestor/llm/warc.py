@@ -24,6 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestor.llm.common import small_batches
+
 #: Lines of an index block, and bytes of html in the records of one archive, after which the next begins.
 LINES, ARCHIVE_BYTES = 300, 256 << 20
 #: Fixed value: the date of records, as the table has none.
@@ -238,6 +240,7 @@ def archive_pages(spark: SparkSession, pages: DataFrame, folder: str, id_col: st
     ids lose against all others; in a group of only null ids all are responses. An empty table writes nothing and gives an empty result.
     The folder has to be one that all executors share.
     """
+    small_batches(spark)
     captures = folder + "/captures"
     write_archives(roles(pages, id_col, html_col, least), folder).write.parquet(captures)
     directory = folder + "/directory"

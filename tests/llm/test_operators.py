@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from attestor.llm import bpe, decontaminate, exact_dedup, near_dedup, secrets, substring_dedup, token_counts, toxicity, url_filter, warc
+from attestor.llm import bpe, decontaminate, exact_dedup, near_dedup, secrets, substring_dedup, token_counts, toxicity, url_filter, warc, words
 from attestor.llm.common import scratch
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -216,9 +216,9 @@ def test_near(docs, none, rows):
     assert near_dedup.drop_near_copies(docs).columns == docs.columns
 
 
-def test_substrings(docs, none, rows):
-    got = {r.doc_id: r for r in substring_dedup.remove_repeats(docs).collect()}
-    seen: set = set()
+def without_repeats(rows):
+    """By definition: (words, words removed, digest of the rest) of each distinct row, in the order of ids."""
+    seen, out = set(), {}
     for i, t in sorted({(i, t) for i, t in rows}, key=lambda r: (r[0] is not None, r[0])):
         w = WORD.findall(t or "")
         off = [False] * len(w)
@@ -228,10 +228,53 @@ def test_substrings(docs, none, rows):
                 off[j : j + 20] = [True] * 20
             seen.add(x)
         kept = [a for a, o in zip(w, off, strict=True) if not o]
-        assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(w), len(w) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest())
+        out[i] = len(w), len(w) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest()
+    return out
+
+
+@pytest.mark.parametrize("hits,shard,run,block,piece", [(40, 400_000, 64, 1 << 18, 1 << 19), (2, 400_000, 64, 1 << 18, 1 << 19), (10**6, 60, 7, 1 << 18, 300), (3, 100, 5, 40, 200)])
+def test_substrings(docs, none, rows, monkeypatch, hits, shard, run, block, piece):
+    """As it is; with common anchors; with overfull shards; with short runs, blocks and pieces."""
+    for name, value in (("HITS", hits), ("SHARD_WORDS", shard), ("RUN", run), ("BLOCK", block)):
+        monkeypatch.setattr(substring_dedup, name, value)
+    monkeypatch.setattr(words, "PIECE", piece)
+    got = substring_dedup.remove_repeats(docs, with_text=True).collect()
+    want = without_repeats(rows)
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got} == {(i, *x) for i, x in want.items()}
+    assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got)
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_one_passage_in_many_contexts(spark, monkeypatch):
+    """A passage that all texts share between words of their own: its anchors have as many entries as there are texts."""
+    r = random.Random(4)
+    passage = [f"p{i}" for i in range(45)]
+    own = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    rows = [(i, " ".join(own(r.randint(0, 30)) + passage + own(r.randint(0, 30)))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for hits, shard in ((40, 400_000), (10**6, 400_000), (10**6, 500)):
+        monkeypatch.setattr(substring_dedup, "HITS", hits)
+        monkeypatch.setattr(substring_dedup, "SHARD_WORDS", shard)
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(docs).collect()}
+        assert got == without_repeats(rows)
+
+
+def test_index_finds_intervals():
+    """Matching against all windows of random segments over few words."""
+    r = np.random.default_rng(1)
+    for _ in range(60):
+        window = int(r.integers(2, 6))
+        parts = [r.integers(0, r.integers(1, 4), r.integers(window, 15)).astype(np.uint64) for _ in range(r.integers(1, 12))]
+        seen, want = set(), set()
+        for i, x in enumerate(parts):
+            for j in range(len(x) - window + 1):
+                want |= {(i, j)} if tuple(x[j : j + window]) in seen else set()
+                seen.add(tuple(x[j : j + window]))
+        found = substring_dedup.repeats(np.concatenate(parts), np.append(0, np.cumsum([len(x) for x in parts])), window)
+        assert {(int(i), int(j + k)) for i, j, n in zip(*found, strict=True) for k in range(n)} == want
+
+
 def test_decontaminate(spark, none):
     r = random.Random(3)
     base = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
