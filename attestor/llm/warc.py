@@ -1,8 +1,9 @@
 """WARC archives with revisit records, and a two-level index of captures.
 
 Archives are gzip members, one a record. The index has a line for each capture, sorted by the URL's key (host reversed,
-then the path), in gzip blocks; a sparse directory has the first key of each block and where it lies. A lookup searches
-the directory and then the block by halves, and reads the record's range from the archive.
+then the path) and the page's id, in gzip blocks. Each shard of it has a sparse directory beside it: the first line of each
+block, and where the block lies. A lookup finds the shard, searches its directory and then the block by halves, and reads
+the record's range from the archive. Reading all pages back is a lookup for each of them, sorted so that a task meets few shards.
 """
 
 from __future__ import annotations
@@ -12,11 +13,13 @@ import bisect
 import gzip
 import hashlib
 import json
+import math
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -24,10 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import small_batches
+from attestor.llm.common import open_uri, qualified, small_batches
 
 #: Lines of an index block, and bytes of html in the records of one archive, after which the next begins.
 LINES, ARCHIVE_BYTES = 300, 256 << 20
+#: Bytes of records that a task reads back at most, and lines of a shard of the index; in the mean, as ranges are sampled.
+READ_BYTES, SHARD_LINES = 8 << 20, 100_000
+#: Blocks that a reader keeps, and lookups that it resolves before it reads their records in the order of the archives.
+KEPT_BLOCKS, LOOKUPS = 8, 2_000
 #: Fixed value: the date of records, as the table has none.
 DATE = "2000-01-01T00:00:00Z"
 
@@ -47,18 +54,22 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(id_: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC/1.1 record. A revisit has no payload but names the digest and length of the one it repeats."""
-    name = lambda x: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, str(x))}>"
+def uri_of(url: str | None) -> str:
+    """The URL as a header may hold it: what isn't ASCII, blanks and control characters as percent codes; "about:blank" without any."""
+    return quote(url, safe="!#$%&'()*+,/:;=?@[]~") if url else "about:blank"
+
+
+def record(name: str, id_: int | None, url: str | None, payload: bytes, first: tuple[int | None, str | None] | None) -> bytes:
+    """One WARC/1.1 record. first: id and URL of the page that a revisit repeats; it has no payload but names that one's digest and length."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-    block = http if revisit else http + payload
-    # json keeps line ends out of a header
+    block = http if first else http + payload
     lines = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name(id_)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {json.dumps(url)}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if first else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, name)}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri_of(url)}",
         f"WARC-Payload-Digest: sha1:{digest(payload)}", f"X-Payload-Length: {len(payload)}", f"X-Page-ID: {json.dumps(id_)}",
-        *([f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers_to)}", f"X-Refers-To-Page: {json.dumps(refers_to)}"] if revisit else []),
-        "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}",
     ]
+    if first:
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Target-URI: {uri_of(first[1])}", f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page: {json.dumps(first[0])}"]
+    lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -75,10 +86,6 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return headers, block.partition(b"\r\n\r\n")[2]
 
 
-def _open(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-
-
 def _finish(where: fs.FileSystem, made: str, final: str) -> None:
     """Puts a whole file in its place; of two attempts of one task either's file will do."""
     where.move(made, final)
@@ -88,7 +95,7 @@ class _Archive:
     """A file that grows under a name of its own attempt and appears under its final name when it is whole."""
 
     def __init__(self, folder: str, name: str):
-        self.where, base = _open(folder)
+        self.where, base = open_uri(folder)
         self.final, self.name = f"{base}/{name}", name
         self.made = f"{base}/.{name}-{uuid.uuid4().hex}"
         self.where.create_dir(base, recursive=True)
@@ -105,13 +112,13 @@ class _Archive:
         _finish(self.where, self.made, self.final)
 
 
-def roles(pages: DataFrame, id_col: str, html_col: str, least: int) -> DataFrame:
-    """id, url, payload and, for revisits, revisit = true and whom they repeat: of equal payloads the largest id is the response."""
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col("url"), F.encode(F.coalesce(html_col, F.lit("")), "UTF-8").alias("payload"))
+def roles(pages: DataFrame, id_col: str, url_col: str, html_col: str, least: int) -> DataFrame:
+    """id, url, payload and, for revisits, id and url of the page that they repeat: of equal payloads the largest id is the response."""
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.encode(F.coalesce(html_col, F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumns({"sha": F.sha2("payload", 256), "size": F.octet_length("payload")})
-    groups = rows.filter(F.col("size") >= least).groupBy("sha").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "first")
+    groups = rows.filter(F.col("size") >= least).groupBy("sha").agg(F.max(F.struct("id", "url")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "first")
     joined = rows.join(groups, "sha", "left")
-    return joined.select("id", "url", "payload", F.coalesce(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.lit(False)).alias("revisit"), "first")
+    return joined.select("id", "url", "payload", F.when(F.col("first.id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first.id")), F.col("first")).alias("first"))
 
 
 def write_archives(rows: DataFrame, folder: str) -> DataFrame:
@@ -121,13 +128,13 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
         archive, n, size, part = None, 0, 0, TaskContext.get().partitionId()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for id_, url, payload, revisit, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for id_, url, payload, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if archive is None or size > ARCHIVE_BYTES:
                     if archive:
                         archive.close()
                     archive, n, size = _Archive(folder, f"part-{part:06d}-{n:04d}-{uuid.uuid4().hex}.warc.gz"), n + 1, 0
                 size += len(payload)
-                at, length = archive.add(record(id_, url, payload, first, revisit))
+                at, length = archive.add(record(f"{archive.name}/{archive.at}", id_, url, payload, first and (first["id"], first["url"])))
                 for into, x in zip(out, (url_key(url), id_, archive.name, at, length), strict=True):
                     into.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["key", "id", "archive", "offset", "length"])
@@ -137,25 +144,47 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
     return rows.mapInArrow(run, CAPTURE)
 
 
+#: A page's place in the index: its URL's key and its id, null before all.
+Place = tuple[str, tuple[bool, int]]
+
+
+def place_of(key: str, id_: int | None) -> Place:
+    return key, (id_ is not None, id_ or 0)
+
+
+@dataclass(frozen=True)
+class Shard:
+    """An entry of the list of shards: the first line's place, and the shard's name."""
+
+    first: Place
+    name: str
+
+
 @dataclass(frozen=True)
 class Block:
-    """An entry of the directory: the first line's key, and where the block lies."""
+    """An entry of a shard's directory: the first line's place, and where the block lies."""
 
-    key: str
-    shard: str
+    first: Place
     offset: int
     length: int
 
 
-def write_index(captures: DataFrame, folder: str) -> DataFrame:
-    """Sorts the captures by key into shards of compressed blocks; returns the directory: key, shard, offset, length."""
+def _directory(name: str) -> str:
+    return name.removesuffix(".gz") + ".directory"
+
+
+SHARD = "key string, id bigint, shard string"
+
+
+def write_index(captures: DataFrame, folder: str, shards: int) -> DataFrame:
+    """Sorts the captures by key and id into shards of compressed blocks, each with its directory; returns the list of shards: key, id, shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, lines, out = None, [], []
+        shard, lines, directory = None, [], []
 
         def flush() -> None:
             at, length = shard.add("".join(lines).encode(), 6)
-            out.append((json.loads(lines[0])[0], shard.name, at, length))
+            directory.append([*json.loads(lines[0])[:2], at, length])
             lines.clear()
 
         for batch in batches:
@@ -168,56 +197,103 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
             flush()
         if shard:
             shard.close()
-        cols = list(zip(*out, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["key", "shard", "offset", "length"])
+            beside = _Archive(folder, _directory(shard.name))
+            beside.add("".join(json.dumps(x) + "\n" for x in directory).encode(), 6)
+            beside.close()
+            yield pa.RecordBatch.from_arrays([pa.array([directory[0][0]], pa.string()), pa.array([directory[0][1]], pa.int64()), pa.array([shard.name], pa.string())], ["key", "id", "shard"])
 
-    ranged = captures.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
-    return ranged.mapInArrow(run, "key string, shard string, offset bigint, length bigint")
+    ranged = captures.repartitionByRange(shards, "key", "id").sortWithinPartitions("key", "id")
+    return ranged.mapInArrow(run, SHARD)
 
 
 class Reader:
     """Ranges of the files of a folder; keeps the file opened last."""
 
     def __init__(self, folder: str):
-        self.where, self.base = _open(folder)
+        self.where, self.base = open_uri(folder)
         self.name, self.file = None, None
 
-    def read(self, name: str, offset: int, length: int) -> bytes:
+    def _file(self, name: str):
         if name != self.name:
             if self.file:
                 self.file.close()
             self.name, self.file = name, self.where.open_input_file(f"{self.base}/{name}")
-        return zlib.decompress(self.file.read_at(length, offset), 31)
-
+        return self.file
 
-def lookup(url: str, directory: list[Block], index: Reader, archives: Reader) -> list[tuple[dict[str, str], bytes]]:
-    """All records of a URL, by the directory (sorted by key), one block after another, and range reads."""
-    key, out = url_key(url), []
-    at = max(0, bisect.bisect_left(directory, key, key=lambda b: b.key) - 1)
-    while at < len(directory) and directory[at].key <= key:
-        lines = [json.loads(x) for x in index.read(directory[at].shard, directory[at].offset, directory[at].length).splitlines()]
-        for row in lines[bisect.bisect_left(lines, key, key=lambda r: r[0]) :]:
-            if row[0] != key:
-                break
-            out.append(parse(archives.read(*row[2:])))
-        at += 1
-    return out
-
-
-def read_back(directory: DataFrame, folder: str) -> DataFrame:
-    """Reads every capture through the index: id, payload_bytes, payload_digest, record_type, refers_to.
-
-    Blocks are spread over tasks; those of a block are read in the order of archives and offsets. The figures of a
-    response come from the payload that is read, those of a revisit from its headers.
+    def read(self, name: str, offset: int, length: int) -> bytes:
+        return zlib.decompress(self._file(name).read_at(length, offset), 31)
+
+    def whole(self, name: str) -> bytes:
+        return zlib.decompress(self._file(name).readall(), 31)
+
+
+class Captures:
+    """Searches an index: the list of shards, a shard's directory and a block, each by halves."""
+
+    def __init__(self, shards: list[Shard], folder: str):
+        self.shards, self.reader = sorted(shards, key=lambda s: s.first), Reader(folder)
+        self.directories: dict[str, list[Block]] = {}
+        self.blocks: dict[tuple[str, int], list[list]] = {}
+
+    def _blocks_of(self, shard: Shard) -> list[Block]:
+        if shard.name not in self.directories:
+            if len(self.directories) >= KEPT_BLOCKS:
+                self.directories.clear()
+            rows = map(json.loads, self.reader.whole(_directory(shard.name)).splitlines())
+            self.directories[shard.name] = [Block(place_of(key, id_), offset, length) for key, id_, offset, length in rows]
+        return self.directories[shard.name]
+
+    def _lines(self, shard: Shard, block: Block) -> list[list]:
+        at = shard.name, block.offset
+        if at not in self.blocks:
+            if len(self.blocks) >= KEPT_BLOCKS:
+                self.blocks.clear()
+            self.blocks[at] = [json.loads(x) for x in self.reader.read(shard.name, block.offset, block.length).splitlines()]
+        return self.blocks[at]
+
+    def between(self, low: Place, high: Place) -> Iterator[list]:
+        """The captures from low to high: key, id, archive, offset, length."""
+        n = max(0, bisect.bisect_left(self.shards, low, key=lambda s: s.first) - 1)
+        while n < len(self.shards) and self.shards[n].first <= high:
+            blocks = self._blocks_of(self.shards[n])
+            k = max(0, bisect.bisect_left(blocks, low, key=lambda b: b.first) - 1)
+            while k < len(blocks) and blocks[k].first <= high:
+                lines = self._lines(self.shards[n], blocks[k])
+                begin = bisect.bisect_left(lines, low, key=lambda r: place_of(*r[:2]))
+                for row in lines[begin:]:
+                    if place_of(*row[:2]) > high:
+                        return
+                    yield row
+                k += 1
+            n += 1
+
+
+def lookup(url: str, captures: Captures, archives: Reader) -> list[tuple[dict[str, str], bytes]]:
+    """All records of a URL, by the index and range reads."""
+    key = url_key(url)
+    return [parse(archives.read(*row[2:])) for row in captures.between((key, (False, 0)), (key, (True, 2**63)))]
+
+
+def shards_of(index: DataFrame) -> list[Shard]:
+    """The list of shards, SHARD_LINES captures each in the mean."""
+    return [Shard(place_of(r.key, r.id), r.shard) for r in index.collect()]
+
+
+def read_back(pages: DataFrame, shards: list[Shard], folder: str, tasks: int) -> DataFrame:
+    """Looks up every page (distinct key and id): id, payload_bytes, payload_digest, record_type, refers_to of its captures.
+
+    The figures of a response come from the payload that is read, those of a revisit from its headers.
     """
+    shared = pages.sparkSession.sparkContext.broadcast(shards)  # a name and a place for each shard
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, archives = Reader(folder), Reader(folder)
+        captures, archives = Captures(shared.value, folder), Reader(folder)
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for shard, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows = [json.loads(x) for x in index.read(shard, offset, length).splitlines()]
-                for row in sorted(rows, key=lambda r: (r[2], r[3])):
+            wanted = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            for lo in range(0, len(wanted), LOOKUPS):
+                found = [row for key, id_ in wanted[lo : lo + LOOKUPS] for row in captures.between(place_of(key, id_), place_of(key, id_))]
+                out: list[list] = [[], [], [], [], []]
+                for row in sorted(found, key=lambda r: (r[2], r[3])):
                     headers, payload = parse(archives.read(*row[2:]))
                     kind, own = headers["WARC-Type"], headers["WARC-Payload-Digest"].removeprefix("sha1:")
                     if kind == "response" and digest(payload) != own:
@@ -226,24 +302,27 @@ def read_back(directory: DataFrame, folder: str) -> DataFrame:
                     refers = json.loads(headers["X-Refers-To-Page"]) if kind == "revisit" else None
                     for into, x in zip(out, (json.loads(headers["X-Page-ID"]), size, own, kind, refers), strict=True):
                         into.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    spread = directory.select("shard", "offset", "length").repartition(F.xxhash64("shard", "offset"))
+    spread = pages.repartitionByRange(tasks, "key", "id").sortWithinPartitions("key", "id")
     return spread.mapInArrow(run, "id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
-def archive_pages(spark: SparkSession, pages: DataFrame, folder: str, id_col: str = "page_id", html_col: str = "html", least: int = 0) -> DataFrame:
-    """Writes one record for each row of pages (id, url, html) and reads them back: one row per input row.
+def archive_pages(spark: SparkSession, pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> DataFrame:
+    """Writes one record for each row of pages (id, url, html) and reads them back through the index: one row per input row.
 
     A null html is an empty payload, a null url an empty target. Of rows with equal payloads of at least least bytes the
     one with the largest id is the response and the others revisit it; rows that repeat that id are responses too. Null
-    ids lose against all others; in a group of only null ids all are responses. An empty table writes nothing and gives an empty result.
-    The folder has to be one that all executors share.
+    ids lose against all others; in a group of only null ids all are responses. Very long payloads are whole records; rows
+    that repeat id and url are each found. An empty table writes nothing and gives an empty result; other columns are
+    ignored. The folder has to be one that all executors share.
     """
     small_batches(spark)
-    captures = folder + "/captures"
-    write_archives(roles(pages, id_col, html_col, least), folder).write.parquet(captures)
-    directory = folder + "/directory"
-    write_index(spark.read.schema(CAPTURE).parquet(captures), folder).write.parquet(directory)
-    found = read_back(spark.read.schema("key string, shard string, offset bigint, length bigint").parquet(directory), folder)
+    folder = qualified(spark, folder)
+    write_archives(roles(pages, id_col, url_col, html_col, least), folder).write.parquet(folder + "/captures")
+    captures = spark.read.schema(CAPTURE).parquet(folder + "/captures")
+    n, size = captures.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    write_index(captures, folder, max(1, math.ceil(n / SHARD_LINES))).write.parquet(folder + "/shards")
+    shards = shards_of(spark.read.schema(SHARD).parquet(folder + "/shards"))
+    found = read_back(captures.select("key", "id").distinct(), shards, folder, max(1, math.ceil(size / READ_BYTES), math.ceil(n / SHARD_LINES)))
     return found.withColumnRenamed("id", id_col)
