@@ -6,22 +6,28 @@ by what the item scores for itself, so one threshold fits all items. What is abo
 
 from __future__ import annotations
 
+import itertools
 import math
+import pickle
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from attestor.llm.common import give_back, release, small_batches, stored, text_or_empty
+from attestor.llm.common import free_name, give_back, open_uri, qualified, release, scratch, small_batches, stored, text_or_empty
 
 #: Items and bytes of one index; a larger benchmark is split, and the texts are searched with one index after another.
 SHARD_ITEMS, SHARD_BYTES = 5_000, 2 << 20
+#: Bytes of texts that are held to be searched with each of several indexes.
+HELD_BYTES = 32 << 20
 K1, B = 1.2, 0.75
 #: Items of a block, of which the index keeps the largest weight of each term.
 BLOCK = 8
@@ -225,55 +231,103 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
         yield build(rows, Corpus(n_items, mean, {r.word: r.n for r in table.join(own, "word").collect()}))
 
 
+class Search:
+    """Searches texts with all indexes in a worker: one that is broadcast, or files of the shared folder, loaded one after another."""
+
+    def __init__(self, only: Broadcast | None, files: list[str]):
+        self.files, self.only = files, Finder(only.value) if only else None
+
+    def _finders(self) -> Iterator[Finder]:
+        if self.only:
+            yield self.only
+        for uri in self.files:
+            where, path = open_uri(uri)
+            with where.open_input_file(path) as f:
+                yield Finder(pickle.loads(f.readall()))
+
+    def __call__(self, texts: list[str]) -> list[list[tuple]]:
+        """For each text (item, score, question and answer overlap, the passage's first word) of what is found in it."""
+        out: list[list[tuple]] = [[] for _ in texts]
+        for find in self._finders():
+            for into, text in zip(out, texts, strict=True):
+                into += [(find.index.items[at], *got) for at, got in sorted(find(text).items())]
+        return out
+
+    def held(self, batches: Iterator, size: Callable) -> Iterator[list]:
+        """Batches in lists of about HELD_BYTES, so that files are loaded once for each list; one by one if there are none."""
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += size(batch)
+            if not self.files or n >= HELD_BYTES:
+                yield held
+                held, n = [], 0
+        if held:
+            yield held
+
+
+def searcher(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Callable[[], Search]:
+    """Makes, in a worker, a search of the whole benchmark."""
+    spark, only, files = benchmark.sparkSession, None, []
+    found = indexes(benchmark, id_col, text_col)
+    index = next(found)
+    following = next(found, None)
+    if following is None:
+        only = spark.sparkContext.broadcast(index)  # SHARD_ITEMS and SHARD_BYTES at most
+    else:
+        folder = qualified(spark, scratch(spark, "indexes"))
+        where, path = open_uri(folder)
+        where.create_dir(path, recursive=True)
+        for k, index in enumerate(itertools.chain([index, following], found)):
+            with where.open_output_stream(f"{path}/{k:06d}.pickle") as f:
+                f.write(pickle.dumps(index))
+            files.append(f"{folder}/{k:06d}.pickle")
+    return lambda: Search(only, files)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each text and item found in it: id, item, score, question_overlap, answer_overlap, at_word.
 
-    Words are runs of letters, digits and underscores, lower-cased. A null text is an empty one and holds nothing; an
-    empty benchmark finds nothing. Ids may repeat or be null; a repeated row is searched by itself. Items with the same
-    text are each reported. Nothing is shuffled; each index is broadcast, and bounded by SHARD_ITEMS and SHARD_BYTES.
+    Words are runs of letters, digits and underscores, lower-cased. A null text is an empty one and holds nothing; very long
+    texts are searched whole; an empty benchmark finds nothing. Ids may repeat or be null; a repeated row is searched by
+    itself. Items with the same text, or the same id, are each reported; of several passages that hold an item the best counts, the
+    first of equals. Other columns are ignored. Nothing is shuffled, and the texts are read once: an index of SHARD_ITEMS and
+    SHARD_BYTES at most is broadcast, more are stored and loaded one after another.
     """
     small_batches(docs.sparkSession)
-    out = None
-    kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    names = [id_col, item_col, "score", "question_overlap", "answer_overlap", "at_word"]
-    item_type = pa.int64() if kinds[1] == "bigint" else pa.int32() if kinds[1] == "int" else pa.string()
-    for index in indexes(benchmark, item_col, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            release()
-            find = Finder(shared.value)
-            for batch in batches:
-                take, rows = [], []
-                for i, text in enumerate(batch.column(1)):
-                    for item, got in sorted(find(text.as_py()).items()):
-                        take.append(i)
-                        rows.append((shared.value.items[item], *got))
-                cols = list(zip(*rows, strict=True)) or [()] * 5
-                kinds = (item_type, pa.float64(), pa.float64(), pa.float64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
-
-        part = docs.select(id_col, text_or_empty(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kinds[0]}, `{item_col}` {kinds[1]}, score double, question_overlap double, answer_overlap double, at_word bigint")
-        out = part if out is None else out.unionByName(part)
-    return out
+    kinds = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
+    names, item_type = [id_col, item_col, "score", "question_overlap", "answer_overlap", "at_word"], to_arrow_type(kinds[1])
+    make = searcher(benchmark, item_col, item_text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        search = make()
+        for held in search.held(batches, lambda b: b.nbytes):
+            found = search([t for b in held for t in b.column(1).to_pylist()])
+            ids = pa.concat_arrays([b.column(0) for b in held])
+            take = pa.array([i for i, rows in enumerate(found) for _ in rows], pa.int64())
+            cols = list(zip(*(r for rows in found for r in rows), strict=True)) or [()] * 5
+            kinds = (item_type, pa.float64(), pa.float64(), pa.float64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([ids.take(take), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
+
+    return docs.select(id_col, text_or_empty(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kinds[0].simpleString()}, `{item_col}` {kinds[1].simpleString()}, score double, question_overlap double, answer_overlap double, at_word bigint")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs in whose text no item is found, with their columns as they were; no join, so ids don't matter."""
     small_batches(docs.sparkSession)
-    keep = F.lit(True)
-    for index in indexes(benchmark, item_col, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        @F.pandas_udf("boolean")
-        def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            release()
-            find = Finder(shared.value)
-            for texts in batches:
-                yield pd.Series([not find(t) for t in texts], index=texts.index, dtype=bool)
-            find = texts = None
-            give_back()
-
-        keep = keep & clean(text_or_empty(text_col))
-    marked = docs.withColumn("__keep", keep)
-    return marked.filter("__keep").drop("__keep")
+    make = searcher(benchmark, item_col, item_text)
+
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release()
+        search = make()
+        for held in search.held(batches, lambda s: int(s.str.len().sum())):
+            found = iter(search([t for s in held for t in s]))
+            for s in held:
+                yield pd.Series([not next(found) for _ in range(len(s))], index=s.index, dtype=bool)
+        search = held = found = None
+        give_back()
+
+    keep = free_name(docs, "keep")
+    return docs.withColumn(keep, clean(text_or_empty(text_col))).filter(F.col(keep)).drop(keep)
