@@ -129,13 +129,15 @@ def _url_sql() -> str:
     hit = lambda t: f"regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::INT"
     url = "translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     times = lambda t: f"(len(regexp_extract_all(regexp_replace(low, '[^a-z0-9]', '\\0\\0', 'g'), '(^|[^a-z0-9]){t}([^a-z0-9]|$)', 0)))"
-    strict = " + ".join(times(t.replace("-", "--")) for t in url_filter.STRICT)
-    soft = " + ".join(hit(t) for t in url_filter.SOFT)
+    terms = url_filter.VOCABULARY
+    strict = " + ".join(times(t.replace("-", "--")) for t, w in terms.items() if w >= url_filter.STRICT_WEIGHT)
+    soft = {t: w for t, w in terms.items() if w < url_filter.STRICT_WEIGHT}
+    n_soft, weight = " + ".join(map(hit, soft)), " + ".join(f"{w} * {hit(t)}" for t, w in soft.items())
     return f"""
     WITH u AS (SELECT page_id, coalesce({url}, '') AS low, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
       coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-    c AS (SELECT page_id, host, path, {case('name')} AS rule, {case('verdict')} AS v, ({strict})::INT AS n_strict, ({soft})::INT AS n_soft FROM u)
-    SELECT page_id, host, path, rule, coalesce(v, CASE WHEN n_strict > 0 OR n_soft >= {url_filter.SOFT_LEAST} THEN 'block' ELSE 'allow' END) AS verdict, n_strict, n_soft FROM c
+    c AS (SELECT page_id, host, path, {case('name')} AS rule, {case('verdict')} AS v, ({strict})::INT AS n_strict, ({n_soft})::INT AS n_soft, ({weight})::INT AS soft_weight FROM u)
+    SELECT page_id, host, path, rule, coalesce(v, CASE WHEN n_strict > 0 OR (n_soft > 1 AND soft_weight >= {url_filter.SOFT_LEAST}) THEN 'block' ELSE 'allow' END) AS verdict, n_strict, n_soft, soft_weight FROM c
     """
 
 
