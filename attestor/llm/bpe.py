@@ -22,7 +22,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +32,7 @@ from attestor.llm.common import give_back, kept, release, small_batches, text_or
 MAX_PIECES, MAX_STATES, MAX_PAIRS, MAX_HEADS = 250_000, 150_000, 200_000, 40_000
 #: Bytes of a head: where the first so many bytes of a piece lead is looked up at once.
 HEAD = 5
-#: Texts whose results a worker remembers, by 128-bit hashes.
+#: Texts whose results a worker remembers, by cryptographic hashes of 128 bits.
 MAX_TEXTS = 50_000
 #: A vocabulary of more bytes than this isn't broadcast.
 MAX_VOCABULARY = 64 << 20
@@ -326,6 +325,10 @@ class StreamDecoder:
             raise ValueError("the ids end within a character")
 
 
+def text_key(text: str) -> bytes:
+    return hashlib.blake2b(text.encode(), digest_size=16).digest()
+
+
 def vocabulary(spark: SparkSession, path: str) -> Broadcast:
     return spark.sparkContext.broadcast(read_ranks(path))
 
@@ -337,7 +340,7 @@ def worker_encoder(data: bytes, pattern: str, keep: bool = True) -> Encoder:
     if not keep:
         release()
         return Encoder(parse_ranks(data), pattern, 0.5)
-    return kept(("bpe", xxhash.xxh3_128_digest(data), pattern), lambda: Encoder(parse_ranks(data), pattern))
+    return kept(("bpe", hashlib.blake2b(data).digest(), pattern), lambda: Encoder(parse_ranks(data), pattern))
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = 65_536, keep: bool = True) -> DataFrame:
@@ -361,7 +364,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
             rows: tuple[list, list, list] = ([], [], [])
             for text in batch.column(1):
                 text = text.as_py()
-                key = xxhash.xxh3_128_digest(text)
+                key = text_key(text)
                 if key in known:  # a copy of a text that this worker has had
                     for into, x in zip(rows, known[key], strict=True):
                         into.append(x)

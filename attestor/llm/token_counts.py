@@ -1,4 +1,4 @@
-"""Token counts by section: whole texts are encoded once, and token spans are joined to section spans."""
+"""Token counts by section or field: whole texts are encoded once, and token spans are joined to the spans of sections or fields."""
 
 from __future__ import annotations
 
@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from attestor.llm.bpe import MAX_TEXTS, vocabulary, worker_encoder
+from attestor.llm.bpe import MAX_TEXTS, text_key, vocabulary, worker_encoder
 from attestor.llm.common import small_batches, text_or_empty, trim
 
 #: To which section a token over a boundary counts: that of its first or last byte, or the one with most of its bytes (the first of equals).
@@ -39,11 +39,13 @@ def attribute(starts: np.ndarray, ends: np.ndarray, sections: np.ndarray, rule:
     return np.bincount(owner, minlength=len(sections)), len(crossing)
 
 
-def token_counts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n", rule: str = START) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n", rule: str = START, fields: list[str] | None = None) -> DataFrame:
     """One row per input row: id, n_tokens, n_sections, n_crossing, section_tokens (array<bigint>, sums to n_tokens).
 
-    A section ends with its separator. A null text is an empty one: no tokens and no sections. Ids may repeat or be null;
-    other columns are ignored; an empty table gives an empty result. Nothing is shuffled.
+    A section ends with its separator. With fields, these columns are encoded as one text, joined by separators, and each is
+    a section, an empty one too; a null field is an empty one. Without, a null text is an empty one: no tokens and no
+    sections. Very long texts are encoded whole. Ids may repeat or be null, repeated rows are counted by themselves; other
+    columns are ignored; an empty table gives an empty result. Nothing is shuffled.
     """
     if rule not in (START, END, MOST):
         raise ValueError(f"unknown rule {rule!r}")
@@ -56,14 +58,15 @@ def token_counts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
         encoder = worker_encoder(shared.value, pattern)
         ranks = encoder.transducer.ranks
         known: dict[bytes, tuple[np.ndarray, int]] = {}
+        gap = len(separator.encode())
         length = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
         for t, i in ranks.items():
             length[i] = len(t)
         for batch in batches:
             n_tokens, n_sections, n_crossing, counts, offsets = [], [], [], [], [0]
-            for text in batch.column(1):
-                text = text.as_py()
-                key = xxhash.xxh3_128_digest(text)
+            for text, sizes in zip(batch.column(1), batch.column(2), strict=True):
+                text, sizes = text.as_py(), sizes.as_py()
+                key = text_key(text) + repr(sizes).encode()
                 if key in known:  # a copy of a text that this worker has had
                     own, crossing = known[key]
                     n_tokens.append(int(own.sum()))
@@ -73,7 +76,7 @@ def token_counts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
                     offsets.append(offsets[-1] + len(own))
                     continue
                 ends = np.cumsum(length[np.frombuffer(encoder.encode(text), "<u4")])
-                sections = section_starts(text, separator)
+                sections = section_starts(text, separator) if sizes is None else np.append(0, np.cumsum(np.array(sizes) + gap))[:-1]
                 own, crossing = attribute(np.append(0, ends[:-1])[: len(ends)], ends, sections, rule)
                 if len(known) >= MAX_TEXTS:
                     known.clear()
@@ -88,4 +91,7 @@ def token_counts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
             batch = text = ends = None
             trim()
 
-    return docs.select(id_col, text_or_empty(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, n_sections bigint, n_crossing bigint, section_tokens array<bigint>")
+    text, sizes = text_or_empty(text_col), F.lit(None).cast("array<int>")
+    if fields:
+        text, sizes = F.concat_ws(separator, *(text_or_empty(f) for f in fields)), F.array(*(F.octet_length(text_or_empty(f)) for f in fields))
+    return docs.select(id_col, text.alias("text"), sizes.alias("sizes")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, n_sections bigint, n_crossing bigint, section_tokens array<bigint>")
