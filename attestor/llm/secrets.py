@@ -8,6 +8,7 @@ the findings back to all paths that hold the blob. All of it is DataFrame code.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from attestor.llm.common import text_or_empty
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
+#: Numbers that are summed one by one.
+BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -42,22 +45,37 @@ def rule_version(rules: tuple[Rule, ...]) -> str:
     return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
 
 
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
+
+
+def _sums_before(numbers: Column) -> Column:
+    """For each of the numbers the sum of those before it, block by block, so that many of them take little more than their number."""
+    parts = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda b: F.slice(x, b * BLOCK + 1, BLOCK))
+    inner = lambda part, base: F.transform(part, lambda _, i: base + _total(F.slice(part, 1, i)))
+    outer = lambda x, sums: F.flatten(F.transform(x, lambda part, b: _bound(_total(F.slice(sums, 1, b)), lambda base: inner(part, base))))
+    return _bound(numbers, lambda n: _bound(parts(n), lambda x: _bound(F.transform(x, _total), lambda sums: outer(x, sums))))
+
+
 def _spans(text: Column, rule: Rule, index: int) -> Column:
     """Matches in code points: a match starts after the gaps and matches before it."""
     pat = F.lit(rule.pattern)
-    rows = F.arrays_zip(
-        F.transform(F.split(text, rule.pattern, -1), F.length).alias("gap"),
-        F.transform(F.regexp_extract_all(text, pat, F.lit(0)), F.length).alias("hit"),
-        F.transform(F.regexp_extract_all(text, pat, F.lit(rule.group)), F.length).alias("own"),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    lengths = lambda x: F.transform(x, F.length)
+    hits = F.arrays_zip(lengths(F.regexp_extract_all(text, pat, F.lit(0))).alias("hit"), lengths(F.regexp_extract_all(text, pat, F.lit(rule.group))).alias("own"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin, end = acc["at"] + x["gap"], acc["at"] + x["gap"] + F.coalesce(x["hit"], F.lit(0))
-        found = F.array(F.struct(begin.alias("start"), F.lit(index).alias("kind"), end.alias("end"))).cast(SPAN)
-        return F.struct(end.alias("at"), F.when(x["own"] >= rule.least, F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
+    def spans(x: Column) -> Column:
+        steps = F.transform(x["hits"], lambda h, i: F.get(x["gap"], i) + h["hit"])
+        found = F.transform(F.arrays_zip(x["hits"].alias("h"), _sums_before(steps).alias("before")), lambda r, i: F.struct(
+            (r["before"] + F.get(x["gap"], i)).alias("start"), F.lit(index).alias("kind"), (r["before"] + F.get(x["gap"], i) + r["h"]["hit"]).alias("end"), r["h"]["own"].alias("own")))
+        return F.transform(F.filter(found, lambda r: r["own"] >= rule.least), lambda r: F.struct(r["start"], r["kind"], r["end"]))
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(rows, start, step, lambda a: a["out"])).otherwise(F.array().cast(SPAN))
+    both = F.struct(lengths(F.split(text, rule.pattern, -1)).alias("gap"), hits.alias("hits"))
+    return F.when(text.rlike(rule.pattern), _bound(both, spans).cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
 def spans_of(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -89,8 +107,8 @@ class BlobLedger:
     def scan(self, versions: DataFrame, path_col: str = "path", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """Scans the unseen blobs of versions and returns one row per version: path, blob, spans.
 
-        A null text is an empty one; null paths are kept; repeated rows come back as often as they came. An empty table
-        adds nothing to the ledger. If the append is lost with the job, the next scan takes the same blobs again.
+        A null text is an empty one; null paths are kept; repeated rows come back as often as they came; very long texts
+        are scanned whole; other columns are ignored. An empty table adds nothing to the ledger. If the append is lost with the job, the next scan takes the same blobs again.
         """
         own = rule_version(rules)
         listed = versions.select(F.col(path_col).alias("path"), text_or_empty(text_col).alias("text")).withColumn("blob", F.sha2("text", 256))
