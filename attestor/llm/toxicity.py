@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import give_back, release, small_batches, text_or_empty
+from attestor.llm.common import free_name, give_back, release, small_batches, text_or_empty
 
 #: The model is fitted on at most so many labelled texts of each class, those with the smallest hashes of their ids.
 SAMPLE_PER_CLASS = 1_500
@@ -60,62 +60,71 @@ class Ratios:
         return total
 
 
-def fit_ratios(counts: Iterable[tuple[str, int, int]], order: int = ORDER, discount: float = DISCOUNT) -> Ratios:
-    """From (word, times in ordinary texts, times in toxic texts)."""
-    counts = list(counts)
-    by_class: tuple[Counter, Counter] = (Counter(), Counter())
-    for word, *times in counts:
-        text = "^" + word + "$"
-        grams = [text[max(0, i + 1 - order) : i + 1] for i in range(1, len(text))]
-        for c, n in zip(by_class, times, strict=True):
-            if n:
-                for g in grams:
-                    c[g] += n
-    # Shared orders: a gram's count is the number of distinct letters before it, pooled over the classes.
-    seen = set(by_class[0]) | set(by_class[1])
-    shared: dict[str, int] = Counter()
-    level = seen
-    while level:
-        below = {(g, g[1:]) for g in level if len(g) > 1}
-        shared.update(tail for _, tail in below)
-        level = {tail for _, tail in below}
-    total: dict[str, int] = Counter()
-    kinds: dict[str, int] = Counter()
-    for g, n in shared.items():
-        total[g[:-1]] += n
-        kinds[g[:-1]] += 1
-    letters = max(1, kinds[""])
-    memo: dict[str, float] = {}
-
-    def backoff(g: str) -> float:
+class KneserNey:
+    """Of two classes: P(letter | up to order - 1 letters before it), from (word, times in ordinary texts, times in toxic texts).
+
+    The highest order is a class's own, with absolute discounting; below it both back off to one distribution of
+    continuation counts, the number of distinct letters before a gram, pooled over the classes. The last resort gives all
+    letters, and one that was never seen, the same share.
+    """
+
+    def __init__(self, counts: Iterable[tuple[str, int, int]], order: int = ORDER, discount: float = DISCOUNT):
+        self.discount, self.by_class = discount, (Counter(), Counter())
+        for word, *times in counts:
+            text = "^" + word + "$"
+            grams = [text[max(0, i + 1 - order) : i + 1] for i in range(1, len(text))]
+            for c, n in zip(self.by_class, times, strict=True):
+                if n:
+                    for g in grams:
+                        c[g] += n
+        self.seen = set(self.by_class[0]) | set(self.by_class[1])
+        self.shared: dict[str, int] = Counter()
+        level = self.seen
+        while level:
+            below = {(g, g[1:]) for g in level if len(g) > 1}
+            self.shared.update(tail for _, tail in below)
+            level = {tail for _, tail in below}
+        self.total, self.kinds = self._by_context(self.shared)
+        self.sums, self.types = zip(*map(self._by_context, self.by_class), strict=True)
+        self.letters = max(1, len({g[-1] for g in self.seen}))
+        self.memo: dict[str, float] = {}
+
+    @staticmethod
+    def _by_context(counts: dict[str, int]) -> tuple[dict[str, int], dict[str, int]]:
+        """Sum of counts and number of grams by context."""
+        total, kinds = defaultdict(int), defaultdict(int)
+        for g, n in counts.items():
+            total[g[:-1]] += n
+            kinds[g[:-1]] += 1
+        return dict(total), dict(kinds)
+
+    def backoff(self, g: str) -> float:
         """P(last letter | the rest) of the shared distribution."""
-        if (known := memo.get(g)) is None:
-            h = g[:-1]
-            lower = backoff(g[1:]) if h else 1.0 / (letters + 1)
-            known = lower if not total.get(h) else (max(shared.get(g, 0) - discount, 0.0) + discount * kinds[h] * lower) / total[h]
-            memo[g] = known
+        if (known := self.memo.get(g)) is None:
+            h, d = g[:-1], self.discount
+            lower = self.backoff(g[1:]) if h else 1.0 / (self.letters + 1)
+            known = (max(self.shared.get(g, 0) - d, 0.0) + d * self.kinds[h] * lower) / self.total[h] if self.total.get(h) else lower
+            self.memo[g] = known
         return known
 
-    sums: list[dict[str, int]] = []
-    types: list[dict[str, int]] = []
-    for c in by_class:
-        s, k = defaultdict(int), defaultdict(int)
-        for g, n in c.items():
-            s[g[:-1]] += n
-            k[g[:-1]] += 1
-        sums.append(s)
-        types.append(k)
-
-    def log_p(k: int, g: str) -> float:
-        h, low = g[:-1], backoff(g[1:] if len(g) > 1 else g)
-        if h not in sums[k]:
-            return math.log(low)
-        return math.log((max(by_class[k].get(g, 0) - discount, 0.0) + discount * types[k][h] * low) / sums[k][h])
-
-    weight = lambda k, h: math.log(discount * types[k][h] / sums[k][h]) if h in sums[k] else 0.0
-    out = Ratios(order=order)
-    out.grams = {g: log_p(1, g) - log_p(0, g) for g in seen}
-    out.contexts = {h: weight(1, h) - weight(0, h) for h in set(sums[0]) | set(sums[1])}
+    def probability(self, k: int, g: str) -> float:
+        """P(last letter | the rest) of class k (0: ordinary, 1: toxic)."""
+        h, low, d = g[:-1], self.backoff(g[1:] if len(g) > 1 else g), self.discount
+        if h not in self.sums[k]:
+            return low
+        return (max(self.by_class[k].get(g, 0) - d, 0.0) + d * self.types[k][h] * low) / self.sums[k][h]
+
+    def weight(self, k: int, h: str) -> float:
+        """The share of the back-off after context h."""
+        return self.discount * self.types[k][h] / self.sums[k][h] if h in self.sums[k] else 1.0
+
+
+def fit_ratios(counts: Iterable[tuple[str, int, int]], order: int = ORDER, discount: float = DISCOUNT) -> Ratios:
+    """From (word, times in ordinary texts, times in toxic texts)."""
+    counts = list(counts)
+    model = KneserNey(counts, order, discount)
+    ratio = lambda of, x: math.log(of(1, x) / of(0, x))
+    out = Ratios({g: ratio(model.probability, g) for g in model.seen}, {h: ratio(model.weight, h) for h in model.sums[0].keys() | model.sums[1].keys()}, order)
     usual = sorted((out.word(w), n) for w, n, _ in counts if n)
     if usual:
         upto = np.cumsum([n for _, n in usual])
@@ -221,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         give_back()
 
     seen = texts.mapInArrow(cross, "y int, ratio double, excess double").toPandas()
-    shared.unpersist()
+    shared.destroy()
     own.unpersist()
     y = seen["y"].to_numpy(np.float64)
     taken = [max(1, int((y == k).sum())) for k in (0, 1)]
@@ -251,14 +260,15 @@ def score_column(docs: DataFrame, model: Toxicity, text_col: str = "text") -> Co
 def score(docs: DataFrame, model: Toxicity, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, score, predicted (1 if score >= threshold, else 0).
 
-    A null text is an empty one; a text without words scores like one without toxic words. Ids may repeat or be null; other
-    columns are ignored; an empty table gives an empty result. Nothing is shuffled.
+    A null text is an empty one; a text without words scores like one without toxic words; very long texts are scored whole.
+    Ids may repeat or be null, repeated rows score alike; other columns are ignored; an empty table gives an empty result.
+    Nothing is shuffled.
     """
     scored = docs.select(F.col(id_col), score_column(docs, model, text_col).alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
 def drop_toxic(docs: DataFrame, model: Toxicity, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of docs that the model doesn't reject, with their columns as they were."""
-    marked = docs.withColumn("__keep", score_column(docs, model, text_col) < threshold)
-    return marked.filter("__keep").drop("__keep")
+    """The rows of docs that the model doesn't reject, with their columns as they were; nulls and empty tables as in score()."""
+    keep = free_name(docs, "keep")
+    return docs.withColumn(keep, score_column(docs, model, text_col) < threshold).filter(F.col(keep)).drop(keep)
