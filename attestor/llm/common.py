@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Hashable
 from typing import Any
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own, but only if all
+    run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = getattr(shared_dir, "own", None)
         if found is None:
             found = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="attestor-shared-")
@@ -38,8 +43,44 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_CONF, BATCH_BYTES)
 
 
+_scratch: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/attestor-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/attestor-{name}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def folders_made() -> list[str]:
+    """The scratch folders that are still there, oldest first."""
+    return list(_scratch)
+
+
+def drop_folders(spark: SparkSession, folders: list[str]) -> None:
+    """Deletes scratch folders whose tables nobody will read again."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _scratch.remove(folder)
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its scheme, as Spark resolves it; a path without one isn't the executor's own disk."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def open_uri(uri: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with so many underscores behind it that df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -60,8 +60,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. keep is "largest" or "smallest" and
     names the identifier that stays. Null identifiers lose against all others; of several rows that share text and
-    identifier exactly one is kept; a group with only null identifiers keeps one row and has a null keep_id. An empty
-    table gives an empty result. Other columns are ignored.
+    identifier exactly one is kept; a group with only null identifiers keeps one row and has a null keep_id. Very long
+    texts are compared whole. An empty table gives an empty result. Other columns are ignored.
     """
     runs, _, best, hot = _runs(docs, id_col, text_col, keep, carry=False)
     runs = runs.select("id", F.sha2("norm", 256).alias("text_sha256"), "salt", "rn", "run_id", "run_size", F.when((F.col("rn") == 1) & (F.col("salt") >= 0), F.col("norm")).alias("hot_norm"))

@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from attestor.llm.common import give_back, release, small_batches, stored, text_or_empty
 from attestor.llm.graph import components
@@ -200,7 +201,7 @@ def _across(members: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, t
     right = packed.select("g", F.col("minor").alias("m"), F.col("block").alias("y"), F.col("all").alias("two"))
     looks = least_matches(min(values, COMPARED), threshold[0] / threshold[1])
     kind = members.schema["rid"].dataType.simpleString()
-    arrow = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+    arrow = to_arrow_type(members.schema["rid"].dataType)
 
     def load(rows: list[dict]) -> tuple:
         return np.array([r["root"] for r in rows]), np.array([r["n"] for r in rows]), np.array([r["keys"] for r in rows], np.int64), np.stack([np.frombuffer(r["sig"], "<u4") for r in rows])
@@ -260,7 +261,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     without words (or null) link with nothing. Linked are texts whose sets have intersection / union >= threshold, a
     fraction; a link is found unless chance hides it, with MISS for the bands and PRUNE for each look. Rows with a null
     id stand alone, have a null component and are kept. Rows that repeat an id count as one text, linked through any of
-    them. An empty table gives an empty result; other columns are ignored.
+    them. Very long texts have all their
+    shingles compared. An empty table gives an empty result; other columns are ignored. Sets are those of 64-bit hashes.
     """
     small_batches(docs.sparkSession)
     bands = bands_for(threshold, rows)

@@ -89,6 +89,10 @@ def test_secrets(spark):
         assert sorted((str(r.path), r.s) for r in got) == sorted([*((str(i), brute(x)) for i, x in enumerate(t)), ("0", brute(t[0])), ("None", brute(t[1]))])
     assert ledger.read().count() == len({x or "" for x in t})  # the second scan found nothing unseen
     assert ledger.scan(df.limit(0)).count() == 0
+    odd = spark.createDataFrame([(1, "é " + "token=abcdefgh x api_key=short " * 3000, "x", "y")], "path long, text string, spans string, blob string")
+    assert secrets.BlobLedger(spark, scratch(spark, "t")).scan(odd).select(secrets.spans_text(F.col("spans"))).first()[0] == brute("é " + "token=abcdefgh x api_key=short " * 3000)
+    newer = (*secrets.RULES, secrets.Rule("pin", r"pin=(\d+)", 1, 4))
+    assert ledger.scan(df, rules=newer).count() == df.count() and ledger.read().count() == 2 * len({x or "" for x in t})  # a new version of the rules scans each blob again
 
 
 def test_toxicity(spark, none):
@@ -108,6 +112,36 @@ def test_toxicity(spark, none):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))).count() == 0
 
 
+def test_kneser_ney():
+    """Probabilities of each context sum to one, ratios add up to the log-likelihoods, and unseen expressions count for neither class."""
+    r = random.Random(6)
+    counts = [("".join(r.choice("abcd") for _ in range(r.randint(1, 6))), r.randint(0, 4), r.randint(0, 3)) for _ in range(80)]
+    counts = [(w, a, b) for w, (a, b) in {w: (a, b) for w, a, b in counts}.items()]
+    for order in (1, 3, 5):
+        model, ratios = toxicity.KneserNey(counts, order), toxicity.fit_ratios(counts, order)
+        letters = sorted({g[-1] for g in model.seen})
+        for k in (0, 1):
+            for h in ["", "z", *model.sums[0], *model.sums[1], *model.total]:
+                if len(h) < order:
+                    assert abs(sum(model.probability(k, h + a) for a in [*letters, "?"]) - 1) < 1e-9
+        for w in ("abc", "dd", "abcdab", "zzz", ""):
+            text = "^" + w + "$"
+            grams = [text[max(0, i + 1 - order) : i + 1] for i in range(1, len(text))]
+            want = sum(np.log(model.probability(1, g)) - np.log(model.probability(0, g)) for g in grams)
+            assert abs(ratios.word(w) - want) < 1e-9
+
+
+def test_toxicity_edges(spark):
+    """Null ids, repeated rows, columns with clashing names, ties of labels, a very long text."""
+    docs = spark.createDataFrame([(i, ("bad " if i % 2 else "good ") * 5, "x", 1) for i in range(60)] + [(None, "bad bad", "x", 1), (3, "bad " * 5, "x", 1), (99, "good " * 50_000, "x", 1)], "doc_id long, text string, keep string, score long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(7, 0), (3, 1), (None, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == docs.count() and [r.predicted for r in got if r.doc_id is None] == [1] and len({r.score for r in got if r.doc_id == 3}) == 1
+    kept = toxicity.drop_toxic(docs, model)
+    assert kept.columns == docs.columns and {r.text.split()[0] for r in kept.collect()} == {"good"} and {r.keep for r in kept.collect()} == {"x"}
+
+
 def test_split_benchmark_scores_as_whole(spark, monkeypatch):
     r = random.Random(8)
     words = ["".join(r.choice("abcdef") for _ in range(r.randint(1, 3))) for _ in range(120)]
@@ -123,6 +157,13 @@ def test_split_benchmark_scores_as_whole(spark, monkeypatch):
     assert len(list(decontaminate.indexes(benchmark))) > 2
     assert weights() == by_item and len(by_item) == 80
     assert found() == whole and len(whole) >= 60
+    monkeypatch.setattr(decontaminate, "HELD_BYTES", 500)
+    assert found() == whole
+    odd = docs.union(spark.createDataFrame([(None, items[0][1]), (None, items[0][1]), (1, None)], docs.schema)).withColumn("keep", F.lit("x")).withColumn("item_id", F.lit(1))
+    twice = benchmark.union(benchmark.limit(1)).withColumn("doc_id", F.lit(3)).withColumn("item_id", F.col("item_id").cast("decimal(12,0)"))
+    assert decontaminate.contaminated(odd, twice).filter("doc_id is null").count() == 2 * (decontaminate.contaminated(docs.limit(1), twice).count())
+    kept = decontaminate.drop_contaminated(odd, twice)
+    assert kept.columns == odd.columns and {(r.doc_id, r.keep) for r in kept.collect()} == {(1, "x")}
 
 
 def test_toxicity_of_wholly_toxic_texts(spark):
@@ -153,52 +194,106 @@ def test_bpe(docs, none, rows):
         decoder.close()
     with pytest.raises(ValueError):
         decoder.feed([ranks[b"\xff"]])
+    clash = docs.withColumn("token_ids", F.lit("x"))
+    assert {r.doc_id: r.token_ids for r in bpe.encode_table(clash, PATH, public_tokenizers.PATTERN).collect() if r.doc_id == 9004} == {9004: reference.encode_ordinary("one")}
     got = bpe.encode_decode(docs, PATH, public_tokenizers.PATTERN).collect()
-    want = sorted((str(i), len(reference.encode_ordinary(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
-    assert sorted((str(r.doc_id), r.n_tokens, r.decoded_sha256) for r in got) == want
+    ids = lambda t: reference.encode_ordinary(t or "")
+    want = sorted((str(i), len(ids(t)), hashlib.sha256(np.array(ids(t), "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == want
     assert bpe.encode_decode(none, PATH, public_tokenizers.PATTERN).count() == 0
 
 
+def owners(parts, reference, rule):
+    """By definition, token by token: how many tokens each part of a text gets, and how many lie in more than one."""
+    text = b"".join(parts)
+    ends = np.cumsum([len(p) for p in parts])
+    of = lambda byte: int(np.searchsorted(ends, byte, "right"))
+    out, crossing, at = [0] * len(parts), 0, 0
+    for i in reference.encode_ordinary(text.decode()):
+        n = len(reference.decode_single_token_bytes(i))
+        held = [of(x) for x in range(at, at + n)]
+        crossing += len(set(held)) > 1
+        out[{"start": held[0], "end": held[-1], "most": max(sorted(set(held)), key=lambda x: (held.count(x), -x))}[rule]] += 1
+        at += n
+    return out, crossing
+
+
 @pytest.mark.parametrize("rule", ["start", "end", "most"])
-def test_token_counts(docs, none, rows, rule):
+def test_token_counts(spark, docs, none, rows, rule):
     ranks = bpe.parse_ranks(bpe.read_ranks(PATH))
     reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     got = token_counts.token_counts(docs, PATH, public_tokenizers.PATTERN, rule=rule).collect()
-    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == sorted((str(i), len(reference.encode_ordinary(t or ""))) for i, t in rows)
+    split = lambda t: [x.encode() for x in re.findall(r"[^\n]*\n|[^\n]+", t or "")]
+    want = sorted((str(i), *owners(split(t), reference, rule)) for i, t in rows)
+    assert sorted((str(r.doc_id), r.section_tokens, r.n_crossing) for r in got) == want
     assert all(sum(r.section_tokens) == r.n_tokens and len(r.section_tokens) == r.n_sections for r in got)
-    a, crossing = token_counts.attribute(np.array([0, 2]), np.array([2, 6]), np.array([0, 3]), rule)
-    assert crossing == 1 and a.tolist() == {"start": [2, 0], "end": [1, 1], "most": [1, 1]}[rule]
     assert token_counts.token_counts(none, PATH, public_tokenizers.PATTERN).count() == 0
+    fields = spark.createDataFrame([(1, "a title", None, "body of\nthe text"), (2, "", "", ""), (3, "é" * 9, "  x", "")], "doc_id long, text string, sizes string, body string")
+    got = token_counts.token_counts(fields, PATH, public_tokenizers.PATTERN, rule=rule, fields=["text", "sizes", "body"], separator=" | ").orderBy("doc_id").collect()
+    for r, own in zip(got, fields.orderBy("doc_id").collect(), strict=True):
+        parts = [((own[k] or "") + (" | " if k < 3 else "")).encode() for k in (1, 2, 3)]
+        assert (r.section_tokens, r.n_crossing) == owners(parts, reference, rule) and r.n_sections == 3
 
 
 def test_urls(spark):
-    data = ["http://A.Example.com/en/7?x", "http://x.com/en/1", "http://evilcom/en/1", "http://a.net/xxx/p", "http://a.net/xxxl", "http://a.net/bet/loan/poker", "http://a.net/bet/bet/bet", "no url", None, "", "https://u.org/es/", "x://h?://y"]
-    got = [(r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(data)), "page_id long, url string").coalesce(1)).collect()]
+    data = ["http://A.Example.com/en/7?x", "http://x.com/en/1", "http://evilcom/en/1", "http://a.net/xxx/p", "http://a.net/xxxl", "http://a.net/bets/loan/poker", "http://a.net/bets/bets/bets", "no url", None, "", "https://u.org/es/", "x://h?://y",
+            "http://free-win.net/cheap", "http://free.net/WIN", "http://é.net/ads/casino", "http://a.net/" + "y" * 50_000 + "/hentai"]
+    df = spark.createDataFrame([(i, u, "x", 1) for i, u in enumerate(data)] + [(0, data[0], "x", 1), (None, data[3], "x", 1)], "page_id long, url string, hits string, host long")
+    rows = url_filter.judge_urls(df).collect()
+    assert len(rows) == len(data) + 2 and {r.verdict for r in rows if r.page_id is None} == {"block"} and len({tuple(r) for r in rows if r.page_id == 0}) == 1
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in rows}
     assert got[0] == ("a.example.com", "/en/7", "example.com/en/7", "allow") and got[1] == ("x.com", "/en/1", "com/en/", "block")
-    assert [g[3] for g in got[2:10]] == ["allow", "block", "allow", "block", "allow", "allow", "allow", "allow"]
+    assert [got[i][3] for i in range(2, 10)] == ["allow", "block", "allow", "block", "allow", "allow", "allow", "allow"]
     assert got[7][:3] == got[8][:3] == ("", "", None) and got[10][2] == "org/es/" and got[11][:2] == ("h", "")
-
-
-def test_warc(spark):
-    data = [(1, "http://b.org/x", "same"), (2, "http://a.org/y", "same"), (3, None, None), (4, "no", ""), (None, "http://c.org", "é\r\n\r\n"), (5, "http://b.org/x", "other")]
-    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    assert [got[i][3] for i in range(12, 16)] == ["block", "allow", "block", "block"]
+    assert url_filter.judge_urls(df.limit(0)).count() == 0
+    r = random.Random(3)
+    terms = {"ab": 1, "abc": 2, "b-c": 9, "ca": 1, "c": 1}
+    for _ in range(300):
+        u = "".join(r.choice("abcABC-/") for _ in range(r.randint(0, 30)))
+        found = {t: len(re.findall(f"(?=(?<![a-z0-9]){re.escape(t)}(?![a-z0-9]))", u.lower())) for t in terms}
+        soft = {t for t, n in found.items() if n and terms[t] < 9}
+        assert url_filter.Vocabulary(terms).count(u) == (found["b-c"], len(soft), sum(terms[t] for t in soft))
+
+
+def test_warc(spark, monkeypatch):
+    data = [(1, "http://b.org/x", "same"), (2, "http://a.org/y", "same"), (3, None, None), (4, "no", ""), (None, "http://c.org", "é\r\n\r\n"), (5, "http://b.org/x", "other"), (6, "http://b.org/ü b\r\nX-Evil: 1", "z" * 3_000_000)]
+    data += [(7, "http://b.org/x", "copy"), (7, "http://b.org/x", "copy"), (8, "http://b.org/x", "copy"), (None, None, None)]
+    data += [(100 + i, f"http://h{i % 7}.org/{i % 11}", f"page {i % 13}") for i in range(120)]
+    df = spark.createDataFrame([(i, u, h, "x", 1) for i, u, h in data], "page_id long, url string, html string, payload string, key long").repartition(3)
+    for name, value in (("LINES", 4), ("SHARD_LINES", 30), ("READ_BYTES", 500), ("ARCHIVE_BYTES", 40), ("KEPT_BLOCKS", 2), ("LOOKUPS", 5)):
+        monkeypatch.setattr(warc, name, value)
     folder = scratch(spark, "w")
-    got = {r.page_id: r for r in warc.archive_pages(spark, df, folder).collect()}
-    assert (got[1].record_type, got[1].refers_to, got[2].record_type) == ("revisit", 2, "response")
-    assert (got[3].record_type, got[3].refers_to, got[4].payload_bytes) == ("revisit", 4, 0)
-    assert got[None].payload_bytes == 6 and got[1].payload_digest == warc.digest(b"same")
-    blocks = sorted((warc.Block(*r) for r in spark.read.schema("key string, shard string, offset bigint, length bigint").parquet(folder + "/directory").collect()), key=lambda b: b.key)
-    assert sorted(h["X-Page-ID"] for h, _ in warc.lookup("http://b.org/x", blocks, warc.Reader(folder), warc.Reader(folder))) == ["1", "5"]
-    assert warc.lookup("http://nowhere.org/", blocks, warc.Reader(folder), warc.Reader(folder)) == []
+    rows = warc.archive_pages(spark, df, folder).collect()
+    best: dict = {}
+    for i, _, h in data:
+        if i is not None:
+            best[h or ""] = max(i, best.get(h or "", i))
+    want = []
+    for i, _, h in data:
+        first = best.get(h or "")
+        again = first is not None and first != i
+        want.append((str(i), len((h or "").encode()), warc.digest((h or "").encode()), "revisit" if again else "response", first if again else None))
+    assert sorted((str(r.page_id), *r[1:]) for r in rows) == sorted(want)
+    shards = warc.shards_of(spark.read.parquet(folder + "/shards"))
+    captures, archives = warc.Captures(shards, warc.qualified(spark, folder)), warc.Reader(warc.qualified(spark, folder))
+    assert len(shards) > 1
+    for u in {u for _, u, _ in data} - {None}:
+        assert sorted(h["X-Page-ID"] for h, _ in warc.lookup(u, captures, archives)) == sorted("null" if i is None else str(i) for i, v, _ in data if v == u)
+    assert warc.lookup("http://nowhere.org/", captures, archives) == []
+    headers = [h for u in {u for _, u, _ in data} - {None} for h, _ in warc.lookup(u, captures, archives)]
+    assert len({h["WARC-Record-ID"] for h in headers}) == len(headers) and not any("X-Evil" in h for h in headers)
+    assert "http://b.org/%C3%BC%20b%0D%0AX-Evil:%201" in {h["WARC-Target-URI"] for h in headers} and all(h["WARC-Target-URI"].isascii() for h in headers)
     assert warc.archive_pages(spark, df.limit(0), scratch(spark, "w")).count() == 0
 
 
-def test_near(docs, none, rows):
+def components(rows, size, threshold):
+    """By definition: shingle sets of the rows with ids, and the smallest id that links reach."""
     sets = {}
     for i, t in rows:
         w = WORD.findall(low(t))
         if i is not None:
-            sets[i] = {tuple(w[j : j + 3]) for j in range(max(1, len(w) - 2))} if w else set()
+            sets[i] = {tuple(w[j : j + size]) for j in range(max(1, len(w) - size + 1))} if w else set()
     root = {i: i for i in sets}
 
     def find(x):
@@ -206,16 +301,42 @@ def test_near(docs, none, rows):
 
     for a in sets:
         for b in sets:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    got = near_dedup.near_groups(docs).collect()
-    assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is not None} == {(i, len(s), find(i), find(i) == i) for i, s in sets.items()}
-    assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)] and len(got) == len(rows)
+            if a < b and sets[a] and sets[b] and 100 * min(len(sets[a]), len(sets[b])) >= threshold * max(len(sets[a]), len(sets[b])):
+                if 100 * len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
+                    x, y = sorted((find(a), find(b)))
+                    root[y] = x
+    return sets, {i: find(i) for i in sets}
+
+
+def test_near(docs, none, rows, monkeypatch):
+    sets, root = components(rows, 3, 85)
+    want = {(i, len(s), root[i], root[i] == i) for i, s in sets.items()}
+    for large, centres in ((near_dedup.LARGE, near_dedup.CENTRES), (2, 1)):
+        monkeypatch.setattr(near_dedup, "LARGE", large)
+        monkeypatch.setattr(near_dedup, "CENTRES", centres)
+        got = near_dedup.near_groups(docs).collect()
+        assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is not None} == want
+        assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)] and len(got) == len(rows)
     assert near_dedup.near_groups(none).count() == 0
     assert near_dedup.drop_near_copies(docs).columns == docs.columns
 
 
+def test_near_in_crowded_buckets(spark, monkeypatch):
+    """Texts of one crowd that change step by step: buckets that hold several components, blocks of a few members."""
+    r = random.Random(9)
+    w = [f"w{r.randrange(10**6)}" for _ in range(60)]
+    rows = []
+    for i in range(70):
+        rows.append((i, " ".join(w)))
+        for _ in range(r.choice((1, 1, 4, 9))):
+            w[r.randrange(60)] = f"w{r.randrange(10**6)}"
+    for name, value in (("ROWS", 2), ("LARGE", 3), ("CENTRES", 2), ("BLOCK", 3)):
+        monkeypatch.setattr(near_dedup, name, value)
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    _, root = components(rows, 3, 85)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_groups(docs, rows=2).collect()} == root
+
+
 def without_repeats(rows):
     """By definition: (words, words removed, digest of the rest) of each distinct row, in the order of ids."""
     seen, out = set(), {}
@@ -301,12 +422,56 @@ def test_decontaminate(spark, none):
 
 
 def test_pipeline(spark):
-    """Each stage on its own input: what goes is what the operator says, and the last counts the tokens of the rest."""
+    """Each stage on its own input against brute force; the last counts the tokens of what is left."""
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    out = corpus_pipeline.run(spark, sf)
-    kept = docs
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        kept = stage(spark, kept, sf)
-        assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in kept.collect())
+    out = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["toxicity"](spark, docs, sf)
+    assert kept.columns == docs.columns
+    scores = toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet")))
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    rows = {r.doc_id: rows[r.doc_id] for r in scores.collect() if r.score < toxicity.THRESHOLD}
+    assert set(rows) == {r.doc_id for r in kept.collect()}
+    best: dict = {}
+    for i, t in rows.items():
+        best[low(t)] = max(i, best.get(low(t), i))
+    rows = {i: rows[i] for i in best.values()}
+    kept = stages["exact_dedup"](spark, kept, sf)
+    assert set(rows) == {r.doc_id for r in kept.collect()}
+    _, root = components(list(rows.items()), 5, 80)
+    rows = {i: t for i, t in rows.items() if root[i] == i}
+    kept = stages["near_dedup"](spark, kept, sf)
+    assert set(rows) == {r.doc_id for r in kept.collect()}
+    items = [decontaminate.words_of(r.text.lower()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+
+    def holds(t):
+        w = decontaminate.words_of((t or "").lower())
+        return any(min(decontaminate.overlaps(x, decontaminate.shingles(w), w)) >= 0.8 for x in items)
+
+    rows = {i: t for i, t in rows.items() if not holds(t)}
+    kept = stages["decontamination"](spark, kept, sf)
+    assert set(rows) == {r.doc_id for r in kept.collect()} and kept.columns == docs.columns
+    reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.parse_ranks(bpe.read_ranks(PATH)), special_tokens={})
+    assert {i: r.n_tokens for i, r in out.items()} == {i: len(reference.encode_ordinary(t or "")) for i, t in rows.items()}
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls, empty and long texts, ties, repeated rows, extra columns with clashing names, and an empty table."""
+    sf = "/root/testdata/sf0.001"
+    own = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = [(None, "a text of its own with some words in it", None, None, None), (5001, None, "en", "s", None), (5002, "", "en", "s", 0), (5003, "word " * 40_000, "en", "s", 200_000), (5004, "tie of two", "en", "s", 1), (5005, "TIE of two", "en", "s", 1), (5004, "tie of two", "en", "s", 1)]
+    docs = spark.createDataFrame(odd, own.schema).withColumns({"keep": F.lit("x"), "id": F.lit(1), "rid": F.lit(2), "row": F.lit(3), "norm": F.lit(4)})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and stage(spark, docs.limit(0), sf).count() == 0, name
+        ids = sorted((r.doc_id for r in out.collect()), key=str)
+        want = [i for i, *_ in odd] if name in ("toxicity", "decontamination") else [5001, 5003, 5005, None] if name == "exact_dedup" else [5001, 5002, 5003, 5004, 5004, None]
+        if name == "exact_dedup":  # a null text is an empty one
+            want[0] = 5002
+        if name == "toxicity":
+            scores = toxicity.score(docs, toxicity.fit(own, spark.read.parquet(f"{sf}/labels.parquet"))).collect()
+            want = [r.doc_id for r in scores if r.score < toxicity.THRESHOLD]
+            assert len(scores) == len(odd)
+        assert ids == sorted(want, key=str), name
+    assert corpus_pipeline.tokenize(spark, docs, sf).count() == len(odd) and corpus_pipeline.tokenize(spark, docs.limit(0), sf).count() == 0
