@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from attestor.llm import bpe, decontaminate, exact_dedup, near_dedup, toxicity
-from attestor.llm.common import stored, table
+from attestor.llm.common import drop_folders, folders_made, stored, table
 from attestor.llm.queries import RANKS
 
 
@@ -47,7 +47,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's rows are stored, and what it has stored on its way is deleted. Null and empty texts, very long ones,
+    repeated rows and null ids go through as the stages' operators say; an empty table gives an empty result."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        before = set(folders_made())
+        kept = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_folders(spark, [f for f in folders_made() if f not in before and f"stage-{name}" not in f])
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
