@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from attestor.functions import rx
 
-VALUE = "decimal(28,12)"
+#: Values have up to 18 digits before the point and 16 after it, so that ten times a value and a tenth of it are exact.
+VALUE, CONVERTED = "decimal(34,16)", "decimal(38,17)"
 #: Fixed value: units that convert.
 UNITS = ("mm", "cm")
 #: Words before a label of a tuple that don't belong to it.
@@ -18,9 +19,17 @@ def supported(unit: Column) -> Column:
     return F.coalesce(F.lower(rx.strip(unit)).isin(*UNITS), F.lit(False))
 
 
+def numeric(text: Column) -> Column:
+    """Whether the text is a finite decimal."""
+    return F.coalesce(F.rlike(rx.strip(text), F.lit(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$")), F.lit(False))
+
+
 def decimal(text: Column) -> Column:
-    """Null if the text isn't a finite decimal."""
-    return F.when(F.rlike(rx.strip(text), F.lit(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$")), rx.strip(text).try_cast("decimal(38,18)").try_cast(VALUE))
+    """Null if the text isn't a finite decimal, or has more digits than VALUE, as nothing is rounded."""
+    own = rx.strip(text)
+    digits = F.length(F.regexp_extract(own, r"\.(\d*?)0*(?:[eE]|$)", 1))
+    power = F.coalesce(F.regexp_extract(own, r"[eE]([+-]?\d+)$", 1).try_cast("int"), F.lit(0))
+    return F.when(numeric(text) & (digits - power <= 16), own.try_cast("decimal(38,18)").try_cast(VALUE))
 
 
 def direct_line(line: Column, attribute: Column) -> Column:
@@ -106,7 +115,28 @@ def factor(unit_from: Column, unit_to: Column) -> Column:
 
 
 def converted(value: Column, unit_from: Column, unit_to: Column) -> Column:
-    return (value.cast(VALUE) * factor(unit_from, unit_to)).cast("decimal(32,13)")
+    return (value.cast(VALUE) * factor(unit_from, unit_to)).cast(CONVERTED)
+
+
+def plain(value: Column) -> Column:
+    """A decimal as text without zeros at its end."""
+    return F.regexp_replace(F.regexp_replace(value.cast("string"), r"(?<=\.\d{0,17}[1-9])0+$|\.0+$", ""), r"^-?0[eE].*$", "0")
+
+
+def calculation(value: Column, unit_from: Column, unit_to: Column) -> Column:
+    """The conversion in words: 0.8 cm x 10 = 8 mm."""
+    say = lambda v, u: F.concat_ws(" ", plain(v), F.lower(rx.strip(u)))
+    return F.concat(say(value.cast(VALUE), unit_from), F.lit(" x "), plain(factor(unit_from, unit_to)), F.lit(" = "), say(converted(value, unit_from, unit_to), unit_to))
+
+
+def comparison(evidence_value: Column, evidence_unit: Column, recorded_value: Column, recorded_unit: Column) -> Column:
+    """struct(converted, multiplier, calculation, agrees) of decimal texts; null where a unit or a value doesn't convert."""
+    own, there = decimal(recorded_value), decimal(evidence_value)
+    value = converted(there, evidence_unit, recorded_unit)
+    return F.when(
+        value.isNotNull() & own.isNotNull(),
+        F.struct(value.alias("converted"), factor(evidence_unit, recorded_unit).alias("multiplier"), calculation(there, evidence_unit, recorded_unit).alias("calculation"), (own.cast(CONVERTED) == value).alias("agrees")),
+    )
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: How numbers, units, ids and headings are written, and the labels of a text's identity further below.
 NUMBER, UNIT = r"(\d+(?:\.\d+)?)", r"([a-zA-Zµ°Ω%]+)"
 #: A run of words before an attribute.
 LEAD = r"(?:[A-Za-z0-9_-][A-Za-z0-9_\s-]*\s)?"

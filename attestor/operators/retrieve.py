@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from attestor.functions import measure, rx
 
-FOUND, NONE, SEVERAL = "evidence_found", "insufficient_evidence", "ambiguous_evidence"
+FOUND, NONE, SEVERAL, ERROR = "evidence_found", "insufficient_evidence", "ambiguous_evidence", "error"
+#: Why a search couldn't be made.
+DATABASE_ERROR, MODEL_INCOMPATIBLE = "DATABASE_ERROR", "MODEL_INCOMPATIBLE"
 #: Rows of a block of chunks and of a block of queries that meet in one task, and queries of one product of matrices.
 CHUNK_BLOCK, QUERY_BLOCK, QUERY_SLICE = 8_000, 2_000, 256
 #: Names of the strategies and their other names.
@@ -31,35 +33,43 @@ def eligible(questions: DataFrame, pages: DataFrame) -> DataFrame:
     """(qid, source_file, has_revision) for each text that names a question's component.
 
     An id made of letters, digits, _ and - occurs exactly if it is one of a text's runs of these, so texts and questions
-    meet in an equi-join on runs. Any other id is sought by its first run and then by its pattern. If a question refers
-    to a document that exists, only that one counts.
+    meet in an equi-join on runs. Any other id is sought by its longest run, or its first character if it has none, and then
+    by its pattern. Only runs that are asked for are joined, and a text moves only if one of its runs is. If a question
+    refers to a document that exists, only that one counts.
     """
     docs = pages.groupBy("source_file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda p: p["text"]), "\n").alias("full")).withColumn("doc_stem", stem(F.col("source_file")))
-    asked = questions.withColumn("run", F.lower(rx.extract(F.col("component"), f"{rx.ID}+", 0))).filter("run != ''")
-    stems = docs.select(F.col("doc_stem").alias("stem")).distinct().withColumn("known", F.lit(True))
+    runs_of = F.transform(rx.extract_all(F.col("component"), f"{rx.ID}+", 0), lambda r: F.struct(F.length(r).alias("n"), r.alias("run")))
+    run = F.coalesce(F.array_max(runs_of)["run"], rx.blank(F.substring(rx.strip(F.col("component")), 1, 1)))
+    asked = questions.withColumn("run", F.lower(run)).filter("run is not null")
+    stems = pages.select(stem(F.col("source_file")).alias("stem")).distinct().withColumn("known", F.lit(True))
     asked = asked.join(stems, "stem", "left")
-    runs = docs.select("source_file", "doc_stem", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("full"), F.lit("[a-z0-9_-]+"), F.lit(0)))).alias("run"))
-    met = runs.join(asked, "run").filter(F.col("known").isNull() | (F.col("doc_stem") == F.col("stem")))
+    found = F.flatten(F.array(*(F.regexp_extract_all(F.lower("full"), F.lit(p), F.lit(0)) for p in ("[a-z0-9_-]+", r"[^a-z0-9_\s-]"))))
+    runs = docs.select("source_file", "doc_stem", F.explode(F.array_distinct(found)).alias("run"))
+    met = runs.join(asked.select("run").distinct(), "run", "left_semi").join(asked, "run").filter(F.col("known").isNull() | (F.col("doc_stem") == F.col("stem")))
     met = met.join(docs.select("source_file", "full"), "source_file")
     plain = F.rlike("component", F.lit(f"^{rx.ID}+$"))
     met = met.filter(plain | rx.matches_component(F.col("full"), F.col("component")))
     return met.select("qid", "source_file", rx.matches_revision(F.col("full"), F.col("revision")).alias("has_revision"))
 
 
-def _outcome(per: DataFrame, name: str) -> DataFrame:
-    """From the gathered facts of a question to its result."""
+def _outcome(per: DataFrame, name: str, error: Column | None = None) -> DataFrame:
+    """From the gathered facts of a question to its result. error names what kept the search from being made, or is null."""
+    error = F.lit(None).cast("string") if error is None else error
     status = (
         F.when(rx.blank(F.col("component")).isNull() | rx.blank(F.col("attribute")).isNull(), NONE)
+        .when(error.isNotNull(), ERROR)
         .when(~F.col("has_component"), NONE)
         .when(~F.col("has_revision"), NONE)
         .when(F.size("facts") > 1, SEVERAL)
         .when(F.col("best").isNull(), NONE)
         .otherwise(FOUND)
     )
-    facts = F.array_join(F.transform("facts", lambda f: F.concat_ws(" ", f["value"].cast("decimal(28,6)").cast("string"), f["unit"])), ", ")
+    facts = F.array_join(F.transform("facts", lambda f: F.concat_ws(" ", f["value"].cast("string"), f["unit"])), ", ")
     reason = (
         F.when(rx.blank(F.col("component")).isNull(), "the record names no component")
         .when(rx.blank(F.col("attribute")).isNull(), "the record names no attribute")
+        .when(error == DATABASE_ERROR, "the chunk table doesn't exist")
+        .when(error == MODEL_INCOMPATIBLE, "the query vector has another dimension than the table")
         .when(~F.col("has_component"), F.concat(F.lit("no evidence for component "), "component"))
         .when(~F.col("has_revision"), F.concat(F.lit("no evidence for revision "), F.coalesce("revision", F.lit("?"))))
         .when(F.size("facts") > 1, F.concat(F.lit("conflicting specifications: "), facts))
@@ -67,7 +77,7 @@ def _outcome(per: DataFrame, name: str) -> DataFrame:
     )
     cite = lambda f: F.when(F.col("retrieval_status") == FOUND, F.col(f"best.{f}")).alias(f)
     per = per.withColumns({"retrieval_status": status, "reason": reason})
-    return per.select("qid", "attribute", "retrieval_status", "reason", *(cite(f) for f in ("document_filename", "page_number", "passage", "context_type", "similarity")), F.lit(name).alias("retriever"))
+    return per.select("qid", "attribute", "retrieval_status", "reason", F.when(F.col("retrieval_status") == ERROR, error).alias("error_type"), *(cite(f) for f in ("document_filename", "page_number", "passage", "context_type", "similarity")), F.lit(name).alias("retriever"))
 
 
 def baseline(questions: DataFrame, pages: DataFrame, **_) -> DataFrame:
@@ -91,12 +101,23 @@ def baseline(questions: DataFrame, pages: DataFrame, **_) -> DataFrame:
     return _outcome(per, "baseline")
 
 
+#: What a result cites.
+BEST = "struct<document_filename:string,page_number:int,passage:string,context_type:string,similarity:double>"
+
+
 def vector(questions: DataFrame, pages: DataFrame | None = None, chunks: DataFrame | None = None, corpus_id: str = "default", model_name: str = "m", model_revision: str = "1", dimension: int | None = None, **_) -> DataFrame:
     """Exact filtered cosine search over a chunk table. Questions carry query_vector; keys are compared case-sensitively,
-    and a missing revision matches nothing. Conflicts are sought in all eligible chunks before any is ranked."""
+    and a missing revision matches nothing. Conflicts are sought in all eligible chunks before any is ranked. Without a
+    chunk table, or with a query vector of another dimension, the result is an error."""
+    null = F.lit(None)
+    if chunks is None:
+        none = {"has_component": F.lit(False), "has_revision": F.lit(False), "facts": null.cast("array<struct<value:double,unit:string>>"), "best": null.cast(BEST)}
+        return _outcome(questions.withColumns(none), "vector", F.lit(DATABASE_ERROR))
+    error = null.cast("string") if dimension is None else F.when(F.coalesce(F.size("query_vector") != dimension, F.lit(True)), MODEL_INCOMPATIBLE)
     own = chunks.filter((F.col("corpus_id") == corpus_id) & (F.col("model_name") == model_name) & (F.col("model_revision") == model_revision))
     if dimension is not None:
-        questions = questions.withColumn("query_vector", F.when(F.size("query_vector") == dimension, F.col("query_vector")))
+        questions = questions.withColumn("unfit", error).withColumn("query_vector", F.when(F.col("unfit").isNull(), F.col("query_vector")))
+        error = F.col("unfit")
     ids = chunks.filter(F.col("corpus_id") == corpus_id).select(F.col("component_id").alias("component")).distinct().withColumn("has_component", F.lit(True))
     met = questions.filter("query_vector is not null").join(own.withColumnRenamed("component_id", "component"), ["component", "revision"])
     met = met.select("qid", "attribute", "document_filename", "page_number", "start_char", "chunk_id", "text", measure.cosine_distance(F.col("embedding"), F.col("query_vector")).alias("distance"), measure.direct_lines(F.col("text"), F.col("attribute")).alias("spec"))
@@ -110,7 +131,7 @@ def vector(questions: DataFrame, pages: DataFrame | None = None, chunks: DataFra
         F.min_by(F.when(mentions, cite), F.when(mentions, order)).alias("near"),
     )
     per = questions.join(ids, "component", "left").join(per, "qid", "left").withColumns({"has_component": F.coalesce("has_component", F.lit(False)), "has_revision": F.coalesce("has_revision", F.lit(False)), "best": F.coalesce("direct", "near")})
-    return _outcome(per, "vector")
+    return _outcome(per, "vector", error)
 
 
 def ranked(chunks: DataFrame, queries: DataFrame, k: int | None = None, keys: tuple[str, ...] = ("component_id", "revision")) -> DataFrame:
@@ -163,6 +184,11 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int, chunk_block: int = CH
 STRATEGIES: dict[str, Callable[..., DataFrame]] = {"baseline": baseline, "vector": vector}
 
 
+def over_store(store, **settings) -> Callable[..., DataFrame]:
+    """The vector strategy over a chunk store, whose table is looked for when questions come; without one the result is DATABASE_ERROR."""
+    return lambda questions, **sources: vector(questions, chunks=store.read() if store.exists() else None, **settings, **{k: v for k, v in sources.items() if k != "chunks"})
+
+
 def strategy(name: str) -> Callable[..., DataFrame]:
     if name.lower() not in ALIASES:
         raise ValueError(f"no retriever is named {name!r}")

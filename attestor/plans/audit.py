@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from attestor.functions import measure, rx
-from attestor.operators import retrieve
+from attestor.operators import model, retrieve
 
 FIELDS = ("case_id", "record_id", "component_id", "part_number", "revision", "attribute_name", "attribute", "measurement", "recorded_value", "recorded_unit", "document_reference")
 #: Outcomes, and the exits that lead to them in the order in which they are tried.
 EXITS = (
-    ("value_missing", "needs_review"), ("value_not_numeric", "needs_review"), ("unit_unsupported", "needs_review"), ("retrieval_error", "needs_review"),
+    ("value_missing", "needs_review"), ("value_not_numeric", "needs_review"), ("value_out_of_range", "needs_review"), ("unit_unsupported", "needs_review"), ("retrieval_error", "needs_review"),
     ("insufficient", "insufficient_evidence"), ("ambiguous", "ambiguous_evidence"), ("no_passage", "insufficient_evidence"), ("extractor_error", "needs_review"),
     ("extractor_insufficient", "insufficient_evidence"), ("extractor_ambiguous", "ambiguous_evidence"), ("quote_unaligned", "needs_review"), ("wrong_attribute", "needs_review"),
     ("value_null", "needs_review"), ("value_ungrounded", "needs_review"), ("unit_ungrounded", "needs_review"), ("evidence_unit_unsupported", "needs_review"), ("conversion_error", "needs_review"),
@@ -49,7 +51,7 @@ def normalize(records: DataFrame) -> DataFrame:
 
 def validate(records: DataFrame) -> DataFrame:
     value = measure.decimal(F.col("recorded_value"))
-    code = F.when(F.col("recorded_value").isNull(), "value_missing").when(value.isNull(), "value_not_numeric").when(~measure.supported(F.col("recorded_unit")), "unit_unsupported")
+    code = F.when(F.col("recorded_value").isNull(), "value_missing").when(~measure.numeric(F.col("recorded_value")), "value_not_numeric").when(value.isNull(), "value_out_of_range").when(~measure.supported(F.col("recorded_unit")), "unit_unsupported")
     return records.withColumns({"recorded_decimal": value, "exit_code": code})
 
 
@@ -66,12 +68,16 @@ def ask(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 def answer(questions: DataFrame, find: Callable[..., DataFrame], extractor: Callable[[DataFrame], DataFrame], observe: Callable[[str, DataFrame], DataFrame], **sources) -> DataFrame:
     """Passage, measurement and exit_code of each question. Nothing of it depends on what a record says, so records that
     ask the same share it. A plug-in extractor is handed the questions that are still open and no others."""
-    found = observe(STAGES[2], find(questions, **sources)).withColumnRenamed("attribute", "attribute_name").withColumn("exit_code", F.lit(None).cast("string"))
+    found = find(questions, **sources)
+    if "error_type" not in found.columns:
+        found = found.withColumn("error_type", F.lit(None).cast("string"))
+    found = observe(STAGES[2], found).withColumnRenamed("attribute", "attribute_name").withColumnRenamed("error_type", "retrieval_error").withColumn("exit_code", F.lit(None).cast("string"))
     found = observe(STAGES[3], judge_retrieval(found))
     if extractor is extract:
         found = extract(found)
     else:
         live = extractor(found.filter("exit_code is null"))
+        live = live.withColumn("x", model.completed(F.col("x"), live.schema["x"].dataType.names))
         found = live.unionByName(found.filter("exit_code is not null").withColumn("x", F.lit(None).cast(live.schema["x"].dataType)))
     return observe(STAGES[5], guard(observe(STAGES[4], found))).drop("attribute_name").withColumnRenamed("exit_code", "answer_code")
 
@@ -83,13 +89,14 @@ def judge_retrieval(records: DataFrame) -> DataFrame:
 
 
 def extract(records: DataFrame) -> DataFrame:
-    return records.withColumn("x", F.when(F.col("exit_code").isNull(), measure.extraction(F.col("passage"), F.col("attribute_name"))))
+    own = records.withColumn("x", F.when(F.col("exit_code").isNull(), measure.extraction(F.col("passage"), F.col("attribute_name"))))
+    return own.withColumn("x", model.completed(F.col("x"), own.schema["x"].dataType.names))
 
 
 def guard(records: DataFrame) -> DataFrame:
     records = records.withColumn("aligned", F.when(F.col("x.status") == "found", measure.alignment(F.col("x.quote"), F.col("passage"))))
     span, quote = F.coalesce("aligned.span", F.lit("")), F.coalesce("x.quote", F.lit(""))
-    value = measure.decimal(F.col("x.value_text"))
+    value, text = measure.decimal(F.col("x.value_text")), F.col("x.value_text")
     shown = measure.shown(F.col("x.value_text"))
     unit = F.lower(F.coalesce("x.unit", F.lit("")))
     name = F.lower(rx.strip(F.coalesce("x.name", F.lit(""))))
@@ -99,7 +106,7 @@ def guard(records: DataFrame) -> DataFrame:
         .when(F.col("x.status") == "ambiguous", "extractor_ambiguous")
         .when(~F.col("aligned.kind").isin("literal", "whitespace_aligned"), "quote_unaligned")
         .when((name != "") & (name != F.lower(rx.strip(F.col("attribute_name")))), "wrong_attribute")
-        .when(value.isNull(), "value_null")
+        .when(rx.blank(text).isNull() | ~measure.numeric(text), "value_null")
         .when(~(F.contains(quote, shown) | F.contains(span, shown)), "value_ungrounded")
         .when((unit != "") & ~(F.contains(F.lower(quote), unit) | F.contains(F.lower(span), unit)), "unit_ungrounded")
         .when(~measure.supported(F.col("x.unit")), "evidence_unit_unsupported")
@@ -109,31 +116,87 @@ def guard(records: DataFrame) -> DataFrame:
 
 def compare(records: DataFrame) -> DataFrame:
     there = measure.converted(F.col("evidence_decimal"), F.col("x.unit"), F.col("recorded_unit"))
-    code = F.when(there.isNull(), "conversion_error").when(F.col("recorded_decimal").cast("decimal(32,13)") == there, "equal").otherwise("differs")
+    code = F.when(there.isNull(), "conversion_error").when(F.col("recorded_decimal").cast(measure.CONVERTED) == there, "equal").otherwise("differs")
     return records.withColumns({"converted": F.when(F.col("exit_code").isNull(), there), "exit_code": F.coalesce("exit_code", code)})
 
 
+def explanation() -> Column:
+    """Why a record ends as it does, from the columns of the plan."""
+    c, text = F.col, lambda x: F.coalesce(F.col(x).cast("string"), F.lit("?"))
+    stated = F.concat_ws(" ", measure.plain(c("evidence_decimal")), F.lower(rx.strip(c("x.unit"))))
+    recorded = F.concat_ws(" ", c("recorded_value"), c("recorded_unit"))
+    turned = measure.calculation(c("evidence_decimal"), c("x.unit"), c("recorded_unit"))
+    proposed = F.concat_ws(" ", measure.plain(c("converted")), F.lower(rx.strip(c("recorded_unit"))))
+    said = {
+        "value_missing": F.lit("the record has no value"),
+        "value_not_numeric": F.concat(F.lit("the recorded value isn't a number: "), text("recorded_value")),
+        "value_out_of_range": F.concat(F.lit("the recorded value has too many digits: "), text("recorded_value")),
+        "unit_unsupported": F.concat(F.lit("the recorded unit isn't supported: "), text("recorded_unit")),
+        "retrieval_error": F.concat(F.lit("the search failed: "), F.coalesce("reason", "retrieval_error", F.lit("?"))),
+        "insufficient": F.coalesce("reason", F.lit("no evidence was found")),
+        "ambiguous": F.coalesce("reason", F.lit("the evidence contradicts itself")),
+        "no_passage": F.lit("the search gave no passage"),
+        "extractor_error": F.concat(F.lit("the extraction failed: "), text("x.error")),
+        "extractor_insufficient": F.coalesce("x.error", F.concat(F.lit("the passage doesn't state "), c("attribute_name"))),
+        "extractor_ambiguous": F.coalesce("x.error", F.concat(F.lit("the passage states several values of "), c("attribute_name"))),
+        "quote_unaligned": F.concat(F.lit("the quote is "), text("aligned.kind"), F.lit(" in the passage: "), text("x.quote")),
+        "wrong_attribute": F.concat(F.lit("the measurement is of "), text("x.name"), F.lit(", not of "), c("attribute_name")),
+        "value_null": F.lit("the extraction has no value"),
+        "value_ungrounded": F.concat(F.lit("the value isn't in the quote: "), text("x.value_text")),
+        "unit_ungrounded": F.concat(F.lit("the unit isn't in the quote: "), text("x.unit")),
+        "evidence_unit_unsupported": F.concat(F.lit("the document's unit isn't supported: "), text("x.unit")),
+        "conversion_error": F.concat(F.lit("the stated value can't be converted: "), F.concat_ws(" ", "x.value_text", "x.unit")),
+        "equal": F.concat(F.lit("the document states "), stated, F.lit(" ("), turned, F.lit("), as the record does: "), recorded),
+        "differs": F.concat(F.lit("the document states "), stated, F.lit(" ("), turned, F.lit("), the record "), recorded, F.lit("; proposed is "), proposed),
+    }
+    out = F.lit(None).cast("string")
+    for code, why in said.items():
+        out = F.when(c("exit_code") == code, why).otherwise(out)
+    return out
+
+
+def metadata() -> Column:
+    """What is known of the extractor's call; of one that wasn't made, why."""
+    x = F.col("x")
+    known = F.struct(
+        x["provider"].alias("provider"), x["model"].alias("model"), F.when(x["provider"] == "deterministic", "deterministic").otherwise("model").alias("mode"), x["is_fallback"].alias("is_fallback"),
+        x["call_duration_ms"].alias("call_duration_ms"), x["token_usage"].alias("token_usage"), x["token_usage_reason"].alias("token_usage_reason"), x["status"].alias("status"), x["error_type"].alias("error_type"),
+    )
+    null = F.lit(None).cast("string")
+    none = F.struct(
+        null.alias("provider"), null.alias("model"), null.alias("mode"), F.lit(False).alias("is_fallback"), F.lit(0.0).alias("call_duration_ms"), F.lit(None).cast("map<string,int>").alias("token_usage"),
+        F.concat(F.lit("not called: "), F.col("exit_code")).alias("token_usage_reason"), F.lit("not_invoked").alias("status"), null.alias("error_type"),
+    )
+    return F.when(x.isNotNull(), known).otherwise(none)
+
+
 def finish(records: DataFrame) -> DataFrame:
-    """The result row; only a correction carries a proposal."""
+    """The result row; only a correction carries a proposal. A quote that is aligned by white space cites its own span."""
     at = {code: i + 1 for i, (code, _) in enumerate(EXITS)}
     number = F.create_map(*(F.lit(x) for p in at.items() for x in p))[F.col("exit_code")]
     outcome = F.create_map(*(F.lit(x) for p in EXITS for x in p))[F.col("exit_code")]
-    cited = (number >= at["extractor_error"])
+    cited = number >= at["extractor_error"]
     grounded = number >= at["evidence_unit_unsupported"]
     unit = F.lower(rx.strip(F.col("recorded_unit")))
     differs = F.col("exit_code") == "differs"
     passed = F.when(number <= at["unit_unsupported"], 1).when(number <= at["no_passage"], 2).when(number <= at["extractor_ambiguous"], 3).when(number <= at["evidence_unit_unsupported"], 4).otherwise(5)
     tagged = number > at["quote_unaligned"]
+    respaced = tagged & (F.col("aligned.kind") == "whitespace_aligned")
+    conversion = F.struct(
+        F.col("evidence_decimal").cast("double").alias("supplier_extracted_value"), F.lower(rx.strip(F.col("x.unit"))).alias("supplier_extracted_unit"), unit.alias("target_unit"),
+        measure.factor(F.col("x.unit"), F.col("recorded_unit")).cast("double").alias("multiplier"), measure.calculation(F.col("evidence_decimal"), F.col("x.unit"), F.col("recorded_unit")).alias("calculation"), F.lit("deterministic_arithmetic").alias("method"),
+    )
     return records.select(
         "case_id", "record_id", "component_id", "revision", "attribute_name", "recorded_value", "recorded_unit",
-        outcome.alias("outcome"), "exit_code", number.alias("exit_number"), "retrieval_status", "retriever", "reason",
+        outcome.alias("outcome"), "exit_code", number.alias("exit_number"), "retrieval_status", "retrieval_error", "retriever", "reason",
         F.when(cited, F.col("document_filename")).alias("document_filename"), F.when(cited, F.col("page_number")).alias("page_number"),
-        F.when(cited, F.when(tagged & (F.col("context_type") == "passage"), F.col("passage")).otherwise(F.col("passage"))).alias("supporting_passage"),
+        F.when(cited, F.when(respaced, F.col("aligned.span")).otherwise(F.col("passage"))).alias("supporting_passage"),
         F.when(cited, F.col("context_type")).alias("context_type"), F.when(cited, F.col("similarity")).alias("similarity_score"),
         F.when(tagged, F.col("x.quote")).alias("model_quote"), F.when(tagged, F.col("aligned.kind")).alias("quote_alignment"),
         F.when(grounded, F.col("evidence_decimal").cast("double")).alias("evidence_value"), F.when(grounded, F.col("x.unit")).alias("evidence_unit"),
         F.when(differs, F.col("converted").cast("double")).alias("proposed_value"), F.when(differs, unit).alias("proposed_unit"),
         F.when(differs | (F.col("exit_code") == "equal"), measure.factor(F.col("x.unit"), F.col("recorded_unit")).cast("double")).alias("conversion_multiplier"),
+        F.when(differs, conversion).alias("conversion"), metadata().alias("extractor"), explanation().alias("explanation"),
         F.col("x").isNotNull().alias("extractor_invoked"),
         F.concat(F.slice(F.array(*map(F.lit, NODES)), F.lit(1), passed), F.array(F.lit("finalize"))).alias("node_transitions"),
         F.lit(False).alias("source_record_modified"),
@@ -151,6 +214,25 @@ def audit(records: DataFrame, pages: DataFrame | None = None, retriever: str | C
     return finish(observe(STAGES[6], compare(joined)))
 
 
+class StageCounts:
+    """An observe hook: counts the rows of each stage and says when its plan was made; the counts are there once the result has been computed."""
+
+    def __init__(self) -> None:
+        self.seen: dict[str, Observation] = {}
+        self.at: dict[str, float] = {}
+        self._began = time.perf_counter()
+
+    def __call__(self, stage: str, rows: DataFrame) -> DataFrame:
+        self.seen[stage] = Observation(f"{stage}-{uuid.uuid4().hex}")
+        self.at[stage] = round(1000 * (time.perf_counter() - self._began), 3)
+        open_ = F.count_if(F.col("exit_code").isNull()) if "exit_code" in rows.columns else F.count(F.lit(1))
+        return rows.observe(self.seen[stage], F.count(F.lit(1)).alias("rows"), open_.alias("open"))
+
+    def counts(self) -> list[dict]:
+        """One row a stage: its name, milliseconds until it was planned, rows, and rows still open after it."""
+        return [{"stage": s, "planned_ms": self.at[s], **o.get} for s, o in self.seen.items()]
+
+
 def chained(records: DataFrame, pages: DataFrame, observe: Callable[[str, DataFrame], DataFrame] = lambda _, df: df) -> DataFrame:
     """The chain view: the same plan, with rows of each stage counted by observe."""
     return audit(records, pages, observe=observe)
@@ -167,6 +249,20 @@ def violations(requests: DataFrame) -> DataFrame:
     return requests.withColumn("violations", F.filter(F.array(*(F.when(c, F.lit(n)) for n, c in rules.items())), lambda x: x.isNotNull()))
 
 
+def normalized_request(requests: DataFrame) -> DataFrame:
+    """Requests as records: names coalesced, the unit stripped, and of a document reference only what isn't a path of the client's own."""
+    own = lambda c: rx.blank(F.col(c).cast("string")) if c in requests.columns else F.lit(None).cast("string")
+    component = F.coalesce(own("component_id"), own("part_number"))
+    reference = own("document_reference")
+    named = F.from_json(reference, "map<string,string>")
+    cleaned = F.to_json(F.map_filter(named, lambda k, v: (k != "filepath") & v.isNotNull()))
+    return requests.select(
+        own("record_id").alias("record_id"), own("case_id").alias("case_id"), component.alias("component_id"), F.coalesce(own("part_number"), component).alias("part_number"), own("revision").alias("revision"),
+        F.coalesce(own("attribute_name"), own("attribute"), own("measurement")).alias("attribute_name"), own("recorded_value").alias("recorded_value"), rx.strip(own("recorded_unit")).alias("recorded_unit"),
+        F.when(F.startswith(reference, F.lit("{")), cleaned).when(reference.isNotNull(), F.to_json(F.struct(reference.alias("filename")))).alias("document_reference"),
+    )
+
+
 def http_status(kind: Column) -> Column:
     """struct(status_code, error_code) of an error kind, else 200."""
     known = {"retriever_config": (503, "RETRIEVER_NOT_CONFIGURED"), "database": (502, "DATABASE_ERROR"), "model": (502, "MODEL_ERROR"), "extractor_config": (503, "EXTRACTOR_NOT_CONFIGURED"), "provider": (502, "PROVIDER_ERROR"), "invalid": (422, "INVALID_REQUEST")}
