@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +14,21 @@ RECORD = ", ".join(f"{f} string" for f in FIELDS)
 DOCUMENT = "source_file string, pages array<struct<page_number:int,text:string>>"
 
 
+def _objects(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
+    """file and struct o of the JSON objects of files that hold one each, or one a line. Others are passed over, or fail the scan if strict."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = F.filter(F.split("value", r"\R"), lambda x: F.trim(x) != "")
+    rows = whole.select("file", F.explode(F.when(F.try_parse_json(F.get(lines, F.lit(0))).isNotNull(), lines).otherwise(F.array("value"))).alias("text"))
+    unreadable = F.try_parse_json("text").isNull()
+    if strict:
+        rows = rows.withColumn("text", F.when(unreadable, F.raise_error(F.concat(F.lit("no JSON: "), "file")).cast("string")).otherwise(F.col("text")))
+    else:
+        rows = rows.filter(~unreadable)
+    return rows.select("file", F.from_json("text", schema).alias("o"))
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RECORD).json(path, multiLine=True)
+    return _objects(spark, path, RECORD, strict=True).select("o.*")
 
 
 def records(spark: SparkSession, rows: list[dict]) -> DataFrame:
@@ -25,44 +40,77 @@ def records(spark: SparkSession, rows: list[dict]) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """(source_file, page_number, text). Unreadable files are passed over, or fail the scan if strict; so does an empty folder then."""
-    reader = spark.read.option("multiLine", True)
-    docs = reader.schema(DOCUMENT).json(path, mode="FAILFAST") if strict else reader.schema(DOCUMENT + ", _corrupt string").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt").filter("source_file is not null")
+    """(source_file, page_number, text). Unreadable files are passed over, or fail the scan if strict; so does an empty folder then. Texts without pages are left out."""
+    docs = _objects(spark, path, DOCUMENT, strict).filter("o.source_file is not null")
     if strict and docs.isEmpty():
         raise ValueError(f"no documents in {path}")
-    return docs.filter(F.size("pages") > 0).select("source_file", F.explode("pages").alias("p")).select("source_file", "p.page_number", "p.text")
+    return docs.filter(F.size("o.pages") > 0).select("o.source_file", F.explode("o.pages").alias("p")).select("source_file", "p.page_number", "p.text")
+
+
+def read_corpora(spark: SparkSession, path: str) -> DataFrame:
+    """Pages of the folders below path; each folder's name is its corpus_id."""
+    docs = _objects(spark, f"{path.rstrip('/')}/*/", DOCUMENT).filter("o.source_file is not null and size(o.pages) > 0")
+    own = docs.select(F.element_at(F.split("file", "/"), -2).alias("corpus_id"), "o.source_file", F.explode("o.pages").alias("p"))
+    return own.select("corpus_id", "source_file", "p.page_number", "p.text")
+
+
+#: The fields of an expected answer.
+EXPECTED = (
+    "case_id string, category string, description string, expected_outcome string, expected_correction struct<value:double,unit:string>, "
+    "expected_evidence struct<document_filename:string,page_number:int,supporting_passage:string>, limitation_note string"
+)
+
+
+def read_expected(spark: SparkSession, path: str) -> DataFrame:
+    """Expected answers, one a case, with their structs spread over columns."""
+    rows = _objects(spark, path, EXPECTED, strict=True).select("o.*")
+    return rows.select("case_id", "expected_outcome", F.col("expected_correction.value").alias("expected_value"), F.col("expected_correction.unit").alias("expected_unit"), F.col("expected_evidence.document_filename").alias("expected_file"), F.col("expected_evidence.page_number").alias("expected_page"), F.col("expected_evidence.supporting_passage").alias("expected_passage"))
 
 
 def write_pages(pages: DataFrame, path: str) -> None:
+    """JSON objects of texts with their pages, one a line."""
     pages.groupBy("source_file").agg(F.array_sort(F.collect_list(F.struct("page_number", "text"))).alias("pages")).write.mode("overwrite").json(path)
 
 
-def read_pdf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(pages, errors) of PDF files. A file without pages or with a blank page is an error as a whole. Needs pypdf on the workers."""
+def pypdf_pages(content: bytes) -> list[str]:
+    """The text of each page, by pypdf."""
+    import io
+
+    try:
+        from pypdf import PdfReader
+    except ImportError as e:
+        raise RuntimeError("reading PDF files needs pypdf") from e
+    return [p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages]
 
-    def run(batches):
-        import io
 
+def read_pdf(spark: SparkSession, path: str, staged: str, read: Callable[[bytes], list[str]] = pypdf_pages) -> tuple[DataFrame, DataFrame]:
+    """(pages, errors) of PDF files. A file without pages or with a blank page is an error as a whole, and others go on.
+    Each file is read once: all rows are written to the folder staged, and both tables are read from there. read turns a
+    file's bytes into the texts of its pages."""
+
+    def run(batches):
         import pandas as pd
 
-        try:
-            from pypdf import PdfReader
-        except ImportError as e:
-            raise RuntimeError("reading PDF files needs pypdf") from e
         for frame in batches:
             out = []
             for name, content in zip(frame["path"], frame["content"], strict=True):
                 file = name.rsplit("/", 1)[-1]
                 try:
-                    texts = [p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages]
+                    texts = read(content)
                     if not texts or any(not t.strip() for t in texts):
                         raise ValueError("no pages, or a blank one")
                     out += [(file, i + 1, t, None) for i, t in enumerate(texts)]
                 except Exception as e:  # noqa: BLE001  the error channel
                     out.append((file, None, None, str(e)))
-            yield pd.DataFrame(out, columns=["source_file", "page_number", "text", "error"])
-
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "source_file string, page_number int, text string, error string")
+            yield pd.DataFrame(out, columns=["source_file", "page_number", "text", "error"]).astype({"page_number": "Int32"})
+
+    schema = "source_file string, page_number int, text string, error string"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f for at in files.globStatus(where) or [] for f in (files.listStatus(at.getPath()) if at.isDirectory() else [at])]
+    empty = [(f.getPath().getName(), None, None, "the file is empty") for f in found if f.isFile() and not f.getLen()]  # Spark passes over these
+    spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema).write.mode("overwrite").parquet(staged)
+    rows = spark.read.schema(schema).parquet(staged).union(spark.createDataFrame(empty, schema))
     return rows.filter("error is null").drop("error"), rows.filter("error is not null").select("source_file", "error")
 
 
