@@ -5,11 +5,13 @@ Datasheets are made of part, records of lineitem; both rules are plain expressio
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestor.functions import measure, rx
-from attestor.operators import chunking, evaluate, retrieve
+from attestor.operators import chunking, evaluate, evidence, model, retrieve
 from attestor.plans import audit as plan
 from attestor.sources import store
 
@@ -20,11 +22,11 @@ SELECT p_partkey AS k, 'P-' || p_partkey AS component, chr(CAST(65 + p_partkey %
   p_partkey % 11 <> 0 AS stated, p_partkey % 13 = 0 AND p_partkey % 11 <> 0 AS twice, p_partkey % 7 = 0 AS tupled, p_name AS name FROM part
 """
 _TEXT = (
-    "'Supplier datasheet' || chr(10) || 'Component ID: ' || component || chr(10) || 'Revision: ' || revision || chr(10) || 'Document ID: DOC-' || k || chr(10) "
-    "|| '1. Product Overview' || chr(10) || 'This part is ' || name || '.' || chr(10) || '2. Physical Dimensions' || chr(10) "
-    "|| CASE WHEN NOT stated THEN '' WHEN tupled THEN 'Package dimensions (length, width, thickness): 60.0 ' || unit || ' x 40.0 ' || unit || ' x ' || v1 || ' ' || unit || '.' || chr(10) "
-    "ELSE 'Component thickness: ' || v1 || ' ' || unit || '.' || chr(10) END "
-    "|| CASE WHEN twice THEN 'Component thickness: ' || v2 || ' ' || unit || '.' || chr(10) ELSE '' END || '3. Notice' || chr(10) || 'End of DOC-' || k || '.'"
+    "'Data sheet of the maker' || chr(10) || 'Component ID: ' || component || chr(10) || 'Revision: ' || revision || chr(10) || 'Document ID: DOC-' || k || chr(10) "
+    "|| '1. About this part' || chr(10) || 'It is sold as ' || name || '.' || chr(10) || '2. Physical data' || chr(10) "
+    "|| CASE WHEN NOT stated THEN '' WHEN tupled THEN 'Envelope (depth, breadth, thickness): 71.25 ' || unit || ' x 33.5 ' || unit || ' x ' || v1 || ' ' || unit || '.' || chr(10) "
+    "ELSE 'Nominal thickness: ' || v1 || ' ' || unit || '.' || chr(10) END "
+    "|| CASE WHEN twice THEN 'Measured thickness: ' || v2 || ' ' || unit || '.' || chr(10) ELSE '' END || '3. Remarks' || chr(10) || 'This was DOC-' || k || '.'"
 )
 _SHEETS = f"SELECT 'sheet-' || k || '.pdf' AS source_file, 1 AS page_number, {_TEXT} AS text FROM ({_PART}) p"
 _RECORDS = """
@@ -61,7 +63,7 @@ j AS (SELECT r.*, f.component, f.revision AS own, f.s, f.v, f.unit, try_cast(r.r
 c AS (SELECT *, CASE WHEN unit = recorded_unit THEN ev WHEN unit = 'cm' THEN ev * 10 ELSE ev / 10 END::DECIMAL(28,4) AS cv,
   CASE WHEN rv IS NULL THEN 'value_not_numeric' WHEN recorded_unit NOT IN ('mm', 'cm') THEN 'unit_unsupported'
     WHEN component IS NULL OR own <> revision OR s = 'none' THEN 'insufficient' WHEN s = 'several' THEN 'ambiguous' WHEN unit = 'in' THEN 'evidence_unit_unsupported' END AS early FROM j),
-a AS (SELECT record_id, coalesce(early, CASE WHEN rv = cv THEN 'equal' ELSE 'differs' END) AS exit_code, cv, recorded_unit, s, component_id, revision, k FROM c)
+a AS (SELECT record_id, coalesce(early, CASE WHEN rv = cv THEN 'equal' ELSE 'differs' END) AS exit_code, cv, rv, recorded_unit, s, component_id, revision, k FROM c)
 """
 _OUTCOME = "CASE exit_code WHEN 'insufficient' THEN 'insufficient_evidence' WHEN 'ambiguous' THEN 'ambiguous_evidence' WHEN 'equal' THEN 'no_change' WHEN 'differs' THEN 'correction_proposed' ELSE 'needs_review' END"
 
@@ -159,7 +161,7 @@ def conflict_detection(spark, sf_dir):
     return sheets(spark, sf_dir).select("source_file", F.size(f).alias("n_facts"), (F.size(f) > 1).alias("conflict"))
 
 
-@query(f"WITH s AS (SELECT {_TEXT} AS text, k, stated FROM ({_PART}) p) SELECT 'sheet-' || k || '.pdf' AS source_file, CASE WHEN stated THEN 'section' ELSE 'page' END AS context_type, CASE WHEN stated THEN trim(substr(text, strpos(text, '2. Physical'), strpos(text, '3. Notice') - strpos(text, '2. Physical')), chr(10)) ELSE text END AS passage FROM s")
+@query(f"WITH s AS (SELECT {_TEXT} AS text, k, stated FROM ({_PART}) p) SELECT 'sheet-' || k || '.pdf' AS source_file, CASE WHEN stated THEN 'section' ELSE 'page' END AS context_type, CASE WHEN stated THEN trim(substr(text, strpos(text, '2. Physical'), strpos(text, '3. Remarks') - strpos(text, '2. Physical')), chr(10)) ELSE text END AS passage FROM s")
 def section_extract(spark, sf_dir):
     s = rx.section_or_page(F.col("text"), F.lit("thickness"))
     return sheets(spark, sf_dir).select("source_file", s["context_type"].alias("context_type"), s["passage"].alias("passage"))
@@ -205,7 +207,7 @@ def identity_rejects(spark, sf_dir):
 
 _CHUNKS_SQL = f"""
 WITH s AS (SELECT k, component, revision, {_TEXT} AS text FROM ({_PART}) p),
-b AS (SELECT *, unnest([1, strpos(text, chr(10) || '1. Product') + 1, strpos(text, chr(10) || '2. Physical') + 1, strpos(text, chr(10) || '3. Notice') + 1]) AS a, unnest([1, 2, 3, 4]) AS n FROM s),
+b AS (SELECT *, unnest([1, strpos(text, chr(10) || '1. About') + 1, strpos(text, chr(10) || '2. Physical') + 1, strpos(text, chr(10) || '3. Remarks') + 1]) AS a, unnest([1, 2, 3, 4]) AS n FROM s),
 e AS (SELECT *, coalesce(lead(a) OVER (PARTITION BY k ORDER BY n), length(text) + 1) AS z FROM b),
 c AS (SELECT k, component, revision, n, a - 1 AS start_char, rtrim(substr(text, a, z - a), chr(10)) AS t FROM e)
 """
@@ -227,23 +229,23 @@ def token_estimate_and_hash(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", measure.token_estimate(F.col("text")).alias("tokens"), F.sha2("text", 256).alias("sha"))
 
 
-@query(f"WITH p AS ({_PART}) SELECT 'sheet-' || k || '.pdf' AS source_file, 'ambiguous' AS repeated, 'literal' AS once, 'missing' AS absent, 'whitespace_aligned' AS wrapped, 'Product' || chr(10) || 'Overview' AS span FROM p")
+@query(f"WITH p AS ({_PART}) SELECT 'sheet-' || k || '.pdf' AS source_file, 'ambiguous' AS repeated, 'literal' AS once, 'missing' AS absent, 'whitespace_aligned' AS wrapped, 'About this' || chr(10) || 'part' AS span FROM p")
 def quote_alignment(spark, sf_dir):
     """A quote that occurs once, twice, never, and once with other white space."""
-    t = F.regexp_replace("text", "Product Overview", "Product\nOverview")
+    t = F.regexp_replace("text", "About this part", "About this\npart")
     a = lambda q: measure.alignment(F.lit(q), t)
-    return sheets(spark, sf_dir).select("source_file", a("DOC-")["kind"].alias("repeated"), a("Supplier datasheet")["kind"].alias("once"), a("no such words")["kind"].alias("absent"), a("Product  Overview")["kind"].alias("wrapped"), a("Product  Overview")["span"].alias("span"))
+    return sheets(spark, sf_dir).select("source_file", a("DOC-")["kind"].alias("repeated"), a("Data sheet")["kind"].alias("once"), a("no such words")["kind"].alias("absent"), a("About  this part")["kind"].alias("wrapped"), a("About  this part")["span"].alias("span"))
 
 
-@query(f"WITH p AS ({_PART}) SELECT 'sheet-' || k || '.pdf' AS source_file, CASE WHEN stated AND tupled THEN v1 END AS thickness, CASE WHEN stated AND tupled THEN '40.0' END AS width, CASE WHEN stated AND tupled THEN unit END AS unit FROM p")
+@query(f"WITH p AS ({_PART}) SELECT 'sheet-' || k || '.pdf' AS source_file, CASE WHEN stated AND tupled THEN v1 END AS thickness, CASE WHEN stated AND tupled THEN '33.5' END AS breadth, CASE WHEN stated AND tupled THEN unit END AS unit FROM p")
 def labelled_tuple(spark, sf_dir):
     t = lambda a: measure.labelled_tuple(F.col("text"), F.lit(a))
-    return sheets(spark, sf_dir).select("source_file", t("thickness")["value_text"].alias("thickness"), t("width")["value_text"].alias("width"), t("thickness")["unit"].alias("unit"))
+    return sheets(spark, sf_dir).select("source_file", t("thickness")["value_text"].alias("thickness"), t("breadth")["value_text"].alias("breadth"), t("thickness")["unit"].alias("unit"))
 
 
 @query(f"WITH p AS ({_PART}) SELECT 'sheet-' || k || '.pdf' AS source_file, CASE WHEN stated THEN 'found' ELSE 'insufficient' END AS status, CASE WHEN stated THEN v1 END AS value_text, CASE WHEN stated THEN unit END AS unit FROM p")
 def measurement_extraction(spark, sf_dir):
-    x = measure.extraction(F.regexp_extract("text", r"(?s)(2\. Physical.*)3\. Notice", 1), F.lit("thickness"))
+    x = measure.extraction(F.regexp_extract("text", r"(?s)(2\. Physical.*)3\. Remarks", 1), F.lit("thickness"))
     # "2. Physical" itself is no measurement of an attribute that isn't stated: its first line has no unit after the number
     return sheets(spark, sf_dir).select("source_file", x["status"].alias("status"), x["value_text"].alias("value_text"), x["unit"].alias("unit"))
 
@@ -355,7 +357,7 @@ def eval_rates(spark, sf_dir):
     own = own.groupBy(F.col("record_id").alias("case_id")).agg(*(F.min(c).alias(c) for c in own.columns if c != "k"))
     done = plan.audit(own, sheets(spark, sf_dir))
     want = done.select("case_id", F.col("outcome").alias("expected_outcome"), F.col("proposed_value").alias("expected_value"), F.col("proposed_unit").alias("expected_unit"), F.col("document_filename").alias("expected_file"), F.col("page_number").alias("expected_page"), F.col("supporting_passage").alias("expected_passage"))
-    return evaluate.summary(evaluate.cases(done, want)).drop("citation_rate")
+    return evaluate.summary(evaluate.cases(done, want)).select("n", "n_passed", "pass_rate", "correction_rate", "agreement_rate", "abstention_rate")
 
 
 @query("SELECT round(median(value), 4) AS median_all, round(avg(value), 4) AS mean_all, min(value) AS min_all, max(value) AS max_all, round(median(value) FILTER (event_type = 'click'), 4) AS median_called, round(avg(value) FILTER (event_type = 'click'), 4) AS mean_called, min(value) FILTER (event_type = 'click') AS min_called, max(value) FILTER (event_type = 'click') AS max_called, round(median(value) FILTER (event_type <> 'click'), 4) AS median_not_called, round(avg(value) FILTER (event_type <> 'click'), 4) AS mean_not_called, min(value) FILTER (event_type <> 'click') AS min_not_called, max(value) FILTER (event_type <> 'click') AS max_not_called FROM (SELECT round(value, 4) AS value, event_type FROM events)")
@@ -397,3 +399,336 @@ def http_status_map(spark, sf_dir):
 def request_validation(spark, sf_dir):
     r = records(spark, sf_dir).withColumns({c: F.lit(None).cast("string") for c in ("part_number", "extractor", "retriever")})
     return plan.violations(r).select("record_id", F.array_join("violations", ",").alias("broken"))
+
+
+# --- every exit of the audit, each of them planted ---
+#: By k % 20: the exit that a part's record is to take, and its outcome.
+_EXITS = "VALUES " + ", ".join(f"({i}, '{code}', '{outcome}')" for i, (code, outcome) in enumerate(plan.EXITS))
+_PLANTED = "SELECT p_partkey AS k, p_partkey % 20 AS s, 'Q-' || (p_partkey % 20) || '-' || p_partkey AS component_id, (p_partkey % 50) || '.5' AS v, (p_partkey % 50) * 10 + 5 AS ten FROM part"
+_AT = {code: i for i, (code, _) in enumerate(plan.EXITS)}
+
+
+def _scenario(component: Column) -> Column:
+    return F.split(component, "-")[1].cast("int")
+
+
+def _planted(spark, sf_dir):
+    """Records of all scenarios, the retriever and the extractor that lead each to its exit."""
+    k = F.col("p_partkey")
+    s = k % 20
+    is_ = lambda code: s == _AT[code]
+    text = lambda n: n.cast("string")
+    value = F.when(is_("value_missing"), None).when(is_("value_not_numeric"), "n/a").when(is_("value_out_of_range"), "0.12345678901234567").when(is_("equal"), text(k % 50 * 10 + 5)).otherwise(F.lit("0.25"))
+    rows = _table(spark, sf_dir, "part").select(
+        text(k).alias("record_id"), F.concat_ws("-", F.lit("Q"), text(s), text(k)).alias("component_id"), F.lit("A").alias("revision"), F.lit("depth").alias("attribute_name"),
+        value.alias("recorded_value"), F.when(is_("unit_unsupported"), "kg").otherwise("mm").alias("recorded_unit"),
+    )
+
+    def find(questions, **_):
+        s, n = _scenario(F.col("component")), F.split("component", "-")[2].cast("bigint")
+        at = lambda code: s == _AT[code]
+        status = F.when(at("retrieval_error"), retrieve.ERROR).when(at("insufficient"), retrieve.NONE).when(at("ambiguous"), retrieve.SEVERAL).otherwise(retrieve.FOUND)
+        unit = F.when(at("evidence_unit_unsupported"), "in").otherwise("cm")
+        passage = F.concat(F.lit("The depth was\nmeasured as "), F.when(at("conversion_error"), "1234567890123456789.5").otherwise(F.concat(text(n % 50), F.lit(".5"))), F.lit(" "), unit, F.lit(" by hand."))
+        return questions.select(
+            "qid", "component", "attribute", status.alias("retrieval_status"), F.when(at("retrieval_error"), "the table is locked").when(at("insufficient"), "nothing").when(at("ambiguous"), "two of them").alias("reason"),
+            F.when(at("retrieval_error"), retrieve.DATABASE_ERROR).alias("error_type"), F.concat(F.lit("f"), text(n), F.lit(".pdf")).alias("document_filename"), F.lit(1).alias("page_number"),
+            F.when(~at("no_passage"), passage).alias("passage"), F.lit("section").alias("context_type"), F.lit(None).cast("double").alias("similarity"), F.lit("planted").alias("retriever"),
+        )
+
+    def extract(questions):
+        s, n = _scenario(F.col("component")), F.split("component", "-")[2].cast("bigint")
+        at = lambda code: s == _AT[code]
+        own = F.when(at("conversion_error"), "1234567890123456789.5").when(at("value_ungrounded"), "999.75").when(at("value_null"), None).otherwise(F.concat(text(n % 50), F.lit(".5")))
+        unit = F.when(at("unit_ungrounded"), "mm").when(at("evidence_unit_unsupported"), "in").otherwise("cm")
+        quote = F.when(at("quote_unaligned"), "no such words").when(at("differs"), F.regexp_replace(F.regexp_extract("passage", r"(?s)^(.*) by hand", 1), "\n", " ")).otherwise(F.regexp_extract("passage", r"measured as (.*) by hand", 1))
+        x = model.result(
+            F.when(at("extractor_error"), "error").when(at("extractor_insufficient"), "insufficient").when(at("extractor_ambiguous"), "ambiguous").otherwise("found"), name=F.when(at("wrong_attribute"), "breadth").otherwise("depth"), value_text=own, unit=unit,
+            quote=quote, error=F.when(at("extractor_error"), "no answer"), error_type=F.when(at("extractor_error"), model.PROVIDER_ERROR), provider=F.lit("planted"), model=F.lit("m1"), token_usage=F.when(~at("extractor_error"), F.create_map(F.lit("total_tokens"), F.lit(7))),
+        )
+        return questions.withColumn("x", x)
+
+    return rows, find, extract
+
+
+def _exits(spark, sf_dir):
+    rows, find, extract = _planted(spark, sf_dir)
+    return plan.audit(rows, None, retriever=find, extractor=extract)
+
+
+@query(f"WITH p AS ({_PLANTED}), e(s, exit_code, outcome) AS ({_EXITS}) SELECT k || '' AS record_id, exit_code, outcome, (p.s + 1)::INT AS exit_number, p.s >= 8 AS extractor_invoked FROM p JOIN e USING (s)")
+def audit_exits(spark, sf_dir):
+    """Records that take every exit of the audit, by a planted retriever and extractor."""
+    return _exits(spark, sf_dir).select("record_id", "exit_code", "outcome", "exit_number", "extractor_invoked")
+
+
+@query(f"""WITH p AS ({_PLANTED}) SELECT k || '' AS record_id,
+CASE s WHEN 0 THEN 'the record has no value' WHEN 1 THEN 'the recorded value isn''t a number: n/a' WHEN 4 THEN 'the search failed: the table is locked' WHEN 8 THEN 'the extraction failed: no answer' WHEN 12 THEN 'the measurement is of breadth, not of depth'
+  WHEN 18 THEN 'the document states ' || v || ' cm (' || v || ' cm x 10 = ' || ten || ' mm), as the record does: ' || ten || ' mm' WHEN 19 THEN 'the document states ' || v || ' cm (' || v || ' cm x 10 = ' || ten || ' mm), the record 0.25 mm; proposed is ' || ten || ' mm' END AS explanation,
+CASE WHEN s = 19 THEN v::DOUBLE END AS stated, CASE WHEN s = 19 THEN 10.0::DOUBLE END AS multiplier, CASE WHEN s = 19 THEN v || ' cm x 10 = ' || ten || ' mm' END AS calculation, CASE WHEN s = 19 THEN ten::DOUBLE END AS proposed_value,
+CASE WHEN s = 19 THEN 'The depth was' || chr(10) || 'measured as ' || v || ' cm' WHEN s >= 8 THEN 'The depth was' || chr(10) || 'measured as ' || CASE WHEN s = 17 THEN '1234567890123456789.5' ELSE v END || CASE WHEN s = 16 THEN ' in' ELSE ' cm' END || ' by hand.' END AS supporting_passage,
+CASE WHEN s = 19 THEN 'whitespace_aligned' WHEN s >= 12 THEN 'literal' END AS quote_alignment FROM p""")
+def result_contract(spark, sf_dir):
+    """Explanations, the conversion of a correction, and citations: a quote that is aligned by white space cites its own span."""
+    shown = F.col("exit_code").isin("value_missing", "value_not_numeric", "retrieval_error", "extractor_error", "wrong_attribute", "equal", "differs")
+    return _exits(spark, sf_dir).select(
+        "record_id", F.when(shown, F.col("explanation")).alias("explanation"), F.col("conversion.supplier_extracted_value").alias("stated"), "conversion.multiplier", "conversion.calculation",
+        "proposed_value", "supporting_passage", "quote_alignment",
+    )
+
+
+@query(f"""WITH p AS ({_PLANTED}), x AS (SELECT s >= 8 AS called, s = 8 AS failed FROM p)
+SELECT count(*) FILTER (called) AS calls_tried, count(*) FILTER (called AND NOT failed) AS calls_made, count(*) FILTER (NOT called) AS calls_not_needed, 0::BIGINT AS prompt_tokens, 0::BIGINT AS candidates_tokens, (7 * count(*) FILTER (called AND NOT failed))::BIGINT AS total_tokens FROM x""")
+def model_calls(spark, sf_dir):
+    """Calls of a model that were tried, made and not needed, and their tokens."""
+    return _exits(spark, sf_dir).agg(*evaluate.calls(F.col("extractor"), F.lit(False)))
+
+
+@query(f"""WITH p AS ({_PLANTED}) SELECT k || '' AS record_id, s >= 8 AS has_document, CASE WHEN s >= 8 THEN 'f' || k || '.pdf' END AS file, CASE WHEN s >= 8 THEN 'section' END AS context_type, CASE WHEN s >= 8 THEN 'default' END AS corpus_id,
+CASE WHEN s >= 8 THEN component_id END AS component, 'Component ' || component_id || ' depth physical dimension parameter specification' AS query, CASE WHEN s = 19 THEN 'The depth' WHEN s >= 8 THEN 'The depth' END AS preview FROM p""")
+def evidence_documents(spark, sf_dir):
+    """The cited passage as a document with its metadata, the text of the search, and a preview."""
+    d = evidence.documents(_exits(spark, sf_dir))
+    m = F.col("evidence_document.metadata")
+    return d.select("record_id", F.col("evidence_document").isNotNull().alias("has_document"), m["document_filename"].alias("file"), m["context_type"].alias("context_type"), m["corpus_id"].alias("corpus_id"), m["component_id"].alias("component"), evidence.query_text(F.col("component_id"), F.col("attribute_name")).alias("query"), evidence.preview(F.col("supporting_passage"), 9).alias("preview"))
+
+
+# --- evaluation against answers that SQL derives, with planted disagreements ---
+_JUDGED = f"""{_AUDIT_SQL},
+b AS (SELECT DISTINCT record_id, k, rv, recorded_unit, exit_code, {_OUTCOME} AS outcome, CASE k % 7 WHEN 0 THEN 'outcome' WHEN 1 THEN 'value' WHEN 2 THEN 'file' WHEN 3 THEN 'passage' WHEN 4 THEN 'api' WHEN 5 THEN 'unrun' ELSE 'none' END AS bad FROM a),
+m AS (SELECT *, exit_code IN ('equal', 'differs') AS citing, exit_code IN ('insufficient', 'ambiguous') AS abstained FROM b)
+"""
+
+
+def _judged(spark, sf_dir):
+    """Results, and expected answers derived from the part and the record alone; by k % 7 an answer is wrong, or the run is."""
+    own = records(spark, sf_dir).distinct().withColumn("case_id", F.concat_ws("/", "record_id", F.col("k").cast("string"), "recorded_value", "recorded_unit"))
+    bad = F.element_at(F.array(*map(F.lit, ("outcome", "value", "file", "passage", "api", "unrun", "none"))), (F.col("k") % 7 + 1).cast("int"))
+    facts = _sql(spark, sf_dir, f"SELECT k AS fk, component, revision AS own, v1, v2, unit, stated, twice, tupled FROM ({_PART.replace('FROM part', 'FROM {part}')}) p", part="part")
+    met = own.join(facts, F.col("component_id") == F.col("component"), "left")
+    rv, number = F.col("recorded_value").try_cast("decimal(20,4)"), lambda c: F.col(c).try_cast("decimal(20,4)")
+    ev = F.when(F.col("twice") & F.col("tupled"), number("v2")).otherwise(number("v1"))
+    cv = F.when(F.col("unit") == F.col("recorded_unit"), ev).when(F.col("unit") == "cm", ev * 10).otherwise(ev / 10).cast("decimal(20,5)")
+    code = (
+        F.when(rv.isNull(), "needs_review").when(~F.col("recorded_unit").isin("mm", "cm"), "needs_review")
+        .when(F.col("component").isNull() | (F.col("own") != F.col("revision")) | ~F.col("stated"), "insufficient_evidence").when(F.col("twice") & ~F.col("tupled"), "ambiguous_evidence")
+        .when(F.col("unit") == "in", "needs_review").when(rv == cv, "no_change").otherwise("correction_proposed")
+    )
+    met = met.withColumns({"code": code, "bad": bad, "cv": cv})
+    line = F.when(F.col("twice") & F.col("tupled"), F.concat(F.lit("Measured thickness: "), "v2", F.lit(" "), "unit", F.lit("."))).when(F.col("tupled"), F.concat(F.lit("Envelope (depth, breadth, thickness): 71.25 "), "unit")).otherwise(F.concat(F.lit("Nominal thickness: "), "v1", F.lit(" "), "unit", F.lit(".")))
+    cites = F.col("code").isin("no_change", "correction_proposed") | ((F.col("code") == "needs_review") & (F.col("unit") == "in") & rv.isNotNull() & F.col("recorded_unit").isin("mm", "cm") & (F.col("own") == F.col("revision")) & F.col("stated") & ~(F.col("twice") & ~F.col("tupled")))
+    want = met.select(
+        "case_id", F.when((F.col("bad") == "outcome") & (F.col("code") == "no_change"), "needs_review").otherwise(F.col("code")).alias("expected_outcome"),
+        F.when(F.col("code") == "correction_proposed", F.col("cv").cast("double") + F.when(F.col("bad") == "value", 1.0).otherwise(0.0)).alias("expected_value"), F.when(F.col("code") == "correction_proposed", F.col("recorded_unit")).alias("expected_unit"),
+        F.when(cites, F.when((F.col("bad") == "file") & F.col("code").isin("no_change", "correction_proposed"), "another.pdf").otherwise(F.concat(F.lit("sheet-"), F.col("fk").cast("string"), F.lit(".pdf")))).alias("expected_file"), F.when(cites, 1).alias("expected_page"),
+        F.when(cites, F.when((F.col("bad") == "passage") & F.col("code").isin("no_change", "correction_proposed"), "words of no page").otherwise(line)).alias("expected_passage"),
+    )
+    done = plan.audit(own.select("case_id", "record_id", "component_id", "revision", "attribute_name", "recorded_value", "recorded_unit"), sheets(spark, sf_dir))
+    flags = own.select("case_id", (bad == "api").alias("api_error"), (bad == "unrun").alias("unrun"))
+    return evaluate.cases(done.join(flags, "case_id"), want, sheets(spark, sf_dir))
+
+
+_FAILED = "(bad = 'api' OR bad = 'unrun' OR (bad = 'outcome' AND exit_code = 'equal') OR (bad = 'value' AND exit_code = 'differs') OR (bad IN ('file', 'passage') AND citing))"
+_PCT = lambda hit, of: f"coalesce(round(100.0 * count(*) FILTER ({hit} AND {of}) / nullif(count(*) FILTER ({of}), 0), 1), 0)::DOUBLE"
+#: What is expected after planting: an answer that is to be no_change but says needs_review counts there.
+_EXPECTED = "CASE WHEN bad = 'outcome' AND exit_code = 'equal' THEN 'needs_review' ELSE outcome END"
+
+
+@query(f"""{_JUDGED} SELECT count(*) AS n, count(*) FILTER (NOT {_FAILED}) AS n_passed, count(*) FILTER ({_FAILED} AND bad NOT IN ('api', 'unrun')) AS n_failed, count(*) FILTER (bad = 'api') AS n_api_error, count(*) FILTER (bad = 'unrun') AS n_unrun,
+{_PCT(f'NOT {_FAILED}', 'true')} AS pass_rate, {_PCT(f'NOT {_FAILED}', f"{_EXPECTED} = 'correction_proposed'")} AS correction_rate, {_PCT(f'NOT {_FAILED}', f"{_EXPECTED} = 'no_change'")} AS agreement_rate,
+{_PCT(f'NOT {_FAILED}', f"{_EXPECTED} NOT IN ('no_change', 'correction_proposed')")} AS abstention_rate, {_PCT("NOT (citing AND bad IN ('file', 'passage'))", "(citing OR exit_code = 'evidence_unit_unsupported')")} AS citation_rate,
+{_PCT("bad <> 'file'", f"{_EXPECTED} IN ('no_change', 'correction_proposed')")} AS evidence_retrieval_rate, {_PCT('true', 'abstained')} AS retrieval_abstention_rate, {_PCT("NOT (citing AND bad = 'file')", 'true')} AS retrieval_rate FROM m""")
+def evaluation_report(spark, sf_dir):
+    """Counts and rates against independent answers, some of them wrong on purpose."""
+    return evaluate.summary(_judged(spark, sf_dir)).drop("calls_tried", "calls_made", "calls_not_needed", "prompt_tokens", "candidates_tokens", "total_tokens")
+
+
+@query(f"""{_JUDGED} SELECT CASE WHEN NOT {_FAILED} THEN NULL WHEN bad = 'api' THEN 'api' WHEN bad = 'file' THEN 'retrieval' WHEN bad IN ('outcome', 'value') THEN 'measurement extraction' ELSE 'verification' END AS failure_stage, count(*) AS n FROM m GROUP BY 1""")
+def failure_stages(spark, sf_dir):
+    return _judged(spark, sf_dir).groupBy("failure_stage").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH s AS ({_SHEETS}), p AS ({_PART}) SELECT 'sheet-' || k || '.pdf' AS document_filename, CASE WHEN k % 5 = 0 THEN false ELSE true END AS in_page FROM p WHERE stated")
+def citation_in_page(spark, sf_dir):
+    """Whether a cited passage stands on its page; every fifth page has been changed since."""
+    pages = sheets(spark, sf_dir)
+    cited = pages.select(F.col("source_file").alias("document_filename"), "page_number", rx.section_or_page(F.col("text"), F.lit("thickness")).alias("s")).filter("s.context_type = 'section'").select("document_filename", "page_number", F.col("s.passage").alias("supporting_passage"))
+    k = F.regexp_extract("source_file", r"(\d+)", 1).cast("bigint")
+    return evidence.cited_pages(cited, pages.withColumn("text", F.when(k % 5 == 0, F.regexp_replace("text", "thickness", "thinness")).otherwise(F.col("text")))).select("document_filename", "in_page")
+
+
+@query("""WITH e AS (SELECT event_id, event_id % 4 AS a, event_id % 6 AS b FROM events), x AS (SELECT event_id, a < 3 AS before, b < 4 AS after, a < 3 AND b < 4 OR a = 3 AND b >= 4 AS same FROM e)
+SELECT count(*) AS n, count(*) FILTER (same) AS n_same, round(100.0 * count(*) FILTER (same) / count(*), 1)::DOUBLE AS concordance, count(*) FILTER (NOT before AND after) AS improved, count(*) FILTER (before = after) AS matched, count(*) FILTER (before AND NOT after) AS worsened FROM x""")
+def retriever_comparison(spark, sf_dir):
+    """Two runs side by side: agreement in outcome, proposal and citation, and what improved, matched and worsened."""
+    e = _table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("case_id"), (F.col("event_id") % 4).alias("a"), (F.col("event_id") % 6).alias("b"))
+
+    def run(good: Column):
+        return e.select("case_id", F.when(good, "no_change").otherwise("needs_review").alias("outcome"), F.lit(None).cast("double").alias("proposed_value"), F.lit(None).cast("string").alias("proposed_unit"), good.alias("citation_valid"), good.alias("passed"), F.lit(None).cast("string").alias("failure_stage"), F.lit("evidence_found").alias("retrieval_status"))
+
+    return evaluate.changes(evaluate.comparison(run(F.col("a") < 3), run(F.col("b") < 4), names=("baseline", "vector")))
+
+
+@query(f"""{_CHUNKS_SQL} SELECT 'case-' || k AS case_id, CASE WHEN k % 3 = 2 THEN NULL ELSE 3 END::INT AS first_rank FROM c WHERE n = 1""")
+def evidence_rank(spark, sf_dir):
+    """The rank, by offset, of the chunk that is from the expected page and holds the expected passage but for white space; every third answer names another page."""
+    pages = sheets(spark, sf_dir)
+    k = lambda c: F.regexp_extract(c, r"(\d+)", 1)
+    own = chunking.chunks(pages).withColumn("query_id", F.concat(F.lit("case-"), k("document_filename")))
+    ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("start_char"))).select("query_id", "rank", "document_filename", "page_number", "text")
+    want = pages.select(F.concat(F.lit("case-"), k("source_file")).alias("case_id"), F.col("source_file").alias("expected_file"), F.when(k("source_file").cast("bigint") % 3 == 2, 9).otherwise(1).alias("expected_page"), F.lit("2.  Physical\ndata").alias("expected_passage"))
+    return evaluate.evidence_ranks(ranked, want)
+
+
+@query("""SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'found' WHEN 1 THEN 'found' WHEN 2 THEN 'insufficient' WHEN 3 THEN 'ambiguous' WHEN 4 THEN 'found' WHEN 5 THEN 'found' WHEN 7 THEN 'sure' END AS status,
+CASE event_id % 8 WHEN 4 THEN 'fields that are missing: unit, quote' WHEN 5 THEN 'the value isn''t a decimal' WHEN 6 THEN 'the answer isn''t a JSON object' WHEN 7 THEN 'the answer has no known status' END AS problem FROM events""")
+def model_responses(spark, sf_dir):
+    """Answers of a model: fenced, with fields missing, with a value that is no number, with an unknown status, and not JSON."""
+    good = '{"status": "found", "measurement_name": "depth", "value": "1.5", "unit": "mm", "quote": "depth 1.5 mm"}'
+    said = (good, f"```json\n{good}\n```", '{"status": "insufficient"}', '{"status": "ambiguous", "quote": null}', '{"status": "found", "measurement_name": "depth", "value": "1.5"}', good.replace("1.5", "one"), "I think it is 1.5 mm", '{"status": "sure"}')
+    text = F.element_at(F.array(*map(F.lit, said)), (F.col("event_id") % 8 + 1).cast("int"))
+    r = model.response(text)
+    return _table(spark, sf_dir, "events").select("event_id", r["status"].alias("status"), r["problem"].alias("problem"))
+
+
+@query("""SELECT count(*) AS n_rows, count(*) FILTER (vec_id % 11 = 0) AS n_dimension, count(*) FILTER (vec_id % 11 <> 0 AND vec_id % 7 = 0) AS n_not_finite, count(*) FILTER (vec_id % 11 = 0 OR vec_id % 7 = 0 OR vec_id % 5 = 0) AS n_norm, count(*) FILTER (vec_id % 3 = 0 OR vec_id % 13 = 0) AS n_fields FROM embeddings""")
+def artifact_validation(spark, sf_dir):
+    """Chunks with planted faults: vectors too short, with a NaN, not of unit length, and fields that are missing or empty."""
+    k = F.col("vec_id")
+    nan = F.transform("embedding", lambda v, i: F.when(i == 0, F.lit(float("nan"))).otherwise(v).cast("float"))
+    vec = F.when(k % 11 == 0, F.slice("embedding", 1, 9)).when(k % 7 == 0, nan).when(k % 5 == 0, F.transform("embedding", lambda v: (v * 2).cast("float"))).otherwise(F.col("embedding"))
+    rows = _table(spark, sf_dir, "embeddings").select(vec.alias("embedding"), *(F.lit("x").alias(c) for c in store.REQUIRED if c not in ("text", "revision")), F.when(k % 3 == 0, "").otherwise("x").alias("text"), F.when(k % 13 != 0, "A").alias("revision"))
+    return store.violations(rows, 64)
+
+
+@query("SELECT 'no table' AS kind, 'error' AS retrieval_status, 'DATABASE_ERROR' AS error_type, count(*) AS n, 502 AS status_code FROM embeddings WHERE vec_id % 20 = 0 UNION ALL SELECT 'dimension', CASE WHEN vec_id % 40 = 0 THEN 'error' ELSE 'insufficient_evidence' END, CASE WHEN vec_id % 40 = 0 THEN 'MODEL_INCOMPATIBLE' END, count(*), CASE WHEN vec_id % 40 = 0 THEN 502 ELSE 200 END FROM embeddings WHERE vec_id % 20 = 0 GROUP BY ALL")
+def retrieval_errors(spark, sf_dir):
+    """Questions without a chunk table, and with a query vector of another dimension."""
+    v = _table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0")
+    asked = v.select(F.col("vec_id").cast("string").alias("qid"), F.lit("nobody").alias("component"), F.lit("A").alias("revision"), F.lit("depth").alias("attribute"), F.when(F.col("vec_id") % 40 == 0, F.slice("embedding", 1, 9)).otherwise(F.col("embedding")).alias("query_vector"))
+    chunks = spark.createDataFrame([], store.SCHEMA)
+    out = None
+    for kind, table in (("no table", None), ("dimension", chunks)):
+        found = retrieve.vector(asked, chunks=table, dimension=64).withColumn("kind", F.lit(kind))
+        out = found if out is None else out.unionByName(found)
+    status = plan.http_status(F.when(F.col("error_type") == retrieve.DATABASE_ERROR, "database").when(F.col("error_type") == retrieve.MODEL_INCOMPATIBLE, "model"))["status_code"]
+    return out.groupBy("kind", "retrieval_status", "error_type", status.alias("status_code")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH p AS ({_PART}), c AS (SELECT k % 37 AS g, bool_or(k % 53 = 0) AS bad, count(*) AS n FROM p GROUP BY 1) SELECT 'corpus-' || g AS corpus_id, CASE WHEN bad THEN 0 ELSE 4 * n END AS chunks, bad AS rejected FROM c")
+def multi_corpus(spark, sf_dir):
+    """Many corpora at once: one with a text whose identity isn't clear is left out as a whole."""
+    k = F.regexp_extract("source_file", r"(\d+)", 1).cast("bigint")
+    pages = sheets(spark, sf_dir).withColumns({"corpus_id": F.concat(F.lit("corpus-"), (k % 37).cast("string")), "text": F.when(k % 53 == 0, F.regexp_replace("text", "Revision:", "Edition:")).otherwise(F.col("text"))})
+    rows, rejected = store.corpora(pages)
+    per = rows.groupBy("corpus_id").agg(F.count(F.lit(1)).alias("chunks")).unionByName(rejected.select("corpus_id", F.lit(0).cast("bigint").alias("chunks")))
+    return per.join(rejected.select("corpus_id", F.lit(True).alias("rejected")), "corpus_id", "left").select("corpus_id", "chunks", F.coalesce("rejected", F.lit(False)).alias("rejected"))
+
+
+@query(f"{_CHUNKS_SQL} SELECT CASE WHEN k % 10 = 0 THEN 'missing' WHEN k % 10 = 1 THEN 'changed' WHEN k % 10 = 2 THEN 'unexpected' END AS kind, CASE WHEN k % 10 = 1 THEN 'token_count,revision' END AS fields, count(*) AS n FROM c WHERE k % 10 < 3 GROUP BY ALL")
+def stored_differences(spark, sf_dir):
+    """A table against what it should hold: chunks that are missing, changed, and not expected."""
+    rows = chunking.chunks(sheets(spark, sf_dir)).withColumn("k", F.regexp_extract("document_filename", r"(\d+)", 1).cast("bigint") % 10)
+    held = rows.filter("k != 0").withColumns({"token_count": F.when(F.col("k") == 1, 0).otherwise(F.col("token_count")), "revision": F.when(F.col("k") == 1, "?").otherwise(F.col("revision"))})
+    return store.differences(held, rows.filter("k != 2")).groupBy("kind", "fields").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{_CHUNKS_SQL} SELECT count(*) FILTER (component = 'P-5' AND revision = 'C') AS n_match, count(*) AS some_component_id, 0::BIGINT AS none_component_id, count(*) AS some_revision, 0::BIGINT AS none_revision FROM c")
+def identity_counts(spark, sf_dir):
+    return store.counts(chunking.chunks(sheets(spark, sf_dir)), component_id="P-5", revision="C")
+
+
+@query("SELECT l_orderkey, l_linenumber, (n * 10 + 5)::DOUBLE AS converted, l_linenumber % 2 = 0 AS agrees, n || '.5 cm x 10 = ' || (n * 10 + 5) || ' mm' AS calculation FROM (SELECT DISTINCT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS n FROM lineitem)")
+def conversion_agrees(spark, sf_dir):
+    """The conversion as a tool: what a stated value is in the record's unit, and whether the record agrees."""
+    n = F.col("l_quantity").cast("int")
+    rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(n.cast("string"), F.lit(".5")).alias("v"), F.when(F.col("l_linenumber") % 2 == 0, (n * 10 + 5).cast("string")).otherwise("1").alias("r")).distinct()
+    c = measure.comparison(F.col("v"), F.lit("cm"), F.col("r"), F.lit("mm"))
+    return rows.select("l_orderkey", "l_linenumber", c["converted"].cast("double").alias("converted"), c["agrees"].alias("agrees"), c["calculation"].alias("calculation"))
+
+
+@query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN true WHEN 4 THEN NULL ELSE NULL END AS agrees FROM events")
+def exact_decimals(spark, sf_dir):
+    """Values that differ in the fourteenth digit, with seventeen digits before the point, and with more digits than are kept."""
+    pairs = (("0.1234567890123", "0.12345678901234"), ("1.50", "1.5000"), ("99999999999999998", "99999999999999999"), ("1e3", "1000"), ("0.12345678901234567", "0.1"), ("1234567890123456789", "1"))
+    at = lambda i: F.element_at(F.array(*(F.lit(p[i]) for p in pairs)), (F.col("event_id") % 6 + 1).cast("int"))
+    return _table(spark, sf_dir, "events").select("event_id", measure.comparison(at(1), F.lit("mm"), at(0), F.lit("mm"))["agrees"].alias("agrees"))
+
+
+@query("SELECT event_id, [NULL, 'component', 'attribute', 'unit', 'value', 'extractor', 'retriever', 'component,attribute,unit,value'][1 + event_id % 8] AS broken FROM events")
+def request_rules(spark, sf_dir):
+    """Requests that break each of the rules, none of them, and several."""
+    k = F.col("event_id") % 8
+    off = lambda *ks: k.isin(*ks, 7)
+    rows = _table(spark, sf_dir, "events").select(
+        "event_id", F.when(off(1), " ").otherwise("Q1").alias("component_id"), F.lit(None).cast("string").alias("part_number"), F.when(off(2), "").otherwise("depth").alias("attribute_name"), F.when(off(3), None).otherwise("mm").alias("recorded_unit"),
+        F.when(off(4), "many").otherwise("1").alias("recorded_value"), F.when(k == 5, "oracle").otherwise("deterministic").alias("extractor"), F.when(k == 6, "guess").otherwise("Postgres").alias("retriever"),
+    )
+    return plan.violations(rows).select("event_id", F.nullif(F.array_join("violations", ","), F.lit("")).alias("broken"))
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'part-' || event_id ELSE 'c' || event_id END AS component_id, CASE event_id % 3 WHEN 0 THEN 'part-' || event_id WHEN 1 THEN 'p' ELSE 'c' || event_id END AS part_number, CASE event_id % 3 WHEN 0 THEN 'width' WHEN 1 THEN 'depth' ELSE 'height' END AS attribute_name, 'mm' AS recorded_unit,
+CASE event_id % 3 WHEN 0 THEN '{"filename":"a.pdf"}' WHEN 1 THEN '{"document_id":"D1"}' END AS document_reference FROM events""")
+def request_records(spark, sf_dir):
+    """Requests as records: other names, the unit's blanks, and references without the client's paths."""
+    k = F.col("event_id") % 3
+    own = F.concat(F.lit("c"), F.col("event_id").cast("string"))
+    rows = _table(spark, sf_dir, "events").select(
+        F.col("event_id").cast("string").alias("record_id"), F.when(k != 0, own).alias("component_id"), F.when(k == 0, F.concat(F.lit("part-"), F.col("event_id").cast("string"))).when(k == 1, "p").alias("part_number"), F.when(k == 1, "depth").when(k == 2, "").alias("attribute_name"),
+        F.when(k == 0, "width").alias("attribute"), F.lit("height").alias("measurement"), F.lit("1").alias("recorded_value"), F.lit(" mm ").alias("recorded_unit"), F.when(k == 0, "a.pdf").when(k == 1, '{"document_id": "D1", "filepath": "/etc/x"}').alias("document_reference"),
+    )
+    return plan.normalized_request(rows).select(F.col("record_id").cast("bigint").alias("event_id"), "component_id", "part_number", "attribute_name", "recorded_unit", "document_reference")
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'r' || event_id WHEN 1 THEN 'UNKNOWN-CASE' ELSE 'k' || event_id END AS case_id, CASE event_id % 4 WHEN 1 THEN 'UNKNOWN-RECORD' WHEN 2 THEN 'k' || event_id ELSE 'r' || event_id END AS record_id, CASE event_id % 4 WHEN 2 THEN 'UNKNOWN-COMP' WHEN 3 THEN 'c' ELSE 'p' END AS component_id, CASE event_id % 4 WHEN 3 THEN 'unknown_attribute' ELSE 'depth' END AS attribute_name FROM events""")
+def record_fallbacks(spark, sf_dir):
+    """Records with missing and empty fields: other names first, then placeholders."""
+    k, n = F.col("event_id") % 4, F.col("event_id").cast("string")
+    rows = _table(spark, sf_dir, "events").select(
+        n.alias("recorded_value"), F.when(k.isin(2, 3), F.concat(F.lit("k"), n)).otherwise("").alias("case_id"), F.when(k.isin(0, 3), F.concat(F.lit("r"), n)).alias("record_id"), F.when(k == 3, "c").otherwise("").alias("component_id"), F.when(k != 2, "p").alias("part_number"),
+        F.when(k == 0, "depth").alias("attribute_name"), F.when(k == 1, "depth").alias("attribute"), F.when(k == 2, "depth").alias("measurement"),
+    )
+    return plan.normalize(rows).select(F.col("recorded_value").cast("bigint").alias("event_id"), "case_id", "record_id", "component_id", "attribute_name")
+
+
+@query(f"WITH p AS ({_PART}) SELECT kind || '/' || k AS qid, 'sheet-' || k || '.pdf' AS source_file FROM p, (VALUES ('dotted'), ('han')) t(kind)")
+def component_pattern_join(spark, sf_dir):
+    """Components whose ids hold other characters than letters, digits, _ and -, and one that holds none of these."""
+    k = F.regexp_extract("source_file", r"(\d+)", 1)
+    sign = lambda n: F.decode(F.unhex(F.hex(F.lit(0x4E00) + n)), "UTF-16BE")
+    ids = {"dotted": F.concat(F.lit("X."), k, F.lit("/a")), "han": F.concat(sign(k.cast("bigint") % 20000), sign(F.floor(k.cast("bigint") / 20000)))}
+    pages = sheets(spark, sf_dir).withColumn("text", F.concat("text", F.lit("\nAlso known as "), ids["dotted"], F.lit(" and "), ids["han"], F.lit(".")))
+    q = pages.select(F.explode(F.array(*(F.struct(F.concat_ws("/", F.lit(n), k).alias("qid"), c.alias("component")) for n, c in ids.items()))).alias("q")).select("q.*", F.lit(None).cast("string").alias("revision"), F.lit("depth").alias("attribute"), F.lit(None).cast("string").alias("stem"))
+    return retrieve.eligible(q, pages).select("qid", "source_file")
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0), d AS (SELECT query_id, vec_id, round(1 - round(1 - list_inner_product(embedding::DOUBLE[], e::DOUBLE[]) / (sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_inner_product(e::DOUBLE[], e::DOUBLE[]))), 6), 6) AS similarity FROM q JOIN embeddings ON true)
+SELECT query_id, max(similarity) AS best FROM d WHERE vec_id <> query_id GROUP BY 1""")
+def similarity_order(spark, sf_dir):
+    """The similarity of the nearest other vector, in the order of descending similarity."""
+    near = _others(*_vectors(spark, sf_dir), 1)
+    return near.select("query_id", F.round(1 - F.col("distance"), 6).alias("best")).orderBy(F.desc("best"))
+
+
+@query("SELECT CASE WHEN event_id % 4 = 0 THEN 'case-' WHEN event_id % 4 = 1 THEN 'challenge-' END || event_id AS case_id, event_id % 3 = 0 AS blocks FROM events WHERE event_id % 4 < 2 AND event_id % 3 = 0")
+def regression_gate(spark, sf_dir):
+    """Of the cases of all suites those that fail and aren't known to; cases of other names belong to no suite."""
+    k = F.col("event_id")
+    rows = _table(spark, sf_dir, "events").select(F.concat(F.when(k % 4 == 0, "case-").when(k % 4 == 1, "challenge-").otherwise("draft-"), k.cast("string")).alias("case_id"), F.when(k % 3 == 0, "failed").when(k % 3 == 1, "unrun").otherwise("passed").alias("state"))
+    return evaluate.failures(evaluate.suite(rows, "all"), ("case-x",)).select("case_id", F.lit(True).alias("blocks"))
+
+
+@query("""SELECT 'c' || o_custkey % 5 AS corpus_id, count(*) AS n, sum((o_orderkey % 2 = 0)::INT)::BIGINT AS n_new FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0 GROUP BY 1""")
+def chunk_store(spark, sf_dir):
+    """Two upserts into a stored table, the second of them twice: rows by corpus, and how many have the newer content."""
+    import tempfile
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="attestor-store-")
+    table = store.ChunkStore(spark, f"{base.rstrip('/')}/attestor-chunks-{uuid.uuid4().hex}")
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("chunk_id"), F.concat(F.lit("c"), (F.col("o_custkey") % 5).cast("string")).alias("corpus_id"), "o_orderkey")
+    kinds = {f.name: f.dataType for f in spark.createDataFrame([], store.SCHEMA).schema}
+    rest = lambda df, text: df.select("chunk_id", "corpus_id", F.lit(text).alias("text"), F.sha2(F.lit(text), 256).alias("content_sha256"), *(F.lit(None).cast(t).alias(n) for n, t in kinds.items() if n not in ("chunk_id", "corpus_id", "text", "content_sha256")))
+    table.upsert(rest(o.filter("o_orderkey % 3 <> 0"), "old"))
+    for _ in range(2):
+        table.upsert(rest(o.filter("o_orderkey % 2 = 0"), "new"))
+    return table.read().groupBy("corpus_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("text") == "new").alias("n_new"))
