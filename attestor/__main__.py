@@ -1,4 +1,4 @@
-"""python -m attestor COMMAND: audit, retrieve, extract-pdf, chunk, ingest, index, evaluate."""
+"""python -m attestor COMMAND: generate, audit, retrieve, extract-pdf, chunk, ingest, index, evaluate."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from attestor.operators import chunking, evaluate, retrieve
 from attestor.plans import audit as plan
-from attestor.sources import readers, settings, store
+from attestor.sources import fixtures, readers, settings, store
 
 
 def _embedded(chunks: DataFrame, own: settings.Settings) -> DataFrame:
@@ -69,7 +69,12 @@ def _evaluate(spark: SparkSession, a: argparse.Namespace, own: settings.Settings
     return int(not evaluate.failures(rows, tuple(a.tolerate)).isEmpty())
 
 
-COMMANDS = {"audit": _audit, "retrieve": _retrieve, "extract-pdf": _extract, "chunk": _chunk, "ingest": _ingest, "index": _index, "evaluate": _evaluate}
+def _generate(spark: SparkSession, a: argparse.Namespace, own: settings.Settings) -> int:
+    fixtures.write_cases(spark, a.n, a.out)
+    return 0
+
+
+COMMANDS = {"generate": _generate, "audit": _audit, "retrieve": _retrieve, "extract-pdf": _extract, "chunk": _chunk, "ingest": _ingest, "index": _index, "evaluate": _evaluate}
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -81,6 +86,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("--out", required=True)
     p.add_argument("--suite", default="all", choices=sorted(evaluate.SUITES))
     p.add_argument("--tolerate", nargs="*", default=[], help="cases that are known to fail")
+    p.add_argument("--n", type=int, default=16, help="cases to make")
     p.add_argument("--dry-run", action="store_true", help="no vectors")
     p.add_argument("--by-folder", action="store_true", help="a corpus for each folder")
     p.add_argument("--retriever")

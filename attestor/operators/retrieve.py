@@ -34,19 +34,20 @@ def eligible(questions: DataFrame, pages: DataFrame) -> DataFrame:
 
     An id made of letters, digits, _ and - occurs exactly if it is one of a text's runs of these, so texts and questions
     meet in an equi-join on runs. Any other id is sought by its longest run, or its first character if it has none, and then
-    by its pattern. Only runs that are asked for are joined, and a text moves only if one of its runs is. If a question
-    refers to a document that exists, only that one counts.
+    by its pattern. Pages give up their runs where they are, only runs that are asked for go on, and only texts that have
+    one of them are put together from their pages. If a question refers to a document that exists, only that one counts.
     """
-    docs = pages.groupBy("source_file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda p: p["text"]), "\n").alias("full")).withColumn("doc_stem", stem(F.col("source_file")))
     runs_of = F.transform(rx.extract_all(F.col("component"), f"{rx.ID}+", 0), lambda r: F.struct(F.length(r).alias("n"), r.alias("run")))
     run = F.coalesce(F.array_max(runs_of)["run"], rx.blank(F.substring(rx.strip(F.col("component")), 1, 1)))
     asked = questions.withColumn("run", F.lower(run)).filter("run is not null")
     stems = pages.select(stem(F.col("source_file")).alias("stem")).distinct().withColumn("known", F.lit(True))
     asked = asked.join(stems, "stem", "left")
-    found = F.flatten(F.array(*(F.regexp_extract_all(F.lower("full"), F.lit(p), F.lit(0)) for p in ("[a-z0-9_-]+", r"[^a-z0-9_\s-]"))))
-    runs = docs.select("source_file", "doc_stem", F.explode(F.array_distinct(found)).alias("run"))
-    met = runs.join(asked.select("run").distinct(), "run", "left_semi").join(asked, "run").filter(F.col("known").isNull() | (F.col("doc_stem") == F.col("stem")))
-    met = met.join(docs.select("source_file", "full"), "source_file")
+    found = F.flatten(F.array(*(F.regexp_extract_all(F.lower("text"), F.lit(p), F.lit(0)) for p in ("[a-z0-9_-]+", r"[^a-z0-9_\s-]"))))
+    runs = pages.select("source_file", F.explode(F.array_distinct(found)).alias("run")).join(asked.select("run").distinct(), "run", "left_semi").distinct()
+    met = runs.join(asked, "run").filter(F.col("known").isNull() | (stem(F.col("source_file")) == F.col("stem")))
+    own = pages.join(met.select("source_file").distinct(), "source_file", "left_semi")
+    full = own.groupBy("source_file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda p: p["text"]), "\n").alias("full"))
+    met = met.join(full, "source_file")
     plain = F.rlike("component", F.lit(f"^{rx.ID}+$"))
     met = met.filter(plain | rx.matches_component(F.col("full"), F.col("component")))
     return met.select("qid", "source_file", rx.matches_revision(F.col("full"), F.col("revision")).alias("has_revision"))
@@ -82,22 +83,24 @@ def _outcome(per: DataFrame, name: str, error: Column | None = None) -> DataFram
 
 def baseline(questions: DataFrame, pages: DataFrame, **_) -> DataFrame:
     """Regular expressions over pages: a direct specification line, else the section or page that mentions the attribute."""
-    found = eligible(questions, pages)
-    seen = found.groupBy("qid").agg(F.lit(True).alias("has_component"), F.max("has_revision").alias("has_revision"))
-    at = found.filter("has_revision").join(pages, "source_file").join(questions.select("qid", "attribute"), "qid").filter(rx.blank(F.col("attribute")).isNotNull())
-    at = at.select("qid", "attribute", "source_file", "page_number", "text", measure.direct_lines(F.col("text"), F.col("attribute")).alias("spec"))
+    found = eligible(questions, pages).withColumnRenamed("source_file", "named_in").join(questions.select("qid", "attribute"), "qid")
+    # Texts of another revision meet no page, but still say that the component is known; so the texts are found once.
+    at = found.join(pages, F.col("has_revision") & (F.col("named_in") == F.col("source_file")), "left")
+    asked = rx.blank(F.col("attribute")).isNotNull() & F.col("text").isNotNull()
+    at = at.select("qid", "attribute", "has_revision", "source_file", "page_number", "text", F.when(asked, measure.direct_lines(F.col("text"), F.col("attribute"))).alias("spec"))
     null = F.lit(None).cast("double").alias("similarity")
     order = F.struct("source_file", "page_number")
     line = F.struct(F.col("source_file").alias("document_filename"), "page_number", F.get("spec", F.lit(0))["line"].alias("passage"), F.lit("passage").alias("context_type"), null)
     near = rx.section_or_page(F.col("text"), F.col("attribute"))
     part = F.struct(F.col("source_file").alias("document_filename"), "page_number", near["passage"].alias("passage"), near["context_type"].alias("context_type"), null)
-    mentions = F.rlike("text", rx.mention(F.col("attribute")))
+    mentions = F.col("spec").isNotNull() & F.rlike("text", rx.mention(F.col("attribute")))
     per = at.groupBy("qid").agg(
+        F.lit(True).alias("has_component"), F.max("has_revision").alias("has_revision"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.transform("spec", lambda s: F.struct(s["value"].alias("value"), s["unit"].alias("unit"))))))).alias("facts"),
         F.min_by(F.when(F.size("spec") > 0, line), F.when(F.size("spec") > 0, order)).alias("direct"),
         F.min_by(F.when(mentions, part), F.when(mentions, order)).alias("near"),
     )
-    per = questions.join(seen, "qid", "left").join(per, "qid", "left").withColumns({"has_component": F.coalesce("has_component", F.lit(False)), "has_revision": F.coalesce("has_revision", F.lit(False)), "best": F.coalesce("direct", "near")})
+    per = questions.join(per, "qid", "left").withColumns({"has_component": F.coalesce("has_component", F.lit(False)), "has_revision": F.coalesce("has_revision", F.lit(False)), "best": F.coalesce("direct", "near")})
     return _outcome(per, "baseline")
 
 

@@ -22,7 +22,7 @@ EXITS = (
     ("equal", "no_change"), ("differs", "correction_proposed"),
 )
 #: Nodes of the graph view that a record passes, by the first exit of each.
-NODES = ("validate_record", "retrieve_evidence", "extract_measurement", "validate_evidence", "convert_measurement")
+NODES = ("validate_record", "retrieve_evidence", "extract_measurement", "validate_evidence", "convert_and_compare")
 
 
 #: The seven stages of the chain, in their order.
@@ -200,6 +200,16 @@ def finish(records: DataFrame) -> DataFrame:
         F.col("x").isNotNull().alias("extractor_invoked"),
         F.concat(F.slice(F.array(*map(F.lit, NODES)), F.lit(1), passed), F.array(F.lit("finalize"))).alias("node_transitions"),
         F.lit(False).alias("source_record_modified"),
+    ).withColumn("orchestration", orchestration())
+
+
+def orchestration() -> Column:
+    """The graph view of a result: the nodes that its record passed, the tools that were used, and why it ended."""
+    used = lambda node: F.array_contains("node_transitions", node).cast("int")
+    tools = F.create_map(F.lit("evidence_retrieval_tool"), used(NODES[1]), F.lit("measurement_extraction_tool"), used(NODES[2]), F.lit("measurement_conversion_tool"), used(NODES[4]))
+    return F.struct(
+        F.lit("graph").alias("mode"), F.col("node_transitions").alias("node_transitions"), tools.alias("tool_invocations"), F.col("extractor_invoked").cast("int").alias("extractor_invocations"),
+        F.when(~F.col("exit_code").isin("equal", "differs"), F.col("exit_code")).alias("terminal_reason"),
     )
 
 
@@ -264,8 +274,8 @@ def normalized_request(requests: DataFrame) -> DataFrame:
 
 
 def http_status(kind: Column) -> Column:
-    """struct(status_code, error_code) of an error kind, else 200."""
-    known = {"retriever_config": (503, "RETRIEVER_NOT_CONFIGURED"), "database": (502, "DATABASE_ERROR"), "model": (502, "MODEL_ERROR"), "extractor_config": (503, "EXTRACTOR_NOT_CONFIGURED"), "provider": (502, "PROVIDER_ERROR"), "invalid": (422, "INVALID_REQUEST")}
+    """struct(status_code, error_code) of an error kind, else 200. The codes."""
+    known = {"retriever_config": (503, "RETRIEVER_NOT_CONFIGURED"), "database": (502, "RETRIEVER_SERVICE_ERROR"), "model": (502, "RETRIEVER_SERVICE_ERROR"), "extractor_config": (503, "PROVIDER_NOT_CONFIGURED"), "provider": (502, "PROVIDER_REQUEST_FAILED"), "invalid": (422, "INVALID_REQUEST")}
     code, name = F.lit(200), F.lit(None).cast("string")
     for k, (c, n) in known.items():
         code, name = F.when(kind == k, c).otherwise(code), F.when(kind == k, n).otherwise(name)

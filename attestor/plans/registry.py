@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from attestor.functions import measure, rx
 from attestor.operators import chunking, evaluate, evidence, model, retrieve
 from attestor.plans import audit as plan
-from attestor.sources import store
+from attestor.plans import service
+from attestor.sources import fixtures, store
 
 # --- derived inputs, in SQL that both engines read ---
 _PART = """
@@ -389,7 +390,7 @@ def sanitize_error(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", measure.sanitize(raw).alias("message"))
 
 
-@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 503 WHEN 1 THEN 502 WHEN 2 THEN 502 WHEN 3 THEN 422 ELSE 200 END AS status_code, CASE event_id % 5 WHEN 0 THEN 'RETRIEVER_NOT_CONFIGURED' WHEN 1 THEN 'DATABASE_ERROR' WHEN 2 THEN 'PROVIDER_ERROR' WHEN 3 THEN 'INVALID_REQUEST' END AS error_code FROM events")
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 503 WHEN 1 THEN 502 WHEN 2 THEN 502 WHEN 3 THEN 422 ELSE 200 END AS status_code, CASE event_id % 5 WHEN 0 THEN 'RETRIEVER_NOT_CONFIGURED' WHEN 1 THEN 'RETRIEVER_SERVICE_ERROR' WHEN 2 THEN 'PROVIDER_REQUEST_FAILED' WHEN 3 THEN 'INVALID_REQUEST' END AS error_code FROM events")
 def http_status_map(spark, sf_dir):
     kind = F.get(F.array(*map(F.lit, ("retriever_config", "database", "provider", "invalid", "none"))), (F.col("event_id") % 5).cast("int"))
     return _table(spark, sf_dir, "events").select("event_id", plan.http_status(kind).alias("s")).select("event_id", "s.*")
@@ -732,3 +733,37 @@ def chunk_store(spark, sf_dir):
     for _ in range(2):
         table.upsert(rest(o.filter("o_orderkey % 2 = 0"), "new"))
     return table.read().groupBy("corpus_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("text") == "new").alias("n_new"))
+
+
+@query(f"""WITH p AS ({_PART}), f AS (SELECT *, CASE WHEN NOT stated THEN 'insufficient_evidence' WHEN twice AND NOT tupled THEN 'ambiguous_evidence' WHEN unit = 'in' THEN 'needs_review' ELSE 'correction_proposed' END AS o, stated AND NOT (twice AND NOT tupled) AS found FROM p)
+SELECT k, CASE k % 6 WHEN 0 THEN 422 WHEN 1 THEN 422 WHEN 2 THEN 422 WHEN 3 THEN CASE WHEN found THEN 503 ELSE 200 END WHEN 4 THEN 502 ELSE 200 END AS status_code,
+CASE k % 6 WHEN 0 THEN 'INVALID_REQUEST' WHEN 1 THEN 'INVALID_EXTRACTOR' WHEN 2 THEN 'INVALID_RETRIEVER' WHEN 3 THEN CASE WHEN found THEN 'PROVIDER_NOT_CONFIGURED' END WHEN 4 THEN 'RETRIEVER_SERVICE_ERROR' END AS error_code,
+CASE k % 6 WHEN 0 THEN 'component' WHEN 1 THEN 'extractor' WHEN 2 THEN 'retriever' END AS violations, CASE WHEN k % 6 = 5 OR (k % 6 = 3 AND NOT found) THEN o END AS outcome FROM f""")
+def http_responses(spark, sf_dir):
+    """Requests that break a rule, ask a model without a provider, or a table that isn't there, and requests that are answered."""
+    pages = sheets(spark, sf_dir)
+    k = F.col("k") % 6
+    rows = chunking.identities(pages).withColumn("k", F.regexp_extract("source_file", r"(\d+)", 1).cast("bigint")).select(
+        "k", F.when(k != 0, F.col("component_id")).alias("component_id"), "revision", F.lit("thickness").alias("attribute_name"), F.lit("0.125").alias("recorded_value"), F.lit("mm").alias("recorded_unit"),
+        F.when(k == 1, "oracle").when(k == 3, "gemini").alias("extractor"), F.when(k == 2, "guess").when(k == 4, "pgvector").alias("retriever"),
+    )
+    return service.respond(rows, pages, "k").select("k", "status_code", "error_code", "violations", F.get_json_object("body", "$.outcome").alias("outcome"))
+
+
+@query("SELECT n % 8 AS kind, CASE n % 8 WHEN 0 THEN 'correction_proposed' WHEN 1 THEN 'no_change' WHEN 5 THEN 'ambiguous_evidence' WHEN 6 THEN 'needs_review' WHEN 7 THEN 'needs_review' ELSE 'insufficient_evidence' END AS outcome, count(*) AS n, count(*) AS n_passed FROM (SELECT row_number() OVER () - 1 AS n FROM part) GROUP BY ALL")
+def generated_cases(spark, sf_dir):
+    """As many made-up cases as there are parts, through the audit and against their expected answers."""
+    rows, pages, want = fixtures.cases(spark, _table(spark, sf_dir, "part").count())
+    done = evaluate.cases(plan.audit(rows, pages), want, pages)
+    return done.groupBy((F.substring("case_id", 6, 9).cast("bigint") % 8).alias("kind"), "outcome").agg(F.count(F.lit(1)).alias("n"), F.count_if("passed").alias("n_passed"))
+
+
+@query(f"""WITH p AS ({_PLANTED}) SELECT k || '' AS record_id, CASE WHEN s >= 18 THEN NULL ELSE (SELECT exit_code FROM ({_EXITS}) e(i, exit_code, outcome) WHERE i = s) END AS terminal_reason, (s >= 4)::INT AS searched, (s >= 8)::INT AS extracted, (s >= 17)::INT AS converted,
+array_to_string(list_slice(['validate_record', 'retrieve_evidence', 'extract_measurement', 'validate_evidence', 'convert_and_compare'], 1, CASE WHEN s < 4 THEN 1 WHEN s < 8 THEN 2 WHEN s < 11 THEN 3 WHEN s < 17 THEN 4 ELSE 5 END), '>') || '>finalize' AS nodes FROM p""")
+def graph_routes(spark, sf_dir):
+    """The nodes that each planted record passes, the tools that are used for it, and why it ends."""
+    tool = lambda n: F.col("orchestration.tool_invocations")[n]
+    return _exits(spark, sf_dir).select(
+        "record_id", F.col("orchestration.terminal_reason").alias("terminal_reason"), tool("evidence_retrieval_tool").alias("searched"), tool("measurement_extraction_tool").alias("extracted"),
+        tool("measurement_conversion_tool").alias("converted"), F.array_join("orchestration.node_transitions", ">").alias("nodes"),
+    )

@@ -354,6 +354,13 @@ def test_commands(spark, tmp_path, done):
     assert run("index", "--pages", pages + "2") == 0 and store.ChunkStore(spark, str(tmp_path / "index")).read().count() == chunking.chunks(clear).count()
 
 
+def test_generated_cases_pass(spark, tmp_path):
+    run = lambda *a: cli.main([*a, "--out", str(tmp_path / a[0])], spark)
+    at = lambda x: str(tmp_path / "generate" / x)
+    assert run("generate", "--n", "24") == 0
+    assert run("evaluate", "--records", at("records"), "--pages", at("pages"), "--expected", at("expected"), "--suite", "baseline") == 0
+
+
 def test_streams(spark, tmp_path, done):
     """Batches of pages and of records give what tables give, and a second run over the same input changes nothing."""
     done[2].write.parquet(str(tmp_path / "in"))
