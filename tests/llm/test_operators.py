@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -381,6 +382,30 @@ def test_one_passage_in_many_contexts(spark, monkeypatch):
         assert got == without_repeats(rows)
 
 
+def test_segments_cover_all_windows_alike(monkeypatch):
+    """Whatever the sizes of pieces, blocks and runs: each window lies in one segment, and equal windows have equal anchors."""
+    r = random.Random(7)
+    own = ["", " ", "a " * 300, "é" * 50, *(" ".join(r.choice("abcdefgh") * r.randint(1, 20) for _ in range(r.randint(0, 90))) for _ in range(40))]
+    keys, seen = words.new_keys(substring_dedup.Cutter.n_keys()), set()
+    for piece, block, run in ((1 << 19, 1 << 18, 64), (100, 1 << 18, 64), (1 << 19, 30, 3), (64, 25, 1)):
+        monkeypatch.setattr(words, "PIECE", piece)
+        monkeypatch.setattr(substring_dedup, "BLOCK", block)
+        monkeypatch.setattr(substring_dedup, "RUN", run)
+        cutter, of = substring_dedup.Cutter(keys), {}
+        for begin, h, first in words.Words(keys)(pa.array(own)):
+            assert np.diff(first).tolist() == [len(t.split()) for t in own[begin : begin + len(first) - 1]]
+            for cols in cutter(h, first):
+                for text, at, n, a, _, _ in zip(*(c.tolist() for c in cols), strict=True):
+                    assert n <= run and not any((begin + text, at + k) in of for k in range(n))
+                    of |= {(begin + text, at + k): a for k in range(n)}
+        assert set(of) == {(i, j) for i, t in enumerate(own) for j in range(len(t.split()) - 19)}
+        by_window: dict = {}
+        for (i, j), a in of.items():
+            assert by_window.setdefault(tuple(own[i].split()[j : j + 20]), a) == a
+        seen.add(tuple(sorted(of.items())))
+    assert len(seen) == 1
+
+
 def test_index_finds_intervals():
     """Matching against all windows of random segments over few words."""
     r = np.random.default_rng(1)
