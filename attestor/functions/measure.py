@@ -104,8 +104,10 @@ def alignment(quoted: Column, passage: Column) -> Column:
 
 
 def shown(value_text: Column) -> Column:
-    """The number as text without leading zeros, as it must stand in a quote."""
-    return F.regexp_replace(value_text, r"^0+(?=\d)", "")
+    """The number as text without leading zeros, as it must stand in a quote. One under a millionth is written with an
+    exponent, which no quote has."""
+    tiny = (F.abs(value_text.try_cast("double")) < 1e-6) & F.rlike(value_text, F.lit(r"^\d*\.(?:\d{7,}|\d*[1-9]\d*)$"))
+    return F.when(tiny, "\0").otherwise(F.regexp_replace(value_text, r"^0+(?=\d)", ""))
 
 
 def factor(unit_from: Column, unit_to: Column) -> Column:

@@ -34,6 +34,8 @@ CASES = [
     ("rod-16", "C", "1e-20", "mm", "C", f"{ROD}: 5 mm", "value_out_of_range", None),
     ("rod-17", "C", "5", "mm", "C", f"{ROD}: 1234567890123456789 mm", "conversion_error", None),
     ("rod-18", "C", "0.1234567890123", "mm", "C", f"{ROD}: 0.12345678901234 mm", "differs", (0.12345678901234, "mm")),
+    ("rod-20", "C", "5", "mm", "C", f"{ROD}: 0.0000001 mm", "value_ungrounded", None),
+    ("rod-21", "C", "7.0", "mm", "C", f"{ROD}: 007.0 mm", "equal", None),
     ("rod.19/x", "C", "5", "mm", "C", f"{ROD}: 0.5 cm", "equal", None),
     ("δοκός", "C", "5", "mm", "C", f"{ROD}: 0.5 cm", "equal", None),
 ]
