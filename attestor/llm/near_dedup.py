@@ -274,7 +274,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     banded = reps.select("rid", "n", F.explode("keys").alias("key"))
     close = lambda x, y: (F.least(x, y) * threshold[1] >= F.greatest(x, y) * threshold[0])  # noqa: E731  sizes alone can rule a pair out
-    first = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("rid", "n")).alias("c")).filter("size > 1")
+    # What is known of buckets is stored before members are joined to it, so that Spark can split a bucket with many members.
+    first = stored(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("rid", "n")).alias("c")).filter("size > 1"), "buckets")
     stars = banded.join(first, "key").filter((F.col("rid") != F.col("c.rid")) & close(F.col("n"), F.col("c.n"))).select(F.col("c.rid").alias("a"), F.col("rid").alias("b")).distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -288,6 +289,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         """Members of the buckets that hold several components, with these."""
         known = of.join(comp.withColumnRenamed("node", "rid"), "rid", "left").select("rid", "n", "key", F.coalesce("root", "rid").alias("root"))
         several = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).filter("low != high").select("key", "size")
+        several = stored(several, "buckets")
         return stored(known.join(several, "key"), "mixed")
 
     # Large buckets: more centres, taken by hashes, so that what is linked by chains need not be compared in pairs.
@@ -295,6 +297,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     large = known.filter(F.col("size") > LARGE)
     centres = large.groupBy("key").agg(F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64("rid", F.lit(i)).alias("h"), "rid", "n", "root"))["rid"] for i in range(CENTRES)))).alias("c"))
     centres = centres.select("key", F.explode("c").alias("x")).join(large.select("key", F.col("rid").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx")), ["key", "x"])
+    centres = stored(centres, "centres")
     spokes = large.join(centres, "key").filter((F.col("root") != F.col("rx")) & close(F.col("n"), F.col("nx"))).select(F.least("rid", "x").alias("a"), F.greatest("rid", "x").alias("b")).distinct()
     more = verified(spokes)
     if not more.isEmpty():

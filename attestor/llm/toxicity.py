@@ -183,8 +183,8 @@ def held_out(id_col: str):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_per_class: int = SAMPLE_PER_CLASS) -> Toxicity:
     """Learns from labelled texts that aren't held out, a bounded sample of each class.
 
-    Rows with null ids or labels, and ids that carry both labels, are left out; class shares come from all rows that
-    remain. Without any, every score is the same 0.5.
+    Rows with null ids or labels, and ids that carry both labels, are left out; of several texts of one id the least in
+    order is taken; class shares come from all rows that remain. Without any, every score is the same 0.5.
     """
     small_batches(docs.sparkSession)
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)").filter(~held_out("id"))
@@ -193,6 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picked = [own.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample_per_class) for y in (0, 1)]
     chosen = picked[0].union(picked[1])
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "id")  # 2 * sample_per_class rows at most
+    texts = texts.groupBy("id").agg(F.min("y").alias("y"), F.min("text").alias("text"))  # one text an id, as ids may repeat
     texts = texts.select("y", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).alias("fold"), "text")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

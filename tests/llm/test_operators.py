@@ -74,6 +74,21 @@ def test_exact(docs, none, rows, monkeypatch):
     assert exact_dedup.exact_groups(none).count() == 0
 
 
+def test_exact_smallest(docs, rows, monkeypatch):
+    """The smallest identifier stays, null last of all; also where copied texts are hot."""
+    best: dict = {}
+    for i, t in rows:
+        best[low(t)] = min((x for x in (i, best.get(low(t))) if x is not None), default=None)
+    for hits in (exact_dedup.HOT_HITS, 2):
+        monkeypatch.setattr(exact_dedup, "HOT_HITS", hits)
+        got = exact_dedup.exact_groups(docs, keep="smallest").collect()
+        assert sorted((str(r.doc_id), str(r.keep_id)) for r in got) == sorted((str(i), str(best[low(t)])) for i, t in rows)
+        assert sorted(str(r.doc_id) for r in got if r.kept) == sorted(map(str, best.values()))
+        assert sorted(str(r.doc_id) for r in exact_dedup.exact_dedup(docs, keep="smallest").collect()) == sorted(map(str, best.values()))
+    with pytest.raises(ValueError):
+        exact_dedup.exact_groups(docs, keep="first")
+
+
 def test_secrets(spark):
     t = ["token=secret=abcdefghij x", 'é password : "0123456789abcdef0123456789abcdef"', None, "", "AKIA" + "B" * 12 + " AKIA" + "B" * 11, "api_key=short: longervalue1 apikey=longervalue1", "f" * 32 + "g" + "e" * 31]
 
@@ -335,7 +350,8 @@ def test_near_in_crowded_buckets(spark, monkeypatch):
         monkeypatch.setattr(near_dedup, name, value)
     docs = spark.createDataFrame(rows, "doc_id int, text string")
     _, root = components(rows, 3, 85)
-    assert {r.doc_id: r.component_id for r in near_dedup.near_groups(docs, rows=2).collect()} == root
+    for kind in ("int", "smallint", "decimal(12,0)"):
+        assert {r.doc_id: r.component_id for r in near_dedup.near_groups(docs.withColumn("doc_id", F.col("doc_id").cast(kind)), rows=2).collect()} == root
 
 
 def without_repeats(rows):
