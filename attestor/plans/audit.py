@@ -56,13 +56,18 @@ def validate(records: DataFrame) -> DataFrame:
 
 
 def ask(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Records with a question id where they are still open, and the distinct questions."""
-    key = F.when(F.col("exit_code").isNull(), F.to_json(F.struct("q_component", "revision", "q_attribute", "document_reference"), {"ignoreNullFields": "false"}))
-    records = records.withColumn("qid", key)
-    named = {"component": "q_component", "revision": "revision", "attribute": "q_attribute"}
-    vec = [F.first("query_vector").alias("query_vector")] if "query_vector" in records.columns else []
-    questions = records.filter("qid is not null").groupBy("qid").agg(*(F.first(c).alias(a) for a, c in named.items()), retrieve.stem(F.first("document_reference")).alias("stem"), *vec)
-    return records.drop("query_vector"), questions
+    """Records with a question id where they are still open, and the distinct questions. Questions are grouped by all that
+    they ask, so every use of them in a plan is the same aggregate, which Spark then makes once."""
+    asked = ("q_component", "revision", "q_attribute", "document_reference")
+    qid = F.to_json(F.struct(*asked), {"ignoreNullFields": "false"})
+    own = records.filter("exit_code is null")
+    if "query_vector" in records.columns:
+        questions = own.groupBy(*asked).agg(F.first("query_vector").alias("query_vector"))
+    else:
+        questions = own.select(*asked).distinct()
+    vec = [c for c in questions.columns if c == "query_vector"]
+    questions = questions.select(qid.alias("qid"), F.col("q_component").alias("component"), "revision", F.col("q_attribute").alias("attribute"), retrieve.stem(F.col("document_reference")).alias("stem"), *vec)
+    return records.withColumn("qid", F.when(F.col("exit_code").isNull(), qid)).drop("query_vector"), questions
 
 
 def answer(questions: DataFrame, find: Callable[..., DataFrame], extractor: Callable[[DataFrame], DataFrame], observe: Callable[[str, DataFrame], DataFrame], **sources) -> DataFrame:
@@ -170,58 +175,60 @@ def metadata() -> Column:
     return F.when(x.isNotNull(), known).otherwise(none)
 
 
-def finish(records: DataFrame) -> DataFrame:
-    """The result row; only a correction carries a proposal. A quote that is aligned by white space cites its own span."""
+def finish(records: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
+    """The result row, or only some of its columns. Only a correction carries a proposal. A quote that is aligned by white space cites its own span."""
     at = {code: i + 1 for i, (code, _) in enumerate(EXITS)}
     number = F.create_map(*(F.lit(x) for p in at.items() for x in p))[F.col("exit_code")]
     outcome = F.create_map(*(F.lit(x) for p in EXITS for x in p))[F.col("exit_code")]
-    cited = number >= at["extractor_error"]
-    grounded = number >= at["evidence_unit_unsupported"]
-    unit = F.lower(rx.strip(F.col("recorded_unit")))
-    differs = F.col("exit_code") == "differs"
-    passed = F.when(number <= at["unit_unsupported"], 1).when(number <= at["no_passage"], 2).when(number <= at["extractor_ambiguous"], 3).when(number <= at["evidence_unit_unsupported"], 4).otherwise(5)
-    tagged = number > at["quote_unaligned"]
+    cited, grounded, tagged = number >= at["extractor_error"], number >= at["evidence_unit_unsupported"], number > at["quote_unaligned"]
+    unit, differs = F.lower(rx.strip(F.col("recorded_unit"))), F.col("exit_code") == "differs"
     respaced = tagged & (F.col("aligned.kind") == "whitespace_aligned")
-    conversion = F.struct(
-        F.col("evidence_decimal").cast("double").alias("supplier_extracted_value"), F.lower(rx.strip(F.col("x.unit"))).alias("supplier_extracted_unit"), unit.alias("target_unit"),
-        measure.factor(F.col("x.unit"), F.col("recorded_unit")).cast("double").alias("multiplier"), measure.calculation(F.col("evidence_decimal"), F.col("x.unit"), F.col("recorded_unit")).alias("calculation"), F.lit("deterministic_arithmetic").alias("method"),
-    )
-    return records.select(
-        "case_id", "record_id", "component_id", "revision", "attribute_name", "recorded_value", "recorded_unit",
-        outcome.alias("outcome"), "exit_code", number.alias("exit_number"), "retrieval_status", "retrieval_error", "retriever", "reason",
-        F.when(cited, F.col("document_filename")).alias("document_filename"), F.when(cited, F.col("page_number")).alias("page_number"),
-        F.when(cited, F.when(respaced, F.col("aligned.span")).otherwise(F.col("passage"))).alias("supporting_passage"),
-        F.when(cited, F.col("context_type")).alias("context_type"), F.when(cited, F.col("similarity")).alias("similarity_score"),
-        F.when(tagged, F.col("x.quote")).alias("model_quote"), F.when(tagged, F.col("aligned.kind")).alias("quote_alignment"),
-        F.when(grounded, F.col("evidence_decimal").cast("double")).alias("evidence_value"), F.when(grounded, F.col("x.unit")).alias("evidence_unit"),
-        F.when(differs, F.col("converted").cast("double")).alias("proposed_value"), F.when(differs, unit).alias("proposed_unit"),
-        F.when(differs | (F.col("exit_code") == "equal"), measure.factor(F.col("x.unit"), F.col("recorded_unit")).cast("double")).alias("conversion_multiplier"),
-        F.when(differs, conversion).alias("conversion"), metadata().alias("extractor"), explanation().alias("explanation"),
-        F.col("x").isNotNull().alias("extractor_invoked"),
-        F.concat(F.slice(F.array(*map(F.lit, NODES)), F.lit(1), passed), F.array(F.lit("finalize"))).alias("node_transitions"),
-        F.lit(False).alias("source_record_modified"),
-    ).withColumn("orchestration", orchestration())
-
-
-def orchestration() -> Column:
+    multiplier = lambda: measure.factor(F.col("x.unit"), F.col("recorded_unit")).cast("double")
+
+    def conversion() -> Column:
+        return F.struct(
+            F.col("evidence_decimal").cast("double").alias("supplier_extracted_value"), F.lower(rx.strip(F.col("x.unit"))).alias("supplier_extracted_unit"), unit.alias("target_unit"), multiplier().alias("multiplier"),
+            measure.calculation(F.col("evidence_decimal"), F.col("x.unit"), F.col("recorded_unit")).alias("calculation"), F.lit("deterministic_arithmetic").alias("method"),
+        )
+
+    def nodes() -> Column:
+        passed = F.when(number <= at["unit_unsupported"], 1).when(number <= at["no_passage"], 2).when(number <= at["extractor_ambiguous"], 3).when(number <= at["evidence_unit_unsupported"], 4).otherwise(5)
+        return F.concat(F.slice(F.array(*map(F.lit, NODES)), F.lit(1), passed), F.array(F.lit("finalize")))
+
+    own = lambda c: lambda: F.col(c)
+    when = lambda holds, c: lambda: F.when(holds, F.col(c))
+    columns: dict[str, Callable[[], Column]] = {
+        **{c: own(c) for c in ("case_id", "record_id", "component_id", "revision", "attribute_name", "recorded_value", "recorded_unit")},
+        "outcome": lambda: outcome, "exit_code": own("exit_code"), "exit_number": lambda: number, **{c: own(c) for c in ("retrieval_status", "retrieval_error", "retriever", "reason")},
+        "document_filename": when(cited, "document_filename"), "page_number": when(cited, "page_number"), "supporting_passage": lambda: F.when(cited, F.when(respaced, F.col("aligned.span")).otherwise(F.col("passage"))),
+        "context_type": when(cited, "context_type"), "similarity_score": when(cited, "similarity"), "model_quote": when(tagged, "x.quote"), "quote_alignment": when(tagged, "aligned.kind"),
+        "evidence_value": lambda: F.when(grounded, F.col("evidence_decimal").cast("double")), "evidence_unit": when(grounded, "x.unit"),
+        "proposed_value": lambda: F.when(differs, F.col("converted").cast("double")), "proposed_unit": lambda: F.when(differs, unit), "conversion_multiplier": lambda: F.when(differs | (F.col("exit_code") == "equal"), multiplier()),
+        "conversion": lambda: F.when(differs, conversion()), "extractor": metadata, "explanation": explanation, "extractor_invoked": lambda: F.col("x").isNotNull(), "node_transitions": nodes,
+        "source_record_modified": lambda: F.lit(False), "orchestration": lambda: orchestration(nodes()),
+    }
+    return records.select(*(columns[c]().alias(c) for c in only or columns))
+
+
+def orchestration(nodes: Column) -> Column:
     """The graph view of a result: the nodes that its record passed, the tools that were used, and why it ended."""
-    used = lambda node: F.array_contains("node_transitions", node).cast("int")
+    used = lambda node: F.array_contains(nodes, node).cast("int")
     tools = F.create_map(F.lit("evidence_retrieval_tool"), used(NODES[1]), F.lit("measurement_extraction_tool"), used(NODES[2]), F.lit("measurement_conversion_tool"), used(NODES[4]))
     return F.struct(
-        F.lit("graph").alias("mode"), F.col("node_transitions").alias("node_transitions"), tools.alias("tool_invocations"), F.col("extractor_invoked").cast("int").alias("extractor_invocations"),
+        F.lit("graph").alias("mode"), nodes.alias("node_transitions"), tools.alias("tool_invocations"), F.col("x").isNotNull().cast("int").alias("extractor_invocations"),
         F.when(~F.col("exit_code").isin("equal", "differs"), F.col("exit_code")).alias("terminal_reason"),
     )
 
 
-def audit(records: DataFrame, pages: DataFrame | None = None, retriever: str | Callable[..., DataFrame] = "baseline", extractor: Callable[[DataFrame], DataFrame] = extract, observe: Callable[[str, DataFrame], DataFrame] = lambda _, df: df, **sources) -> DataFrame:
+def audit(records: DataFrame, pages: DataFrame | None = None, retriever: str | Callable[..., DataFrame] = "baseline", extractor: Callable[[DataFrame], DataFrame] = extract, observe: Callable[[str, DataFrame], DataFrame] = lambda _, df: df, only: tuple[str, ...] | None = None, **sources) -> DataFrame:
     """One row per record. retriever is a name or a function from questions to results; extractor adds struct x to
-    questions; observe sees each of the seven stages by name."""
+    questions; observe sees each of the seven stages by name; only names the columns that are made, which saves planning the others."""
     find = retrieve.strategy(retriever) if isinstance(retriever, str) else retriever
     own = observe(STAGES[1], validate(observe(STAGES[0], normalize(records))))
     own, questions = ask(own)
     answers = answer(questions, find, extractor, observe, pages=pages, **sources)
     joined = own.join(answers, "qid", "left").withColumn("exit_code", F.coalesce("exit_code", "answer_code")).drop("answer_code")
-    return finish(observe(STAGES[6], compare(joined)))
+    return finish(observe(STAGES[6], compare(joined)), only)
 
 
 class StageCounts:
@@ -243,9 +250,9 @@ class StageCounts:
         return [{"stage": s, "planned_ms": self.at[s], **o.get} for s, o in self.seen.items()]
 
 
-def chained(records: DataFrame, pages: DataFrame, observe: Callable[[str, DataFrame], DataFrame] = lambda _, df: df) -> DataFrame:
+def chained(records: DataFrame, pages: DataFrame, observe: Callable[[str, DataFrame], DataFrame] = lambda _, df: df, only: tuple[str, ...] | None = None) -> DataFrame:
     """The chain view: the same plan, with rows of each stage counted by observe."""
-    return audit(records, pages, observe=observe)
+    return audit(records, pages, observe=observe, only=only)
 
 
 def violations(requests: DataFrame) -> DataFrame:

@@ -85,25 +85,25 @@ def query(sql: str | None = None):
 @query(f"{_AUDIT_SQL} SELECT record_id, exit_code, {_OUTCOME} AS outcome, CASE WHEN exit_code = 'differs' THEN cv::DOUBLE END AS proposed_value, CASE WHEN exit_code = 'differs' THEN recorded_unit END AS proposed_unit FROM a")
 def audit_flagship(spark, sf_dir):
     """The whole audit of all records against all datasheets."""
-    return plan.audit(records(spark, sf_dir), sheets(spark, sf_dir)).select("record_id", "exit_code", "outcome", "proposed_value", "proposed_unit")
+    return plan.audit(records(spark, sf_dir), sheets(spark, sf_dir), only=("record_id", "exit_code", "outcome", "proposed_value", "proposed_unit"))
 
 
 @query(f"{_AUDIT_SQL} SELECT {_OUTCOME} AS outcome, count(*) AS n FROM a GROUP BY 1")
 def outcome_histogram(spark, sf_dir):
-    return plan.audit(records(spark, sf_dir), sheets(spark, sf_dir)).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    return plan.audit(records(spark, sf_dir), sheets(spark, sf_dir), only=("outcome",)).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"{_AUDIT_SQL} SELECT CASE WHEN exit_code IN ('value_not_numeric', 'unit_unsupported') THEN 1 WHEN exit_code IN ('insufficient', 'ambiguous') THEN 2 WHEN exit_code = 'evidence_unit_unsupported' THEN 4 ELSE 5 END AS n_nodes, count(*) AS n FROM a GROUP BY 1")
 def graph_transitions(spark, sf_dir):
     """How many records pass how many nodes before they are finished."""
-    done = plan.audit(records(spark, sf_dir), sheets(spark, sf_dir))
+    done = plan.audit(records(spark, sf_dir), sheets(spark, sf_dir), only=("node_transitions",))
     return done.groupBy((F.size("node_transitions") - 1).alias("n_nodes")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"{_AUDIT_SQL} SELECT {_OUTCOME} AS outcome, count(*) AS n, count(*) FILTER (exit_code IN ('evidence_unit_unsupported', 'equal', 'differs')) AS n_extracted FROM a GROUP BY 1")
 def chain_stages(spark, sf_dir):
     """The seven-stage chain: the same outcomes, and the extractor is asked for open records only."""
-    return plan.chained(records(spark, sf_dir), sheets(spark, sf_dir)).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.count_if("extractor_invoked").alias("n_extracted"))
+    return plan.chained(records(spark, sf_dir), sheets(spark, sf_dir), only=("outcome", "extractor_invoked")).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.count_if("extractor_invoked").alias("n_extracted"))
 
 
 @query(f"WITH r AS ({_RECORDS}) SELECT record_id, CASE WHEN try_cast(recorded_value AS DOUBLE) IS NULL THEN 'value_not_numeric' WHEN recorded_unit NOT IN ('mm', 'cm') THEN 'unit_unsupported' END AS exit_code FROM r")
