@@ -29,7 +29,8 @@ def decimal(text: Column) -> Column:
     own = rx.strip(text)
     digits = F.length(F.regexp_extract(own, r"\.(\d*?)0*(?:[eE]|$)", 1))
     power = F.coalesce(F.regexp_extract(own, r"[eE]([+-]?\d+)$", 1).try_cast("int"), F.lit(0))
-    return F.when(numeric(text) & (digits - power <= 16), own.try_cast("decimal(38,18)").try_cast(VALUE))
+    short = F.rlike(own, F.lit(r"^[+-]?\d{1,18}(\.\d{1,16})?$"))  # most are: nothing more has to be looked at
+    return F.when(short, own.try_cast(VALUE)).when(numeric(text) & (digits - power <= 16), own.try_cast("decimal(38,18)").try_cast(VALUE))
 
 
 def direct_line(line: Column, attribute: Column) -> Column:

@@ -14,6 +14,10 @@ ID = "[A-Za-z0-9_-]"
 SECTION_WORDS = ("dimension", "parameter", "specification", "mechanical", "physical")
 
 
+#: The characters that Unicode calls white space.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def lit(c: Column | str) -> Column:
     return F.lit(c) if isinstance(c, str) else c
 
@@ -23,8 +27,8 @@ def quote(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """All white space of Unicode at both ends; trim() takes blanks only."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without the white space of Unicode at both ends; trim() alone takes blanks only."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def squeeze(c: Column) -> Column:
