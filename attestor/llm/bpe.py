@@ -28,8 +28,11 @@ from pyspark.sql import functions as F
 
 from attestor.llm.common import give_back, kept, release, small_batches, text_or_empty, trim
 
-#: Entries of the piece cache, the transition table, the pair table and the table of heads; a full table is emptied and filled anew.
-MAX_PIECES, MAX_STATES, MAX_PAIRS, MAX_HEADS = 250_000, 150_000, 200_000, 40_000
+#: Entries of the transition table, the pair table and the table of heads; a full table is emptied and filled anew.
+MAX_STATES, MAX_PAIRS, MAX_HEADS = 150_000, 200_000, 40_000
+#: Entries of the piece cache, some 200 bytes each, and of that of a worker that others will share its memory with. Half of
+#: them are new ones; when these are full, they become the old ones, and what was old and hasn't been met since is forgotten.
+MAX_PIECES, FEW_PIECES = 600_000, 250_000
 #: Bytes of a head: where the first so many bytes of a piece lead is looked up at once.
 HEAD = 5
 #: Texts whose results a worker remembers, by cryptographic hashes of 128 bits.
@@ -246,18 +249,21 @@ def spelled_out(pattern: str, letters: str) -> Callable[[str], list[str]]:
 class Encoder:
     """Encodes texts as the matches of a pattern, each by itself. Ids are little-endian unsigned 32-bit integers."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, tables: float = 1.0):
-        self.transducer, self.max_pieces = Transducer(ranks, tables), int(MAX_PIECES * tables)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, tables: float = 1.0, pieces: int = MAX_PIECES):
+        self.transducer, self.half = Transducer(ranks, tables), max(1, pieces // 2)
         self.find = regex.compile(pattern).findall
         self.find_ascii, self.find_latin = spelled_out(pattern, ASCII_LETTERS), spelled_out(pattern, LATIN_LETTERS)
         self.pieces: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.transducer.encode(piece.encode())
-        got = struct.pack(f"<{len(ids)}I", *ids)
+        got = self.pieces.get(piece) or self.old.get(piece)
+        if got is None:
+            ids = self.transducer.encode(piece.encode())
+            got = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:  # the table stays small in bytes too
-            if len(self.pieces) >= self.max_pieces:
-                self.pieces.clear()
+            if len(self.pieces) >= self.half:
+                self.old, self.pieces = self.pieces, {}
             self.pieces[piece] = got
         return got
 
@@ -335,18 +341,18 @@ def vocabulary(spark: SparkSession, path: str) -> Broadcast:
 
 def worker_encoder(data: bytes, pattern: str, keep: bool = True) -> Encoder:
     """The encoder of a Python worker. If it's kept, its states are made once and serve all tasks
-    that follow; else its tables are half the size."""
+    that follow; else its tables are smaller."""
     gc.set_threshold(1_000_000, 50, 50)  # the tables are large and have few cycles
     if not keep:
         release()
-        return Encoder(parse_ranks(data), pattern, 0.5)
+        return Encoder(parse_ranks(data), pattern, 0.5, FEW_PIECES)
     return kept(("bpe", hashlib.blake2b(data).digest(), pattern), lambda: Encoder(parse_ranks(data), pattern))
 
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = 65_536, keep: bool = True) -> DataFrame:
     """One row per input row: id, n_tokens, ids_sha256, decoded_sha256, by the ranks in the file at path.
 
-    keep: workers hold the encoder's tables (about 200 MB) for later tasks. Spark deals tasks out over all idle workers, so after
+    keep: workers hold the encoder's tables (about 250 MB when full) for later tasks. Spark deals tasks out over all idle workers, so after
     operators that ran more workers than there are cores, not to keep them takes less memory and more time.
 
     Ids are decoded chunk by chunk. A null text is an empty one: no tokens, and the hashes of nothing. Ids may repeat

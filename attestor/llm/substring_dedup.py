@@ -33,8 +33,9 @@ SHARD_WORDS, RUN = 400_000, 64
 #: Words that are cut at once.
 BLOCK = 1 << 18
 #: Texts sampled to find common anchors, the hits in the sample that make an anchor common, and how many of them are
-#: noted at most. The sample decides only how rows are spread and which way they take; results don't depend on it.
-SAMPLE, HITS, COMMON = 4_000, 40, 100_000
+#: noted at most. The sample decides only how rows are spread and which way they take; results don't depend on it. It is
+#: larger where an anchor with MOST segments would be missed.
+SAMPLE, HITS, COMMON, MOST = 4_000, 40, 100_000, 1_000_000
 #: Parts into which the segments of a common anchor with the same words are split.
 SALTS = 64
 
@@ -299,7 +300,8 @@ def _segments(keyed: DataFrame, kind: str, keys: tuple[int, ...], window: int) -
     schema = f"id {kind}, h bigint, a bigint, s1 bigint, s2 int, at int, n int, common boolean"
     texts = keyed.select("id", "h", "text")
     n = texts.count()
-    sample = texts if n <= SAMPLE else texts.sample(SAMPLE / n, seed=11)
+    share = max(SAMPLE / max(n, 1), HITS / MOST)
+    sample = texts if share >= 1 else texts.sample(share, seed=11)
     hits = sample.mapInArrow(cut(np.zeros(0, np.int64)), schema).groupBy("a").agg(F.count(F.lit(1)).alias("hits")).filter(F.col("hits") >= HITS)
     common = hits.orderBy(F.desc("hits"), "a").limit(COMMON).select("a").toArrow().column(0).to_numpy()
     return texts.mapInArrow(cut(np.sort(common)), schema)

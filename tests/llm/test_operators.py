@@ -203,7 +203,9 @@ def test_bpe(docs, none, rows):
     r = random.Random(2)
     odd = ["".join(r.choice("ab \n\té日🙂'sldre01\x1c\x85.,!") for _ in range(40)) for _ in range(300)] + [" " * 500, "<|endoftext|>"]
     encoder, decoder = bpe.Encoder(ranks, public_tokenizers.PATTERN), bpe.StreamDecoder(ranks)
+    small = bpe.Encoder(ranks, public_tokenizers.PATTERN, 1e-5, 4)  # tables that are full all the time
     for t in odd:
+        assert small.encode(t) == encoder.encode(t) and len(small.pieces) <= small.half
         ids = np.frombuffer(encoder.encode(t), "<u4")
         assert ids.tolist() == reference.encode_ordinary(t)
         assert b"".join(decoder.feed(ids[i : i + 3]) for i in range(0, len(ids), 3)) == t.encode()
