@@ -32,7 +32,7 @@ from attestor.llm.common import give_back, kept, release, small_batches, text_or
 MAX_STATES, MAX_PAIRS, MAX_HEADS = 150_000, 200_000, 40_000
 #: Entries of the piece cache, some 200 bytes each, and of that of a worker that others will share its memory with. Half of
 #: them are new ones; when these are full, they become the old ones, and what was old and hasn't been met since is forgotten.
-MAX_PIECES, FEW_PIECES = 600_000, 250_000
+MAX_PIECES, FEW_PIECES = 600_000, 125_000
 #: Bytes of a head: where the first so many bytes of a piece lead is looked up at once.
 HEAD = 5
 #: Texts whose results a worker remembers, by cryptographic hashes of 128 bits.
