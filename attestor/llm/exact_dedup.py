@@ -98,7 +98,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = runs.filter(F.col("rn") == 1)
     if not hot:
         return first.select("row.*")
-    first = stored(first.select("id", "norm", "salt", "row"), "firsts")
-    # at most SALTS rows for each of the hot texts
+    # Rows of hot texts are sorted apart, so what moves is the same, and nothing is stored between. At most SALTS rows of each are left.
     best = first.filter("salt >= 0").withColumn("rn", F.row_number().over(Window.partitionBy("norm").orderBy(order))).filter("rn = 1")
     return first.filter("salt < 0").select("row.*").union(best.select("row.*"))
