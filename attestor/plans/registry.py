@@ -15,6 +15,7 @@ from attestor.operators import chunking, evaluate, evidence, model, retrieve
 from attestor.plans import audit as plan
 from attestor.plans import service
 from attestor.sources import fixtures, store
+from attestor.sources.shared import shared_dir
 
 # --- derived inputs, in SQL that both engines read ---
 _PART = """
@@ -722,10 +723,7 @@ def regression_gate(spark, sf_dir):
 @query("""SELECT 'c' || o_custkey % 5 AS corpus_id, count(*) AS n, sum((o_orderkey % 2 = 0)::INT)::BIGINT AS n_new FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0 GROUP BY 1""")
 def chunk_store(spark, sf_dir):
     """Two upserts into a stored table, the second of them twice: rows by corpus, and how many have the newer content."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="attestor-store-")
-    table = store.ChunkStore(spark, f"{base.rstrip('/')}/attestor-chunks-{uuid.uuid4().hex}")
+    table = store.ChunkStore(spark, f"{shared_dir(spark)}/attestor-chunks-{uuid.uuid4().hex}")
     o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("chunk_id"), F.concat(F.lit("c"), (F.col("o_custkey") % 5).cast("string")).alias("corpus_id"), "o_orderkey")
     kinds = {f.name: f.dataType for f in spark.createDataFrame([], store.SCHEMA).schema}
     rest = lambda df, text: df.select("chunk_id", "corpus_id", F.lit(text).alias("text"), F.sha2(F.lit(text), 256).alias("content_sha256"), *(F.lit(None).cast(t).alias(n) for n, t in kinds.items() if n not in ("chunk_id", "corpus_id", "text", "content_sha256")))
