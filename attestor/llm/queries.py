@@ -153,4 +153,26 @@ SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
 FROM g, b32
 """
 
-ORACLES = {"op7_warc": _SQL_7, "op2_secret_scan": _SQL_2, "op5_url_filter": _url_sql(), "op10_exact_dedup": _SQL_10}
+_SQL_8 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM (SELECT doc_id, regexp_extract_all({_FOLD}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents)),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, i, n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS sh FROM w) WHERE i <= greatest(n - 2, 1)),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN c cx ON cx.doc_id = x JOIN c cy ON cy.doc_id = y WHERE 100 * m >= 85 * (cx.n + cy.n - m)),
+e AS (SELECT x AS a, y AS b FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON r.node = e.a),
+m AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN m ON m.node = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+"""
+
+_SQL_9 = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM d),
+k AS (SELECT doc_id, i, n, word, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS span FROM w),
+a AS (SELECT doc_id, i, row_number() OVER (PARTITION BY span ORDER BY doc_id, i) > 1 AS again FROM k WHERE i <= n - 19),
+c AS (SELECT k.doc_id, k.i, k.word, max(CASE WHEN again THEN 1 ELSE 0 END) OVER (PARTITION BY k.doc_id ORDER BY k.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 1 AS gone FROM k LEFT JOIN a ON a.doc_id = k.doc_id AND a.i = k.i),
+g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+
+ORACLES = {"op7_warc": _SQL_7, "op2_secret_scan": _SQL_2, "op5_url_filter": _url_sql(), "op8_near_dedup": _SQL_8, "op9_substring_dedup": _SQL_9, "op10_exact_dedup": _SQL_10}

@@ -3,7 +3,7 @@
 A window of WINDOW words has an anchor: the least hash of the runs of ANCHOR words in it. Equal windows have equal anchors,
 so texts are cut into segments, the windows in a row that share an anchor, and a shard has all segments of its anchors.
 Segments of one anchor with the same words (by a keyed hash of 96 bits) are one entry; the first stands for all, and the
-others repeat it from end to end. Where an anchor has several entries, they are indexed in shards of bounded size: suffixes
+others repeat it from end to end. Where an anchor has several entries, or stands in one more than once, they are indexed in shards of bounded size: suffixes
 are sorted, and the Burrows-Wheeler transform goes into a wavelet matrix of bit vectors, which takes some 2.6 bytes a word
 with its counts. The entries are then streamed through the index. Backward search gives at each place how far the words
 before it match; it stops where only the place itself is left and passes over all windows that hold what stopped it. Runs
@@ -77,7 +77,7 @@ class Cutter:
         low = np.zeros(m, np.uint64)
         for i, key in enumerate(self.grams):
             low += h[i : m + i] * np.uint64(key)
-        low = mixed(mixed(low, self.ends[2]), self.ends[3])
+        low = grams = mixed(mixed(low, self.ends[2]), self.ends[3])
         width, size = self.window - self.anchor + 1, 1
         while size * 2 <= width:  # the least value of each window, by doubling and then by two overlapping parts
             low, size = np.minimum(low[:-size], low[size:]), size * 2
@@ -95,10 +95,13 @@ class Cutter:
             start, count = start[of] + off, np.minimum(count[of] - off, RUN)
         s1, s2 = self.prints(h, start, start + count + self.window - 1)
         text = np.searchsorted(first, start, "right") - 1
-        return text, start - first[text], count, low[start].view(np.int64), s1.view(np.int64), (s2 >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        span = count + width - 1  # the places of anchors in a segment's windows; if the anchor stands at two of them, windows may repeat within it
+        held = grams[_spans(start, span)] == np.repeat(low[start], span)
+        twice = np.add.reduceat(held, np.cumsum(span) - span, dtype=np.int32) > 1 if len(start) else np.zeros(0, bool)
+        return text, start - first[text], count, low[start].view(np.int64), s1.view(np.int64), (s2 >> np.uint64(32)).astype(np.uint32).view(np.int32), twice
 
     def __call__(self, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        """(text, first window, windows, anchor, and the two hashes of the words) of each segment."""
+        """(text, first window, windows, anchor, the two hashes of the words, whether the anchor stands in it more than once) of each segment."""
         if len(h) <= BLOCK + self.window:
             if len(h) >= self.window:
                 yield self._block(h, first)
@@ -282,7 +285,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _segments(keyed: DataFrame, kind: str, keys: tuple[int, ...], window: int) -> DataFrame:
-    """id, h, a, s1, s2, at, n, common: the segments of all texts, and whether their anchor is common."""
+    """id, h, a, s1, s2, at, n, twice, common: the segments of all texts, whether their anchor stands in them more than once, and whether it is common."""
 
     def cut(common: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,14 +293,14 @@ def _segments(keyed: DataFrame, kind: str, keys: tuple[int, ...], window: int) -
             words, cutter = Words(keys), Cutter(keys, window)
             for batch in batches:
                 for begin, h, first in words(batch.column(2)):
-                    for text, at, n, a, s1, s2 in cutter(h, first):
+                    for text, at, n, a, s1, s2, twice in cutter(h, first):
                         take = pa.array(text + begin)
-                        cols = [batch.column(0).take(take), batch.column(1).take(take), *map(pa.array, (a, s1, s2, at.astype(np.int32), n.astype(np.int32), np.isin(a, common)))]
-                        yield pa.RecordBatch.from_arrays(cols, ["id", "h", "a", "s1", "s2", "at", "n", "common"])
+                        cols = [batch.column(0).take(take), batch.column(1).take(take), *map(pa.array, (a, s1, s2, at.astype(np.int32), n.astype(np.int32), twice, np.isin(a, common)))]
+                        yield pa.RecordBatch.from_arrays(cols, ["id", "h", "a", "s1", "s2", "at", "n", "twice", "common"])
 
         return run
 
-    schema = f"id {kind}, h bigint, a bigint, s1 bigint, s2 int, at int, n int, common boolean"
+    schema = f"id {kind}, h bigint, a bigint, s1 bigint, s2 int, at int, n int, twice boolean, common boolean"
     texts = keyed.select("id", "h", "text")
     n = texts.count()
     share = max(SAMPLE / max(n, 1), HITS / MOST)
@@ -319,7 +322,7 @@ def _marked(segments: DataFrame, window: int) -> DataFrame:
     once: Column = F.col("row") == 1
     anchor = Window.partitionBy("k")
     ranked = ranked.withColumns({"entries": F.count(F.when(once, 1)).over(anchor), "words": F.sum(F.when(once, F.col("n") + (window - 1))).over(anchor)})
-    way = F.when(F.col("place") > 1, "whole").when(F.col("common"), "salted").when(F.col("entries") == 1, None).when(F.col("words") > SHARD_WORDS, "windows").otherwise("index")
+    way = F.when(F.col("place") > 1, "whole").when(F.col("common"), "salted").when((F.col("entries") == 1) & ~F.col("twice"), None).when(F.col("words") > SHARD_WORDS, "windows").otherwise("index")
     return ranked.select("id", "h", "k", "at", "n", way.alias("way"), F.when(F.col("common"), F.col("s1")).alias("s1"), F.when(F.col("common"), F.col("s2")).alias("s2")).filter("way is not null")
 
 

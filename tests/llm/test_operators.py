@@ -386,6 +386,19 @@ def test_substrings(docs, none, rows, monkeypatch, hits, shard, run, block, piec
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_texts_that_repeat_themselves(spark):
+    """Words in circles: equal windows of one text, within one segment and across segments; and the documents of a real table."""
+    r = random.Random(12)
+    rows = []
+    for i in range(160):
+        circle = [f"w{r.randrange(10**6)}" for _ in range(r.randint(1, 24))]
+        rows.append((i, " ".join([*(f"x{r.randrange(10**6)}" for _ in range(r.randint(0, 9))), *(circle * 40)[: r.randint(20, 120)], *(f"y{r.randrange(10**6)}" for _ in range(r.randint(0, 9)))])))
+    rows += [(1000 + x.doc_id, x.text) for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup.remove_repeats(docs).collect()}
+    assert got == without_repeats(rows)
+
+
 def test_one_passage_in_many_contexts(spark, monkeypatch):
     """A passage that all texts share between words of their own: its anchors have as many entries as there are texts."""
     r = random.Random(4)
@@ -413,7 +426,7 @@ def test_segments_cover_all_windows_alike(monkeypatch):
         for begin, h, first in words.Words(keys)(pa.array(own)):
             assert np.diff(first).tolist() == [len(t.split()) for t in own[begin : begin + len(first) - 1]]
             for cols in cutter(h, first):
-                for text, at, n, a, _, _ in zip(*(c.tolist() for c in cols), strict=True):
+                for text, at, n, a, *_ in zip(*(c.tolist() for c in cols), strict=True):
                     assert n <= run and not any((begin + text, at + k) in of for k in range(n))
                     of |= {(begin + text, at + k): a for k in range(n)}
         assert set(of) == {(i, j) for i, t in enumerate(own) for j in range(len(t.split()) - 19)}
