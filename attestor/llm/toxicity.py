@@ -233,11 +233,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     seen = texts.mapInArrow(cross, "y int, ratio double, excess double").toPandas()
     shared.destroy()
     own.unpersist()
+    del folds
     y = seen["y"].to_numpy(np.float64)
     taken = [max(1, int((y == k).sum())) for k in (0, 1)]
     weight = np.where(y == 1, shares.get(1, 0) / taken[1], shares.get(0, 0) / taken[0]) if len(y) else np.zeros(0)
     weight = weight * len(y) / weight.sum() if len(y) else weight
-    return Toxicity(models.get(2, empty), *fit_logistic(seen["excess"].to_numpy(np.float64), y, weight, seen["ratio"].to_numpy(np.float64)))
+    whole = models.pop(2, empty)
+    models.clear()
+    give_back()  # the driver lives on as well
+    return Toxicity(whole, *fit_logistic(seen["excess"].to_numpy(np.float64), y, weight, seen["ratio"].to_numpy(np.float64)))
 
 
 def score_column(docs: DataFrame, model: Toxicity, text_col: str = "text") -> Column:
