@@ -50,16 +50,17 @@ def respond(requests: DataFrame, pages: DataFrame, key: str, call: model.Provide
     good = asked.filter(F.size("violations") == 0)
     out = bad
     strategies = {"baseline": retrieve.baseline, "vector": search or (lambda questions, **_: retrieve.vector(questions, chunks=None))}
-    extractors = {"deterministic": plan.extract, "gemini": model.by_model(call, provider="gemini")}
+    # Without a provider one plan serves both extractors: what would have been asked of the model is an error.
+    extractors = {"deterministic": plan.extract, "gemini": model.by_model(call, provider="gemini")} if call else {"deterministic": plan.extract}
     for s, find in strategies.items():
         for x, extract in extractors.items():
-            own = good.filter((F.col("use_retriever") == s) & (F.col("use_extractor") == x))
-            named = own.select(F.col(key).cast("string").alias("own_key"), F.col(key))
-            # The key goes through as the case; the answer names the request's own case.
-            cases = plan.normalized_request(own.withColumn("own_case", F.coalesce(*(F.col(c).cast("string") if c in own.columns else null for c in ("case_id", "record_id")), F.lit("UNKNOWN-CASE"))).withColumn("case_id", F.col(key).cast("string")))
-            done = plan.audit(cases, pages, retriever=find, extractor=extract)
-            status = plan.http_status(F.coalesce(failure(done), F.lit("none")))
-            body = F.to_json(F.struct(*(F.col(c) for c in done.columns if c != "case_id")))
-            row = done.select(F.col("case_id").alias("own_key"), status["status_code"].alias("status_code"), status["error_code"].alias("error_code"), null.alias("violations"), F.when(status["status_code"] == 200, body).alias("body"))
-            out = out.unionByName(row.join(named, "own_key").drop("own_key"))
+            own = good.filter((F.col("use_retriever") == s) & ((F.col("use_extractor") == x) if call else F.lit(True)))
+            named = own.select(F.col(key).cast("string").alias("own_key"), F.col(key), "use_extractor")
+            # The key goes through as the case.
+            done = plan.audit(plan.normalized_request(own.withColumn("case_id", F.col(key).cast("string"))), pages, retriever=find, extractor=extract)
+            done = done.withColumnRenamed("case_id", "own_key").join(named, "own_key")
+            unset = (F.col("use_extractor") != "deterministic") & F.col("extractor_invoked") & F.lit(call is None)
+            status = plan.http_status(F.when(unset, "extractor_config").otherwise(F.coalesce(failure(done), F.lit("none"))))
+            body = F.to_json(F.struct(*(F.col(c) for c in done.columns if c not in ("own_key", key, "use_extractor"))))
+            out = out.unionByName(done.select(F.col(key), status["status_code"].alias("status_code"), status["error_code"].alias("error_code"), null.alias("violations"), F.when(status["status_code"] == 200, body).alias("body")))
     return out
