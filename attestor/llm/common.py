@@ -6,6 +6,7 @@ import ctypes
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Hashable
 from typing import Any
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Seconds between two collections of the driver's garbage.
+TIDY = 4.0
 #: Python workers and their JVM hold a batch or two at a time. Texts can be long, so batches end by bytes too.
 BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
@@ -83,10 +86,23 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+_tidied = [0.0]
+
+
+def tidy(spark: SparkSession) -> None:
+    """Collects the driver's garbage, but not more often than every TIDY seconds. Until then the driver holds the plans and
+    metrics of jobs that are done, and Spark keeps the shuffle files that only these still name."""
+    if time.monotonic() - _tidied[0] > TIDY:
+        gc.collect()
+        spark._jvm.System.gc()
+        _tidied[0] = time.monotonic()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back, which cuts the lineage and survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
+    tidy(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
