@@ -21,6 +21,8 @@ FOUND, NONE, SEVERAL, ERROR = "evidence_found", "insufficient_evidence", "ambigu
 DATABASE_ERROR, MODEL_INCOMPATIBLE = "DATABASE_ERROR", "MODEL_INCOMPATIBLE"
 #: Rows of a block of chunks and of a block of queries that meet in one task, and queries of one product of matrices.
 CHUNK_BLOCK, QUERY_BLOCK, QUERY_SLICE = 8_000, 2_000, 256
+#: Distances that are nearer than this may be equal once they are rounded to 6 places.
+TIE = 2e-6
 #: Names of the strategies and their other names.
 ALIASES = {"baseline": "baseline", "deterministic": "baseline", "regex": "baseline", "pgvector": "vector", "vector": "vector", "postgres": "vector"}
 
@@ -144,6 +146,28 @@ def ranked(chunks: DataFrame, queries: DataFrame, k: int | None = None, keys: tu
     return met if k is None else met.filter(F.col("rank") <= k)
 
 
+def closest(asked: pd.DataFrame, held: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The rows of held (embedding) that can be among the k nearest of a row of asked (query_id, query_vector) once distances
+    are rounded to 6 places, ties included; with query_id and distance."""
+    out = []
+    if len(asked) and len(held):
+        # Sums in the order of the vectors' elements, so that distances are those of measure.cosine_distance.
+        dot = lambda x, y: np.cumsum(x * y, axis=1)[:, -1]
+        a, b = (np.stack(x).astype(np.float64) for x in (asked["query_vector"], held["embedding"]))
+        size_a, size_b = np.sqrt(dot(a, a)), np.sqrt(dot(b, b))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for at in range(0, len(a), QUERY_SLICE):
+                own = slice(at, at + QUERY_SLICE)
+                d = 1.0 - (a[own] @ b.T) / (size_a[own, None] * size_b)
+                d[np.isnan(d)] = np.inf
+                last = np.partition(d, k - 1, axis=1)[:, k - 1] if k < len(b) else np.full(len(d), np.inf)
+                i, j = np.nonzero(d <= last[:, None] + TIE)
+                i += at
+                exact = 1.0 - dot(a[i], b[j]) / (size_a[i] * size_b[j])
+                out.append(held.drop(columns="embedding").iloc[j].assign(query_id=asked["query_id"].to_numpy()[i], distance=exact))
+    return pd.concat(out) if out else held.drop(columns="embedding").iloc[:0].assign(query_id=None, distance=None)
+
+
 def nearest(chunks: DataFrame, queries: DataFrame, k: int, chunk_block: int = CHUNK_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """The k nearest of all chunks, whatever their keys: query_id, chunk_id, distance, rank, ordered as in ranked.
 
@@ -160,24 +184,8 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int, chunk_block: int = CH
     schema = f"query_id {of(q, 'query_id')}, chunk_id {of(c, 'chunk_id')}, page_number {of(c, 'page_number')}, start_char {of(c, 'start_char')}, distance double"
 
     def block(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(asked) and len(held):
-            # Sums in the order of the vectors' elements, so that distances are those of measure.cosine_distance.
-            dot = lambda x, y: np.cumsum(x * y, axis=1)[:, -1]
-            a, b = (np.stack(x).astype(np.float64) for x in (asked["query_vector"], held["embedding"]))
-            size_a, size_b = np.sqrt(dot(a, a)), np.sqrt(dot(b, b))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                for at in range(0, len(a), QUERY_SLICE):
-                    own = slice(at, at + QUERY_SLICE)
-                    d = 1.0 - (a[own] @ b.T) / (size_a[own, None] * size_b)
-                    d[np.isnan(d)] = np.inf
-                    last = np.partition(d, k - 1, axis=1)[:, k - 1] if k < len(b) else np.full(len(d), np.inf)
-                    i, j = np.nonzero(d <= last[:, None] + 2e-6)
-                    i += at
-                    exact = 1.0 - dot(a[i], b[j]) / (size_a[i] * size_b[j])
-                    out.append(held[["chunk_id", "page_number", "start_char"]].iloc[j].assign(query_id=asked["query_id"].to_numpy()[i], distance=exact))
-        names = ["query_id", "chunk_id", "page_number", "start_char", "distance"]
-        return pd.concat(out)[names] if out else pd.DataFrame(columns=names)
+        found = closest(asked, held, k)
+        return found[["query_id", "chunk_id", "page_number", "start_char", "distance"]]
 
     met = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(block, schema).withColumn("distance", F.round("distance", 6))
     met = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "page_number", "start_char", "chunk_id")))

@@ -14,8 +14,8 @@ from attestor.functions import measure, rx
 from attestor.operators import chunking, evaluate, evidence, model, retrieve
 from attestor.plans import audit as plan
 from attestor.plans import service
-from attestor.sources import fixtures, store
-from attestor.sources.shared import shared_dir
+from attestor.sources import fixtures, store, vector_index
+from attestor.sources.shared import shared_dir, stored
 
 # --- derived inputs, in SQL that both engines read ---
 _PART = """
@@ -280,6 +280,48 @@ def vector_topk(spark, sf_dir):
     return retrieve.nearest(chunk, asked, 5).select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query(_RANK_SQL.format(on="true") + "SELECT query_id, vec_id || '' AS chunk_id, rank, true AS once FROM r WHERE rank <= 5")
+def vector_index_topk(spark, sf_dir):
+    """As vector_topk, by an exact search of the index of cells; once: no vector was compared with the query twice."""
+    chunk, asked = _vectors(spark, sf_dir)
+    n = chunk.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return vector_index.over(chunk).search(asked, 5).select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"), (F.col("compared") <= n).alias("once"))
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_PROFILE_SQL = f"""
+WITH l AS (SELECT doc_id, translate(coalesce(text, ''), '{_LETTERS.upper()}', '{_LETTERS}') AS t FROM documents),
+v AS (SELECT doc_id, [{', '.join(f"(length(t) - length(replace(t, '{c}', '')))::DOUBLE" for c in _LETTERS)}] AS e FROM l),
+n AS (SELECT doc_id, e, sqrt(list_inner_product(e, e)) AS size FROM v WHERE list_inner_product(e, e) > 0),
+d AS (SELECT q.doc_id AS query_id, c.doc_id, round(1 - list_inner_product(c.e, q.e) / (c.size * q.size), 6) AS distance FROM n q JOIN n c ON q.doc_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rank FROM d)
+"""
+
+
+def _profiles(spark, sf_dir):
+    """Texts as chunks whose vectors count letters, and every 20th as a query."""
+    t = F.translate(F.coalesce("text", F.lit("")), _LETTERS.upper(), _LETTERS)
+    v = stored(_table(spark, sf_dir, "documents").select("doc_id", F.array(*((F.length(t) - F.length(F.translate(t, c, ""))).cast("float") for c in _LETTERS)).alias("embedding")), "profiles")
+    chunk = v.select(F.col("doc_id").cast("string").alias("chunk_id"), F.lit(1).alias("page_number"), F.col("doc_id").alias("start_char"), "embedding")
+    return chunk, v.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+@query(_PROFILE_SQL + "SELECT query_id, doc_id || '' AS chunk_id, rank FROM r WHERE rank <= 5")
+def letter_profile_topk(spark, sf_dir):
+    """The texts whose letters are spread most alike, by an exact search of the index: here the cells that can't hold one are passed over."""
+    chunk, asked = _profiles(spark, sf_dir)
+    return vector_index.over(chunk).search(asked, 5).select("query_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("SELECT 5 * count(*) AS n, true AS enough FROM (" + _PROFILE_SQL + "SELECT DISTINCT query_id FROM r)")
+def letter_profile_recall(spark, sf_dir):
+    """Whether at least nine of ten of the nearest texts are found by looking into the four nearest cells only."""
+    chunk, asked = _profiles(spark, sf_dir)
+    index = vector_index.over(chunk)
+    met = vector_index.recall(index.search(asked, 5, exact=False), index.search(asked, 5))
+    return met.select("n", (F.col("recall") >= 0.9).alias("enough"))
+
+
 def _others(chunk: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """The k nearest of all chunks but the query's own."""
     met = retrieve.nearest(chunk, asked, k + 1).filter(F.col("chunk_id") != F.col("query_id").cast("string"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -17,3 +18,20 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = _own.setdefault("path", "file://" + tempfile.mkdtemp(prefix="attestor-store-"))
     return found.rstrip("/")
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder there."""
+    return f"{shared_dir(spark)}/attestor-{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written there and read back: it is computed once, and lost executors don't take it along."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
