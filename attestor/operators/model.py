@@ -9,7 +9,9 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestor.functions import measure, rx
+from attestor.sources.calls import CallLedger, key
+from attestor.sources.shared import stored
 
 #: The fields of an answer, the states that it may name, and the types of errors.
 RESPONSE = "status string, measurement_name string, value string, unit string, quote string"
@@ -88,31 +92,57 @@ def offline(answer: Callable[[str, str], dict | str]) -> Provider:
     return call
 
 
-def by_model(call: Provider | None, model: str = "none", provider: str = "offline") -> Callable[[DataFrame], DataFrame]:
-    """An extractor for the audit: adds struct x (RESULT) to questions with passage and attribute_name. One attempt is made for
-    each; without a provider every question ends in a configuration error, and nothing is called."""
+def attempt(call: Provider, asked: str, timeout: float | None = None, attempts: int = 1) -> dict:
+    """What a provider says to a prompt, or how it failed: text, failed, ms, asked, given. A call that takes longer than timeout
+    seconds has failed; attempts are all that are made."""
+    began, failed, got = time.perf_counter(), None, Answer(None)
+    for _ in range(attempts):
+        try:
+            if timeout is None:
+                got, failed = call(asked), None
+            else:
+                pool = ThreadPoolExecutor(1)
+                try:
+                    got, failed = pool.submit(call, asked).result(timeout), None
+                finally:
+                    pool.shutdown(wait=False)
+            break
+        except Exception as e:  # noqa: BLE001  whatever a provider raises is its error
+            failed = f"{type(e).__name__}: {e}"
+    return {"text": got.text, "failed": failed, "ms": round(1000 * (time.perf_counter() - began), 2), "asked": got.prompt_tokens, "given": got.candidates_tokens}
+
+
+def by_model(call: Provider | None, model: str = "none", provider: str = "offline", ledger: CallLedger | None = None, timeout: float | None = None, attempts: int = 1) -> Callable[[DataFrame], DataFrame]:
+    """An extractor for the audit: adds struct x (RESULT) to questions with passage and attribute_name. Without a provider every
+    question ends in a configuration error, and nothing is called.
+
+    With a ledger the calls are a job of their own when questions come: each prompt that it doesn't know is put to the provider
+    once, whatever tasks are run again or branches of the plan share it, and results are read from it. Without one a
+    task that is run again calls again.
+    """
     kind = T.StructType([T.StructField("text", T.StringType()), T.StructField("failed", T.StringType()), T.StructField("ms", T.DoubleType()), T.StructField("asked", T.IntegerType()), T.StructField("given", T.IntegerType())])
+    ask = partial(attempt, call, timeout=timeout, attempts=attempts)
 
     @F.pandas_udf(kind)
     def calls(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for prompts in batches:
-            rows = []
-            for asked in prompts:
-                began = time.perf_counter()
-                try:
-                    got, failed = call(asked), None
-                except Exception as e:  # noqa: BLE001  whatever a provider raises is its error
-                    got, failed = Answer(None), f"{type(e).__name__}: {e}"
-                rows.append((got.text, failed, round(1000 * (time.perf_counter() - began), 2), got.prompt_tokens, got.candidates_tokens))
-            frame = pd.DataFrame(rows, columns=kind.names, index=prompts.index)
+            frame = pd.DataFrame([ask(p) for p in prompts], columns=kind.names, index=prompts.index)
             yield frame.astype({"asked": "Int32", "given": "Int32"})
 
+    def known(questions: DataFrame) -> DataFrame:
+        own = prompt(F.col("passage"), F.col("attribute_name"))
+        rows = stored(questions.withColumns({"prompt_key": key(own, f"{provider}/{model}"), "prompt": own}), "questions")
+        ledger.ask(rows.select(F.col("prompt_key").alias("key"), "prompt"), ask, f"{provider}/{model}")
+        answers = ledger.answers().select(F.col("key").alias("prompt_key"), F.struct(*kind.names).alias("called"))
+        return rows.join(answers, "prompt_key", "left").drop("prompt_key", "prompt")
+
     def extract(questions: DataFrame) -> DataFrame:
         null = F.lit(None).cast("string")
         if call is None:
             x = result("error", error=F.lit("no provider is configured"), error_type=F.lit(CONFIGURATION_ERROR), provider=F.lit(provider), model=F.lit(model), token_usage_reason=F.lit("not called: no provider is configured"))
             return questions.withColumn("x", x)
-        got = questions.withColumn("called", calls(prompt(F.col("passage"), F.col("attribute_name")))).withColumn("said", response(F.col("called.text")))
+        got = known(questions) if ledger else questions.withColumn("called", calls(prompt(F.col("passage"), F.col("attribute_name"))))
+        got = got.withColumn("said", response(F.col("called.text")))
         failed, problem, found = F.col("called.failed"), F.col("said.problem"), F.col("said.status") == "found"
         counted = F.col("called.asked").isNotNull() & F.col("called.given").isNotNull()
         usage = F.when(counted, F.create_map(F.lit("prompt_tokens"), F.col("called.asked"), F.lit("candidates_tokens"), F.col("called.given"), F.lit("total_tokens"), F.col("called.asked") + F.col("called.given")))

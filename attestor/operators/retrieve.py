@@ -1,6 +1,6 @@
 """Retrieval strategies. Each takes distinct questions and gives one row per question, so equal records share the work.
 
-A question is (qid, component, revision, attribute, stem); a result adds retrieval_status, reason, document_filename,
+A question is (qid, component, revision, attribute, stem), and corpus_id where there are many; a result adds retrieval_status, reason, document_filename,
 page_number, passage, context_type, similarity and retriever.
 """
 
@@ -31,28 +31,60 @@ def stem(file: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(file, r"([^/\\]*)$", 1), r"(?<=.)\.[^.]*$", "")
 
 
+def corpus_keys(questions: DataFrame, texts: DataFrame) -> list[str]:
+    """corpus_id where both sides say it: then a question meets texts of its own corpus and no others."""
+    return [c for c in ("corpus_id",) if c in questions.columns and c in texts.columns]
+
+
+#: Signs that an id without any letter, digit, _ and - begins with.
+_RUN, _SIGN = "[a-z0-9_-]+", r"[^a-z0-9_\s-]"
+
+
+def named(questions: DataFrame, pages: DataFrame, corpus: list[str]) -> DataFrame:
+    """Distinct (corpus, source_file, component) whose text may name the component, and plain: whether it then does.
+
+    An id made of letters, digits, _ and - occurs exactly if it is one of a text's runs of these, so texts and ids meet in an
+    equi-join on runs. Any other id is sought by that of its runs which the fewest texts have, or its first character if it
+    has none. Pages give up their runs where they are, and only runs that are asked for go on.
+    """
+    ids = questions.select(*corpus, "component").filter("component is not null").distinct()
+    runs = F.array_distinct(F.transform(rx.extract_all(F.col("component"), f"{rx.ID}+", 0), F.lower))
+    first = F.lower(rx.blank(F.substring(rx.strip(F.col("component")), 1, 1)))
+    ids = ids.withColumn("runs", F.when(F.size(runs) > 0, runs).when(first.isNotNull(), F.array(first)).otherwise(F.array().cast("array<string>")))
+    ids = ids.select(*corpus, "component", F.size("runs").alias("n_runs"), F.explode("runs").alias("run"))
+    # one value, known before pages are read: signs are looked for only if an id needs one
+    signs = ids.agg(F.coalesce(F.bool_or(F.rlike("run", F.lit(f"^{_SIGN}$"))), F.lit(False))).scalar()
+    text = F.lower("text")
+    found = F.concat(F.regexp_extract_all(text, F.lit(_RUN), F.lit(0)), F.when(signs, F.regexp_extract_all(text, F.lit(_SIGN), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    held = pages.select(*corpus, "source_file", F.explode(F.array_distinct(found)).alias("run")).join(ids.select(*corpus, "run").distinct(), [*corpus, "run"], "left_semi").distinct()
+    single, several = ids.filter("n_runs = 1").select(*corpus, "component", "run"), ids.filter("n_runs > 1")
+    texts = held.join(several.select(*corpus, "run").distinct(), [*corpus, "run"], "left_semi").groupBy(*corpus, "run").agg(F.count(F.lit(1)).alias("texts"))
+    rarest = several.join(texts, [*corpus, "run"]).groupBy(*corpus, "component").agg(F.min_by("run", F.struct("texts", "run")).alias("run"), F.count(F.lit(1)).alias("have"), F.max("n_runs").alias("n_runs"))
+    sought = single.unionByName(rarest.filter("have = n_runs").select(*corpus, "component", "run"))  # a run that no text has rules the id out
+    return held.join(sought, [*corpus, "run"]).select(*corpus, "source_file", "component", F.rlike("component", F.lit(f"^{rx.ID}+$")).alias("plain"))
+
+
 def eligible(questions: DataFrame, pages: DataFrame) -> DataFrame:
-    """(qid, source_file, has_revision) for each text that names a question's component.
+    """(qid, source_file, has_revision) for each text that names a question's component; with corpus_id if both sides have it.
 
-    An id made of letters, digits, _ and - occurs exactly if it is one of a text's runs of these, so texts and questions
-    meet in an equi-join on runs. Any other id is sought by its longest run, or its first character if it has none, and then
-    by its pattern. Pages give up their runs where they are, only runs that are asked for go on, and only texts that have
-    one of them are put together from their pages. If a question refers to a document that exists, only that one counts.
+    If a question refers to a document that exists, only that one counts. What a text says of an id or a revision is looked up once
+    for each text and each id or revision that it may name; texts aren't joined to questions.
     """
-    runs_of = F.transform(rx.extract_all(F.col("component"), f"{rx.ID}+", 0), lambda r: F.struct(F.length(r).alias("n"), r.alias("run")))
-    run = F.coalesce(F.array_max(runs_of)["run"], rx.blank(F.substring(rx.strip(F.col("component")), 1, 1)))
-    asked = questions.withColumn("run", F.lower(run)).filter("run is not null")
-    stems = pages.select(stem(F.col("source_file")).alias("stem")).distinct().withColumn("known", F.lit(True))
-    asked = asked.join(stems, "stem", "left")
-    found = F.flatten(F.array(*(F.regexp_extract_all(F.lower("text"), F.lit(p), F.lit(0)) for p in ("[a-z0-9_-]+", r"[^a-z0-9_\s-]"))))
-    runs = pages.select("source_file", F.explode(F.array_distinct(found)).alias("run")).join(asked.select("run").distinct(), "run", "left_semi").distinct()
-    met = runs.join(asked, "run").filter(F.col("known").isNull() | (stem(F.col("source_file")) == F.col("stem")))
-    own = pages.join(met.select("source_file").distinct(), "source_file", "left_semi")
-    full = own.groupBy("source_file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda p: p["text"]), "\n").alias("full"))
-    met = met.join(full, "source_file")
-    plain = F.rlike("component", F.lit(f"^{rx.ID}+$"))
-    met = met.filter(plain | rx.matches_component(F.col("full"), F.col("component")))
-    return met.select("qid", "source_file", rx.matches_revision(F.col("full"), F.col("revision")).alias("has_revision"))
+    corpus = corpus_keys(questions, pages)
+    doc = [*corpus, "source_file"]
+    stems = pages.select(*corpus, stem(F.col("source_file")).alias("stem")).distinct().withColumn("known", F.lit(True))
+    asked = questions.select("qid", *corpus, "component", "revision", "stem").join(stems, [*corpus, "stem"], "left")
+    met = named(questions, pages, corpus).join(asked, [*corpus, "component"]).filter(F.col("known").isNull() | (stem(F.col("source_file")) == F.col("stem")))
+    revision = rx.blank(rx.strip(F.col("revision")))
+    wanted = met.groupBy(*doc).agg(F.collect_set(F.when(~F.col("plain"), F.col("component"))).alias("ids"), F.collect_set(F.when(revision.isNotNull(), F.col("revision"))).alias("revisions"))
+    own = pages.join(wanted.select(*doc), doc, "left_semi")
+    full = own.groupBy(*doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda p: p["text"]), "\n").alias("full"))
+    said = wanted.join(full, doc).select(*doc, F.filter("ids", lambda c: rx.matches_component(F.col("full"), c)).alias("ids"), F.filter("revisions", lambda r: rx.matches_revision(F.col("full"), r)).alias("revisions"))
+    ids = said.select(*doc, F.explode("ids").alias("component"), F.lit(True).alias("named"))
+    revisions = said.select(*doc, F.explode("revisions").alias("revision"), F.lit(True).alias("fits"))
+    plain, other = met.filter("plain"), met.filter("not plain").join(ids, [*doc, "component"], "left_semi")
+    met = plain.unionByName(other).join(revisions, [*doc, "revision"], "left")
+    return met.select("qid", *doc, (revision.isNull() | F.coalesce("fits", F.lit(False))).alias("has_revision"))
 
 
 def _outcome(per: DataFrame, name: str, error: Column | None = None) -> DataFrame:
@@ -85,22 +117,28 @@ def _outcome(per: DataFrame, name: str, error: Column | None = None) -> DataFram
 
 def baseline(questions: DataFrame, pages: DataFrame, **_) -> DataFrame:
     """Regular expressions over pages: a direct specification line, else the section or page that mentions the attribute."""
-    found = eligible(questions, pages).withColumnRenamed("source_file", "named_in").join(questions.select("qid", "attribute"), "qid")
-    # Texts of another revision meet no page, but still say that the component is known; so the texts are found once.
-    at = found.join(pages, F.col("has_revision") & (F.col("named_in") == F.col("source_file")), "left")
-    asked = rx.blank(F.col("attribute")).isNotNull() & F.col("text").isNotNull()
-    at = at.select("qid", "attribute", "has_revision", "source_file", "page_number", "text", F.when(asked, measure.direct_lines(F.col("text"), F.col("attribute"))).alias("spec"))
+    corpus = corpus_keys(questions, pages)
+    doc = [*corpus, "source_file"]
+    found = eligible(questions, pages).join(questions.select("qid", "attribute"), "qid")
+    # What a text says of an attribute is worked out once, whoever asks. Texts of another revision only say that the component is known.
+    wanted = found.filter(F.col("has_revision") & rx.blank(F.col("attribute")).isNotNull()).select(*doc, "attribute").distinct()
+    at = pages.join(wanted, doc).withColumn("spec", measure.direct_lines(F.col("text"), F.col("attribute")))
     null = F.lit(None).cast("double").alias("similarity")
-    order = F.struct("source_file", "page_number")
     line = F.struct(F.col("source_file").alias("document_filename"), "page_number", F.get("spec", F.lit(0))["line"].alias("passage"), F.lit("passage").alias("context_type"), null)
     near = rx.section_or_page(F.col("text"), F.col("attribute"))
     part = F.struct(F.col("source_file").alias("document_filename"), "page_number", near["passage"].alias("passage"), near["context_type"].alias("context_type"), null)
-    mentions = F.col("spec").isNotNull() & F.rlike("text", rx.mention(F.col("attribute")))
-    per = at.groupBy("qid").agg(
-        F.lit(True).alias("has_component"), F.max("has_revision").alias("has_revision"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.transform("spec", lambda s: F.struct(s["value"].alias("value"), s["unit"].alias("unit"))))))).alias("facts"),
-        F.min_by(F.when(F.size("spec") > 0, line), F.when(F.size("spec") > 0, order)).alias("direct"),
-        F.min_by(F.when(mentions, part), F.when(mentions, order)).alias("near"),
+    mentions = F.rlike("text", rx.mention(F.col("attribute")))
+    facts = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
+    said = at.groupBy(*doc, "attribute").agg(
+        facts(F.transform("spec", lambda s: F.struct(s["value"].alias("value"), s["unit"].alias("unit")))).alias("facts"),
+        F.min_by(F.when(F.size("spec") > 0, line), F.when(F.size("spec") > 0, F.col("page_number"))).alias("direct"),
+        F.min_by(F.when(mentions, part), F.when(mentions, F.col("page_number"))).alias("near"),
+    )
+    fits = found.filter("has_revision").join(said, [*doc, "attribute"], "left").unionByName(found.filter("not has_revision"), allowMissingColumns=True)
+    place = lambda c: F.when(F.col(c).isNotNull(), F.struct("source_file", F.col(c)["page_number"]))
+    per = fits.groupBy("qid").agg(
+        F.lit(True).alias("has_component"), F.max("has_revision").alias("has_revision"), facts("facts").alias("facts"),
+        F.min_by("direct", place("direct")).alias("direct"), F.min_by("near", place("near")).alias("near"),
     )
     per = questions.join(per, "qid", "left").withColumns({"has_component": F.coalesce("has_component", F.lit(False)), "has_revision": F.coalesce("has_revision", F.lit(False)), "best": F.coalesce("direct", "near")})
     return _outcome(per, "baseline")
@@ -113,18 +151,22 @@ BEST = "struct<document_filename:string,page_number:int,passage:string,context_t
 def vector(questions: DataFrame, pages: DataFrame | None = None, chunks: DataFrame | None = None, corpus_id: str = "default", model_name: str = "m", model_revision: str = "1", dimension: int | None = None, **_) -> DataFrame:
     """Exact filtered cosine search over a chunk table. Questions carry query_vector; keys are compared case-sensitively,
     and a missing revision matches nothing. Conflicts are sought in all eligible chunks before any is ranked. Without a
-    chunk table, or with a query vector of another dimension, the result is an error."""
+    chunk table, or with a query vector of another dimension, the result is an error. Questions that say a corpus_id search
+    that corpus, all corpora in one plan; others search corpus_id."""
     null = F.lit(None)
     if chunks is None:
         none = {"has_component": F.lit(False), "has_revision": F.lit(False), "facts": null.cast("array<struct<value:double,unit:string>>"), "best": null.cast(BEST)}
         return _outcome(questions.withColumns(none), "vector", F.lit(DATABASE_ERROR))
     error = null.cast("string") if dimension is None else F.when(F.coalesce(F.size("query_vector") != dimension, F.lit(True)), MODEL_INCOMPATIBLE)
-    own = chunks.filter((F.col("corpus_id") == corpus_id) & (F.col("model_name") == model_name) & (F.col("model_revision") == model_revision))
+    if "corpus_id" not in questions.columns:
+        chunks = chunks.filter(F.col("corpus_id") == corpus_id).drop("corpus_id")
+    corpus = corpus_keys(questions, chunks)
+    own = chunks.filter((F.col("model_name") == model_name) & (F.col("model_revision") == model_revision))
     if dimension is not None:
         questions = questions.withColumn("unfit", error).withColumn("query_vector", F.when(F.col("unfit").isNull(), F.col("query_vector")))
         error = F.col("unfit")
-    ids = chunks.filter(F.col("corpus_id") == corpus_id).select(F.col("component_id").alias("component")).distinct().withColumn("has_component", F.lit(True))
-    met = questions.filter("query_vector is not null").join(own.withColumnRenamed("component_id", "component"), ["component", "revision"])
+    ids = chunks.select(*corpus, F.col("component_id").alias("component")).distinct().withColumn("has_component", F.lit(True))
+    met = questions.filter("query_vector is not null").join(own.withColumnRenamed("component_id", "component"), [*corpus, "component", "revision"])
     met = met.select("qid", "attribute", "document_filename", "page_number", "start_char", "chunk_id", "text", measure.cosine_distance(F.col("embedding"), F.col("query_vector")).alias("distance"), measure.direct_lines(F.col("text"), F.col("attribute")).alias("spec"))
     cite = F.struct("document_filename", "page_number", F.col("text").alias("passage"), F.lit("chunk").alias("context_type"), F.round(1 - F.col("distance"), 4).alias("similarity"))
     order = F.struct("distance", "page_number", "start_char", "chunk_id")
@@ -135,7 +177,7 @@ def vector(questions: DataFrame, pages: DataFrame | None = None, chunks: DataFra
         F.min_by(F.when(F.size("spec") > 0, cite), F.when(F.size("spec") > 0, order)).alias("direct"),
         F.min_by(F.when(mentions, cite), F.when(mentions, order)).alias("near"),
     )
-    per = questions.join(ids, "component", "left").join(per, "qid", "left").withColumns({"has_component": F.coalesce("has_component", F.lit(False)), "has_revision": F.coalesce("has_revision", F.lit(False)), "best": F.coalesce("direct", "near")})
+    per = questions.join(ids, [*corpus, "component"], "left").join(per, "qid", "left").withColumns({"has_component": F.coalesce("has_component", F.lit(False)), "has_revision": F.coalesce("has_revision", F.lit(False)), "best": F.coalesce("direct", "near")})
     return _outcome(per, "vector", error)
 
 

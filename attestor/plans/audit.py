@@ -33,7 +33,7 @@ def normalize(records: DataFrame) -> DataFrame:
     """The record's fields as text, with their other names and placeholders; empty counts as missing."""
     f = lambda c: F.col(c).cast("string") if c in records.columns else F.lit(None).cast("string")
     first = lambda *cs: F.coalesce(*(rx.blank(f(c)) for c in cs), F.lit(None).cast("string"))
-    extra = [F.col(c) for c in records.columns if c == "query_vector"]
+    extra = [F.col(c) for c in records.columns if c in ("query_vector", "corpus_id")]
     return records.select(
         F.coalesce(first("case_id", "record_id"), F.lit("UNKNOWN-CASE")).alias("case_id"),
         F.coalesce(first("record_id", "case_id"), F.lit("UNKNOWN-RECORD")).alias("record_id"),
@@ -58,14 +58,14 @@ def validate(records: DataFrame) -> DataFrame:
 def ask(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Records with a question id where they are still open, and the distinct questions. Questions are grouped by all that
     they ask, so every use of them in a plan is the same aggregate, which Spark then makes once."""
-    asked = ("q_component", "revision", "q_attribute", "document_reference")
+    asked = ("q_component", "revision", "q_attribute", "document_reference", *(c for c in records.columns if c == "corpus_id"))
     qid = F.to_json(F.struct(*asked), {"ignoreNullFields": "false"})
     own = records.filter("exit_code is null")
     if "query_vector" in records.columns:
         questions = own.groupBy(*asked).agg(F.first("query_vector").alias("query_vector"))
     else:
         questions = own.select(*asked).distinct()
-    vec = [c for c in questions.columns if c == "query_vector"]
+    vec = [c for c in questions.columns if c in ("query_vector", "corpus_id")]
     questions = questions.select(qid.alias("qid"), F.col("q_component").alias("component"), "revision", F.col("q_attribute").alias("attribute"), retrieve.stem(F.col("document_reference")).alias("stem"), *vec)
     return records.withColumn("qid", F.when(F.col("exit_code").isNull(), qid)).drop("query_vector"), questions
 

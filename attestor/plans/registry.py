@@ -5,6 +5,7 @@ Datasheets are made of part, records of lineitem; both rules are plain expressio
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,7 +16,8 @@ from attestor.operators import chunking, evaluate, evidence, model, retrieve
 from attestor.plans import audit as plan
 from attestor.plans import service
 from attestor.sources import fixtures, store, vector_index
-from attestor.sources.shared import shared_dir, stored
+from attestor.sources.calls import CallLedger
+from attestor.sources.shared import folder, shared_dir, stored
 
 # --- derived inputs, in SQL that both engines read ---
 _PART = """
@@ -537,6 +539,23 @@ def evidence_documents(spark, sf_dir):
     return d.select("record_id", F.col("evidence_document").isNotNull().alias("has_document"), m["document_filename"].alias("file"), m["context_type"].alias("context_type"), m["corpus_id"].alias("corpus_id"), m["component_id"].alias("component"), evidence.query_text(F.col("component_id"), F.col("attribute_name")).alias("query"), evidence.preview(F.col("supporting_passage"), 9).alias("preview"))
 
 
+def _told(passage: str, attribute: str) -> dict | str:
+    """A stand-in for a model, which reads the last number with a unit."""
+    found = re.findall(rf"((?:{attribute}: |[a-z]+ x [0-9.]+ [a-z]+ x )([0-9.]+) ([a-z]+))\.", passage)
+    return {"status": "insufficient"} if not found else {"status": "found", "measurement_name": attribute, "value": found[-1][1], "unit": found[-1][2], "quote": found[-1][0]}
+
+
+@query(f"""{_AUDIT_SQL}, d AS (SELECT component AS c, CASE WHEN twice AND tupled THEN 'line' WHEN tupled THEN 'section' ELSE 'nominal' END AS kind FROM p),
+n AS (SELECT count(DISTINCT kind || ' ' || f.v || ' ' || f.unit) AS calls FROM a JOIN d ON c = component_id JOIN f ON f.component = component_id WHERE exit_code IN ('equal', 'differs', 'evidence_unit_unsupported'))
+SELECT {_OUTCOME} AS outcome, count(*) AS n, any_value(calls) AS calls FROM a, n GROUP BY 1""")
+def model_ledger(spark, sf_dir):
+    """Two audits by a model that share a ledger of calls: outcomes of the second, and how many calls were made in all."""
+    ledger = CallLedger(spark, folder(spark, "calls"))
+    for _ in range(2):
+        done = plan.audit(records(spark, sf_dir), sheets(spark, sf_dir), extractor=model.by_model(model.offline(_told), ledger=ledger), only=("outcome",))
+    return done.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).withColumn("calls", F.lit(ledger.read().count()))
+
+
 # --- evaluation against answers that SQL derives, with planted disagreements ---
 _JUDGED = f"""{_AUDIT_SQL},
 b AS (SELECT DISTINCT record_id, k, rv, recorded_unit, exit_code, {_OUTCOME} AS outcome, CASE k % 7 WHEN 0 THEN 'outcome' WHEN 1 THEN 'value' WHEN 2 THEN 'file' WHEN 3 THEN 'passage' WHEN 4 THEN 'api' WHEN 5 THEN 'unrun' ELSE 'none' END AS bad FROM a),
