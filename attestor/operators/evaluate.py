@@ -147,13 +147,80 @@ def evidence_ranks(ranked: DataFrame, expected: DataFrame, depth: int = 5) -> Da
     return met.groupBy(F.col("query_id").alias("case_id")).agg(F.min(F.when(relevant, F.col("rank"))).alias("first_rank"))
 
 
+#: Ranges that a value's place is narrowed by at once, and values that are few enough to be looked at one by one.
+BINS, FEW = 1024, 4096
+
+
+def exact_medians(rows: DataFrame, columns: dict[str, Column], bins: int = BINS, few: int = FEW) -> dict[str, float | None]:
+    """The exact median of each column, of rows whose value isn't null; null without any. NaN is larger than all else.
+
+    Values are counted in ranges between the least and the greatest, the ranges that hold the middle are kept, and so on, until they
+    hold few distinct values; each step reads the rows once, and no task and no driver holds more than bins * few counts.
+    """
+    values = rows.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), c.cast("double").alias("v")) for n, c in columns.items()))).alias("x")).select("x.*").filter("v is not null")
+    seen = {r.name: r for r in values.groupBy("name").agg(F.count_if(~F.isnan("v")).alias("n"), F.count_if(F.isnan("v")).alias("nans"), F.min(F.nanvl("v", F.lit(None))).alias("low"), F.max(F.nanvl("v", F.lit(None))).alias("high")).collect()}
+    found: dict[tuple[str, int], float] = {}
+    spans: dict[tuple[str, int], tuple[float, float, int]] = {}  # by column and wanted place: the range that holds it, and how many values lie before it
+    for name, r in seen.items():
+        for place in {(r.n + r.nans - 1) // 2, (r.n + r.nans) // 2}:
+            if place >= r.n:
+                found[name, place] = float("nan")
+            else:
+                spans[name, place] = (r.low, r.high, 0)
+    while spans:
+        ranges = rows.sparkSession.createDataFrame([(n, k, a, b) for (n, k), (a, b, _) in spans.items()], "name string, place long, low double, high double")
+        met = values.join(F.broadcast(ranges), (values["name"] == ranges["name"]) & (F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high"))).drop(ranges["name"])
+        # halves keep the width of a range finite; equal values always share a bin
+        share = (F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)
+        bin_ = F.when(F.col("high") > F.col("low"), F.least(F.floor(F.coalesce(F.nanvl(share, F.lit(0.0)), F.lit(0.0)) * bins), F.lit(bins - 1))).otherwise(F.lit(0))
+        counted = met.groupBy("name", "place", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.approx_count_distinct("v").alias("distinct"))
+        wanted: dict[tuple[str, int], list] = {}
+        for r in counted.collect():  # bins rows for each wanted place at most
+            wanted.setdefault((r.name, r.place), []).append(r)
+        left, small = {}, {}
+        for at, held in wanted.items():
+            before = spans[at][2]
+            for r in sorted(held, key=lambda r: r.low):
+                if at[1] < before + r.n:
+                    if r.low == r.high:
+                        found[at] = r.low
+                    elif r.distinct <= few // 2 or (r.low, r.high) == spans[at][:2]:
+                        small[at] = (r.low, r.high, before)
+                    else:
+                        left[at] = (r.low, r.high, before)
+                    break
+                before += r.n
+        if small:
+            ranges = rows.sparkSession.createDataFrame([(n, k, a, b) for (n, k), (a, b, _) in small.items()], "name string, place long, low double, high double")
+            met = values.join(F.broadcast(ranges), (values["name"] == ranges["name"]) & (F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high"))).drop(ranges["name"])
+            per: dict[tuple[str, int], list] = {}
+            for r in met.groupBy("name", "place", "v").agg(F.count(F.lit(1)).alias("n")).collect():  # few distinct values for each place
+                per.setdefault((r.name, r.place), []).append((r.v, r.n))
+            for at, held in per.items():
+                before = small[at][2]
+                for v, n in sorted(held):
+                    before += n
+                    if at[1] < before:
+                        found[at] = v
+                        break
+        spans = left
+    out: dict[str, float | None] = dict.fromkeys(columns)
+    for name, r in seen.items():
+        a, b = (found[name, (r.n + r.nans + i) // 2] for i in (-1, 0))
+        out[name] = a if a == b else a + (b - a) / 2
+    return out
+
+
 def latency(rows: DataFrame, value: str = "latency_ms", called: str = "model_called", accuracy: int | None = None) -> DataFrame:
-    """Median, mean, least and most, over all rows, those with a model call and those without. The median is exact, for which
-    one task holds the distinct values; with accuracy it is one of the values, of a rank off by 1 / accuracy at most, in bounded memory."""
-    out, median = [], F.median if accuracy is None else lambda x: F.percentile_approx(x, 0.5, accuracy)
-    for name, of in (("all", F.lit(True)), ("called", F.col(called)), ("not_called", ~F.col(called))):
-        x = F.when(of, F.col(value))
-        out += [F.round(f(x), 4).alias(f"{n}_{name}") for n, f in (("median", median), ("mean", F.avg), ("min", F.min), ("max", F.max))]
+    """Median, mean, least and most, over all rows, those with a model call and those without. The median is exact, found by
+    a few jobs of bounded memory before this returns; with accuracy it is one of the values, of a rank off by 1 / accuracy at most."""
+    kinds = {"all": F.lit(True), "called": F.col(called), "not_called": ~F.col(called)}
+    values = {name: F.when(of, F.col(value)) for name, of in kinds.items()}
+    exact = exact_medians(rows, values) if accuracy is None else {}
+    out = []
+    for name, x in values.items():
+        median = F.lit(exact[name]).cast("double") if accuracy is None else F.percentile_approx(x, 0.5, accuracy)
+        out += [F.round(v, 4).alias(f"{n}_{name}") for n, v in (("median", median), ("mean", F.avg(x)), ("min", F.min(x)), ("max", F.max(x)))]
     return rows.agg(*out)
 
 
@@ -172,9 +239,21 @@ def ir_metrics(firsts: DataFrame) -> DataFrame:
 
 
 def abort_after_error(rows: DataFrame, error: Column, order: tuple[str, ...], within: tuple[str, ...] = ()) -> DataFrame:
-    """Marks rows after the first error as unrun. within splits the runs; without it a run is one sequence by nature."""
-    w = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("unrun", F.coalesce(F.max(error).over(w), F.lit(False)))
+    """Marks rows after the first error as unrun. within splits the runs; without it all rows are one.
+
+    The first error of a run is an aggregate, which each row is then held against; no run is sorted or lies in one task. Rows
+    with the place of the first error have run; null comes first in order, and null is a run as well.
+    """
+    place = F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(order)))
+    first = F.min(F.when(error, place))
+    after = lambda known: F.coalesce(place > known, F.lit(False)).alias("unrun")
+    if not within:
+        return rows.select("*", after(rows.agg(first).scalar()))
+    runs = rows.groupBy(*(F.col(c).alias(f"__run{i}") for i, c in enumerate(within))).agg(first.alias("__first")).filter("__first is not null")
+    same = F.lit(True)
+    for i, c in enumerate(within):
+        same = same & F.col(c).eqNullSafe(F.col(f"__run{i}"))
+    return rows.join(runs, same, "left").select(*rows.columns, after(F.col("__first")))
 
 
 def markdown(summary_row: dict, title: str = "Evaluation", compared: list[dict] | None = None) -> str:

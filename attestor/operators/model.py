@@ -20,7 +20,6 @@ from pyspark.sql import types as T
 
 from attestor.functions import measure, rx
 from attestor.sources.calls import CallLedger, key
-from attestor.sources.shared import stored
 
 #: The fields of an answer, the states that it may name, and the types of errors.
 RESPONSE = "status string, measurement_name string, value string, unit string, quote string"
@@ -131,7 +130,7 @@ def by_model(call: Provider | None, model: str = "none", provider: str = "offlin
 
     def known(questions: DataFrame) -> DataFrame:
         own = prompt(F.col("passage"), F.col("attribute_name"))
-        rows = stored(questions.withColumns({"prompt_key": key(own, f"{provider}/{model}"), "prompt": own}), "questions")
+        rows = questions.withColumns({"prompt_key": key(own, f"{provider}/{model}"), "prompt": own})
         ledger.ask(rows.select(F.col("prompt_key").alias("key"), "prompt"), ask, f"{provider}/{model}")
         answers = ledger.answers().select(F.col("key").alias("prompt_key"), F.struct(*kind.names).alias("called"))
         return rows.join(answers, "prompt_key", "left").drop("prompt_key", "prompt")
@@ -155,6 +154,7 @@ def by_model(call: Provider | None, model: str = "none", provider: str = "offlin
         )
         return got.withColumn("x", x).drop("called", "said")
 
+    extract.eager = ledger is not None  # the audit then hands in a stored table
     return extract
 
 
