@@ -1,4 +1,5 @@
-"""Retrieval strategies. Each takes distinct questions and gives one row per question, so equal records share the work.
+"""Retrieval strategies. Each takes distinct questions and gives one row per question, so equal records share the work. What
+several joins need is stored in the shared folder first: a table of ids, not of texts.
 
 A question is (qid, component, revision, attribute, stem), and corpus_id where there are many; a result adds retrieval_status, reason, document_filename,
 page_number, passage, context_type, similarity and retriever.
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.functions import measure, rx
+from attestor.sources.shared import stored
 
 FOUND, NONE, SEVERAL, ERROR = "evidence_found", "insufficient_evidence", "ambiguous_evidence", "error"
 #: Why a search couldn't be made.
@@ -52,15 +54,17 @@ def named(questions: DataFrame, pages: DataFrame, corpus: list[str]) -> DataFram
     first = F.lower(rx.blank(F.substring(rx.strip(F.col("component")), 1, 1)))
     ids = ids.withColumn("runs", F.when(F.size(runs) > 0, runs).when(first.isNotNull(), F.array(first)).otherwise(F.array().cast("array<string>")))
     ids = ids.select(*corpus, "component", F.size("runs").alias("n_runs"), F.explode("runs").alias("run"))
-    # one value, known before pages are read: signs are looked for only if an id needs one
-    signs = ids.agg(F.coalesce(F.bool_or(F.rlike("run", F.lit(f"^{_SIGN}$"))), F.lit(False))).scalar()
+    has_sign, has_several = ids.agg(F.bool_or(F.rlike("run", F.lit(f"^{_SIGN}$"))), F.bool_or(F.col("n_runs") > 1)).first()
     text = F.lower("text")
-    found = F.concat(F.regexp_extract_all(text, F.lit(_RUN), F.lit(0)), F.when(signs, F.regexp_extract_all(text, F.lit(_SIGN), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    found = F.regexp_extract_all(text, F.lit(_RUN), F.lit(0))
+    if has_sign:
+        found = F.concat(found, F.regexp_extract_all(text, F.lit(_SIGN), F.lit(0)))
     held = pages.select(*corpus, "source_file", F.explode(F.array_distinct(found)).alias("run")).join(ids.select(*corpus, "run").distinct(), [*corpus, "run"], "left_semi").distinct()
-    single, several = ids.filter("n_runs = 1").select(*corpus, "component", "run"), ids.filter("n_runs > 1")
-    texts = held.join(several.select(*corpus, "run").distinct(), [*corpus, "run"], "left_semi").groupBy(*corpus, "run").agg(F.count(F.lit(1)).alias("texts"))
-    rarest = several.join(texts, [*corpus, "run"]).groupBy(*corpus, "component").agg(F.min_by("run", F.struct("texts", "run")).alias("run"), F.count(F.lit(1)).alias("have"), F.max("n_runs").alias("n_runs"))
-    sought = single.unionByName(rarest.filter("have = n_runs").select(*corpus, "component", "run"))  # a run that no text has rules the id out
+    sought, several = ids.filter("n_runs = 1").select(*corpus, "component", "run"), ids.filter("n_runs > 1")
+    if has_several:
+        texts = held.join(several.select(*corpus, "run").distinct(), [*corpus, "run"], "left_semi").groupBy(*corpus, "run").agg(F.count(F.lit(1)).alias("texts"))
+        rarest = several.join(texts, [*corpus, "run"]).groupBy(*corpus, "component").agg(F.min_by("run", F.struct("texts", "run")).alias("run"), F.count(F.lit(1)).alias("have"), F.max("n_runs").alias("n_runs"))
+        sought = sought.unionByName(rarest.filter("have = n_runs").select(*corpus, "component", "run"))  # a run that no text has rules the id out
     return held.join(sought, [*corpus, "run"]).select(*corpus, "source_file", "component", F.rlike("component", F.lit(f"^{rx.ID}+$")).alias("plain"))
 
 
@@ -72,9 +76,11 @@ def eligible(questions: DataFrame, pages: DataFrame) -> DataFrame:
     """
     corpus = corpus_keys(questions, pages)
     doc = [*corpus, "source_file"]
+    questions = stored(questions, "questions")  # else each use of them scans the records again
     stems = pages.select(*corpus, stem(F.col("source_file")).alias("stem")).distinct().withColumn("known", F.lit(True))
     asked = questions.select("qid", *corpus, "component", "revision", "stem").join(stems, [*corpus, "stem"], "left")
     met = named(questions, pages, corpus).join(asked, [*corpus, "component"]).filter(F.col("known").isNull() | (stem(F.col("source_file")) == F.col("stem")))
+    met = stored(met, "met")  # texts are read for their runs once
     revision = rx.blank(rx.strip(F.col("revision")))
     wanted = met.groupBy(*doc).agg(F.collect_set(F.when(~F.col("plain"), F.col("component"))).alias("ids"), F.collect_set(F.when(revision.isNotNull(), F.col("revision"))).alias("revisions"))
     own = pages.join(wanted.select(*doc), doc, "left_semi")
@@ -119,7 +125,8 @@ def baseline(questions: DataFrame, pages: DataFrame, **_) -> DataFrame:
     """Regular expressions over pages: a direct specification line, else the section or page that mentions the attribute."""
     corpus = corpus_keys(questions, pages)
     doc = [*corpus, "source_file"]
-    found = eligible(questions, pages).join(questions.select("qid", "attribute"), "qid")
+    questions = stored(questions, "questions")  # else each use of them scans the records again
+    found = stored(eligible(questions, pages).join(questions.select("qid", "attribute"), "qid"), "eligible")
     # What a text says of an attribute is worked out once, whoever asks. Texts of another revision only say that the component is known.
     wanted = found.filter(F.col("has_revision") & rx.blank(F.col("attribute")).isNotNull()).select(*doc, "attribute").distinct()
     at = pages.join(wanted, doc).withColumn("spec", measure.direct_lines(F.col("text"), F.col("attribute")))

@@ -26,10 +26,14 @@ def folder(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written there and read back: it is computed once, and lost executors don't take it along."""
+    """df, written there and read back: it is computed once, and lost executors don't take it along. What this has given is given back as it is."""
+    if getattr(df, "is_stored", False) is True:
+        return df
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.is_stored = True
+    return out
 
 
 def delete(spark: SparkSession, path: str) -> None:
