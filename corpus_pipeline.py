@@ -11,26 +11,31 @@ from attestor.llm.queries import RANKS
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from labelled rows of the whole table that aren't held out; rejects scores of THRESHOLD or more."""
+    """Learns from labelled rows of the whole table that aren't held out; rejects scores of THRESHOLD or more. Rows with null or
+    empty texts score alike, as texts without toxic words; repeated rows share their fate; null ids are kept or dropped by their text."""
     return toxicity.drop_toxic(docs, toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays, as in op10."""
+    """Of equal texts the row with the largest doc_id stays, as in op10. Null texts equal empty ones; a null id loses against all
+    others; of rows that share text and id one stays."""
     return exact_dedup.exact_dedup(docs, keep="largest")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shingles of five words, a similarity of 0.8 or more; the smallest doc_id of a group stays."""
+    """Shingles of five words, a similarity of 0.8 or more; the smallest doc_id of a group stays. Texts without words and rows
+    with a null id are linked with nothing and stay; rows that share an id stay or go together."""
     return near_dedup.drop_near_copies(docs, shingle=5, threshold=(80, 100))
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows go that hold question and answer of a benchmark item. Null and empty texts hold none, an empty benchmark drops nothing,
+    and repeated rows and null ids are judged by their text."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document: n_tokens and the digests of the ids and of what they decode to."""
+    """Per row: n_tokens and the digests of the ids and of what they decode to; a null text is an empty one, and ids may repeat or be null."""
     return bpe.encode_decode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, keep=False)
 
 

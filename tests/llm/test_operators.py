@@ -147,6 +147,39 @@ def test_kneser_ney():
             assert abs(ratios.word(w) - want) < 1e-9
 
 
+def test_score_against_plain_dictionaries(spark):
+    """The whole formula by dictionaries: log-likelihoods of both classes word by word, their difference by length, the excess over the baseline, the logistic curve."""
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(1, 7))) for _ in range(150)]
+    data = [(i, " ".join(r.choice(["zorkan", "zorkel"]) if i % 4 == 0 and r.random() < 0.1 else r.choice(words) for _ in range(60)), int(i % 4 == 0)) for i in range(200)]
+    docs = spark.createDataFrame(data + [(900, None, 0), (901, "?!", 0)], "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.drop("toxic"), docs.drop("text"))
+    out = {x.doc_id for x in docs.filter(toxicity.held_out("doc_id")).collect()}
+    counts: dict = {}
+    for i, t, y in data:
+        if i not in out:
+            for w in re.findall("[a-z]+", t):
+                counts.setdefault(w, [0, 0])[y] += 1
+    plain = toxicity.KneserNey([(w, *n) for w, n in counts.items()])
+
+    def ratio(w):
+        text = f"^{w}$"
+        grams = [text[max(0, i + 1 - toxicity.ORDER) : i + 1] for i in range(1, len(text))]
+        return sum(np.log(plain.probability(1, g)) for g in grams) - sum(np.log(plain.probability(0, g)) for g in grams)
+
+    usual = sorted(x for w, n in counts.items() for x in [ratio(w)] * n[0])
+    baseline = next(x for i, x in enumerate(usual, 1) if i >= toxicity.BASELINE * len(usual))
+    got = {x.doc_id: x.score for x in toxicity.score(docs, model).collect()}
+    for i, t, _ in [*data, (900, "", 0), (901, "", 0)]:
+        own = [ratio(w) for w in re.findall("[a-z]+", t)]
+        mean = sum(own) / len(own) if own else 0.0
+        excess = sum(max(x - baseline - toxicity.MARGIN, 0.0) for x in own) / len(own) if own else 0.0
+        want = 1 / (1 + np.exp(-(mean + model.slope * np.log(1e-3 + excess) + model.intercept)))
+        assert abs(got[i] - want) < 1e-6
+    none = toxicity.fit(docs.drop("toxic"), docs.drop("text").limit(0))
+    assert {x.score for x in toxicity.score(docs, none).collect()} == {0.5}
+
+
 def test_toxicity_edges(spark):
     """Null ids, repeated rows, columns with clashing names, ties of labels, a very long text."""
     docs = spark.createDataFrame([(i, ("bad " if i % 2 else "good ") * 5, "x", 1) for i in range(60)] + [(None, "bad bad", "x", 1), (3, "bad " * 5, "x", 1), (99, "good " * 50_000, "x", 1)], "doc_id long, text string, keep string, score long")
@@ -531,3 +564,16 @@ def test_pipeline_stages_on_odd_rows(spark):
             assert len(scores) == len(odd)
         assert ids == sorted(want, key=str), name
     assert corpus_pipeline.tokenize(spark, docs, sf).count() == len(odd) and corpus_pipeline.tokenize(spark, docs.limit(0), sf).count() == 0
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    """Each table empty, and all of them: no documents give no rows, no labels and no benchmark items drop nothing."""
+    sf = "/root/testdata/sf0.001"
+    tables = {t: spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels", "benchmark")}
+    few = tables["documents"].limit(20)
+    for n, empty in enumerate((("documents",), ("labels", "benchmark"), tuple(tables))):
+        for t, df in tables.items():
+            (df.limit(0) if t in empty else few if t == "documents" else df).write.parquet(f"{tmp_path}/{n}/{t}.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{n}")
+        assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        assert got.count() == 0 if "documents" in empty else 0 < got.count() <= 20
