@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.common import ascii_lower, text_or_empty
+from attestor.llm.common import ascii_lower, stored, text_or_empty
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -47,7 +47,9 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("of", F.xxhash64("text"))
     lines = line_hashes(rows, min_chars)
-    gone = lines.join(shared_lines(lines, min_docs), "h").filter(~F.col("id").eqNullSafe(F.col("top")))
+    # stored, so that both sides of the join are dealt out for it alone, which lets Spark split the partition of a common line
+    shared = stored(shared_lines(lines, min_docs), "shared-lines")
+    gone = lines.join(shared, "h").filter(~F.col("id").eqNullSafe(F.col("top")))
     # at most the lines of one document; rows that are wholly equal give the same positions
     dropped = gone.groupBy("id", "of").agg(F.collect_set("at").alias("dropped")).select(F.col("id").alias("own_id"), F.col("of").alias("own_of"), "dropped")
     met = rows.join(dropped, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("of") == F.col("own_of")), "left")
