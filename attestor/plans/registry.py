@@ -15,6 +15,7 @@ from attestor.functions import measure, rx
 from attestor.operators import chunking, evaluate, evidence, model, retrieve
 from attestor.plans import audit as plan
 from attestor.plans import service
+from attestor.plans.incremental import KeptAudit
 from attestor.sources import fixtures, readers, store, vector_index
 from attestor.sources.calls import CallLedger
 from attestor.sources.shared import folder, shared_dir, stored
@@ -448,6 +449,23 @@ def request_validation(spark, sf_dir):
     return plan.violations(r).select("record_id", F.array_join("violations", ",").alias("broken"))
 
 
+@query(f"""{_AUDIT_SQL.replace("'P-' || p_partkey AS component", "'P-' || p_partkey AS component, p_partkey % 10 = 3 AS renewed").replace("p_size || '.5' AS v1", "CASE WHEN p_partkey % 10 = 3 THEN '88.5' ELSE p_size || '.5' END AS v1")},
+d AS (SELECT DISTINCT component_id, revision, k, exit_code, recorded_unit, rv FROM a), u AS (SELECT count(DISTINCT component_id) AS t FROM d JOIN p ON component = component_id WHERE renewed)
+SELECT {_OUTCOME} AS outcome, count(*) AS n, true AS a_part FROM (SELECT DISTINCT record_id, exit_code FROM a) GROUP BY 1""")
+def kept_audit(spark, sf_dir):
+    """An audit that is kept up when every tenth sheet states another thickness: outcomes by record, and whether an eighth of the
+    distinct records at most were audited anew, with an eighth of the sheets."""
+    kept, pages = KeptAudit(spark, folder(spark, "kept")), sheets(spark, sf_dir)
+    own = records(spark, sf_dir).select("record_id", "component_id", "revision", "attribute_name", "recorded_value", "recorded_unit")
+    first = kept.refresh(own, pages)
+    k = F.regexp_extract("source_file", r"(\d+)", 1).cast("bigint")
+    size = r"(Nominal thickness: |33\.5 [a-z]+ x )[0-9.]+"
+    second = kept.refresh(own, pages.withColumn("text", F.when(k % 10 == 3, F.regexp_replace("text", size, "$188.5")).otherwise(F.col("text"))))
+    part = 8 * second.audited <= first.audited and 8 * second.searched <= first.searched
+    met = KeptAudit.record_key(own).join(second.results.select("record_key", "outcome", "exit_code"), "record_key")
+    return met.select("record_id", "outcome", "exit_code").distinct().groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).withColumn("a_part", F.lit(part))
+
+
 # --- every exit of the audit, each of them planted ---
 #: By k % 20: the exit that a part's record is to take, and its outcome.
 _EXITS = "VALUES " + ", ".join(f"({i}, '{code}', '{outcome}')" for i, (code, outcome) in enumerate(plan.EXITS))
