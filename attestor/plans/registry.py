@@ -16,8 +16,9 @@ from attestor.operators import chunking, evaluate, evidence, model, retrieve
 from attestor.plans import audit as plan
 from attestor.plans import service
 from attestor.plans.incremental import KeptAudit
-from attestor.sources import fixtures, readers, store, vector_index
+from attestor.sources import fixtures, npy, readers, store, vector_index
 from attestor.sources.calls import CallLedger
+from attestor.sources.positions import running
 from attestor.sources.shared import folder, shared_dir, stored
 
 # --- derived inputs, in SQL that both engines read ---
@@ -764,6 +765,38 @@ def artifact_validation(spark, sf_dir):
     return store.violations(rows, 64)
 
 
+def _vector_chunks(spark, sf_dir):
+    """The table's vectors as chunks of many corpora."""
+    id_ = F.col("vec_id").cast("string")
+    fixed = {"document_filename": "x.pdf", "page_number": 1, "start_char": 0, "end_char": 9, "token_count": 1, "revision": "A"}
+    own = (F.concat(F.lit("corpus-"), F.col("label").cast("string")).alias("corpus_id"), id_.alias("chunk_id"), F.concat(F.lit("line 1\n"), id_).alias("text"), F.sha2(id_, 256).alias("content_sha256"), F.lit("P").alias("component_id"))
+    return _table(spark, sf_dir, "embeddings").select(*own, *(F.lit(v).alias(c) for c, v in fixed.items()), "embedding")
+
+
+_VALUES_SQL = "len(embedding) AS width, embedding[1]::DOUBLE AS first_value, embedding[-1]::DOUBLE AS last_value, list_min(embedding)::DOUBLE AS low, list_max(embedding)::DOUBLE AS high"
+
+
+def _values() -> tuple[Column, ...]:
+    e, d = F.col("embedding"), lambda c: c.cast("double")
+    return F.size(e).cast("bigint").alias("width"), d(F.element_at(e, 1)).alias("first_value"), d(F.element_at(e, -1)).alias("last_value"), d(F.array_min(e)).alias("low"), d(F.array_max(e)).alias("high")
+
+
+@query(f"SELECT 'corpus-' || label AS corpus_id, vec_id || '' AS chunk_id, 'line 1' || chr(10) || vec_id AS text, {_VALUES_SQL} FROM embeddings")
+def artifact_by_position(spark, sf_dir):
+    """An artifact whose vectors are rows of .npy files, which its chunks meet by their place."""
+    at = folder(spark, "positional")
+    store.save_artifacts(_vector_chunks(spark, sf_dir), at, "vectors", "1", 64, positional=True)
+    return store.load_artifacts(spark, at, 64).select("corpus_id", "chunk_id", "text", *_values())
+
+
+@query(f"SELECT row_number() OVER (ORDER BY 'corpus-' || label, vec_id || '') - 1 AS position, {_VALUES_SQL} FROM embeddings")
+def vector_file_rows(spark, sf_dir):
+    """The rows of .npy files of a few vectors each, read by ranges of bytes, in the order of the chunks' keys."""
+    at, rows = folder(spark, "npy"), running(_vector_chunks(spark, sf_dir), store.KEY)
+    npy.write(rows, at, 64, rows_per_file=100)
+    return npy.read(spark, at, 64, range_bytes=16 << 10).select("position", *_values())
+
+
 @query("SELECT 'no table' AS kind, 'error' AS retrieval_status, 'DATABASE_ERROR' AS error_type, count(*) AS n, 502 AS status_code FROM embeddings WHERE vec_id % 20 = 0 UNION ALL SELECT 'dimension', CASE WHEN vec_id % 40 = 0 THEN 'error' ELSE 'insufficient_evidence' END, CASE WHEN vec_id % 40 = 0 THEN 'MODEL_INCOMPATIBLE' END, count(*), CASE WHEN vec_id % 40 = 0 THEN 502 ELSE 200 END FROM embeddings WHERE vec_id % 20 = 0 GROUP BY ALL")
 def retrieval_errors(spark, sf_dir):
     """Questions without a chunk table, and with a query vector of another dimension."""

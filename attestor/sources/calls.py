@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,7 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.sources.shared import delete
+from attestor.sources.shared import delete, opened
 
 ANSWER = "key string, model string, text string, failed string, ms double, asked int, given int"
 _FIELDS = [f.split()[0] for f in ANSWER.split(", ")]
@@ -31,16 +30,12 @@ def key(prompt: Column, model: str) -> Column:
     return F.when(prompt.isNotNull(), F.sha2(F.concat(F.lit(f"{model}\n"), prompt), 256))
 
 
-def _opened(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
-
-
 class _Notes:
     """The answers of a job that isn't through, one file each. A claim keeps two attempts of a task from asking at the same time;
     a claim that is older than patience seconds is a dead task's."""
 
     def __init__(self, uri: str, patience: float):
-        self.files, self.path = _opened(uri)
+        self.files, self.path = opened(uri)
         self.patience = patience
 
     def _at(self, key: str, end: str = "json") -> str:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -36,6 +38,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as executors need it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path with a scheme, and the path there."""
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+
+
 def delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
