@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.operators import chunking, evaluate, retrieve
+from attestor.operators import chunking, evaluate, report, retrieve
 from attestor.plans import audit as plan
 from attestor.sources import fixtures, readers, settings, store
 
@@ -66,6 +66,7 @@ def _evaluate(spark: SparkSession, a: argparse.Namespace, own: settings.Settings
     rows = evaluate.suite(evaluate.cases(_audited(spark, a, own), readers.read_expected(spark, a.expected), readers.read_pages(spark, a.pages)), a.suite).cache()
     print(evaluate.markdown(evaluate.summary(rows).first().asDict()))
     readers.write_results(rows, a.out)
+    report.write({"summary": evaluate.summary(rows), "stages": report.stage_table(rows), "outcomes": report.outcome_table(rows), "cases": report.case_table(rows)}, a.out.rstrip("/") + "__report")
     return int(not evaluate.failures(rows, tuple(a.tolerate)).isEmpty())
 
 

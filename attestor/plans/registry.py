@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestor.functions import measure, rx
-from attestor.operators import chunking, evaluate, evidence, model, retrieve
+from attestor.operators import chunking, evaluate, evidence, model, report, retrieve
 from attestor.plans import audit as plan
 from attestor.plans import service
 from attestor.plans.incremental import KeptAudit
@@ -631,6 +631,23 @@ def failure_stages(spark, sf_dir):
     return _judged(spark, sf_dir).groupBy("failure_stage").agg(F.count(F.lit(1)).alias("n"))
 
 
+_STAGE_SQL = f"CASE WHEN NOT {_FAILED} THEN NULL WHEN bad = 'api' THEN 'api' WHEN bad = 'file' THEN 'retrieval' WHEN bad IN ('outcome', 'value') THEN 'measurement extraction' ELSE 'verification' END"
+
+
+@query(f"""{_JUDGED} SELECT {_EXPECTED} AS expected_outcome, outcome, CASE WHEN NOT {_FAILED} THEN 'passed' WHEN bad = 'unrun' THEN 'unrun' WHEN bad = 'api' THEN 'api_error' ELSE 'failed' END AS result, {_STAGE_SQL} AS failure_stage,
+bad <> 'file' OR NOT citing AS retrieved, {_EXPECTED} = 'correction_proposed' AS wants_proposal, count(*) AS n FROM m GROUP BY ALL""")
+def report_cases(spark, sf_dir):
+    """The report's table of cases, counted by all but their ids and values."""
+    rows = report.case_table(_judged(spark, sf_dir))
+    return rows.groupBy("expected_outcome", "outcome", "result", "failure_stage", "retrieved", F.col("expected_proposal").isNotNull().alias("wants_proposal")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""{_JUDGED} SELECT {_STAGE_SQL} AS failure_stage, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM m), 1)::DOUBLE AS share FROM m GROUP BY 1""")
+def report_stages(spark, sf_dir):
+    """The report's table of stages."""
+    return report.stage_table(_judged(spark, sf_dir)).drop("first_case")
+
+
 @query(f"WITH s AS ({_SHEETS}), p AS ({_PART}) SELECT 'sheet-' || k || '.pdf' AS document_filename, CASE WHEN k % 5 = 0 THEN false ELSE true END AS in_page FROM p WHERE stated")
 def citation_in_page(spark, sf_dir):
     """Whether a cited passage stands on its page; every fifth page has been changed since."""
@@ -705,6 +722,10 @@ o AS (SELECT a, a AND told IS NULL AS b, told IS NULL AS same FROM x)
 SELECT count(*) AS n, count(*) FILTER (same) AS n_same, round(100.0 * count(*) FILTER (same) / count(*), 1)::DOUBLE AS concordance, count(*) FILTER (NOT a AND b) AS improved, count(*) FILTER (a = b) AS matched, count(*) FILTER (a AND NOT b) AS worsened FROM o""")
 def extractor_comparison(spark, sf_dir):
     """The built-in extractor and a model, over the same cases; the model turns cm into mm by itself, which the guards don't let through."""
+    return evaluate.changes(evaluate.comparison(*_two_extractors(spark, sf_dir), names=("deterministic", "model")))
+
+
+def _two_extractors(spark, sf_dir):
     cases, pages, want = _dealt(spark, sf_dir)
 
     def told(passage: str, attribute: str) -> dict | str:
@@ -714,7 +735,21 @@ def extractor_comparison(spark, sf_dir):
     ledger = CallLedger(spark, folder(spark, "calls"))
     own = evaluate.cases(plan.audit(cases, pages), want)
     asked = evaluate.cases(plan.audit(cases, pages, extractor=model.by_model(model.offline(told), ledger=ledger)), want)
-    return evaluate.changes(evaluate.comparison(own, asked, names=("deterministic", "model")))
+    return own, asked
+
+
+@query(f"""{_CASES}, x AS (SELECT truth, NOT (unit = 'cm' AND truth = 'correction_proposed' AND kind <> 2) AS told, kind <> 2 OR (twice AND NOT tupled) AS a FROM t),
+o AS (SELECT truth, r.name, r.passed FROM (SELECT truth, unnest([{{name: 'deterministic', passed: a}}, {{name: 'model', passed: a AND told}}]) AS r FROM x)),
+s AS (SELECT name, count(*)::DOUBLE AS n, count(*) FILTER (passed)::DOUBLE AS n_passed, count(*) FILTER (NOT passed)::DOUBLE AS n_failed, round(100.0 * count(*) FILTER (passed) / count(*), 1)::DOUBLE AS pass_rate,
+  round(100.0 * count(*) FILTER (passed AND truth = 'correction_proposed') / count(*) FILTER (truth = 'correction_proposed'), 1)::DOUBLE AS correction_rate,
+  round(100.0 * count(*) FILTER (passed AND truth <> 'correction_proposed') / count(*) FILTER (truth <> 'correction_proposed'), 1)::DOUBLE AS abstention_rate FROM o GROUP BY name),
+u AS (UNPIVOT s ON n, n_passed, n_failed, pass_rate, correction_rate, abstention_rate INTO NAME metric VALUE value)
+SELECT metric, d.value AS deterministic, m.value AS model, round(m.value - d.value, 4) AS difference, CASE WHEN m.value = d.value THEN 'same' WHEN m.value > d.value THEN 'model' ELSE 'deterministic' END AS higher
+FROM u d JOIN u m USING (metric) WHERE d.name = 'deterministic' AND m.name = 'model'""")
+def report_metrics(spark, sf_dir):
+    """The report's table of two extractors' metrics side by side."""
+    wanted = ("n", "n_passed", "n_failed", "pass_rate", "correction_rate", "abstention_rate")
+    return report.metric_table(*(evaluate.summary(run).select(*wanted) for run in _two_extractors(spark, sf_dir)), names=("deterministic", "model"))
 
 
 _COUNTED = "[" + ", ".join(f"(length(t) - length(replace(t, '{c}', '')))::DOUBLE" for c in _LETTERS) + "]"
