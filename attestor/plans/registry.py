@@ -768,6 +768,30 @@ def retriever_ranks(spark, sf_dir):
     return evaluate.evidence_ranks(ranked, want).select("case_id", F.col("first_rank").cast("bigint").alias("first_rank"))
 
 
+_ADDED = ("Zigzag fizz of the quay.", "Thickness is one of its dimensions.")
+
+
+@query(f"""{_CHUNKS_SQL}, h AS (SELECT c.k, stated, twice, tupled, unnest(['sheet-', 'copy-']) || c.k || '.pdf' AS file, unnest([c.t, c.t || chr(10) || CASE WHEN c.k % 2 = 0 THEN '{_ADDED[0]}' ELSE '{_ADDED[1]}' END]) AS own FROM c JOIN ({_PART}) p ON p.k = c.k WHERE n = 3),
+v AS (SELECT *, {_COUNTED} AS e FROM (SELECT *, translate(own, '{_LETTERS.upper()}', '{_LETTERS}') AS t FROM h WHERE stated OR (k % 2 = 1 AND file LIKE 'copy-%'))),
+q AS (SELECT k, {_COUNTED} AS q FROM (SELECT k, translate('Component P-' || k || ' thickness physical dimension parameter specification', '{_LETTERS.upper()}', '{_LETTERS}') AS t FROM ({_PART}) p)),
+d AS (SELECT v.k, file, own, 1 - list_inner_product(e, q) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(q, q))) AS distance FROM v JOIN q ON v.k = q.k),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY distance, file) AS rn FROM d)
+SELECT p.k || '' AS qid, CASE WHEN twice AND NOT tupled THEN 'ambiguous_evidence' WHEN r.k IS NULL THEN 'insufficient_evidence' ELSE 'evidence_found' END AS retrieval_status,
+CASE WHEN NOT (twice AND NOT tupled) THEN file END AS document_filename, CASE WHEN NOT (twice AND NOT tupled) THEN own END AS passage, CASE WHEN NOT (twice AND NOT tupled) THEN round(1 - distance, 4) END AS similarity
+FROM ({_PART}) p LEFT JOIN r ON r.k = p.k AND rn = 1""")
+def vector_citations(spark, sf_dir):
+    """What the vector strategy cites where two texts of a part say the same: the nearest chunk with a direct line, else the nearest
+    one that mentions the attribute, and its similarity. By k the text that has a line added is nearer or farther."""
+    k = F.regexp_extract("source_file", r"(\d+)", 1)
+    own = sheets(spark, sf_dir)
+    line = F.when(k.cast("bigint") % 2 == 0, _ADDED[0]).otherwise(_ADDED[1])
+    copy = own.withColumns({"source_file": F.concat(F.lit("copy-"), k, F.lit(".pdf")), "text": F.replace(F.col("text"), F.lit("3. Remarks"), F.concat(line, F.lit("\n3. Remarks")))})
+    chunks = _profiled(chunking.chunks(own.unionByName(copy)), F.col("text"), "embedding").withColumns({"model_name": F.lit("m"), "model_revision": F.lit("1")})
+    asked = _sql(spark, sf_dir, f"SELECT k || '' AS qid, component, revision, 'thickness' AS attribute FROM ({_PART.replace('FROM part', 'FROM {part}')}) p", part="part")
+    asked = _profiled(asked, evidence.query_text(F.col("component"), F.col("attribute")), "query_vector")
+    return retrieve.vector(asked, chunks=chunks, dimension=len(_LETTERS)).select("qid", "retrieval_status", "document_filename", "passage", "similarity")
+
+
 @query(f"""{_CHUNKS_SQL} SELECT 'case-' || k AS case_id, CASE WHEN k % 3 = 2 THEN NULL ELSE 3 END::INT AS first_rank FROM c WHERE n = 1""")
 def evidence_rank(spark, sf_dir):
     """The rank, by offset, of the chunk that is from the expected page and holds the expected passage but for white space; every third answer names another page."""
