@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from attestor.llm.common import give_back, release, small_batches, stored, text_or_empty
-from attestor.llm.graph import components
+from attestor.llm.graph import components, contracted
 
 #: Rows of a band; the chance that a pair at the threshold shares no band, and that a batch's posterior drops one.
 ROWS, MISS, PRUNE = 6, 1e-6, 1e-6
@@ -282,8 +282,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         likely = stored(_likely(pairs, reps, threshold, bands * rows), "likely")
         return stored(_linked(likely, docs, id_col, text_col, shingle, threshold), "links")
 
-    links = verified(stars)
-    comp = components(links)
+    comp = components(verified(stars))
 
     def mixed(comp: DataFrame, of: DataFrame) -> DataFrame:
         """Members of the buckets that hold several components, with these."""
@@ -301,8 +300,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spokes = large.join(centres, "key").filter((F.col("root") != F.col("rx")) & close(F.col("n"), F.col("nx"))).select(F.least("rid", "x").alias("a"), F.greatest("rid", "x").alias("b")).distinct()
     more = verified(spokes)
     if not more.isEmpty():
-        links = links.union(more)
-        comp = components(links)
+        comp = components(contracted(comp).union(more))
         known = mixed(comp, known.select("rid", "n", "key"))
 
     # What is left: members of one bucket in different components.
@@ -310,7 +308,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     around = stored(known.join(largest, "key").select(F.col("most").alias("g"), "rid", "n", "root").distinct(), "members")
     more = stored(_across(around, reps, docs, id_col, text_col, shingle, threshold, bands * rows), "links")
     if not more.isEmpty():
-        comp = components(links.union(more))
+        comp = components(contracted(comp).union(more))
 
     of_class = reps.select("fp", "rid").join(comp.withColumnRenamed("node", "rid"), "rid", "left").select("fp", F.coalesce("root", "rid").alias("root"))
     found = members.join(of_class, "fp", "left")
