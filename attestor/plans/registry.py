@@ -19,7 +19,7 @@ from attestor.plans.incremental import KeptAudit
 from attestor.sources import fixtures, npy, readers, store, vector_index
 from attestor.sources.calls import CallLedger
 from attestor.sources.positions import running
-from attestor.sources.shared import folder, shared_dir, stored
+from attestor.sources.shared import folder, grown, shared_dir, stored
 
 # --- derived inputs, in SQL that both engines read ---
 _PART = """
@@ -678,7 +678,8 @@ def _dealt(spark, sf_dir):
     own = sheets(spark, sf_dir).withColumn("corpus_id", corpus(k))
     twin = sheets(spark, sf_dir).withColumns({"corpus_id": corpus(k + 1), "text": F.regexp_replace("text", r"(thickness: |33\.5 [a-z]+ x )[0-9.]+", "$199.5")})
     notes = _sql(spark, sf_dir, _NOTES.replace("FROM part", "FROM {part}"), part="part").withColumn("corpus_id", corpus(F.col("k"))).drop("k")
-    facts = _sql(spark, sf_dir, f"{_CASES.replace('FROM part', 'FROM {part}')} SELECT t.*, p.v2 FROM t JOIN p USING (k)", part="part")
+    of_part = lambda what: _sql(spark, sf_dir, f"{_CASES.replace('FROM part', 'FROM {part}')} SELECT {what}", part="part")
+    facts = of_part("* FROM t").join(grown(of_part("k, v2 FROM p")), "k")
     n, truth = F.col("k").cast("string"), F.col("truth")
     value = F.when(F.col("twice") & F.col("tupled"), F.col("v2")).otherwise(F.col("v1"))
     line = F.when(F.col("tupled") & ~F.col("twice"), F.concat(F.lit("Envelope (depth, breadth, thickness): 71.25 "), "unit")).otherwise(F.concat(F.when(F.col("twice"), "Measured").otherwise("Nominal"), F.lit(" thickness: "), value, F.lit(" "), "unit", F.lit(".")))
