@@ -1,7 +1,8 @@
-"""Audits that are kept up: a manifest of the texts' contents says what has changed, and only records that this can touch are audited anew.
+"""Audits that are kept up: a manifest of the texts' contents says what has changed, and only questions that this can touch are answered anew.
 
-A record's result depends on its own fields and on the texts that name its component. So it is taken over unless the record is new, a text
-that named its component has changed or gone, or a text that is new or changed names it now; and, where it refers to a document,
+What is found for a record depends on what it asks and on the texts that name its component, not on its value. So answers are kept by
+question, and a result is the answer, compared with the record. An answer is taken over unless its question is new, a text
+that named its component has changed or gone, or a text that is new or changed names it now; and, where the question refers to a document,
 unless a document of that name has come or gone.
 """
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from attestor.operators import retrieve
 from attestor.plans import audit as plan
-from attestor.sources.shared import delete, stored
+from attestor.sources.shared import delete, grown, passing, stored, tidy
 
 
 def manifest(pages: DataFrame) -> DataFrame:
@@ -33,20 +34,38 @@ def changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 @dataclass
 class Refreshed:
-    results: DataFrame  # record_key and the audit's columns, but for case_id and record_id: one row for each distinct record
+    records: DataFrame  # the distinct records, normalised, without ids
+    answers: DataFrame  # qid and what is known of each question
     changed: DataFrame  # source_file, kind
-    audited: int  # distinct records that were audited anew
-    searched: int  # texts that were looked through for them
+    audited: int  # distinct records that are new or whose question was answered anew
+    searched: int  # texts that were looked through for the answers
+
+    @property
+    def results(self) -> DataFrame:
+        """record_key and the audit's columns, but for case_id and record_id: one row for each distinct record."""
+        own = KeptAudit.keyed(self.records.withColumns(plan.shown_names()))
+        return self._of(own.withColumns({"case_id": F.col("record_key"), "record_id": F.col("record_key")})).withColumnRenamed("case_id", "record_key").drop("record_id")
+
+    def of(self, records: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
+        """The results of these records, with their own ids; only names the columns that are made. Records that ask what the refresh
+        wasn't asked are left out."""
+        return self._of(plan.normalize(records), only)
+
+    def _of(self, own: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
+        met = plan.answered(plan.with_question(plan.validate(own)), self.answers)
+        return plan.finish(plan.compare(met.filter("qid is null or retrieval_status is not null")), only)
 
 
 class KeptAudit:
-    """The folder at path: by the number of the refresh, the manifest of the texts, which of them name which component, and the
-    results of distinct records. One refresh writes at a time, and one that fails midway counts for nothing.
+    """The folder at path: by the number of the refresh, the manifest of the texts, which of them name which component, the distinct
+    records, what they ask and the answers. Results aren't kept but made of records and answers when they are read, as most of
+    what they say is said by either. One refresh writes at a time, and one that fails midway counts for nothing.
 
-    A record is known by record_key(), a hash of what it says but for its own ids; so equal records share a result.
+    A record is known by what it says but for its own ids, or by record_key(), a hash of that; so equal records share a result.
     """
 
     NAMED, MANIFEST = "source_file string, component string", "source_file string, sha256 string"
+    ASKED = "qid string, component string, records long, one long, two long"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -54,15 +73,18 @@ class KeptAudit:
     @staticmethod
     def record_key(records: DataFrame) -> DataFrame:
         """records, normalised, with record_key."""
-        own = plan.normalize(records)
-        return own.withColumn("record_key", F.sha2(F.to_json(F.struct(*(c for c in own.columns if c not in ("case_id", "record_id"))), {"ignoreNullFields": "false"}), 256))
+        return KeptAudit.keyed(plan.normalize(records))
+
+    @staticmethod
+    def keyed(own: DataFrame) -> DataFrame:
+        return own.withColumn("record_key", F.sha2(F.to_json(F.struct(*sorted(c for c in own.columns if c not in ("case_id", "record_id"))), {"ignoreNullFields": "false"}), 256))
 
     def _last(self) -> int:
-        """The number of the last refresh that is whole, or -1. Results are written last."""
+        """The number of the last refresh that is whole, or -1. Answers are written last."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path
         files = path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
         names = [f.getPath().getName() for f in files.listStatus(path(self.path))] if files.exists(path(self.path)) else []
-        return max((int(n) for n in names if n.isdigit() and files.exists(path(f"{self.path}/{n}/results/_SUCCESS"))), default=-1)
+        return max((int(n) for n in names if n.isdigit() and files.exists(path(f"{self.path}/{n}/answers/_SUCCESS"))), default=-1)
 
     def _read(self, number: int, name: str, schema) -> DataFrame:
         try:
@@ -73,38 +95,77 @@ class KeptAudit:
             return self.spark.createDataFrame([], schema)
 
     def refresh(self, records: DataFrame, pages: DataFrame) -> Refreshed:
+        with passing(self.spark):
+            return self._refresh(records, pages)
+
+    def _refresh(self, records: DataFrame, pages: DataFrame) -> Refreshed:
         last = self._last()
         here = f"{self.path}/{last + 1}"
         delete(self.spark, here)  # what a refresh that failed has left
-        own = stored(self.record_key(records).dropDuplicates(["record_key"]), "records")
-        asked = own.select("record_key", F.col("q_component").alias("component"), retrieve.stem(F.col("document_reference")).alias("stem"))
+        own = self._kept(self._distinct(plan.normalize(records)), f"{here}/records")
+        asked = self._kept(self._asked(own), f"{here}/asked")
         manifest(pages).write.parquet(f"{here}/manifest")
         now = self._read(last + 1, "manifest", self.MANIFEST)
-        changed = stored(changes(self._read(last, "manifest", self.MANIFEST), now), "changed")
-        old = self.spark.read.parquet(f"{self.path}/{last}/results") if last >= 0 else self.spark.createDataFrame([], "record_key string, component string")
-        was = self._read(last, "named", self.NAMED)
+        changed = self._kept(changes(self._read(last, "manifest", self.MANIFEST), now), f"{here}/changed")
+        old, was = self._read(last, "asked", self.ASKED), self._read(last, "named", self.NAMED)
 
         # Components that were asked for before are sought in texts that have changed, and new ones in all texts.
         components = asked.select("component").filter("component is not null").distinct()
-        new = stored(components.join(old.select("component").distinct(), "component", "left_anti"), "components")
-        fresh = pages.join(changed.filter("kind != 'removed'").select("source_file"), "source_file", "left_semi")
-        found = retrieve.named(components.join(new, "component", "left_anti"), fresh, []).unionByName(retrieve.named(new, pages, []))
+        if last < 0:
+            found = retrieve.named(components, pages, [])
+        else:
+            fresh = pages.join(grown(changed.filter("kind != 'removed'").select("source_file")), "source_file", "left_semi")
+            new = stored(components.join(grown(old.select("component").distinct()), "component", "left_anti"), "components")
+            none = new.isEmpty()
+            found = retrieve.named(components if none else components.join(grown(new), "component", "left_anti"), fresh, [])
+            found = found if none else found.unionByName(retrieve.named(new, pages, []))
         found = stored(found.select("source_file", "component").distinct(), "named")
-        was.join(changed, "source_file", "left_anti").unionByName(found).distinct().write.parquet(f"{here}/named")
-
-        touched = was.join(changed, "source_file", "left_semi").select("component").unionByName(found.select("component")).distinct()
-        stems = changed.filter("kind != 'changed'").select(retrieve.stem(F.col("source_file")).alias("stem")).distinct()
-        stale = asked.join(touched, "component", "left_semi").unionByName(asked.join(stems, "stem", "left_semi")).unionByName(asked.join(old, "record_key", "left_anti"))
-        stale = stored(stale.select("record_key").distinct(), "stale")
-        named = self._read(last + 1, "named", self.NAMED)
-        wanted = stored(named.join(asked.join(stale, "record_key", "left_semi").select("component").distinct(), "component", "left_semi").select("source_file").distinct(), "wanted")
-        again = self._audited(own.join(stale, "record_key", "left_semi"), pages.join(wanted, "source_file", "left_semi"), existing=now.select("source_file"))
+        named = self._kept(was.join(grown(changed), "source_file", "left_anti").unionByName(found).distinct() if last >= 0 else found, f"{here}/named")
+
+        again, rest = asked, None
         if last >= 0:
-            again = old.join(stale, "record_key", "left_anti").join(asked.select("record_key"), "record_key", "left_semi").unionByName(again.select(*old.columns))
-        again.write.parquet(f"{here}/results")
-        return Refreshed(self._read(last + 1, "results", again.schema).drop("component"), changed, stale.count(), wanted.count())
-
-    def _audited(self, own: DataFrame, pages: DataFrame, **sources) -> DataFrame:
-        """The audit of normalised records, with record_key and the component that was sought instead of the records' ids."""
-        done = plan.audit(own.withColumn("case_id", F.col("record_key")), pages, **sources).withColumnRenamed("case_id", "record_key").drop("record_id")
-        return done.join(own.select("record_key", F.col("q_component").alias("component")), "record_key")
+            touched = was.join(grown(changed), "source_file", "left_semi").select("component").unionByName(found.select("component")).distinct()
+            stems = changed.filter("kind != 'changed'").select(retrieve.stem(F.col("source_file")).alias("stem")).distinct()
+            stale = asked.join(grown(touched), "component", "left_semi").unionByName(asked.join(grown(stems), "stem", "left_semi")).unionByName(asked.join(grown(old), "qid", "left_anti"))
+            stale = stored(stale.select("qid").distinct(), "stale")
+            again, rest = stored(asked.join(grown(stale), "qid", "left_semi"), "again"), asked.join(grown(stale), "qid", "left_anti")
+        names = stored(named.join(grown(again.select("component").distinct()), "component", "left_semi"), "names") if last >= 0 else named
+        wanted = stored(names.select("source_file").distinct(), "wanted")
+        audited = (again.agg(F.sum("records")).first()[0] or 0) + (self._new(own, rest, old, last) if rest else 0)
+        tidy(self.spark)
+        known = {} if retrieve.corpus_keys(again, pages) else {"names": names}
+        answers = plan.answer(again.drop("records", "one", "two"), retrieve.baseline, plan.extract, lambda _, df: df, pages=pages.join(grown(wanted), "source_file", "left_semi"), existing=now.select("source_file"), **known)
+        if rest:
+            answers = self.spark.read.parquet(f"{self.path}/{last}/answers").join(grown(rest.select("qid")), "qid", "left_semi").unionByName(answers)
+        answers = self._kept(answers, f"{here}/answers")
+        return Refreshed(own, answers, changed, audited, wanted.count())
+
+    def _kept(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        tidy(self.spark)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    @staticmethod
+    def _distinct(own: DataFrame) -> DataFrame:
+        """Distinct records, without ids. They are dealt out and sorted by ranges of all that they say, so that one question's records lie
+        together, where they take a byte or two each, and those of a common one are still spread."""
+        said = (*plan.asked(own), *(c for c in own.columns if c not in ("case_id", "record_id", *plan.shown_names(), *plan.asked(own))))
+        packed = own.select(F.struct(*said).alias("said"))  # as one column, of which Spark can't take constants away: so the ranges serve for both
+        return packed.repartitionByRange("said").dropDuplicates().sortWithinPartitions("said").select("said.*")
+
+    @staticmethod
+    def _asked(own: DataFrame) -> DataFrame:
+        """The questions, with the number of their distinct records and two sums of hashes that say whether these are still the same."""
+        said = [*own.columns, *(F.isnull(c) for c in own.columns)]
+        grouped = own.groupBy(*plan.asked(own)).agg(F.count(F.lit(1)).alias("records"), F.bit_xor(F.xxhash64(*said)).alias("one"), F.bit_xor(F.xxhash64(F.lit(1), *said)).alias("two"))
+        return plan.questions_of(grouped)
+
+    def _new(self, own: DataFrame, asked: DataFrame, old: DataFrame, last: int) -> int:
+        """How many records of these questions the last refresh didn't have. Records are compared only where a question's have changed."""
+        same = ["qid", "records", "one", "two"]
+        other = stored(asked.select(*same).join(grown(old.select(*same)), same, "left_anti").select("qid"), "other")
+        if other.isEmpty():
+            return 0
+        had = self.spark.read.parquet(f"{self.path}/{last}/records")
+        mine, had = (df.join(grown(other), plan.question_id(df) == F.col("qid"), "left_semi") for df in (own, had))
+        return (mine.subtract(had.select(*mine.columns)) if set(mine.columns) == set(had.columns) else mine).count()

@@ -463,8 +463,8 @@ def kept_audit(spark, sf_dir):
     size = r"(Nominal thickness: |33\.5 [a-z]+ x )[0-9.]+"
     second = kept.refresh(own, pages.withColumn("text", F.when(k % 10 == 3, F.regexp_replace("text", size, "$188.5")).otherwise(F.col("text"))))
     part = 8 * second.audited <= first.audited and 8 * second.searched <= first.searched
-    met = KeptAudit.record_key(own).join(second.results.select("record_key", "outcome", "exit_code"), "record_key")
-    return met.select("record_id", "outcome", "exit_code").distinct().groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).withColumn("a_part", F.lit(part))
+    met = second.of(own, only=("record_id", "exit_code")).distinct()
+    return met.groupBy(plan.outcome_of(F.col("exit_code")).alias("outcome")).agg(F.count(F.lit(1)).alias("n")).withColumn("a_part", F.lit(part))
 
 
 # --- every exit of the audit, each of them planted ---

@@ -2,6 +2,8 @@
 
 import random
 
+from pyarrow.fs import FileSelector
+
 from attestor.plans import audit
 from attestor.plans.incremental import KeptAudit, changes, manifest
 from attestor.sources import readers
@@ -50,3 +52,23 @@ def test_manifests(spark):
     b = manifest(df([("a", 2, "y"), ("a", 1, "x"), ("b", 1, ""), ("d", 1, "z")]))
     assert {tuple(r) for r in changes(a, b).collect()} == {("b", "changed"), ("c", "removed"), ("d", "added")}
     assert changes(a, a).count() == 0
+
+
+def test_what_is_kept_follows_the_questions(spark, tmp_path):
+    from attestor.sources.shared import opened, shared_dir
+
+    def folders():
+        files, path = opened(shared_dir(spark))
+        return {x.base_name for x in files.get_file_info(FileSelector(path)) if x.base_name.startswith("attestor-")}
+
+    rows = [{"record_id": f"r{i}", "component_id": f"Q{i % 2}", "revision": "A", "attribute_name": "depth", "recorded_value": str(i // 2), "recorded_unit": "mm"} for i in range(40)]
+    pages = spark.createDataFrame([(f"f{i}.pdf", 1, sheet(f"Q{i}", i)) for i in range(2)], "source_file string, page_number int, text string")
+    own, before = readers.records(spark, rows + rows), folders()
+    done = KeptAudit(spark, f"file://{tmp_path}/kept").refresh(own, pages)
+    assert folders() == before  # what is stored on the way is gone
+    assert sorted(p.name for p in (tmp_path / "kept/0").iterdir()) == ["answers", "asked", "changed", "manifest", "named", "records"]
+    assert (done.audited, spark.read.parquet(f"file://{tmp_path}/kept/0/answers").count(), done.results.count()) == (40, 2, 40)
+    unknown = readers.records(spark, [{**rows[0], "record_id": "other", "component_id": "Q9"}, {**rows[0], "record_id": "no value", "recorded_value": None}])
+    assert {r.record_id: r.exit_code for r in done.of(unknown, only=("record_id", "exit_code")).collect()} == {"no value": "value_missing"}
+    plan = KeptAudit._distinct(audit.normalize(own))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1  # a second one would take the records of a question apart again
